@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprint, mixing, packing, quality, secret_scan, token_output
+from quarry.llm import fingerprint, license_scan, mixing, mlm, ngram_join, packing, quality, secret_scan, suffix_dedup, token_output
 from quarry.llm._tokens import vocabulary
 
 
@@ -19,14 +19,26 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_documents(spark, sf_dir)))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_documents(spark, sf_dir))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.matrices(_documents(spark, sf_dir), vocabulary())
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_documents(spark, sf_dir))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mlm.score(_documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), vocabulary())
 
@@ -36,6 +48,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("_carry.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_documents(spark, sf_dir))
 
@@ -43,10 +59,14 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_token_output": op3_token_output,
+        "op4_ngram_join": op4_ngram_join,
         "op5_quality_rules": op5_quality_rules,
+        "op6_lm_score": op6_lm_score,
         "op7_packing": op7_packing,
         "op8_mixing": op8_mixing,
+        "op9_license_scan": op9_license_scan,
         "op10_fingerprint": op10_fingerprint,
     }
 
