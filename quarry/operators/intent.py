@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarry.dims import DOMAIN_RULES, INTENT_RULES, OIL, SOURCE_ALIASES, SOURCES, TOPIC_SOURCES, TYPE_SOURCES, strings
 
 _NONE = "array<string>"
+#: A word boundary over ASCII word characters; the engine's own ``\\b`` also knows other letters.
+_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def _where(pairs: list[tuple[Column, list[str]]]) -> Column:
@@ -33,7 +35,7 @@ def required_types(query: Column) -> Column:
 
 
 def entities(query: Column) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(query, F.lit(r"\b[A-Z][A-Za-z0-9.-]*(?:\s+[A-Z][A-Za-z0-9.-]*){0,3}\b"), F.lit(0))), 1, 10)
+    return F.slice(F.array_distinct(F.regexp_extract_all(query, F.lit(rf"{_EDGE}[A-Z][A-Za-z0-9.-]*(?:\s+[A-Z][A-Za-z0-9.-]*){{0,3}}{_EDGE}"), F.lit(0))), 1, 10)
 
 
 def temporal(query: Column) -> Column:
