@@ -133,20 +133,34 @@ def fallback_relevance() -> Column:
     return clamp01(rel * F.when(bad, 0.08).otherwise(1.0))
 
 
+# Topics of queries, and the signals that titles and texts on them have.
+GUARD = {
+    "boilerplate": "about the author|author biography|editorial board|copyright|terms of use",
+    "oil": "(oil|crude|wti|brent|opec|petroleum)",
+    "oil_title": "(oil|crude|wti|brent|opec|petroleum|eia|steo)",
+    "oil_signal": "(forecast|outlook|steo|brent|wti|supply|demand|inventor|production|consumption|price)",
+    "heating": "home heating oil|kerosene|propane",
+    "oil_text": "forecast|outlook|steo|crude|brent|wti",
+    "retrieval": "(dedup|duplicates?|submodular|bayesian|source reliability|truth discovery|jensen|kl divergence|token budget|learned similarity|pipeline)",
+    "retrieval_signal": "(dedup|duplicate|submodular|bayesian|truth discovery|source reliability|similarity|embedding|jensen|kl|retrieval|claim)",
+    "trading": "(institution|bank|trader|news|squawk|co-?location|direct feeds?|market data|edgar|macro releases?)",
+    "trading_signal": "(sec|edgar|direct feed|co-location|colocation|market data|squawk|fomc|cpi|filing|exchange|release|surprise|consensus|compliance)",
+}
+
+
 def guarded(relevance: Column) -> Column:
     """Relevance capped where a query's topic and a chunk's signals disagree."""
     lower, title, text = F.lower("query"), F.lower(F.coalesce("title", F.lit(""))), haystack()
-    cap = [F.when(title.rlike("about the author|author biography|editorial board|copyright|terms of use"), 0.05)]
-    oil = lower.rlike("(oil|crude|wti|brent|opec|petroleum)")
-    title_oil, signal = title.rlike("(oil|crude|wti|brent|opec|petroleum|eia|steo)"), text.rlike("(forecast|outlook|steo|brent|wti|supply|demand|inventor|production|consumption|price)")
-    heating = title.rlike("home heating oil|kerosene|propane") & ~text.rlike("forecast|outlook|steo|crude|brent|wti")
     broad = F.col("source_type") == "encyclopedic"
-    cap.append(F.when(oil, F.when(heating, 0.18).when(broad & ~title_oil & ~signal, 0.16).when(broad & ~title_oil, 0.24)))
-    asks = lower.rlike("(dedup|duplicates?|submodular|bayesian|source reliability|truth discovery|jensen|kl divergence|token budget|learned similarity|pipeline)")
-    cap.append(F.when(asks & ~text.rlike("(dedup|duplicate|submodular|bayesian|truth discovery|source reliability|similarity|embedding|jensen|kl|retrieval|claim)"), 0.12))
-    trades = lower.rlike("(institution|bank|trader|news|squawk|co-?location|direct feeds?|market data|edgar|macro releases?)")
-    cap.append(F.when(trades & ~text.rlike("(sec|edgar|direct feed|co-location|colocation|market data|squawk|fomc|cpi|filing|exchange|release|surprise|consensus|compliance)"), 0.16))
-    return F.least(relevance, *(F.coalesce(c, F.lit(1.0)) for c in cap))
+    own, signal = title.rlike(GUARD["oil_title"]), text.rlike(GUARD["oil_signal"])
+    heating = title.rlike(GUARD["heating"]) & ~text.rlike(GUARD["oil_text"])
+    caps = [
+        F.when(title.rlike(GUARD["boilerplate"]), 0.05),
+        F.when(lower.rlike(GUARD["oil"]), F.when(heating, 0.18).when(broad & ~own & ~signal, 0.16).when(broad & ~own, 0.24)),
+        F.when(lower.rlike(GUARD["retrieval"]) & ~text.rlike(GUARD["retrieval_signal"]), 0.12),
+        F.when(lower.rlike(GUARD["trading"]) & ~text.rlike(GUARD["trading_signal"]), 0.16),
+    ]
+    return F.least(relevance, *(F.coalesce(c, F.lit(1.0)) for c in caps))
 
 
 def combined() -> Column:

@@ -1,0 +1 @@
+"""Connectors over recorded payloads, file scans and sinks."""
