@@ -95,7 +95,7 @@ def components_by_query(nodes: DataFrame, links: DataFrame) -> DataFrame:
             root[y] = x
         return pd.DataFrame({"query_id": nodes.query_id, "chunk_id": nodes.chunk_id, "cluster": [find(c) for c in nodes.chunk_id]})
 
-    pairs = links.select("query_id", "a", "b").groupBy("query_id")
+    pairs = links.select(F.col("query_id").alias("q"), "a", "b").groupBy("q")
     return nodes.select("query_id", "chunk_id").groupBy("query_id").cogroup(pairs).applyInPandas(label, "query_id long, chunk_id string, cluster string")
 
 
