@@ -83,8 +83,8 @@ def pack_chunks(c: Column, least: int = 500, most: int = 1000) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).cast("long").alias("tok")).cast(state)
     flush = lambda s: F.concat(s["done"], F.array(F.array_join(s["cur"], "\n\n")))
 
-    def step(s: Column, p: Column) -> Column:
-        n = token_estimate(p)
+    def step(s: Column, x: Column) -> Column:
+        p, n = x["p"], x["n"]
         over = (s["tok"] > 0) & (s["tok"] + n > most)
         done = F.when(over, flush(s)).otherwise(s["done"])
         cur = F.when(over, F.array(p)).otherwise(F.concat(s["cur"], F.array(p)))
@@ -96,7 +96,8 @@ def pack_chunks(c: Column, least: int = 500, most: int = 1000) -> Column:
             F.when(full, F.lit(0).cast("long")).otherwise(tok).alias("tok"),
         ).cast(state)
 
-    return F.aggregate(paragraphs(c), start, step, lambda s: F.when(F.size(s["cur"]) > 0, flush(s)).otherwise(s["done"]))
+    sized = F.transform(paragraphs(c), lambda p: F.struct(p.alias("p"), token_estimate(p).alias("n")))
+    return F.aggregate(sized, start, step, lambda s: F.when(F.size(s["cur"]) > 0, flush(s)).otherwise(s["done"]))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -37,8 +37,13 @@ def candidates(queries: DataFrame, chunks: DataFrame, least_hits: int = 3) -> Da
     return q.join(c, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least_hits)
 
 
+def with_haystack(rows: DataFrame) -> DataFrame:
+    """Adds ``hay``, the lower-cased text that scores look into; a column of its own, so that it is made once a row."""
+    return rows.withColumn("hay", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), "content")))
+
+
 def haystack() -> Column:
-    return F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), "content"))
+    return F.col("hay")
 
 
 def _boilerplate(text: Column, first: int) -> Column:
@@ -46,7 +51,7 @@ def _boilerplate(text: Column, first: int) -> Column:
 
 
 def local_score(now: str) -> Column:
-    """The pre-ranking score of rows with query, query_types, required_types and a chunk's columns."""
+    """The pre-ranking score of rows with query, query_types, required_types, hay and a chunk's columns."""
     hay, title, t = haystack(), F.lower(F.coalesce("title", F.lit(""))), terms(F.col("query"), 3, PRERANK_STOPWORDS)
     n = F.size(t)
     hits = F.size(F.filter(t, lambda x: F.contains(hay, x)))

@@ -45,14 +45,14 @@ class Evidence:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return chunks(self.items, self.conf.now).withColumn("summary", F.lit(None).cast("string"))
+        return checkpointed(chunks(self.items, self.conf.now).withColumn("summary", F.lit(None).cast("string")))
 
     @cached_property
     def fetched(self) -> DataFrame:
         """Candidate chunks with their query's columns."""
         found = ranking.candidates(self.asked, self.chunks, self.conf.least_hits)
         wanted = self.intents.select("query_id", "query", "query_types", "required_types", "domain")
-        return checkpointed(found.join(self.chunks, "chunk_id").join(wanted, "query_id"))
+        return ranking.with_haystack(checkpointed(found.join(self.chunks, "chunk_id").join(wanted, "query_id")))
 
     @cached_property
     def preranked(self) -> DataFrame:
