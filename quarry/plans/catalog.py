@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import engine, relational, scalars, scans
+from quarry.plans import engine, extras, relational, scalars, scans
 
-_MODULES = (scalars, relational, engine, scans)
+_MODULES = (scalars, relational, engine, scans, extras)
 
 
 def queries() -> dict:
