@@ -10,10 +10,12 @@ threshold share at least ``o = ceil(t * |x|)`` tokens with either side ``x``; he
 
 So rare tokens (in at most ``rare`` nodes) are indexed alone, and frequent ones as pairs within a class. ``B`` grows
 with the smaller set's size (by powers of two), so the pairs of a set are in proportion to its size. Tokens of a single node
-take their places in the prefix but are never indexed. Every node under a signature is verified against the least
-and the largest node there; nodes of one component need no further comparison, and all remaining pairs of different
-components under a signature, where lengths allow a link, are verified as well. Thus no link between components is
-lost, while a large group of near copies costs a number of comparisons in proportion to its size.
+take their places in the prefix but are never indexed. Every node under a signature is verified against three
+pivots there: the least and the largest node, and the one with the largest share of tokens that others have too. Nodes
+of one component need no further comparison. What is left under a signature, pairs of different components, is compared
+by parity bitmaps: two sets differ in at least as many tokens as their bitmaps do in bits, which bounds their overlap
+from above, exactly. Only pairs that pass this bound are given out and verified. Thus no link between components is
+lost, and the pairs that leave a task are links and near misses, not all pairs of a group.
 
 Tokens travel as packed arrays keyed by ranges of their hashes, not as rows: a task ships each of its distinct sets
 once, the reducer of a hash range finds frequencies, and only tokens of two or more nodes go on.
@@ -199,7 +201,7 @@ def _frequencies(postings: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, _REDUCED)
 
 
-_INDEXED = "node long, n int, tokens binary, sigs array<long>"
+_INDEXED = "node long, n int, m int, bits binary, tokens binary, sigs array<long>"
 
 
 def _classes(size_class: int) -> int:
@@ -246,10 +248,10 @@ def _signatures(reduced: DataFrame, t: Fraction, rare: int) -> DataFrame:
                 sigs = [own[: min(split, p + _classes(top))]]
                 sigs += [_class_pairs(own[split : p + _classes(c)], _classes(c), c) for c in range(low, top + 1)]
                 sigs = np.concatenate(sigs)
-            out.append((int(node[a]), int(n[i]), np.sort(own).tobytes(), np.unique(sigs).view(np.int64)))
-        columns = list(zip(*out, strict=True)) if out else [()] * 4
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "tokens", "sigs"])
+            out.append((int(node[a]), int(n[i]), len(own), _bitmap(own), np.sort(own).tobytes(), np.unique(sigs).view(np.int64)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "m", "bits", "tokens", "sigs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, found = None, []
@@ -267,6 +269,74 @@ def _signatures(reduced: DataFrame, t: Fraction, rare: int) -> DataFrame:
     return rows.repartition(shuffle_partitions(reduced.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, _INDEXED)
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens' counts by hash place; a power of two of places, about two a token."""
+    width = min(8192, max(256, 1 << (2 * len(tokens) - 1).bit_length()))
+    place = (mix(tokens ^ _U64(0xE7037ED1A0B428DB)) % _U64(width)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _survivors(n: np.ndarray, m: np.ndarray, root: np.ndarray, main: int, bits: list[bytes], t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, of different roots and one not in ``main``, whose bitmaps allow the threshold."""
+    width = min(map(len, bits))
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), 0) for b in bits]).view(_U64)
+    open_ = np.flatnonzero(root != main)
+    step = max(1, (4 << 20) // len(n))
+    for a in range(0, len(open_), step):
+        x = open_[a : a + step]
+        differ = np.zeros((len(x), len(n)), np.uint16)
+        for w in range(folded.shape[1]):
+            differ += np.bitwise_count(folded[x, w][:, None] ^ folded[:, w][None, :])
+        bound = (m[x][:, None] + m[None, :] - differ.astype(np.int64)) // 2
+        ok = bound * (t.numerator + t.denominator) >= t.numerator * (n[x][:, None] + n[None, :])
+        i, j = np.nonzero(ok & (root[x][:, None] != root[None, :]))
+        yield x[i], j
+
+
+_OPEN = ("sig", "node", "n", "m", "root", "main", "bits")
+
+
+def _near_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b) that may be linked, each once a task, from rows of ``_OPEN``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def close(group: list[tuple]) -> None:
+            nonlocal size
+            node, n, m, root, main, bits = zip(*group, strict=True)
+            ids = np.array(node, np.int64)
+            for x, y in _survivors(np.array(n, np.int64), np.array(m, np.int64), np.array(root, np.int64), main[0], list(bits), t):
+                pairs = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0)
+                held.append(pairs)
+                size += len(pairs)
+
+        def ship() -> pa.RecordBatch:
+            nonlocal size
+            pairs = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
+            held.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        sig, group = None, []
+        for batch in batches:
+            for s, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != sig and group:
+                    close(group)
+                    group = []
+                    if size > 1_000_000:
+                        yield ship()
+                sig = s
+                group.append(tuple(row))
+        if group:
+            close(group)
+        yield ship()
+
+    dealt = rows.select(*_OPEN).repartition(shuffle_partitions(rows.sparkSession), "sig").sortWithinPartitions("sig")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets are within the threshold; exact on the token hashes."""
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -299,23 +369,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = reduced.filter("kind = 0").select("key", "node", F.col("n").cast("long").alias("n_shingles"))
     indexed = materialize(_signatures(reduced, t, rare))
     sets = indexed.select("node", "n", "tokens")
-    sigs = indexed.select("node", "n", F.explode("sigs").alias("sig"))
-    ends = sigs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    sigs = indexed.select("node", (F.col("m") / F.col("n")).alias("share"), F.explode("sigs").alias("sig"))
+    ends = sigs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max_by("node", F.struct("share", "node")).alias("best")).filter("low < high")
     met = materialize(sigs.join(ends, "sig"))
-    star = met.select("node", F.explode(F.array("low", "high")).alias("other")).filter("node <> other")
+    star = met.select("node", F.explode(F.array("low", "high", "best")).alias("other")).filter("node <> other")
     pairs = star.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     links = materialize(_verify(pairs, sets, t))
     roots = materialize(components(links))
     # what is left: under a signature, pairs of different components; the commonest component there is only compared with others
-    own = met.select("sig", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = met.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = own.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
     most = by_root.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    open_ = materialize(own.join(most.select("sig", "main"), "sig"))
-    x = open_.filter("root <> main").select("sig", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    y = open_.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), (F.col("root") == F.col("main")).alias("in_main"))
-    near = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)
-    rest = x.join(y, "sig").filter((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & near)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = own.join(most.select("sig", "main"), "sig").join(indexed.select("node", "n", "m", "bits"), "node")
+    rest = _near_pairs(open_, t).distinct()
     more = materialize(_verify(rest, sets, t))
     final = components(links.unionByName(more)) if not more.isEmpty() else roots
     # least key of a node, then of a component, back to rows
