@@ -266,7 +266,7 @@ def f37(spark, d):
     return table(spark, d, "orders").select("o_orderkey", day.alias("day"), F.date_format(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), "yyyy-MM-dd").alias("parsed"))
 
 
-@query("f23_formats", "SELECT event_id, CASE WHEN value >= 1 THEN format('{:.1f} s', value) ELSE format('{:.0f} ms', floor(value * 1000 + 0.5)) END AS duration FROM events")
+@query("f23_formats", "SELECT event_id, CASE WHEN value >= 1 THEN format('{:.1f} s', floor(value * 10 + 0.5) / 10) ELSE format('{:.0f} ms', floor(value * 1000 + 0.5)) END AS duration FROM events")
 def f23(spark, d):
     v = F.col("value")
-    return table(spark, d, "events").select("event_id", F.when(v >= 1, F.format_string("%.1f s", v)).otherwise(F.format_string("%.0f ms", F.floor(v * 1000 + 0.5).cast("double"))).alias("duration"))
+    return table(spark, d, "events").select("event_id", F.when(v >= 1, F.format_string("%.1f s", V.half_up(v, 1))).otherwise(F.format_string("%.0f ms", F.floor(v * 1000 + 0.5).cast("double"))).alias("duration"))
