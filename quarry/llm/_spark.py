@@ -20,19 +20,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Its path is added to ``scratch``, if that is given, for ``drop``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables that nothing still to be read depends on."""
+    for path in scratch:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    scratch.clear()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of the shared folder; call it when no result is still to be read."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, [f"{shared_dir(spark)}/scratch"])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -14,7 +14,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = _U64(0x9E3779B97F4A7C15)
 #: Bytes hashed at once; bounds the temporary arrays for texts of any length.
-_SLICE = 1 << 21
+_SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from quarry.llm._spark import materialize
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (a, b: long) is connected to.
 
     Each step lets every node point its larger (then its smaller) neighbours to its least neighbour, and stops
     when no edge changes. The edges only ever shrink to a forest of stars; nothing is collected.
     """
-    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scratch)
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = materialize(large)
+        large = materialize(large, scratch)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        e = materialize(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        e = materialize(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), scratch)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm._spark import materialize, shuffle_partitions
+from quarry.llm._spark import drop, materialize, shuffle_partitions
 from quarry.llm._text import batch_word_hashes, groups, mix, ngram_hashes
 from quarry.llm.components import components
 
 _U64 = np.uint64
 #: Tokens that a map task gathers before it ships them; bounds its memory.
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 #: Bytes of a token that travel beside its slot.
 _KEPT = 6
 
@@ -50,7 +50,7 @@ _KEPT = 6
 def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
     """The sorted distinct n-word shingle hashes of every text."""
     out = []
-    for a, b in groups([len(t) for t in texts], 4 << 20):
+    for a, b in groups([len(t) for t in texts], 1 << 20):
         words, offsets = batch_word_hashes([t.lower() for t in texts[a:b]])
         out += [np.unique(ngram_hashes(words[offsets[i] : offsets[i + 1]], n)) for i in range(b - a)]
     return out
@@ -105,7 +105,7 @@ def _postings(docs: DataFrame, key: str, text: str, n: int, slots: int) -> DataF
             for a in range(0, len(rows), 64):
                 yield _batch(rows[a : a + 64], names)
 
-        for batch in batches:
+        for batch in _slices(batches, 1000):
             rows = []
             texts = [(x or "").encode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             for k, s in zip(batch.column(0).to_pylist(), shingle_sets(texts, n), strict=True):
@@ -125,6 +125,13 @@ def _postings(docs: DataFrame, key: str, text: str, n: int, slots: int) -> DataF
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _MAP)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows; what is made of one at a time is bounded by that."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
@@ -343,7 +350,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 500):
             x, y, nx, ny, tx, ty = (c.to_pylist() for c in batch.columns)
             keep = []
             for i in range(len(x)):
@@ -365,27 +372,31 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     slots = 1 << max(0, (size // (8 << 20)).bit_length())  # a range holds the postings of about 8 MB of text
     slots = max(slots, 64)
-    reduced = materialize(_frequencies(_postings(docs, key, text, n, slots), min(slots, 8 * shuffle_partitions(spark))))
-    rows = reduced.filter("kind = 0").select("key", "node", F.col("n").cast("long").alias("n_shingles"))
-    indexed = materialize(_signatures(reduced, t, rare))
+    first, scratch = [], []
+    reduced = materialize(_frequencies(_postings(docs, key, text, n, slots), min(slots, 8 * shuffle_partitions(spark))), first)
+    rows = materialize(reduced.filter("kind = 0").select("key", "node", F.col("n").cast("long").alias("n_shingles")), scratch)
+    indexed = materialize(_signatures(reduced, t, rare), scratch)
+    drop(spark, first)
     sets = indexed.select("node", "n", "tokens")
     sigs = indexed.select("node", (F.col("m") / F.col("n")).alias("share"), F.explode("sigs").alias("sig"))
     ends = sigs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max_by("node", F.struct("share", "node")).alias("best")).filter("low < high")
-    met = materialize(sigs.join(ends, "sig"))
+    met = materialize(sigs.join(ends, "sig"), scratch)
     star = met.select("node", F.explode(F.array("low", "high", "best")).alias("other")).filter("node <> other")
     pairs = star.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    links = materialize(_verify(pairs, sets, t))
-    roots = materialize(components(links))
+    links = materialize(_verify(pairs, sets, t), scratch)
+    roots = materialize(components(links, scratch), scratch)
     # what is left: under a signature, pairs of different components; the commonest component there is only compared with others
     own = met.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = own.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
     most = by_root.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     open_ = own.join(most.select("sig", "main"), "sig").join(indexed.select("node", "n", "m", "bits"), "node")
     rest = _near_pairs(open_, t).distinct()
-    more = materialize(_verify(rest, sets, t))
-    final = components(links.unionByName(more)) if not more.isEmpty() else roots
+    more = materialize(_verify(rest, sets, t), scratch)
+    final = components(links.unionByName(more), scratch) if not more.isEmpty() else roots
     # least key of a node, then of a component, back to rows
-    least = materialize(rows.groupBy("node").agg(F.min("key").alias("least")).join(final, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    named = materialize(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").filter("node <> 0").select("node", "component_id"))
+    least = materialize(rows.groupBy("node").agg(F.min("key").alias("least")).join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), scratch)
+    named = materialize(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").filter("node <> 0").select("node", "component_id"), scratch)
     linked = rows.filter("n_shingles > 0").join(named, "node").select(F.col("key").alias(key), "n_shingles", "component_id")
-    return linked.unionByName(rows.filter("n_shingles = 0").select(F.col("key").alias(key), "n_shingles", F.col("key").alias("component_id")))
+    result = materialize(linked.unionByName(rows.filter("n_shingles = 0").select(F.col("key").alias(key), "n_shingles", F.col("key").alias("component_id"))))
+    drop(spark, scratch)
+    return result
