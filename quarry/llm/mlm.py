@@ -1,8 +1,11 @@
 """LM scoring by masked pseudo-likelihood.
 
-Tokens are lower-cased words. The vocabulary has the ``KNOWN`` most frequent words of the whole corpus (counted in
-distribution; only these come to the driver) and ``SHARED`` hash classes for all others. A token's code is a pair of
-digits, so a prediction needs two small softmaxes instead of one over the vocabulary. The network sees ``SIDE`` tokens
+Tokens are lower-cased words, and the vocabulary has every word of the corpus. The network predicts codes: one for
+each of the ``KNOWN`` most frequent words (counted in distribution; only these come to the driver) and ``SHARED`` hash
+classes for all others. A word of a class has its share of the class's tokens as conditional probability,
+``P(word | both sides) = P(class | both sides) * n(word) / n(class)``, so probabilities sum to 1 over the vocabulary.
+The counts of these words stay distributed: scoring sends their hashes to buckets of bounded size, which count them
+and send sums by row back. A code is a pair of digits, so a prediction needs two small softmaxes. The network sees ``SIDE`` tokens
 on either side of a position, never the position itself: one embedding table an offset, summed, ``tanh``, then the
 first digit from the hidden units, and the second from them and the first digit.
 
@@ -28,11 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm._spark import drop, materialize, shuffle_partitions
+from quarry.llm._text import batch_word_hashes
+
 KNOWN, SHARED, DIGIT, SIDE, WIDTH = 960, 64, 32, 2, 16
 _PAD = KNOWN + SHARED
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 _SALTS = 8
 _FLUSH = 200_000
+_BUCKET, _PIECE = 2_000_000, 512  # tokens of a bucket, about, and of a row sent to it
+_UNIT = 2.0**32  # logarithms of counts are added as integers, so that their order does not matter
 SHAPES = {"embed": (2 * SIDE, _PAD + 1, WIDTH), "hidden": (WIDTH,), "first": (WIDTH, DIGIT), "first_bias": (DIGIT,), "second": (WIDTH, DIGIT), "second_bias": (DIGIT, DIGIT)}
 
 
@@ -40,8 +48,8 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def frequent_words(docs: DataFrame, text: str = "text", n: int = KNOWN) -> list[bytes]:
-    """The n most frequent words, ties by bytes; counts are exact and cover all rows."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) of every word; counts are exact and cover all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -58,8 +66,26 @@ def frequent_words(docs: DataFrame, text: str = "text", n: int = KNOWN) -> list[
                     yield ship()
         yield ship()
 
-    counted = docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()]
+    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _most_frequent(counted: DataFrame, n: int = KNOWN) -> dict[bytes, int]:
+    return {bytes(r["word"]): r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()}
+
+
+def frequent_words(docs: DataFrame, text: str = "text", n: int = KNOWN) -> list[bytes]:
+    """The n most frequent words, ties by bytes."""
+    return list(_most_frequent(word_counts(docs, text), n))
+
+
+def _class_sizes(counted: DataFrame, known: dict[bytes, int]) -> np.ndarray:
+    """By class, the tokens of all words that are not known."""
+    sizes = np.zeros(SHARED, np.int64)
+    for r in counted.groupBy((F.crc32("word") % SHARED).alias("c")).agg(F.sum("n").alias("n")).collect():
+        sizes[r["c"]] = r["n"]
+    for word, n in known.items():
+        sizes[zlib.crc32(word) % SHARED] -= n
+    return sizes
 
 
 def _coder(known: list[bytes]):
@@ -70,7 +96,12 @@ def _coder(known: list[bytes]):
             return KNOWN + zlib.crc32(word) % SHARED
 
     of = Code(table)
-    return lambda text: np.fromiter(map(of.__getitem__, words), np.int32, len(words)) if (words := _words(text)) else np.zeros(0, np.int32)
+
+    def code(text: str | None) -> np.ndarray:
+        return code.ids(_words(text))
+
+    code.ids = lambda words: np.fromiter(map(of.__getitem__, words), np.int32, len(words))
+    return code
 
 
 def start_parameters(seed: int = 7) -> dict[str, np.ndarray]:
@@ -208,21 +239,98 @@ def train(docs: DataFrame, known: list[bytes], text: str = "text", rounds: int =
     return p
 
 
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket: rows with a key as they are, and by row the sum of ln n(word) over the words sent."""
+    bucket, held = None, []
+
+    def sums(schema: pa.Schema) -> pa.RecordBatch:
+        words, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, which, n = np.unique(words, return_inverse=True, return_counts=True)
+        rows, at = np.unique(rows, return_inverse=True)
+        total = np.zeros(len(rows), np.int64)
+        np.add.at(total, at, np.rint(np.log(n) * _UNIT).astype(np.int64)[which])
+        held.clear()
+        empty = [pa.nulls(len(rows), schema.field(i).type) for i in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(rows), *empty, pa.array(total)], names=["row", *schema.names[1:4], "counts"])
+
+    schema = None
+    for batch in batches:
+        schema = pa.schema([batch.schema.field(i) for i in (1, 2, 3, 4)])
+        own = batch.filter(batch.column(5).is_null())
+        if len(own):
+            yield pa.RecordBatch.from_arrays([*(own.column(i) for i in (1, 2, 3, 4)), pa.nulls(len(own), pa.int64())], names=[*schema.names, "counts"])
+        sent = batch.filter(batch.column(5).is_valid())
+        for b, row, data in zip(sent.column(0).to_pylist(), sent.column(1).to_pylist(), sent.column(5), strict=True):
+            if held and b != bucket:
+                yield sums(schema)
+            bucket, data = b, data.as_buffer()
+            n = data.size // 12
+            held.append((np.frombuffer(data, "<u8", n).copy(), row + np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64)))
+    if held:
+        yield sums(schema)
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, log_probability, per_token) of every row, by a network trained on all rows."""
-    known = frequent_words(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast((known, _flat(train(docs, known, text))))
-    schema = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("log_probability", T.DoubleType()), T.StructField("per_token", T.DoubleType())])
+    spark, scratch = docs.sparkSession, []
+    counted = materialize(word_counts(docs, text), scratch)
+    frequent = _most_frequent(counted)
+    sizes = _class_sizes(counted, frequent)
+    drop(spark, scratch)
+    known = list(frequent)
+    shared = spark.sparkContext.broadcast((known, _flat(train(docs, known, text)), np.log(np.maximum(sizes, 1))))
+    buckets = max(shuffle_partitions(spark), -(-int(sizes.sum()) // _BUCKET))
+    sent = T.StructType(
+        [T.StructField("bucket", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("key", docs.schema[key].dataType)]
+        + [T.StructField("n_tokens", T.LongType()), T.StructField("network", T.DoubleType()), T.StructField("words", T.BinaryType())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, p = _coder(shared.value[0]), _shaped(shared.value[1])
+        code, p, log_sizes = _coder(shared.value[0]), _shaped(shared.value[1]), shared.value[2]
+        part = TaskContext.get().partitionId()
+        start = row = part << 33
+        rare: list[bytes] = []
+        owners: list[np.ndarray] = []
+
+        def ship(kind: pa.DataType) -> pa.RecordBatch:
+            words, owner = batch_word_hashes([b"\n".join(rare)])[0], np.concatenate(owners)
+            to = (words % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            words, owner, to = words[order].astype("<u8"), owner[order].astype("<u4"), to[order]
+            edges = np.flatnonzero(np.diff(to, prepend=-1, append=buckets))
+            spans = [(x, min(x + _PIECE, b)) for a, b in zip(edges, edges[1:], strict=False) for x in range(a, b, _PIECE)]
+            data = [words[a:b].tobytes() + owner[a:b].tobytes() for a, b in spans]
+            n = len(spans)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([to[a] for a, _ in spans], pa.int32()), pa.array([start] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(data, pa.binary())],
+                names=sent.names,
+            )
+
         for batch in batches:
-            n, total = [], []
+            first, n, total = row, [], []
             for value in batch.column(1):
-                ids = code(value.as_py())
+                words = _words(value.as_py())
+                ids = code.ids(words)
                 n.append(len(ids))
                 total.append(log_probability(p, ids) if len(ids) else 0.0)
-            mean = [t / k if k else 0.0 for t, k in zip(total, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total), pa.array(mean)], names=schema.names)
-
-    return docs.select(key, text).mapInArrow(run, schema)
+                at = np.flatnonzero(ids >= KNOWN)
+                if len(at):
+                    total[-1] -= float(log_sizes[ids[at] - KNOWN].sum())
+                    rare += [words[i] for i in at.tolist()]
+                    owners.append(np.full(len(at), row - start, np.int64))
+                row += 1
+                if len(rare) >= _FLUSH:
+                    yield ship(batch.schema.field(0).type)
+                    rare, owners, start = [], [], row
+            k = len(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part % buckets] * k, pa.int32()), pa.array(range(first, row), pa.int64()), batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.nulls(k, pa.binary())], names=sent.names
+            )
+        if rare:
+            yield ship(batch.schema.field(0).type)
+
+    back = T.StructType([*sent.fields[1:5], T.StructField("counts", T.LongType())])
+    rows = docs.select(key, text).mapInArrow(run, sent).repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_add_counts, back)
+    rows = rows.groupBy("row").agg(F.first("key", True).alias(key), F.sum("n_tokens").alias("n_tokens"), F.sum("network").alias("network"), F.sum("counts").alias("counts"))
+    rows = rows.withColumn("log_probability", F.col("network") + F.coalesce("counts", F.lit(0)) / F.lit(_UNIT))
+    return rows.select(key, "n_tokens", "log_probability", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")).otherwise(0.0).alias("per_token"))

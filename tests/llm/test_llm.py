@@ -262,6 +262,27 @@ def test_lm_learns_held_out_text(spark):
     assert np.mean([v for k, v in score.items() if k < 2000]) > np.mean([v for k, v in score.items() if k >= 2000]) + 1
 
 
+def test_lm_scores_rare_words_as_tokens(spark):
+    rng = random.Random(6)
+    prose = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 1500}" for _ in range(200))) for i in range(150)]
+    junk = [(1000 + i, " ".join("".join(rng.choices("bcdfgxz", k=10)) for _ in range(200))) for i in range(150)]
+    twice = [(2000 + i, junk[i][1]) for i in range(5)]
+    corpus = spark.createDataFrame(prose + junk + twice, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in mlm.score(corpus).collect()}
+    assert len(got) == 305 and all(r.n_tokens == 200 for r in got.values())
+    assert min(got[k].per_token for k, _ in prose) > max(got[k].per_token for k, _ in junk)
+    # a word seen twice is twice as likely as its class's others, and repeated rows score alike
+    assert all(got[2000 + i].log_probability == got[1000 + i].log_probability for i in range(5))
+    assert min(got[1000 + i].per_token for i in range(5)) > max(got[1000 + i].per_token for i in range(5, 150)) + 0.3
+
+
+def test_lm_probabilities_sum_to_one_over_all_words(spark):
+    words = [f"v{i}" for i in range(3000) for _ in range(1 + i % 3)]
+    corpus = spark.createDataFrame([(0, " ".join(words)), (1, None)] + [(2 + i, f"v{i}") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.log_probability for r in mlm.score(corpus).collect()}
+    assert got[1] == 0 and abs(sum(np.exp(got[2 + i]) for i in range(3000)) - 1) < 1e-4
+
+
 def check_pieces(docs, pieces, limit):
     t = encoder(vocabulary()).tokenizer
     ids = {(r.doc_id, r.text): [*t.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
