@@ -9,8 +9,9 @@ and send sums by row back. A code is a pair of digits, so a prediction needs two
 on either side of a position, never the position itself: one embedding table an offset, summed, ``tanh``, then the
 first digit from the hidden units, and the second from them and the first digit.
 
-Training is masked prediction in numpy over all documents: of each document every eighth position is masked, by a
-pseudo-random choice that differs by round. A task trains on its rows from the round's parameters and sends them back
+Training is masked prediction in numpy over all documents and all positions: a round masks one ``stride``-th
+of each document's positions, pseudo-randomly split among as many rounds as the stride, so that every token is
+predicted once. A task trains on its rows from the round's parameters and sends them back
 weighted by its masked tokens; a tree of sums averages them (at most ``_SALTS`` sums reach the driver, of a fixed
 size). Scoring then sums the conditional log-probability of every token given both sides.
 
@@ -157,19 +158,17 @@ class _Trainer:
         da /= len(ids)
         db /= len(ids)
         dh = (da @ p["first"].T + db @ p["second"].T) * (1 - h * h)
-        bias = np.zeros_like(p["second_bias"])
-        np.add.at(bias, first, db)
+        bias = np.eye(DIGIT, dtype=np.float32)[first].T @ db
         self._move("first", h.T @ da)
         self._move("second", h.T @ db)
         self._move("first_bias", da.sum(0))
         self._move("second_bias", bias)
         self._move("hidden", dh.sum(0))
         for i in range(2 * SIDE):
-            rows, inverse = np.unique(near[i], return_inverse=True)
-            grad = np.zeros((len(rows), WIDTH), np.float32)
-            np.add.at(grad, inverse, dh)
-            self.seen["embed"][i][rows] += grad * grad
-            p["embed"][i][rows] -= self.rate * grad / np.sqrt(self.seen["embed"][i][rows])
+            cells = (near[i][:, None] * WIDTH + np.arange(WIDTH)).ravel()
+            grad = np.bincount(cells, dh.ravel(), (_PAD + 1) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+            self.seen["embed"][i] += grad * grad
+            p["embed"][i] -= self.rate * grad / np.sqrt(self.seen["embed"][i])
 
     def _move(self, name: str, grad: np.ndarray) -> None:
         self.seen[name] += grad * grad
@@ -189,8 +188,13 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, known: list[bytes], text: str = "text", rounds: int = 2, rate: float = 0.1, batch_size: int = 4096, stride: int = 8) -> dict[str, np.ndarray]:
-    """Parameters after ``rounds`` of averaged training over all rows."""
+def _masked(n: int, number: int, turn: int, stride: int) -> np.ndarray:
+    """The positions of a task's text (n tokens) that a round predicts; ``stride`` rounds have each position once."""
+    return np.random.default_rng((n, number)).permutation(n)[turn % stride :: stride]
+
+
+def train(docs: DataFrame, known: list[bytes], text: str = "text", rounds: int = 2, rate: float = 0.1, batch_size: int = 4096, stride: int = 2) -> dict[str, np.ndarray]:
+    """Parameters after ``rounds`` of averaged training over all rows; ``stride`` rounds predict every token once."""
     p = start_parameters()
     for turn in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast((known, _flat(p)))  # a fixed size
@@ -203,9 +207,9 @@ def train(docs: DataFrame, known: list[bytes], text: str = "text", rounds: int =
                 for value in batch.column(0):
                     ids = code(value.as_py())
                     number += 1
-                    if not len(ids):
+                    masked = _masked(len(ids), number, turn, stride)
+                    if not len(masked):
                         continue
-                    masked = np.random.default_rng((turn, len(ids), number)).permutation(len(ids))[: -(-len(ids) // stride)]
                     held.append((contexts(ids)[:, masked], ids[masked]))
                     waiting += len(masked)
                     weight += len(masked)

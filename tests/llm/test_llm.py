@@ -283,6 +283,21 @@ def test_lm_probabilities_sum_to_one_over_all_words(spark):
     assert got[1] == 0 and abs(sum(np.exp(got[2 + i]) for i in range(3000)) - 1) < 1e-4
 
 
+def test_lm_trains_on_every_token_once(spark):
+    import inspect
+
+    rng, defaults = random.Random(2), {k: v.default for k, v in inspect.signature(mlm.train).parameters.items()}
+    for n in (0, 1, 2, 7, 50):
+        seen = [i for turn in range(defaults["rounds"]) for i in mlm._masked(n, 5, turn, defaults["stride"]).tolist()]
+        assert sorted(seen) == list(range(n))
+    # one document, whose odd positions are all of one word: it is learnt only if they are predicted
+    text = " ".join(f"w{rng.randrange(12)} same" for _ in range(4000))
+    corpus = spark.createDataFrame([(0, text)], "doc_id long, text string").coalesce(1)
+    known = mlm.frequent_words(corpus)
+    p = mlm.train(corpus, known, batch_size=64)
+    assert mlm.log_probability(p, mlm._coder(known)(text)) / 8000 > -1.6
+
+
 def check_pieces(docs, pieces, limit):
     t = encoder(vocabulary()).tokenizer
     ids = {(r.doc_id, r.text): [*t.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
