@@ -27,15 +27,19 @@ _SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits on compressed / raw size. ``whole``: (bytes from which it holds, low, high), ascending."""
+    """Limits on compressed / raw size. ``whole``: (bytes from which it holds, low, high), ascending.
+
+    ``chunk``: the same for chunks. The upper limits lie just above clean text of many languages (Chinese and Japanese
+    compress least). That tells words of random base64 characters from 512 bytes and of random lower-case letters from
+    3500; below, such noise and clean text overlap.
+    """
 
     level: int = 3
     whole: tuple[tuple[int, float, float], ...] = field(
-        default=((128, 0.30, 1.00), (512, 0.25, 0.85), (2048, 0.20, 0.75), (16384, 0.15, 0.70))
+        default=((128, 0.30, 1.00), (512, 0.25, 0.80), (768, 0.25, 0.77), (1024, 0.25, 0.74), (2048, 0.20, 0.64), (3500, 0.20, 0.585), (16384, 0.15, 0.52))
     )
     chunk_bytes: int = 4096
-    least_chunk: int = 2048
-    chunk: tuple[float, float] = (0.20, 0.80)
+    chunk: tuple[tuple[int, float, float], ...] = ((2048, 0.20, 0.64), (3500, 0.20, 0.585))
     bad_share: float = 0.25
 
 
@@ -50,14 +54,18 @@ def in_bands(data: bytes, bands: Bands, compress) -> tuple[float, float, bool]:
     if not data:
         return 0.0, 0.0, False
     ratio = len(compress(data)) / len(data)
-    fit = [(lo, hi) for n, lo, hi in bands.whole if len(data) >= n]
-    ok = not fit or fit[-1][0] <= ratio <= fit[-1][1]
+
+    def fits(size: int, ratio: float, table: tuple[tuple[int, float, float], ...]) -> bool:
+        fit = [(lo, hi) for n, lo, hi in table if size >= n]
+        return not fit or fit[-1][0] <= ratio <= fit[-1][1]
+
+    ok = fits(len(data), ratio, bands.whole)
     seen = bad = 0
     for i in range(0, len(data), bands.chunk_bytes):
         piece = data[i : i + bands.chunk_bytes]
-        if len(piece) >= bands.least_chunk:
+        if len(piece) >= bands.chunk[0][0]:
             seen += len(piece)
-            bad += len(piece) * (not bands.chunk[0] <= len(compress(piece)) / len(piece) <= bands.chunk[1])
+            bad += len(piece) * (not fits(len(piece), len(compress(piece)) / len(piece), bands.chunk))
     share = bad / seen if seen else 0.0
     return ratio, share, ok and share <= bands.bad_share
 

@@ -239,6 +239,23 @@ def test_quality_bands_reject_repetition_and_noise():
     assert not quality.in_bands(np.random.default_rng(0).integers(0, 256, 20000).astype(np.uint8).tobytes(), quality.Bands(), c)[2]
 
 
+def test_quality_bands_tell_random_words_from_text():
+    import string
+
+    import zstandard
+
+    rng, c = random.Random(5), zstandard.ZstdCompressor(level=3).compress
+    noise = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(4, 12))) for _ in range(n))[:n].encode()
+    for n in (600, 1000, 2100, 4096, 8000, 60000):
+        assert not quality.in_bands(noise(string.ascii_letters + string.digits + "+/", n), quality.Bands(), c)[2], n
+    for n in (4000, 8000, 60000):
+        assert not quality.in_bands(noise(string.ascii_lowercase, n), quality.Bands(), c)[2], n
+    for n in (300, 600, 1100, 2100, 8000, 60000):
+        text = " ".join(rng.choices("the of and to in a is that für und die der que los как это на что 我们 的 時間 water house zeit según работа".split(), k=n)).encode()[:n]
+        whole = len(c(text)) / n
+        assert whole < [hi for at, _, hi in quality.Bands().whole if n >= at][-1], n
+
+
 def test_lm_scores(spark, docs, empty):
     got = mlm.score(docs).collect()
     assert len(got) == docs.count() and all(r.log_probability <= 0 and (r.n_tokens > 0 or r.log_probability == 0) for r in got)
