@@ -85,25 +85,26 @@ def one_per_duplicate_key(scored: DataFrame) -> DataFrame:
     return ranked.filter("rank = 1").drop("rank")
 
 
-def diverse_top_k(scored: DataFrame, k: int, pool: int = 200) -> DataFrame:
+def diverse_top_k(scored: DataFrame, k: int) -> DataFrame:
     """At most k chunks of a query: one of each required type, then by score damped by sources and types already taken.
 
-    The choice is sequential, so it runs in pandas, on the ``pool`` best chunks of a query (far more than k) and on
-    any chunk of a required type among the best of its type.
+    The choice is sequential, so it runs in pandas, on the k best chunks of every (source, source type, stance) of a
+    query. It sees nothing else of a chunk than these and the score, so of each such group it takes the best ones first,
+    and at most k: the cut loses no possible choice.
     """
-    w = W.partitionBy("query_id").orderBy(F.desc("local_score"), "ord")
-    by_type = W.partitionBy("query_id", "source_type").orderBy(F.desc("local_score"), "ord")
-    small = scored.withColumn("r", F.row_number().over(w)).withColumn("s", F.row_number().over(by_type)).filter((F.col("r") <= pool) | (F.col("s") <= k))
+    w = W.partitionBy("query_id", "source", "source_type", "stance").orderBy(F.desc("local_score"), "ord")
+    small = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
     small = small.select("query_id", "chunk_id", "ord", "local_score", "source", "source_type", "stance", "required_types")
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["local_score", "ord"], ascending=[False, True]).reset_index(drop=True)
         required = list(rows.required_types[0]) if len(rows) else []
+        score, source, source_type, stance = (rows[c].tolist() for c in ("local_score", "source", "source_type", "stance"))
 
         def fits(i: int, kind: str) -> bool:
             if kind == "primary-document":
-                return rows.stance[i] == "primary_source" or rows.source_type[i] in _PRIMARY
-            return rows.source[i] == "hacker_news" if kind == "news" else rows.source_type[i] == kind
+                return stance[i] == "primary_source" or source_type[i] in _PRIMARY
+            return source[i] == "hacker_news" if kind == "news" else source_type[i] == kind
 
         taken: list[int] = []
         for kind in required:
@@ -111,8 +112,8 @@ def diverse_top_k(scored: DataFrame, k: int, pool: int = 200) -> DataFrame:
                 taken.append(found)
         while len(taken) < min(k, len(rows)):
             open_kinds = [r for r in required if not any(fits(i, r) for i in taken)]
-            sources, kinds = [rows.source[i] for i in taken], [rows.source_type[i] for i in taken]
-            value = lambda i: rows.local_score[i] * 0.82 ** (rows.source[i] in sources) * 0.9 ** (rows.source_type[i] in kinds) + 0.08 * any(fits(i, r) for r in open_kinds)  # noqa: B023, E731
+            sources, kinds = {source[i] for i in taken}, {source_type[i] for i in taken}
+            value = lambda i: score[i] * 0.82 ** (source[i] in sources) * 0.9 ** (source_type[i] in kinds) + 0.08 * any(fits(i, r) for r in open_kinds)  # noqa: B023, E731
             taken.append(max((i for i in range(len(rows)) if i not in taken), key=lambda i: (value(i), -i)))
         out = rows.loc[taken, ["query_id", "chunk_id", "local_score"]].reset_index(drop=True)
         out["position"] = range(len(out))

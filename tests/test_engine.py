@@ -122,6 +122,16 @@ def test_diverse_top_k_covers_required_types(spark):
     assert {r.chunk_id for r in ranking.diverse_top_k(frame(spark, *rows), 2).collect()} == {"a1", "g"}
 
 
+def test_diverse_top_k_chooses_among_all(spark):
+    """A source that fills the first ranks does not hide another one of its type."""
+    rows = [chunk(f"a{i}", ord=i, source="arxiv", source_type="academic", local_score=0.9 - i * 1e-5, required_types=["news"]) for i in range(250)]
+    rows += [chunk(f"o{i}", ord=300 + i, source="openalex", source_type="academic", local_score=0.85 - i * 1e-5, required_types=["news"]) for i in range(3)]
+    rows += [chunk(f"r{i}", ord=400 + i, source="reddit", source_type="forum", local_score=0.4, required_types=["news"]) for i in range(5)]
+    rows += [chunk("h", ord=500, source="hacker_news", source_type="forum", local_score=0.1, required_types=["news"])]
+    got = [r.chunk_id for r in ranking.diverse_top_k(frame(spark, *rows), 3).orderBy("position").collect()]
+    assert got == ["h", "a0", "o0"]
+
+
 def test_nothing_plausible_is_rescued(spark):
     rows = frame(spark, *(chunk(f"c{i}", relevance=0.1, confidence=0.5) for i in range(5))).withColumn("combined", ranking.combined())
     assert ranking.keep_or_rescue(rows).count() == 0
