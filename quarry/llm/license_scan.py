@@ -1,11 +1,12 @@
 """License scans: Dice coefficient over word bigrams between normalised text and licence templates.
 
-Text and templates are normalised to lower-case runs of ASCII letters and digits. A candidate is a run of whole
-sentences (ends: line breaks, and ``. ! ? ;`` before white space) of at most twice as many words as the upper size
-bound below, so that repeated lines cost no more than others; its set of distinct word bigrams ``A`` matches a
-template's ``B`` if ``2 |A and B| / (|A| + |B|)`` reaches ``threshold``. Pruning is exact: ``|A|`` must lie within
-``[t / (2 - t), (2 - t) / t] * |B|``, and as at least ``t / (2 - t) * |B|`` bigrams are shared, a match holds one of any
-``|B| - that + 1`` bigrams of the template, its anchors; only sentences around an anchor are compared.
+Text and templates are normalised to lower-case runs of ASCII letters and digits. A candidate is any run of words, of
+at most twice as many as the upper size bound below, so that repeated lines cost no more than others; its set of
+distinct word bigrams ``A`` matches a template's ``B`` if ``2 |A and B| / (|A| + |B|)`` reaches ``threshold``. Pruning is
+exact: ``|A|`` must lie within ``[t / (2 - t), (2 - t) / t] * |B|``, and as at least ``t / (2 - t) * |B|`` bigrams are
+shared, a match holds one of any ``|B| - that + 1`` bigrams of the template, its anchors; only words around an anchor
+are compared. A candidate that starts or ends with a bigram outside ``B`` is never better than without it, so
+candidates start and end with bigrams of ``B``.
 
 Of overlapping matches of one template the best remains (ties: the earliest, then the shortest). No shuffle.
 
@@ -16,6 +17,7 @@ columns do not matter. Spans are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from math import ceil, floor
 
@@ -54,7 +56,6 @@ TEMPLATES: dict[str, list[str]] = {
 }
 
 _TOKEN = re.compile(r"[a-z0-9]+")
-_END = re.compile(r"\n|[.!?;](?=[\x20\x09-\x0D]|$)")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 MATCH = T.StructType([T.StructField("license", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
@@ -85,53 +86,44 @@ class Scanner:
             return []
         tokens = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(low)]
         words = [t[0] for t in tokens]
-        ends = [m.end() for m in _END.finditer(low)]
-        first, k = [0], 0  # first words of sentences
-        for i, (_, start, _) in enumerate(tokens):
-            moved = False
-            while k < len(ends) and ends[k] <= start:
-                k, moved = k + 1, True
-            if moved and i:
-                first.append(i)
-        first.append(len(words))
-        hits: dict[int, set[int]] = {}  # template: sentences of its anchors
-        s = 0
-        for i, g in enumerate(zip(words, words[1:], strict=False)):
-            while first[s + 1] <= i:
-                s += 1
+        grams = list(zip(words, words[1:], strict=False))
+        hits: dict[int, list[int]] = {}  # template: places of its anchors
+        for i, g in enumerate(grams):
             for x in self.anchors.get(g, ()):
-                hits.setdefault(x, set()).add(s)
+                hits.setdefault(x, []).append(i)
         found: dict[str, list[tuple[float, int, int]]] = {}
-        for x, sentences in hits.items():
+        for x, anchored in hits.items():
             name, b, _, least, most = self.templates[x]
-            tried: set[tuple[int, int]] = set()
-            for s in sorted(sentences):
-                lo = s
-                while True:  # runs of sentences from lo that hold sentence s
-                    shortest = len(bigrams(words[first[lo] : first[s + 1]]))
-                    if lo < s and (shortest > most or first[s + 1] - first[lo] > 2 * most):
-                        break
-                    hi = s + 1
-                    while hi < len(first):
-                        a = bigrams(words[first[lo] : first[hi]])
-                        if len(a) > most or first[hi] - first[lo] > 2 * most:
+            done = 0
+            inside: list[int] = []  # places of the template's bigrams around its anchors, ascending
+            for i in anchored:
+                inside += [p for p in range(max(done, i - 2 * most), min(len(grams), i + 2 * most)) if grams[p] in b]
+                done = max(done, min(len(grams), i + 2 * most))
+            for at, p in enumerate(inside):
+                stop = min(len(grams), p + 2 * most - 1)
+                near = bisect_left(anchored, p)
+                if near == len(anchored) or anchored[near] >= stop or bisect_left(inside, stop) - at < least:
+                    continue
+                seen: set[tuple[str, str]] = set()
+                shared = 0
+                for q in range(p, stop):
+                    if (g := grams[q]) not in seen:
+                        seen.add(g)
+                        if len(seen) > most:
                             break
-                        if len(a) >= least and (lo, hi) not in tried:
-                            tried.add((lo, hi))
-                            dice = 2 * len(a & b) / (len(a) + len(b))
-                            if dice >= self.t:
-                                found.setdefault(name, []).append((dice, tokens[first[lo]][1], tokens[first[hi] - 1][2]))
-                        hi += 1
-                    if not lo:
-                        break
-                    lo -= 1
+                        shared += g in b
+                    if g in b and shared >= least:
+                        dice = 2 * shared / (len(seen) + len(b))
+                        if dice >= self.t:
+                            found.setdefault(name, []).append((dice, tokens[p][1], tokens[q + 1][2]))
         out = []
         for name, matches in found.items():
-            kept: list[tuple[float, int, int]] = []
-            for m in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-                if all(m[1] >= e or m[2] <= s for _, s, e in kept):
-                    kept.append(m)
-            out += [(name, d, s, e) for d, s, e in kept]
+            kept: list[tuple[int, int, float]] = []
+            for d, s, e in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
+                at = bisect_right(kept, (s, e, 2.0))
+                if (not at or kept[at - 1][1] <= s) and (at == len(kept) or kept[at][0] >= e):
+                    insort(kept, (s, e, d))
+            out += [(name, d, s, e) for s, e, d in kept]
         return sorted(out, key=lambda m: (m[2], m[3], m[0]))
 
 

@@ -431,6 +431,26 @@ def test_license_scan_matches_brute_force(spark, docs, empty):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_finds_notices_inside_sentences():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    for text, name, part in (
+        ("This project is released under the MIT License.", "MIT", "released under the MIT License"),
+        ("All text here is licensed under CC BY 4.0.", "CC-BY-4.0", "licensed under CC BY 4.0"),
+        ("the tool, licensed under the Apache License, Version 2.0, all rights reserved", "Apache-2.0", "licensed under the Apache License, Version 2.0"),
+        ("Copyright 2020 A B " + license_scan.TEMPLATES["ISC"][0], "ISC", license_scan.TEMPLATES["ISC"][0][:-1]),
+    ):
+        assert (name, 1.0, text.index(part), text.index(part) + len(part)) in scanner.scan(text), text
+    rng, b = random.Random(9), {n: [license_scan.bigrams(re.findall("[a-z0-9]+", t.lower())) for t in ts] for n, ts in license_scan.TEMPLATES.items()}
+    pool = "released licensed under the mit apache license version 2 0 cc by 4 0 sa x".split()
+    for _ in range(150):
+        words = rng.choices(pool, k=30)
+        want = set()
+        for n, sets in b.items():
+            runs = [license_scan.bigrams(words[i:j]) for i in range(30) for j in range(i + 2, 31)]
+            want |= {n for s in sets if len(s) < 20 and any(2 * len(a & s) >= 0.8 * (len(a) + len(s)) for a in runs)}
+        assert {m[0] for m in scanner.scan(" ".join(words))} == want
+
+
 def test_fingerprints(spark, docs, empty):
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     want = Counter()
