@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import content_key, terms
 from quarry.functions.url import document_key
 from quarry.functions.vector import cosine
+from quarry.shared import checkpointed
 
 LEVELS = {"document": 1, "chunk": 2, "claim": 3, "semantic": 4}
 
@@ -62,20 +63,19 @@ def edges(chunks: DataFrame, embedding: str | None = None, tau: float = 0.85) ->
     return found.groupBy("query_id", "a", "b").agg(F.min("level").alias("level"))
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(query_id, chunk_id, cluster): the least member reachable; label propagation with checkpoints and pointer jumps."""
     both = links.select("query_id", "a", "b").unionByName(links.select("query_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = checkpointed(both)
     label = checkpointed(nodes.select("query_id", "chunk_id", F.col("chunk_id").alias("cluster")))
-    for _ in range(rounds):
+    while True:  # labels only fall, so there is a fixed point
         near = both.join(label.select("query_id", F.col("chunk_id").alias("b"), F.col("cluster").alias("c")), ["query_id", "b"]).groupBy("query_id", F.col("a").alias("chunk_id")).agg(F.min("c").alias("c"))
         moved = label.join(near, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.least("cluster", F.coalesce("c", "cluster")).alias("new"), "cluster")
         jump = moved.select("query_id", F.col("chunk_id").alias("new"), F.col("new").alias("far"))
         moved = checkpointed(moved.join(jump, ["query_id", "new"], "left").select("query_id", "chunk_id", F.coalesce("far", "new").alias("new"), "cluster"))
         label = moved.select("query_id", "chunk_id", F.col("new").alias("cluster"))
         if moved.filter(F.col("new") != F.col("cluster")).isEmpty():
-            break
-    return label
+            return label
 
 
 def components_by_query(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -99,18 +99,6 @@ def components_by_query(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("query_id", "chunk_id").groupBy("query_id").cogroup(pairs).applyInPandas(label, "query_id long, chunk_id string, cluster string")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the folder of ``spark.checkpoint.dir``; a temporary one is set in local mode if it is unset."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-    return df.checkpoint()
-
-
 def representatives(chunks: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
     """One row a cluster: representative (best relevance * weight * confidence * freshness, then least id), size, level, novelty."""
     worth = F.col("relevance") * F.col("weight") * F.col("confidence") * F.col("freshness")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarry.binding import chunks, queries, raw_items
 from quarry.dims import NOW
 from quarry.operators import assembly, dedup, health, intent, ranking
-from quarry.operators.dedup import checkpointed
+from quarry.shared import checkpointed
 
 
 @dataclass(frozen=True)

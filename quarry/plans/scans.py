@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry import dims
 from quarry.binding import table
 from quarry.plans.scalars import WS, _html_sql
+from quarry.shared import shared_dir
 from quarry.sources import connectors
 from quarry.streaming import events
 
@@ -101,10 +101,7 @@ def s27(spark, d):
 
 
 def _checkpoint(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root or tempfile.mkdtemp(prefix='quarry-stream-')}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query("c13_stream_hourly", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
