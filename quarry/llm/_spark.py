@@ -2,48 +2,66 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; in local mode a temporary folder if it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = tempfile.mkdtemp(prefix="quarry-scratch-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+__all__ = ["collected", "drop", "drop_scratch", "materialize", "shared_dir", "shuffle_partitions"]
+
+_OPEN: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of all scratch tables that are made inside without a list of their own, for ``drop``."""
+    token = _OPEN.set([])
+    try:
+        yield _OPEN.get()
+    finally:
+        _OPEN.reset(token)
+
+
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def materialize(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Its path is added to ``scratch``, if that is given, for ``drop``.
+    Its path is added to ``scratch``, or else to what ``collected`` gave, for ``drop``. What is left goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
+    path = f"{_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if scratch is not None:
-        scratch.append(path)
+    fs, root = _path(spark, _root(spark))
+    fs.deleteOnExit(root)
+    made = _OPEN.get() if scratch is None else scratch
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, scratch: list[str]) -> None:
     """Delete tables that nothing still to be read depends on."""
     for path in scratch:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = _path(spark, path)
+        fs.delete(where, True)
     scratch.clear()
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of the shared folder; call it when no result is still to be read."""
-    drop(spark, [f"{shared_dir(spark)}/scratch"])
+    """Delete every scratch table of this application; call it when no result is still to be read."""
+    drop(spark, [_root(spark)])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

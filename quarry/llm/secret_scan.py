@@ -7,11 +7,11 @@ Multipart linking looks for credentials whose parts are each too weak to report:
 ``client_id``, ``access_key_id`` and the like with a value, or access ids), secrets (values of 6 to 11
 characters behind a key word, base spans, or 20 and more characters of mixed case and digits) and endpoints
 (URLs with a host, ``host=...``). Every identifier opens a scope of ``scope`` code points before and behind
-it; parts are joined to the scopes that hold them, as an equi-join on cells of that width with the interval
-condition behind it. A weak secret is reported when a base access id shares its scope, or a weak identifier
+it; parts are joined to the scopes that their intervals meet, as an equi-join on cells of that width with the
+interval condition behind it. A weak secret is reported when a base access id shares its scope, or a weak identifier
 and an endpoint do; a weak identifier or endpoint when it takes part in such a triple. Parts of one kind do
-not overlap and have six characters or more, so a scope meets a bounded number of parts and the join's
-output grows in proportion to the parts.
+not overlap and have three characters or more, so a scope meets a bounded number of parts and the join's
+output grows in proportion to the text.
 
 Native: DataFrame functions only. The text is read by one scan, into spans; what is joined is spans.
 
@@ -34,30 +34,34 @@ _VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN = _KEY + _VALUE
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,200}[a-z])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Only at the start of a run; the possessive look-aheads stop at the first letter or digit of their kind, so they are linear.
+MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
 IDENTIFIER = r"""(?<![A-Za-z0-9])(?i:user(?:name|_?id)?|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}"""
 ENDPOINT = r"""(?i:(?:https?|ftp|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)(?::[a-z]+)?://[a-z0-9][^\s"'<>]{3,}|(?<![a-z0-9])(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9.-]{4,})"""
 
 
+#: Code points of a block that redaction looks at at once.
+_BLOCK = 4096
 _PART = "array<struct<kind:int,pos:int,skip:int,len:int,value:int>>"
 
 
-def _matches(text: Column, pattern: str, kind: int) -> Column:
-    """All matches: number, code points between the match before and this one, length, length of group 2."""
-    p, group = F.lit(pattern), F.lit(2 if pattern == ASSIGN else 0)
+def _matches(text: Column, pattern: str, kind: int, gate: Column) -> Column:
+    """All matches: number, code points between the match before and this one, length, length of group 2; none where ``gate`` is false."""
+    p = F.lit(pattern)
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0))
     skips = F.transform(F.slice(pieces, 1, F.size(whole)), lambda x, i: F.struct(i.alias("i"), F.length(x).alias("n")))
-    value = F.regexp_extract_all(text, p, group)
-    lengths = F.zip_with(F.transform(whole, lambda m: F.length(m)), F.transform(value, lambda m: F.length(m)), lambda a, b: F.struct(a.alias("n"), b.alias("v")))
+    value = F.transform(F.regexp_extract_all(text, p, F.lit(2)), lambda m: F.length(m)) if pattern == ASSIGN else F.transform(whole, lambda m: F.length(m))
+    lengths = F.zip_with(F.transform(whole, lambda m: F.length(m)), value, lambda a, b: F.struct(a.alias("n"), b.alias("v")))
     found = F.zip_with(skips, lengths, lambda s, m: F.struct(F.lit(kind).alias("kind"), s["i"].alias("pos"), s["n"].alias("skip"), m["n"].alias("len"), m["v"].alias("value")))
-    return F.when(F.regexp_like(text, p), found).otherwise(F.array().cast(_PART)).cast(_PART)
+    return F.when(gate & F.regexp_like(text, p), found).otherwise(F.array().cast(_PART)).cast(_PART)
 
 
 def _parts(docs: DataFrame, carry: tuple[str, ...], text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
-    patterns = [ASSIGN, ACCESS, HEX, MIXED, IDENTIFIER, ENDPOINT]
+    named = F.contains(t, F.lit(":")) | F.contains(t, F.lit("="))  # what every match of these patterns holds
+    gates = {ASSIGN: named, ACCESS: F.contains(t, F.lit("AKIA")), HEX: F.lit(True), MIXED: F.lit(True), IDENTIFIER: named, ENDPOINT: named}
     kept = [F.col(c) for c in carry]
-    return materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*kept).alias("_carry"), F.concat(*(_matches(t, p, k) for k, p in enumerate(patterns))).alias("_parts")))
+    return materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*kept).alias("_carry"), F.concat(*(_matches(t, p, k, g) for k, (p, g) in enumerate(gates.items()))).alias("_parts")))
 
 
 def _spans(parts: DataFrame) -> DataFrame:
@@ -73,9 +77,11 @@ def link(spans: DataFrame, scope: int = 400) -> DataFrame:
     """The weak spans of multipart credentials: (_row, kind, start, end), each once."""
     cell = lambda c: F.floor(c / F.lit(scope)).cast("int")
     ids = spans.filter(F.col("kind").isin(1, 4)).select("_row", F.col("kind").alias("id_kind"), F.col("start").alias("id_start"), F.col("end").alias("id_end"))
-    ids = ids.withColumn("cell", F.explode(F.sequence(cell(F.greatest(F.col("id_start") - scope, F.lit(0))), cell(F.col("id_end") + scope))))
-    others = spans.filter(F.col("kind").isin(0, 2, 3, 5)).withColumn("cell", cell(F.col("start")))
-    met = ids.join(others, ["_row", "cell"]).filter((F.col("start") >= F.col("id_start") - scope) & (F.col("end") <= F.col("id_end") + scope) & ~((F.col("start") < F.col("id_end")) & (F.col("end") > F.col("id_start"))))
+    ids = ids.withColumn("id_cell", cell(F.greatest(F.col("id_start") - scope, F.lit(0)))).withColumn("cell", F.explode(F.sequence("id_cell", cell(F.col("id_end") + scope))))
+    others = spans.filter(F.col("kind").isin(0, 2, 3, 5)).withColumn("own_cell", cell(F.col("start"))).withColumn("cell", F.explode(F.sequence("own_cell", cell(F.col("end")))))
+    near = (F.col("start") <= F.col("id_end") + scope) & (F.col("end") >= F.col("id_start") - scope)
+    apart = (F.col("start") >= F.col("id_end")) | (F.col("end") <= F.col("id_start"))
+    met = ids.join(others, ["_row", "cell"]).filter(near & apart & (F.col("cell") == F.greatest("id_cell", "own_cell")))  # once, in the first cell of both
     scope_of = W.partitionBy("_row", "id_kind", "id_start", "id_end")
     met = met.withColumn("secret", F.max(F.col("kind") != 5).over(scope_of)).withColumn("endpoint", F.max(F.col("kind") == 5).over(scope_of))
     whole = met.filter(F.col("secret") & (F.col("endpoint") | (F.col("id_kind") == 1)))
@@ -84,14 +90,14 @@ def link(spans: DataFrame, scope: int = 400) -> DataFrame:
 
 
 def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", scope: int = 400) -> DataFrame:
-    """Every row's ``carry`` columns with ``base`` and ``spans``: sorted arrays of structs (start, kind, end)."""
+    """Of every row ``_carry``, a struct of its ``carry`` columns, and ``_spans``, a sorted array of structs (start, kind, end)."""
     parts = _parts(docs, carry, text)
     spans = _spans(parts)
     found = spans.filter("kind < 3").unionByName(link(spans, scope)).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     has = F.size("_parts") > 0
-    hit = parts.filter(has).join(found, "_row", "left").select("_carry.*", F.coalesce("spans", none).alias("_spans"))
-    return hit.unionByName(parts.filter(~has).select("_carry.*", none.alias("_spans")))
+    hit = parts.filter(has).join(found, "_row", "left").select("_carry", F.coalesce("spans", none).alias("_spans"))
+    return hit.unionByName(parts.filter(~has).select("_carry", none.alias("_spans")))
 
 
 def _say(spans: Column) -> Column:
@@ -104,19 +110,32 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     s = F.col("_spans")
     base = F.filter(s, lambda x: x["kind"] < 3)
     count = lambda k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("long")
-    return scanned.select(key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_say(base), 256).alias("base_sha256"), _say(s).alias("spans"))
+    return scanned.select(F.col("_carry")[key].alias(key), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_say(base), 256).alias("base_sha256"), _say(s).alias("spans"))
 
 
 def redact(scanned: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """The carried columns, every span (overlapping ones as one) of ``text`` replaced by ``mask``."""
-    t, s = F.col(text), F.col("_spans")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
-    cut = F.aggregate(
-        s,
-        start,
-        lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), F.concat(acc["kept"], F.array(F.substring(t, acc["at"] + 1, x["start"] - acc["at"]))).alias("kept"))).otherwise(
-            F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["kept"].alias("kept"))
-        ),
-        lambda acc: F.array_join(F.concat(acc["kept"], F.array(F.substring(t, acc["at"] + 1, F.length(t)))), mask),
-    )
-    return scanned.withColumn(text, F.when(F.size(s) > 0, cut).otherwise(t)).drop("_spans")
+    """The carried columns, every span (overlapping ones as one) of ``text`` replaced by ``mask``.
+
+    The text is cut into blocks once and each block keeps what lies between spans, so the work stays linear in the
+    text, up to one comparison for each block and span.
+    """
+    t, s = F.col("_carry")[text], F.col("_spans")
+    gap = "struct<start:int,end:int,masked:boolean>"
+    state = f"struct<at:int,gaps:array<{gap}>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{gap}>").alias("gaps")).cast(state)
+    add = lambda acc, end, masked: F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(masked).alias("masked"))))
+    gaps = F.aggregate(
+        s, start,
+        lambda acc, x: F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], add(acc, x["start"], True)).otherwise(acc["gaps"]).alias("gaps")).cast(state),
+        lambda acc: add(acc, F.length(t), False),
+    )
+
+    def kept(block: Column, i: Column) -> Column:
+        low, high = i * _BLOCK, (i + 1) * _BLOCK
+        here = F.filter("_gaps", lambda g: (g["start"] < high) & (g["end"] >= low))
+        cut = lambda g: F.substring(block, F.greatest(g["start"], low) - low + 1, F.greatest(F.lit(0), F.least(g["end"], high) - F.greatest(g["start"], low)))
+        return F.array_join(F.transform(here, lambda g: F.concat(cut(g), F.when(g["masked"] & (g["end"] < high), F.lit(mask)).otherwise(""))), "")
+
+    blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    masked = F.when(F.size(s) > 0, F.array_join(F.transform(blocks, kept), "")).otherwise(t)
+    return scanned.withColumn("_gaps", gaps).select(F.col("_carry").withField(text, masked).alias("_carry")).select("_carry.*")
