@@ -2,8 +2,9 @@
 
 Repetitive text compresses far better than prose and random text hardly at all. Every document's ratio
 (compressed / raw UTF-8 bytes) must lie in the band of its length class; of its fixed-size chunks, at most
-a quarter of the bytes may lie outside the chunk band. Short texts have no lower evidence: the frame
-overhead of zstandard dominates below the first class, so the base rule on the word count decides there.
+a quarter of the bytes may lie outside the band of their length class. Every chunk is judged, the last one of a
+document, which may be short, by a wider band. Below 128 bytes the frame of zstandard outweighs the text, so nothing
+can be told there: the band holds everything, and the base rule on the word count decides.
 
 Defined results: a null text counts as empty (no words, base failed); rows are judged one by one, so
 repeated rows get equal verdicts; an empty table gives an empty result; other columns do not matter.
@@ -39,7 +40,7 @@ class Bands:
         default=((128, 0.30, 1.00), (512, 0.25, 0.80), (768, 0.25, 0.77), (1024, 0.25, 0.74), (2048, 0.20, 0.64), (3500, 0.20, 0.585), (16384, 0.15, 0.52))
     )
     chunk_bytes: int = 4096
-    chunk: tuple[tuple[int, float, float], ...] = ((2048, 0.20, 0.64), (3500, 0.20, 0.585))
+    chunk: tuple[tuple[int, float, float], ...] = ((128, 0.20, 1.00), (512, 0.20, 0.80), (768, 0.20, 0.77), (1024, 0.20, 0.74), (2048, 0.20, 0.64), (3500, 0.20, 0.585))
     bad_share: float = 0.25
 
 
@@ -60,13 +61,11 @@ def in_bands(data: bytes, bands: Bands, compress) -> tuple[float, float, bool]:
         return not fit or fit[-1][0] <= ratio <= fit[-1][1]
 
     ok = fits(len(data), ratio, bands.whole)
-    seen = bad = 0
+    bad = 0
     for i in range(0, len(data), bands.chunk_bytes):
         piece = data[i : i + bands.chunk_bytes]
-        if len(piece) >= bands.chunk[0][0]:
-            seen += len(piece)
-            bad += len(piece) * (not fits(len(piece), len(compress(piece)) / len(piece), bands.chunk))
-    share = bad / seen if seen else 0.0
+        bad += len(piece) * (not fits(len(piece), len(compress(piece)) / len(piece), bands.chunk))
+    share = bad / len(data)
     return ratio, share, ok and share <= bands.bad_share
 
 
