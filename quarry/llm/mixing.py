@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm._spark import materialize
 
@@ -65,9 +66,12 @@ def _rate(most: float) -> Column:
     return F.least(F.lit(float(most)), F.exp(F.least(F.col("multiplier") * F.col("size") / F.col("mean"), F.lit(700.0))))
 
 
-def multipliers(cells: DataFrame, goals: DataFrame, most: float, steps: int = 60, tolerance: float = 1e-9) -> DataFrame:
+def multipliers(cells: DataFrame, goals: DataFrame, most: float, steps: int = 200, tolerance: float = 1e-9) -> DataFrame:
     """(source, source_size, target, mean, multiplier) by safeguarded Newton steps on the dual.
 
+    A bracket is at least halved by a step that Newton's is not inside of, so ``steps`` is never reached in practice; if
+    it is, that is an error, not a result.
+
     ``cells``: (source, size, n). The root lies between 0 and ln(target / size of the source) / (least size / mean).
     """
     words = cells.filter("size > 0")
@@ -91,12 +95,18 @@ def multipliers(cells: DataFrame, goals: DataFrame, most: float, steps: int = 60
         nxt = state.join(sums, "source").select(
             "source", "source_size", "target", "mean", low.alias("low"), high.alias("high"),
             F.when(done, F.col("multiplier")).when((F.col("dg") > 0) & (step > low) & (step < high), step).otherwise((low + high) / 2).alias("multiplier"),
-            (done | (high - low <= F.lit(1e-14))).alias("done"),
+            (done | (high - low <= F.lit(1e-14) * F.greatest(F.lit(1.0), F.abs(high), F.abs(low)))).alias("done"),
         )
         state = materialize(nxt)
         if state.filter(~F.col("done")).isEmpty():
-            break
-    return state.select("source", "source_size", "target", "mean", "multiplier")
+            return state.select("source", "source_size", "target", "mean", "multiplier")
+    raise ArithmeticError(f"the multipliers have not converged after {steps} steps")
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return _orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
 
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -123,7 +133,8 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), key: str = "doc_i
     b = b.withColumn("seen", seen).withColumn("more", share(F.col("seen")) - share(F.col("seen") - F.col("n")))
     plan = materialize(b.select("source", "size", "bucket", "source_size", "target", "rate", "whole", "more"))
     d = rows.withColumn("bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
-    d = d.withColumn("turn", F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("_hash", "_carry")))
+    tie = F.col("_carry") if _orderable(rows.schema["_carry"].dataType) else F.to_json("_carry")
+    d = d.withColumn("turn", F.row_number().over(W.partitionBy("source", "size", "bucket").orderBy("_hash", tie)))
     d = d.join(plan, ["source", "size", "bucket"])
     copies = (F.col("whole") + F.when(F.col("turn") <= F.col("more"), 1).otherwise(0)).cast("long")
     return d.select("_carry", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
