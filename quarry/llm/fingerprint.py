@@ -5,23 +5,26 @@ paragraphs' vectors, lane by lane, modulo a power of two. So it does not depend
 and inserting or deleting a paragraph adds or subtracts its vector (``combine``). A paragraph's vector has
 
 * ``STRONG`` lanes modulo 2**32, expanded from a 128-bit hash of the paragraph's text: equality;
-* ``LANES`` lanes modulo 2**16: the paragraph's word trigrams (of a shorter paragraph the sequence of words),
-  each adding +1 or -1 to one lane: likeness. The inner product of two such vectors estimates how many
+* ``LANES`` lanes modulo 2**64: the paragraph's word trigrams (of a shorter paragraph the sequence of words),
+  each adding +1 or -1 to one lane: likeness. They are written in as few bytes as the largest of them needs. The inner product of two such vectors estimates how many
   trigrams the multisets share, so likeness is twice it over the two squared norms, cut to 0..1.
 
 Defined results: a null text is empty; texts without a paragraph have the zero fingerprint, whose likeness is
-1 to itself and 0 to any other; repeated rows follow one another in the order of their keys and texts; the
-next row of the last is the first (with one row, itself); an empty table gives an empty result; rows with a
-null key come last. Other columns do not matter.
+1 to itself and 0 to any other; the key may be of any type that can be ordered; rows of one key, repeated rows too,
+follow one another in the order of a hash of their texts, rows with a null key come last, and the next row of the last
+is the first (with one row, itself); an empty table gives an empty result. Other columns do not matter. A text of any
+length is hashed in slices of bounded size.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +38,8 @@ _U64 = np.uint64
 
 
 def sums(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The strong lanes (uint32) and likeness lanes (int16) of every text, one row each."""
-    strong, lanes = np.zeros((len(texts), STRONG), np.uint32), np.zeros((len(texts), LANES), np.int16)
+    """The strong lanes (uint32) and likeness lanes (int64) of every text, one row each."""
+    strong, lanes = np.zeros((len(texts), STRONG), np.uint32), np.zeros((len(texts), LANES), np.int64)
     for a, b in groups([len(t) for t in texts], 2 << 20):
         paragraphs, owner = [], []
         for i in range(a, b):
@@ -66,23 +69,25 @@ def sums(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h, rows = h[keep], owner[word_owner[keep]] - a
         sign = np.where(h >> _U64(63), 1, -1)
         flat = np.bincount(rows * LANES + (h % _U64(LANES)).astype(np.int64), weights=sign, minlength=(b - a) * LANES)
-        lanes[a:b] += (flat.astype(np.int64) & 0xFFFF).astype(np.uint16).view(np.int16).reshape(b - a, LANES)
+        lanes[a:b] += flat.astype(np.int64).reshape(b - a, LANES)
     return strong, lanes
 
 
 def combine(a: str, b: str, sign: int = 1) -> str:
     """The fingerprint of both multisets together; with ``sign`` -1, of ``a`` without ``b``'s paragraphs."""
     x, y = decode(a), decode(b)
-    return encode((x[0] + np.uint32(sign % (1 << 32)) * y[0]).astype(np.uint32), (x[1].astype(np.int64) + sign * y[1]).astype(np.int16))
+    return encode((x[0] + np.uint32(sign % (1 << 32)) * y[0]).astype(np.uint32), x[1] + sign * y[1])
 
 
 def encode(strong: np.ndarray, lanes: np.ndarray) -> str:
-    return base64.b64encode(strong.astype("<u4").tobytes() + lanes.astype("<i2").tobytes()).decode()
+    """Base64 of the strong lanes and the likeness lanes, these in the least of 1, 2, 4 and 8 bytes that holds them all."""
+    width = next(k for k in (1, 2, 4, 8) if k == 8 or (lanes.min() >= -(1 << 8 * k - 1) and lanes.max() < 1 << 8 * k - 1))
+    return base64.b64encode(strong.astype("<u4").tobytes() + lanes.astype(f"<i{width}").tobytes()).decode()
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return np.frombuffer(raw[: 4 * STRONG], "<u4"), np.frombuffer(raw[4 * STRONG :], "<i2")
+    return np.frombuffer(raw[: 4 * STRONG], "<u4"), np.frombuffer(raw[4 * STRONG :], f"<i{(len(raw) - 4 * STRONG) // LANES}").astype(np.int64)
 
 
 def likeness(strong_a: np.ndarray, lanes_a: np.ndarray, strong_b: np.ndarray, lanes_b: np.ndarray) -> np.ndarray:
@@ -101,47 +106,56 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _digest(keys: list, texts: list[str], nexts: list[str], known: tuple[np.ndarray, np.ndarray], at: np.ndarray, follow: np.ndarray, names: list[str]) -> pa.RecordBatch:
+def _digest(keys: list, texts: list[str], nexts: list[str], known: tuple[np.ndarray, np.ndarray], at: np.ndarray, follow: np.ndarray, names: list[str], kind: pa.DataType) -> pa.RecordBatch:
     """known: the sums of all these texts, of the texts at ``at``, of the next ones at ``follow``."""
     strong, lanes = known
     edited = [_edited(a, b).encode("utf-8", "replace") for a, b in zip(texts, nexts, strict=True)]
     s, v = sums(edited)
     columns = [
-        pa.array(keys, pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in edited]),
+        pa.array(keys, kind), pa.array(list(map(len, texts)), pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in edited]),
         pa.array([encode(strong[i], lanes[i]) for i in at]), pa.array([encode(*x) for x in zip(s, v, strict=True)]),
         pa.array(likeness(strong[at], lanes[at], s, v)), pa.array(likeness(strong[at], lanes[at], strong[follow], lanes[follow])),
     ]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", per_bucket: int = 256) -> DataFrame:
-    """Rows in runs: by ``bucket`` (a range of keys), keys descending, each run closed by the row that follows it.
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows in runs: by ``bucket`` (a range of keys), in descending order, each run closed by the row that follows it.
 
-    Buckets are ranges of about ``per_bucket`` keys between the least and the largest key; a row that is the
-    head of its bucket is also sent, as a guest, to the bucket before. So one shuffle brings every row beside
-    its successor, and no range is sorted by one task alone. Columns: bucket, guest, key, text.
+    The order is that of the key and, within a key, of a hash of the text. Buckets are quantiles of it, found by Spark's
+    range partitioning of these two alone, so neither a far key nor a frequent one makes a large bucket; the first row of
+    a bucket is also sent, as a guest, to the bucket before. So texts are shuffled once. Columns: bucket, guest, key, text.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    low, high, count = rows.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     parts = shuffle_partitions(spark)
-    wanted = max(1, min(max(16 * parts, 256), count // per_bucket))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // wanted))
-    bucket = F.coalesce(F.floor((F.lit(high or 0) - F.col("key")) / F.lit(width)).cast("long"), F.lit(wanted + 1).cast("long"))
-    heads = [(r["bucket"], r["head"]) for r in rows.groupBy(bucket.alias("bucket")).agg(F.max("key").alias("head")).orderBy("bucket").collect()]  # at most wanted + 1 rows
-    if not heads:
-        return rows.select(F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("guest"), "key", "text")
-    before = dict(zip([b for b, _ in heads], [heads[-1][0], *(b for b, _ in heads[:-1])], strict=True))
-    links = spark.createDataFrame([(b, h, before[b]) for b, h in heads], "bucket long, head long, previous long")
-    marked = rows.withColumn("bucket", bucket).join(F.broadcast(links), "bucket")
-    places = F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.when(F.col("key").eqNullSafe(F.col("head")), F.struct(F.col("previous").alias("bucket"), F.lit(1).alias("guest"))))
-    spread = marked.select(F.explode(F.filter(places, lambda p: p.isNotNull())).alias("at"), "key", "text").select("at.bucket", "at.guest", "key", "text")
-    return spread.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("key"), "text")
+    place = F.struct(F.col("key").isNotNull().alias("known"), "key", "hash")
+    light = rows.select("key", "hash").repartitionByRange(parts, F.asc_nulls_first("key"), "hash")
+    ends = light.groupBy(F.spark_partition_id()).agg(F.min(place).alias("low"), F.max(place).alias("high")).collect()  # one row a partition
+    plain = lambda p: tuple(x for x in p if x is not None)
+    lows, highs = sorted(plain(r["low"]) for r in ends), sorted(plain(r["high"]) for r in ends)
+    edges = spark.sparkContext.broadcast((lows, highs))
+
+    @F.pandas_udf("array<int>")
+    def buckets(known: pd.Series, key: pd.Series, hash_: pd.Series) -> pd.Series:
+        lows, highs = edges.value
+        out = []
+        for k, x, h in zip(known, key.tolist(), hash_, strict=True):
+            at = (True, x, h) if k else (False, h)
+            b = bisect_right(lows, at) - 1
+            out.append([b] if at != highs[b] else [b, (b + 1) % len(lows)])
+        return pd.Series(out)
+
+    # a null key is stood in for by any other value, as pandas would turn whole numbers beside nulls into fractions
+    some = F.coalesce("key", F.lit(lows[-1][1] if lows and lows[-1][0] else None).cast(docs.schema[key].dataType))
+    marked = rows.withColumn("buckets", buckets(F.col("key").isNotNull(), some, "hash"))
+    spread = marked.select("key", "text", "hash", F.posexplode("buckets").alias("guest", "bucket")).select("bucket", "guest", "key", "text", "hash")
+    return spread.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("key"), F.desc("hash"), F.desc("text")).drop("hash")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key of every row and ``FIELDS``: its fingerprint, and that of its text edited with the next row's."""
-    schema = T.StructType([T.StructField(key, T.LongType())] + [T.StructField(n, t) for n, t in FIELDS])
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType)] + [T.StructField(n, t) for n, t in FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # bucket, guest, key, text; its last row waits for what follows
@@ -155,10 +169,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 place = {j: n for n, j in enumerate(needed)}
                 strong, lanes = sums([rows[j][3].encode("utf-8", "replace") for j in needed])
                 at, follow = np.array([place[i] for i in part]), np.array([place[i + 1] for i in part])
-                yield _digest([rows[i][2] for i in part], [rows[i][3] for i in part], [rows[i + 1][3] for i in part], (strong, lanes), at, follow, schema.names)
+                yield _digest([rows[i][2] for i in part], [rows[i][3] for i in part], [rows[i + 1][3] for i in part], (strong, lanes), at, follow, schema.names, kind)
 
-        size = 0
+        size, kind = 0, pa.null()
         for batch in batches:
+            kind = batch.schema.field(2).type
             new = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
             held += new
             size += sum(len(r[3]) for r in new)
