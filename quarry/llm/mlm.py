@@ -4,19 +4,22 @@ Tokens are lower-cased words, and the vocabulary has every word of the corpus. T
 each of the ``KNOWN`` most frequent words (counted in distribution; only these come to the driver) and ``SHARED`` hash
 classes for all others. A word of a class has its share of the class's tokens as conditional probability,
 ``P(word | both sides) = P(class | both sides) * n(word) / n(class)``, so probabilities sum to 1 over the vocabulary.
-The counts of these words stay distributed: scoring sends their hashes to buckets of bounded size, which count them
-and send sums by row back. A code is a pair of digits, so a prediction needs two small softmaxes. The network sees ``SIDE`` tokens
-on either side of a position, never the position itself: one embedding table an offset, summed, ``tanh``, then the
-first digit from the hidden units, and the second from them and the first digit.
-
-Training is masked prediction in numpy over all documents and all positions: a round masks one ``stride``-th
-of each document's positions, pseudo-randomly split among as many rounds as the stride, so that every token is
-predicted once. A task trains on its rows from the round's parameters and sends them back
-weighted by its masked tokens; a tree of sums averages them (at most ``_SALTS`` sums reach the driver, of a fixed
-size). Scoring then sums the conditional log-probability of every token given both sides.
-
-Defined results: a text without words (or null) has no tokens and scores 0; repeated rows score alike; an empty table
-gives an empty result; other columns do not matter. Reruns over the same files agree up to float summation order.
+The counts of these words stay distributed: their hashes go to buckets of bounded size, which count them and send
+sums back, packed by the stretch of rows that sent them. A code is a pair of digits, so a prediction needs two small
+softmaxes. The network sees ``SIDE`` tokens on either side of a position, never the position itself: one embedding
+table an offset, summed, ``tanh``, then the first digit from the hidden units, and the second from them and the first
+digit.
+
+Texts are tokenised twice, to count words and to write codes (two bytes a token); all else reads these. Training is
+masked prediction in numpy over all documents and all positions: a round masks one ``stride``-th of each document's
+positions, pseudo-randomly split among as many rounds as the stride, so that every token is predicted once. A task
+trains on its rows from the round's parameters and sends them back weighted by its masked tokens; a tree of sums
+averages them (at most ``_SALTS`` sums reach the driver, of a fixed size). ``train`` reports the loss of each round.
+Scoring then sums the conditional log-probability of every token given both sides.
+
+Defined results: a text without words (or null) has no tokens and scores 0; repeated rows score alike; rows of one key
+or of none are scored one by one; an empty table gives an empty result; other columns do not matter. Reruns over the
+same files agree up to float summation order.
 """
 
 from __future__ import annotations
@@ -35,12 +38,13 @@ from pyspark.sql import types as T
 from quarry.llm._spark import drop, materialize, shuffle_partitions
 from quarry.llm._text import batch_word_hashes
 
-KNOWN, SHARED, DIGIT, SIDE, WIDTH = 960, 64, 32, 2, 16
+DIGIT, SHARED, SIDE, WIDTH = 64, 256, 2, 16
+KNOWN = DIGIT * DIGIT - SHARED
 _PAD = KNOWN + SHARED
 _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 _SALTS = 8
-_FLUSH = 200_000
-_BUCKET, _PIECE = 2_000_000, 512  # tokens of a bucket, about, and of a row sent to it
+#: Of a stretch of rows: rare tokens, rows. Tokens of a bucket, about.
+_FLUSH, _ROWS, _BUCKET = 200_000, 20_000, 2_000_000
 _UNIT = 2.0**32  # logarithms of counts are added as integers, so that their order does not matter
 SHAPES = {"embed": (2 * SIDE, _PAD + 1, WIDTH), "hidden": (WIDTH,), "first": (WIDTH, DIGIT), "first_bias": (DIGIT,), "second": (WIDTH, DIGIT), "second_bias": (DIGIT, DIGIT)}
 
@@ -101,79 +105,103 @@ def _coder(known: list[bytes]):
     def code(text: str | None) -> np.ndarray:
         return code.ids(_words(text))
 
-    code.ids = lambda words: np.fromiter(map(of.__getitem__, words), np.int32, len(words))
+    code.ids = lambda words: np.fromiter(map(of.__getitem__, words), np.uint16, len(words))
     return code
 
 
-def start_parameters(seed: int = 7) -> dict[str, np.ndarray]:
+def start_parameters(used: np.ndarray | None = None, seed: int = 7) -> dict[str, np.ndarray]:
+    """Random tables and zero biases; codes that no word has (not ``used``) are shut out by their biases."""
     rng = np.random.default_rng(seed)
-    return {k: rng.normal(0, 0.1, s).astype(np.float32) if "bias" not in k and k != "hidden" else np.zeros(s, np.float32) for k, s in SHAPES.items()}
+    p = {k: rng.normal(0, 0.1, s).astype(np.float32) if "bias" not in k and k != "hidden" else np.zeros(s, np.float32) for k, s in SHAPES.items()}
+    if used is not None:
+        table = used.reshape(DIGIT, DIGIT)
+        p["first_bias"][~table.any(1)] = p["second_bias"][~table] = -1e9
+    return p
 
 
 def contexts(ids: np.ndarray) -> np.ndarray:
     """By position, the ids at ``_OFFSETS``; outside of the text the padding id."""
-    wide = np.concatenate([np.full(SIDE, _PAD, np.int32), ids, np.full(SIDE, _PAD, np.int32)])
+    edge = np.full(SIDE, _PAD, ids.dtype)
+    wide = np.concatenate([edge, ids, edge])
     return np.stack([wide[SIDE + o : SIDE + o + len(ids)] for o in _OFFSETS])
 
 
 def _forward(p: dict[str, np.ndarray], near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    total = p["embed"][0][near[0]]
+    """Hidden units, both digits, and by digit the exponentials, their sums and the logarithm of the right one's share."""
+    h = p["embed"][0][near[0]]
     for i in range(1, 2 * SIDE):
-        total = total + p["embed"][i][near[i]]
-    h = np.tanh(total + p["hidden"])
+        h += p["embed"][i][near[i]]
+    h += p["hidden"]
+    np.tanh(h, out=h)
     first, second = ids // DIGIT, ids % DIGIT
-    a = h @ p["first"] + p["first_bias"]
-    b = h @ p["second"] + p["second_bias"][first]
-    a -= a.max(1, keepdims=True)
-    b -= b.max(1, keepdims=True)
-    return h, first, second, a, b
+    at, out = np.arange(len(ids)), []
+    for logits, digit in ((h @ p["first"] + p["first_bias"], first), (h @ p["second"] + p["second_bias"][first], second)):
+        logits -= logits.max(1, keepdims=True)
+        right = logits[at, digit]
+        np.exp(logits, out=logits)
+        total = logits.sum(1)
+        out += [logits, total, right - np.log(total)]
+    return h, first, second, *out
 
 
 def log_probability(p: dict[str, np.ndarray], ids: np.ndarray) -> float:
-    """Sum over all positions of ln P(token | both sides)."""
-    total, near = 0.0, contexts(ids)
-    for s in range(0, len(ids), 16384):
-        _, first, second, a, b = _forward(p, near[:, s : s + 16384], ids[s : s + 16384])
-        at = np.arange(len(first))
-        total += float((a[at, first] + b[at, second] - np.log(np.exp(a).sum(1)) - np.log(np.exp(b).sum(1))).sum(dtype=np.float64))
-    return total
+    """Sum over all positions of ln P(code | both sides)."""
+    return float(log_probabilities(p, [ids])[0])
+
+
+def log_probabilities(p: dict[str, np.ndarray], texts: list[np.ndarray], step: int = 8192) -> np.ndarray:
+    """The same for many texts at once."""
+    sizes = [len(t) for t in texts]
+    if not sum(sizes):
+        return np.zeros(len(texts))
+    near, ids = np.concatenate([contexts(t) for t in texts], 1), np.concatenate(texts)
+    each = np.empty(len(ids))
+    for s in range(0, len(ids), step):
+        x = _forward(p, near[:, s : s + step], ids[s : s + step])
+        each[s : s + step] = x[5] + x[8]
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    return np.bincount(owner, each, len(texts))
 
 
 class _Trainer:
     """Adagrad on minibatches of masked positions."""
 
     def __init__(self, p: dict[str, np.ndarray], rate: float) -> None:
-        self.p, self.rate = {k: v.copy() for k, v in p.items()}, rate
+        self.p, self.rate, self.loss = {k: v.copy() for k, v in p.items()}, rate, 0.0
         self.seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in p.items()}
 
     def step(self, near: np.ndarray, ids: np.ndarray) -> None:
-        p = self.p
-        h, first, second, a, b = _forward(p, near, ids)
-        at = np.arange(len(ids))
-        da, db = np.exp(a), np.exp(b)
-        da /= da.sum(1, keepdims=True)
-        db /= db.sum(1, keepdims=True)
-        da[at, first] -= 1
-        db[at, second] -= 1
-        da /= len(ids)
-        db /= len(ids)
+        p, n = self.p, len(ids)
+        h, first, second, da, a_sum, a_log, db, b_sum, b_log = _forward(p, near, ids)
+        self.loss -= float(a_log.sum(dtype=np.float64) + b_log.sum(dtype=np.float64))
+        at = np.arange(n)
+        for d, total, digit in ((da, a_sum, first), (db, b_sum, second)):
+            d *= (1 / (n * total))[:, None]
+            d[at, digit] -= np.float32(1 / n)
         dh = (da @ p["first"].T + db @ p["second"].T) * (1 - h * h)
-        bias = np.eye(DIGIT, dtype=np.float32)[first].T @ db
         self._move("first", h.T @ da)
         self._move("second", h.T @ db)
         self._move("first_bias", da.sum(0))
-        self._move("second_bias", bias)
         self._move("hidden", dh.sum(0))
+        self._move_rows("second_bias", first, db)
         for i in range(2 * SIDE):
-            cells = (near[i][:, None] * WIDTH + np.arange(WIDTH)).ravel()
-            grad = np.bincount(cells, dh.ravel(), (_PAD + 1) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
-            self.seen["embed"][i] += grad * grad
-            p["embed"][i] -= self.rate * grad / np.sqrt(self.seen["embed"][i])
+            self._move_rows("embed", near[i], dh, i)
 
     def _move(self, name: str, grad: np.ndarray) -> None:
         self.seen[name] += grad * grad
         self.p[name] -= self.rate * grad / np.sqrt(self.seen[name])
 
+    def _move_rows(self, name: str, rows: np.ndarray, grad: np.ndarray, table: int | None = None) -> None:
+        """Only the rows of a table that the minibatch has."""
+        p, seen = (x[name] if table is None else x[name][table] for x in (self.p, self.seen))
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        starts = np.flatnonzero(np.diff(rows.astype(np.int32), prepend=-1))
+        total, rows = np.add.reduceat(grad[order], starts), rows[starts]
+        now = seen[rows] + total * total
+        seen[rows] = now
+        p[rows] -= self.rate * total / np.sqrt(now)
+
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in SHAPES])
@@ -193,19 +221,31 @@ def _masked(n: int, number: int, turn: int, stride: int) -> np.ndarray:
     return np.random.default_rng((n, number)).permutation(n)[turn % stride :: stride]
 
 
-def train(docs: DataFrame, known: list[bytes], text: str = "text", rounds: int = 2, rate: float = 0.1, batch_size: int = 4096, stride: int = 2) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, known: list[bytes], text: str = "text", rounds: int = 2, rate: float = 0.1, batch_size: int = 4096, stride: int = 2, losses: list[float] | None = None) -> dict[str, np.ndarray]:
     """Parameters after ``rounds`` of averaged training over all rows; ``stride`` rounds predict every token once."""
-    p = start_parameters()
+    words = docs.sparkSession.sparkContext.broadcast(known)  # a fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = _coder(words.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([code(v.as_py()).tobytes() for v in batch.column(0)], pa.binary())], names=["ids"])
+
+    return train_codes(docs.select(text).mapInArrow(run, "ids binary"), rounds, rate, batch_size, stride, losses)
+
+
+def train_codes(coded: DataFrame, rounds: int = 2, rate: float = 0.1, batch_size: int = 4096, stride: int = 2, losses: list[float] | None = None, used: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The same on a column ``ids`` of codes. ``losses`` gets the mean loss of a predicted token of every round."""
+    p = start_parameters(used)
     for turn in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((known, _flat(p)))  # a fixed size
+        shared = coded.sparkSession.sparkContext.broadcast(_flat(p))  # a fixed size
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            code, trainer = _coder(shared.value[0]), _Trainer(_shaped(shared.value[1]), rate)
+            trainer = _Trainer(_shaped(shared.value), rate)
             held: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = weight = number = 0
             for batch in batches:
                 for value in batch.column(0):
-                    ids = code(value.as_py())
+                    ids = np.frombuffer(value.as_buffer(), np.uint16)
                     number += 1
                     masked = _masked(len(ids), number, turn, stride)
                     if not len(masked):
@@ -221,120 +261,165 @@ def train(docs: DataFrame, known: list[bytes], text: str = "text", rounds: int =
             if held:
                 trainer.step(np.concatenate([x[0] for x in held], 1), np.concatenate([x[1] for x in held]))
             if weight:
-                rows = [[TaskContext.get().partitionId() % _SALTS], [float(weight)], [(_flat(trainer.p).astype(np.float64) * weight).tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1]), pa.array(rows[2], pa.binary())], names=["salt", "weight", "total"])
+                rows = [[TaskContext.get().partitionId() % _SALTS], [float(weight)], [trainer.loss], [(_flat(trainer.p).astype(np.float64) * weight).tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3], pa.binary())], names=["salt", "weight", "loss", "total"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weight, total = 0.0, None
+            weight, loss, total = 0.0, 0.0, None
             for batch in batches:
-                for w, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    weight += w
-                    part = np.frombuffer(x.as_py(), np.float64)
+                for w, x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                    weight, loss = weight + w, loss + x
+                    part = np.frombuffer(y.as_buffer(), np.float64)
                     total = part.copy() if total is None else total + part
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([weight]), pa.array([total.tobytes()], pa.binary())], names=["salt", "weight", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([weight]), pa.array([loss]), pa.array([total.tobytes()], pa.binary())], names=["salt", "weight", "loss", "total"])
 
-        schema = "salt int, weight double, total binary"
-        sums = docs.select(text).mapInArrow(run, schema).repartition(_SALTS, "salt").sortWithinPartitions("weight").mapInArrow(add, schema).collect()
+        schema = "salt int, weight double, loss double, total binary"
+        sums = coded.select("ids").mapInArrow(run, schema).repartition(_SALTS, "salt").sortWithinPartitions("weight").mapInArrow(add, schema).collect()
         weight = sum(r["weight"] for r in sums)
         if not weight:
             break
+        if losses is not None:
+            losses.append(sum(r["loss"] for r in sums) / weight)
         p = _shaped(sum(np.frombuffer(bytes(r["total"]), np.float64) for r in sorted(sums, key=lambda r: r["weight"])) / weight)
     return p
 
 
+def _encode(docs: DataFrame, key: str, text: str, known: list[bytes], buckets: int) -> DataFrame:
+    """By row its codes; by stretch of rows (``start``, its first row) and bucket the hashes of its rare words and their rows."""
+    words = docs.sparkSession.sparkContext.broadcast(known)
+    schema = T.StructType(
+        [T.StructField("start", T.LongType()), T.StructField("row", T.LongType()), T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.BinaryType())]
+        + [T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = _coder(words.value)
+        start = row = TaskContext.get().partitionId() << 33
+        rare: list[bytes] = []
+        owners: list[np.ndarray] = []
+
+        def ship(kind: pa.DataType) -> pa.RecordBatch:
+            hashes, owner = batch_word_hashes([b"\n".join(rare)])[0], np.concatenate(owners)
+            to = (hashes % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            hashes, owner, to = hashes[order].astype("<u8"), owner[order].astype("<u4"), to[order]
+            edges = np.flatnonzero(np.diff(to, prepend=-1, append=buckets))
+            data = [hashes[a:b].tobytes() + owner[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            n = len(data)
+            return pa.RecordBatch.from_arrays([pa.array([start] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(to[edges[:-1]], pa.int32()), pa.array(data, pa.binary())], names=schema.names)
+
+        for whole in batches:
+            kind = whole.schema.field(0).type
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                n, ids = batch.num_rows, []
+                for i, value in enumerate(batch.column(1)):
+                    tokens = _words(value.as_py())
+                    ids.append(code.ids(tokens))
+                    at = np.flatnonzero(ids[-1] >= KNOWN)
+                    if len(at):
+                        rare += [tokens[j] for j in at.tolist()]
+                        owners.append(np.full(len(at), row + i - start, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([start] * n, pa.int64()), pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=schema.names)
+                row += n
+                if len(rare) >= _FLUSH or row - start >= _ROWS:
+                    if rare:
+                        yield ship(kind)
+                    rare, owners, start = [], [], row
+        if rare:
+            yield ship(kind)
+
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket: rows with a key as they are, and by row the sum of ln n(word) over the words sent."""
+    """Of packed words sorted by bucket: by what was sent, the rows and the sums of ln n(word) over their words."""
     bucket, held = None, []
 
-    def sums(schema: pa.Schema) -> pa.RecordBatch:
-        words, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+    def sums() -> pa.RecordBatch:
+        words = np.concatenate([w for _, w, _ in held])
         _, which, n = np.unique(words, return_inverse=True, return_counts=True)
-        rows, at = np.unique(rows, return_inverse=True)
-        total = np.zeros(len(rows), np.int64)
-        np.add.at(total, at, np.rint(np.log(n) * _UNIT).astype(np.int64)[which])
+        logs, at, out = np.rint(np.log(n) * _UNIT).astype(np.int64)[which], 0, []
+        for start, w, owner in held:
+            rows, local = np.unique(owner, return_inverse=True)
+            total = np.zeros(len(rows), np.int64)
+            np.add.at(total, local, logs[at : at + len(w)])
+            at += len(w)
+            out.append((start, rows.astype("<u4").tobytes(), total.tobytes()))
         held.clear()
-        empty = [pa.nulls(len(rows), schema.field(i).type) for i in (1, 2, 3)]
-        return pa.RecordBatch.from_arrays([pa.array(rows), *empty, pa.array(total)], names=["row", *schema.names[1:4], "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["start", "rows", "sums"])
 
-    schema = None
     for batch in batches:
-        schema = pa.schema([batch.schema.field(i) for i in (1, 2, 3, 4)])
-        own = batch.filter(batch.column(5).is_null())
-        if len(own):
-            yield pa.RecordBatch.from_arrays([*(own.column(i) for i in (1, 2, 3, 4)), pa.nulls(len(own), pa.int64())], names=[*schema.names, "counts"])
-        sent = batch.filter(batch.column(5).is_valid())
-        for b, row, data in zip(sent.column(0).to_pylist(), sent.column(1).to_pylist(), sent.column(5), strict=True):
+        for b, start, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if held and b != bucket:
-                yield sums(schema)
+                yield sums()
             bucket, data = b, data.as_buffer()
             n = data.size // 12
-            held.append((np.frombuffer(data, "<u8", n).copy(), row + np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64)))
+            held.append((start, np.frombuffer(data, "<u8", n).copy(), np.frombuffer(data, "<u4", n, 8 * n).copy()))
     if held:
-        yield sums(schema)
+        yield sums()
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", losses: list[float] | None = None) -> DataFrame:
     """(key, n_tokens, log_probability, per_token) of every row, by a network trained on all rows."""
     spark, scratch = docs.sparkSession, []
     counted = materialize(word_counts(docs, text), scratch)
     frequent = _most_frequent(counted)
     sizes = _class_sizes(counted, frequent)
     drop(spark, scratch)
-    known = list(frequent)
-    shared = spark.sparkContext.broadcast((known, _flat(train(docs, known, text)), np.log(np.maximum(sizes, 1))))
-    buckets = max(shuffle_partitions(spark), -(-int(sizes.sum()) // _BUCKET))
-    sent = T.StructType(
-        [T.StructField("bucket", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("key", docs.schema[key].dataType)]
-        + [T.StructField("n_tokens", T.LongType()), T.StructField("network", T.DoubleType()), T.StructField("words", T.BinaryType())]
+    parts = shuffle_partitions(spark)
+    coded = materialize(_encode(docs, key, text, list(frequent), max(parts, -(-int(sizes.sum()) // _BUCKET))))
+    own = coded.filter("row IS NOT NULL")
+    shared = spark.sparkContext.broadcast((_flat(train_codes(own, losses=losses, used=np.append(np.arange(KNOWN) < len(frequent), sizes > 0))), np.log(np.maximum(sizes, 1))))
+    scored = T.StructType(
+        [T.StructField("start", T.LongType()), T.StructField("row", T.LongType()), T.StructField("key", docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("network", T.DoubleType())]
+        + [T.StructField("rows", T.BinaryType()), T.StructField("sums", T.BinaryType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, p, log_sizes = _coder(shared.value[0]), _shaped(shared.value[1]), shared.value[2]
-        part = TaskContext.get().partitionId()
-        start = row = part << 33
-        rare: list[bytes] = []
-        owners: list[np.ndarray] = []
-
-        def ship(kind: pa.DataType) -> pa.RecordBatch:
-            words, owner = batch_word_hashes([b"\n".join(rare)])[0], np.concatenate(owners)
-            to = (words % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            words, owner, to = words[order].astype("<u8"), owner[order].astype("<u4"), to[order]
-            edges = np.flatnonzero(np.diff(to, prepend=-1, append=buckets))
-            spans = [(x, min(x + _PIECE, b)) for a, b in zip(edges, edges[1:], strict=False) for x in range(a, b, _PIECE)]
-            data = [words[a:b].tobytes() + owner[a:b].tobytes() for a, b in spans]
-            n = len(spans)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([to[a] for a, _ in spans], pa.int32()), pa.array([start] * n, pa.int64()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(data, pa.binary())],
-                names=sent.names,
-            )
+        p, log_sizes = _shaped(shared.value[0]), shared.value[1]
+        share = np.concatenate([np.zeros(KNOWN), log_sizes])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 200):
+                batch = whole.slice(a, 200)
+                texts = [np.frombuffer(v.as_buffer(), np.uint16) for v in batch.column(3)]
+                total = log_probabilities(p, texts) - np.array([share[t].sum() for t in texts])
+                k = len(texts)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([len(t) for t in texts], pa.int64()), pa.array(total), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=scored.names)
+
+    result = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("log_probability", T.DoubleType()), T.StructField("per_token", T.DoubleType())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By stretch, the network's part of a row's score and the sums sent back for it."""
+        start, kind, own, sent = None, pa.null(), [], []
+
+        def close() -> pa.RecordBatch:
+            own.sort(key=lambda r: r[0])  # a stretch has every row from its first on
+            total = np.zeros(len(own), np.int64)
+            for rows, sums in sent:
+                total[np.frombuffer(rows, "<u4")] += np.frombuffer(sums, "<i8")
+            n = np.array([r[2] for r in own], np.int64)
+            found = np.array([r[3] for r in own]) + total / _UNIT
+            each = np.divide(found, n, out=np.zeros(len(n)), where=n > 0)
+            batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in own], kind), pa.array(n), pa.array(found), pa.array(each)], names=result.names)
+            own.clear()
+            sent.clear()
+            return batch
 
         for batch in batches:
-            first, n, total = row, [], []
-            for value in batch.column(1):
-                words = _words(value.as_py())
-                ids = code.ids(words)
-                n.append(len(ids))
-                total.append(log_probability(p, ids) if len(ids) else 0.0)
-                at = np.flatnonzero(ids >= KNOWN)
-                if len(at):
-                    total[-1] -= float(log_sizes[ids[at] - KNOWN].sum())
-                    rare += [words[i] for i in at.tolist()]
-                    owners.append(np.full(len(at), row - start, np.int64))
-                row += 1
-                if len(rare) >= _FLUSH:
-                    yield ship(batch.schema.field(0).type)
-                    rare, owners, start = [], [], row
-            k = len(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part % buckets] * k, pa.int32()), pa.array(range(first, row), pa.int64()), batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.nulls(k, pa.binary())], names=sent.names
-            )
-        if rare:
-            yield ship(batch.schema.field(0).type)
-
-    back = T.StructType([*sent.fields[1:5], T.StructField("counts", T.LongType())])
-    rows = docs.select(key, text).mapInArrow(run, sent).repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_add_counts, back)
-    rows = rows.groupBy("row").agg(F.first("key", True).alias(key), F.sum("n_tokens").alias("n_tokens"), F.sum("network").alias("network"), F.sum("counts").alias("counts"))
-    rows = rows.withColumn("log_probability", F.col("network") + F.coalesce("counts", F.lit(0)) / F.lit(_UNIT))
-    return rows.select(key, "n_tokens", "log_probability", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")).otherwise(0.0).alias("per_token"))
+            kind = batch.schema.field(2).type
+            for s, row, k, n, network, rows, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own and s != start:
+                    yield close()
+                start = s
+                if row is None:
+                    sent.append((rows, sums))
+                else:
+                    own.append((row, k, n, network))
+        if own:
+            yield close()
+
+    counts = coded.filter("row IS NULL").select("bucket", "start", "words").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_counts, "start long, rows binary, sums binary")
+    both = own.select("start", "row", "key", "ids").mapInArrow(run, scored).unionByName(counts, allowMissingColumns=True)
+    return both.repartition(parts, "start").sortWithinPartitions("start").mapInArrow(meet, result)
