@@ -7,11 +7,14 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.shared import shared_dir
 
-__all__ = ["collected", "drop", "drop_scratch", "materialize", "shared_dir", "shuffle_partitions"]
+__all__ = ["collected", "drop", "drop_scratch", "files", "materialize", "numbered", "shared_dir", "shuffle_partitions"]
 
 _OPEN: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
@@ -51,6 +54,26 @@ def materialize(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
+    """(file, index) and ``columns``: the place of every row in the files that ``docs`` reads, the same in every scan.
+
+    Rows that come from no file are written to a scratch table first. ``file`` is a hash of the path (see ``files``).
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        return docs.select(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("index"), *columns)
+    except AnalysisException:
+        plain = [F.col(f"`c{i}`") for i in range(len(columns))]
+        table = materialize(docs.select(*(c.alias(f"c{i}") for i, c in enumerate(columns))))
+        names = docs.select(*columns).columns
+        return numbered(table, *(c.alias(n) for c, n in zip(plain, names, strict=True)))
+
+
+def files(rows: DataFrame) -> np.ndarray:
+    """The ``file`` numbers of ``numbered`` rows in ascending order: one a file, as many as the driver lists anyway."""
+    return np.array(sorted(r["file"] for r in rows.select("file").distinct().collect()), np.int64)
+
+
 def drop(spark: SparkSession, scratch: list[str]) -> None:
     """Delete tables that nothing still to be read depends on."""
     for path in scratch:

@@ -12,12 +12,13 @@ which windows repeat:
    its successor follows from the place of its successor;
 2. common prefixes of adjacent suffixes: a window repeats if the prefix reaches ``length`` on either side.
 
-Matches never cross texts or segments. Anchor groups above ``_LARGE`` bytes are split exactly, by the place of the
-anchor in the window and the bytes that all windows of such places share.
+Matches never cross texts or segments. Anchor groups above ``_LARGE`` bytes are split before their shuffle, exactly, by
+the place of the anchor in the window and the bytes that all windows of such places share. A segment that a task meets
+twice is told of on the spot and travels once, so a passage in a third of all rows does not meet in one task.
 
-Defined results: a null text is empty; texts shorter than ``length`` keep all; repeated rows repeat each other and
-lose every covered byte; strings are judged on the input; an empty table gives an empty result; other columns do not
-matter. Rows are joined by a hash of key and text, equal for repeated rows, which have equal results.
+Defined results: a null text is empty; texts shorter than ``length`` keep all; rows are told apart by their place in the
+input files, so keys may repeat or be null, and repeated rows repeat each other and lose every covered byte; strings are
+judged on the input; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm._spark import materialize, shuffle_partitions
+from quarry.llm._spark import drop, files, materialize, numbered, shuffle_partitions
 from quarry.llm._text import _BYTE, mix
 
 _U64 = np.uint64
@@ -88,29 +90,44 @@ def segments(data: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 _MAP = "slot int, docs binary, anchors binary, contents binary, owners binary, starts binary, counts binary, offsets binary"
+#: A row's place in the input as one number: the file's place among all files, and the row's in it.
+_ROW = 40
 
 
-def _postings(rows: DataFrame, length: int, slots: int) -> DataFrame:
+def _postings(rows: DataFrame, files: np.ndarray, length: int, slots: int) -> DataFrame:
+    """By slot, a range of anchor hashes, its segments, packed. Without anchors: segments that the stretch of rows which
+    was shipped together has twice; of these only one goes on as a posting, twice, so that a frequent one stays small."""
     names = [c.split()[0] for c in _MAP.split(", ")]
     shift = _U64(64 - (slots - 1).bit_length())
     kinds = [pa.int32(), *[pa.binary()] * 7]
+    known = rows.sparkSession.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        total = 0
+        total = turn = 0
 
         def ship() -> Iterator[pa.RecordBatch]:
+            nonlocal turn
             doc, start, count, offset, anchor, content = (np.concatenate([h[i] for h in held]) for i in range(6))
-            slot = (anchor >> shift).astype(np.int64)
-            order = np.argsort(slot, kind="stable")
-            edges = np.searchsorted(slot[order], np.arange(slots + 1))
-            out = []
-            for s in range(slots):
-                at = order[edges[s] : edges[s + 1]]
-                if len(at):
-                    docs, local = np.unique(doc[at], return_inverse=True)
-                    out.append((s, docs.tobytes(), anchor[at].tobytes(), content[at].tobytes(), local.astype("<u4").tobytes(), start[at].astype("<u8").tobytes(), count[at].astype("<u2").tobytes(), offset[at].astype("<u2").tobytes()))
             held.clear()
+            order = np.lexsort((content, anchor))
+            doc, start, count, offset, anchor, content = (x[order] for x in (doc, start, count, offset, anchor, content))
+            new = np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))
+            first = np.flatnonzero(new)
+            sizes = np.diff(np.append(first, len(doc)))
+            out = []
+            if (sizes > 1).any():
+                at = np.flatnonzero(np.repeat(sizes, sizes) > 1)
+                docs, local = np.unique(doc[at], return_inverse=True)
+                turn += 1
+                out.append((turn % slots, docs.tobytes(), None, None, local.astype("<u4").tobytes(), start[at].astype("<u8").tobytes(), count[at].astype("<u2").tobytes(), None))
+            keep = np.repeat(first, np.minimum(sizes, 2))  # one of them, counted as two
+            doc, start, count, offset, anchor, content = (x[keep] for x in (doc, start, count, offset, anchor, content))
+            slot = (anchor >> shift).astype(np.int64)  # ascending, as anchors are
+            present = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+            for a, b in zip(present, np.append(present[1:], len(slot)), strict=True):
+                docs, local = np.unique(doc[a:b], return_inverse=True)
+                out.append((int(slot[a]), docs.tobytes(), anchor[a:b].tobytes(), content[a:b].tobytes(), local.astype("<u4").tobytes(), start[a:b].astype("<u8").tobytes(), count[a:b].astype("<u2").tobytes(), offset[a:b].astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -128,7 +145,8 @@ def _postings(rows: DataFrame, length: int, slots: int) -> DataFrame:
                 total += len(text)
                 waiting.clear()
 
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys = (np.searchsorted(known.value, batch.column(0).to_numpy()) << _ROW) + batch.column(1).to_numpy()
+            for key, value in zip(keys.tolist(), batch.column(2), strict=True):
                 data = (value.as_py() or "").encode("utf-8", "replace")
                 for a in range(0, len(data) - length + 1, _SLICE):
                     waiting.append((key, a, data[a : a + _SLICE + length - 1]))
@@ -146,13 +164,20 @@ def _postings(rows: DataFrame, length: int, slots: int) -> DataFrame:
     return rows.mapInArrow(run, _MAP)
 
 
-_FOUND = "kind int, doc long, start long, count int, anchor long, offset int"
+_FOUND = "kind int, file long, index long, start long, count int, anchor long, offset int"
 
 
-def _candidates(postings: DataFrame) -> DataFrame:
+def _candidates(postings: DataFrame, files: np.ndarray) -> DataFrame:
     """kind 0: a segment whose windows all repeat. Of anchors with different segments, one occurrence of each: kind 1
     where it is the only one, kind 2 where there are more (which is then of kind 0 as well)."""
     names = [c.split()[0] for c in _FOUND.split(", ")]
+    known = postings.sparkSession.sparkContext.broadcast(files)
+
+    def out(kind: int, doc: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(doc), 100_000):
+            d = doc[a : a + 100_000]
+            columns = [np.full(len(d), kind, np.int32), known.value[d >> _ROW], d & ((1 << _ROW) - 1), start[a : a + 100_000].astype(np.int64), count[a : a + 100_000].astype(np.int32), anchor[a : a + 100_000].view(np.int64), offset[a : a + 100_000].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def reduce(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         pick = lambda i, kind: np.concatenate([np.frombuffer(x[i], kind) for x in found])
@@ -165,17 +190,21 @@ def _candidates(postings: DataFrame) -> DataFrame:
         sizes = np.diff(np.append(np.flatnonzero(new_c), len(doc)))
         same = np.repeat(sizes, sizes) > 1
         distinct = np.bincount(np.cumsum(new_a) - 1, weights=new_c).astype(int)[np.cumsum(new_a) - 1] > 1
-        for kind, keep in ((0, same), (1, distinct & new_c & ~same), (2, distinct & new_c & same)):
+        twice = np.append(False, (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & ~new_c[1:])  # one that stands for two: its stretch has told of it
+        told = twice | np.append(twice[1:], False)
+        for kind, keep in ((0, same & ~told), (1, distinct & new_c & ~same), (2, distinct & new_c & same)):
             at = np.flatnonzero(keep)
-            for a in range(0, len(at), 100_000):
-                i = at[a : a + 100_000]
-                arrays = [pa.array(np.full(len(i), kind, np.int32)), pa.array(doc[i]), pa.array(start[i].astype(np.int64)), pa.array(count[i].astype(np.int32)), pa.array(anchor[i].view(np.int64)), pa.array(offset[i].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield from out(kind, doc[at], start[at], count[at], anchor[at], offset[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, found = None, []
         for batch in batches:
             for s, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if packed[1] is None:
+                    doc = np.frombuffer(packed[0], "<i8")[np.frombuffer(packed[3], "<u4")]
+                    none = np.zeros(len(doc), _U64)
+                    yield from out(0, doc, np.frombuffer(packed[4], "<u8"), np.frombuffer(packed[5], "<u2"), none, none)
+                    continue
                 if s != slot and found:
                     yield from reduce(found)
                     found = []
@@ -260,42 +289,55 @@ def repeats(pieces: list[bytes], length: int) -> list[np.ndarray]:
     return [twice[e - s : e - length + 1] if s >= length else np.zeros(0, bool) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
-_PIECE = "anchor long, wanted boolean, doc long, start long, offset int, piece binary"
+_PIECE = "anchor long, wanted boolean, file long, index long, start long, offset int, piece binary"
 
 
 def _extract(joined: DataFrame, length: int) -> DataFrame:
-    """From (doc, text, wanted: array of (kind, start, count, anchor, offset)): the bytes of every segment."""
+    """From (file, index, text, wanted: array of (kind, start, count, anchor, offset, large)): the bytes of every segment."""
     names = [c.split()[0] for c in _PIECE.split(", ")]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def ship() -> pa.RecordBatch:
+            nonlocal size
+            size = 0
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
         for batch in batches:
-            rows = []
-            for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode("utf-8", "replace")
-                rows += [(w["anchor"], w["kind"] == 1, doc, w["start"], w["offset"], data[w["start"] : w["start"] + w["count"] + length - 1]) for w in wanted]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            for file, index, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                data = text.as_py().encode("utf-8", "replace")
+                for w in wanted.as_py():
+                    piece = data[w["start"] : w["start"] + w["count"] + length - 1]
+                    parts = _split(w["anchor"], w["offset"], piece, length) if w["large"] else [(w["anchor"], 0, w["offset"], piece)]
+                    for group, skip, offset, part in parts:
+                        rows.append((group, w["kind"] == 1, file, index, w["start"] + skip, offset, part))
+                        size += len(part)
+                    if size >= _SORT:
+                        yield ship()
+            yield ship()
 
     return joined.mapInArrow(run, _PIECE)
 
 
-def _split(group: list[tuple], length: int, step: int = 44) -> list[list[tuple]]:
-    """A group of pieces of one anchor as groups of shorter pieces; equal windows stay together."""
-    out: dict[tuple[int, bytes], list[tuple]] = {}
-    for wanted, doc, start, offset, piece in group:
-        windows = len(piece) - length + 1
-        # window i has the anchor at offset - i; places of one step share the bytes from the step's last window to its first's end
-        for j in range(max(0, offset - windows + 1) // step, offset // step + 1):
-            first, last = max(0, offset - (j + 1) * step + 1), min(windows - 1, offset - j * step)
-            if first <= last:
-                core = piece[max(0, offset - j * step) : offset - (j + 1) * step + 1 + length]
-                part = (wanted, doc, start + first, offset - first, piece[first : last + length])
-                out.setdefault((j, hashlib.blake2b(core, digest_size=16).digest()), []).append(part)
-    return list(out.values())
+def _split(anchor: int, offset: int, piece: bytes, length: int, step: int = 44) -> list[tuple[int, int, int, bytes]]:
+    """A piece as shorter ones (group, windows skipped, offset, bytes); equal windows of all pieces of an anchor stay in one group."""
+    out, windows = [], len(piece) - length + 1
+    # window i has the anchor at offset - i; places of one step share the bytes from the step's last window to its first's end
+    for j in range(max(0, offset - windows + 1) // step, offset // step + 1):
+        first, last = max(0, offset - (j + 1) * step + 1), min(windows - 1, offset - j * step)
+        if first <= last:
+            core = piece[max(0, offset - j * step) : offset - (j + 1) * step + 1 + length]
+            group = hashlib.blake2b(core, digest_size=8, key=anchor.to_bytes(8, "little", signed=True), salt=j.to_bytes(2, "little")).digest()
+            out.append((int.from_bytes(group, "little", signed=True), first, offset - first, piece[first : last + length]))
+    return out
 
 
-_RANGES = "doc long, start long, count long"
+_RANGES = "file long, index long, start long, count long"
 
 
 def _sorted_repeats(pieces: DataFrame, length: int) -> DataFrame:
@@ -303,26 +345,24 @@ def _sorted_repeats(pieces: DataFrame, length: int) -> DataFrame:
 
     def solve(batch: list[tuple]) -> pa.RecordBatch:
         rows = []
-        for (wanted, doc, start, _, _), twice in zip(batch, repeats([b[4] for b in batch], length), strict=True):
+        for (wanted, file, index, start, _, _), twice in zip(batch, repeats([b[5] for b in batch], length), strict=True):
             if wanted and twice.any():
                 edge = np.flatnonzero(np.diff(twice.view(np.int8), prepend=0, append=0))
-                rows += [(doc, start + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "start", "count"])
+                rows += [(file, index, start + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["file", "index", "start", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, group, ready, size = None, [], [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal ready, size
-            bulk = sum(len(g[4]) for g in group)
-            for part in _split(group, length) if bulk > _LARGE else [group]:
-                if any(p[0] for p in part):
-                    ready += part
-                    size += sum(len(p[4]) for p in part)
-                if size >= _SORT:
-                    yield solve(ready)
-                    ready, size = [], 0
+            if any(p[0] for p in group):
+                ready += group
+                size += sum(len(p[5]) for p in group)
+            if size >= _SORT:
+                yield solve(ready)
+                ready, size = [], 0
 
         for batch in batches:
             for a, *piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -340,36 +380,52 @@ def _sorted_repeats(pieces: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, _RANGES)
 
 
+def _kept(data: bytes, spans: list[dict], length: int) -> tuple[int, int, list[bytes]]:
+    """Bytes and runs that the spans (start, count of windows) cover, and what is left."""
+    removed = runs = at = 0
+    left = []
+    for start, end in sorted((s["start"], s["start"] + s["count"] + length - 1) for s in spans):
+        if start > at or not runs:
+            left.append(data[at:start])
+            runs += 1
+            at = start
+        removed += max(0, end - at)
+        at = max(at, end)
+    return removed, runs, [*left, data[at:]]
+
+
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, with_text: bool = False) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row, with ``with_text`` also ``kept`` (bytes)."""
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be {2 * ANCHOR} or more")
     spark = docs.sparkSession
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(key), body).alias("doc"), F.col(key).alias("key"), body.alias("text"))
-    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    slots = max(64, 1 << (size // (16 << 20)).bit_length())
-    found = materialize(_candidates(_postings(rows.select("doc", "text"), length, slots)))
-    wanted = found.filter("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("kind", "start", "count", "anchor", "offset")).alias("wanted"))
-    pieces = _extract(rows.select("doc", "text").join(wanted, "doc").select("doc", "text", "wanted"), length)
-    ranges = materialize(_sorted_repeats(pieces, length).unionByName(found.filter("kind = 0").select("doc", "start", F.col("count").cast("long").alias("count"))))
-    cover = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("cover"))
-    schema = f"key {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    rows = numbered(docs, F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    known, place, scratch = files(rows), ["file", "index"], []
+    slots = 1 << max(6, (8 * shuffle_partitions(spark) - 1).bit_length())
+    found = materialize(_candidates(_postings(rows.select(*place, "text"), known, length, slots), known), scratch)
+    wanted = found.filter("kind > 0")
+    large = wanted.groupBy("anchor").agg(F.sum(F.col("count") + length).alias("bytes")).filter(F.col("bytes") > _LARGE).select("anchor", F.lit(True).alias("large"))
+    wanted = wanted.join(large, "anchor", "left") if not large.isEmpty() else wanted.withColumn("large", F.lit(False))
+    wanted = wanted.groupBy(*place).agg(F.collect_list(F.struct("kind", "start", "count", "anchor", "offset", F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
+    pieces = _extract(rows.select(*place, "text").join(wanted, place).select(*place, "text", "wanted"), length)
+    ranges = materialize(_sorted_repeats(pieces, length).unionByName(found.filter("kind = 0").select(*place, "start", F.col("count").cast("long").alias("count"))))
+    drop(spark, scratch)
+    cover = ranges.groupBy(*place).agg(F.collect_list(F.struct("start", "count")).alias("cover"))
+    schema = T.StructType(
+        [T.StructField("key", docs.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
+        + [T.StructField("kept", T.BinaryType())] * with_text
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = value.encode("utf-8", "replace")
-                gone = np.zeros(len(data) + 1, np.int64)
-                for s in spans or ():
-                    gone[s["start"]] += 1
-                    gone[s["start"] + s["count"] + length - 1] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
-                out.append((len(data), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+            for value, spans in zip(batch.column(1), batch.column(2), strict=True):
+                data = value.as_py().encode("utf-8", "replace")
+                removed, runs, left = _kept(data, spans.as_py() or [], length)
+                kept = b"".join(left)
+                out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else [])]
             arrays = [batch.column(0)] + [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return rows.join(cover, "doc", "left").select("key", "text", "cover").mapInArrow(cut, schema).withColumnRenamed("key", key)
+    return rows.join(cover, place, "left").select("key", "text", "cover").mapInArrow(cut, schema).withColumnRenamed("key", key)

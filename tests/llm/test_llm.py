@@ -146,6 +146,35 @@ def test_suffix_dedup_matches_brute_force(spark, docs, empty, large, monkeypatch
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_of_many_equal_rows_takes_linear_time(spark):
+    import time
+
+    rng = random.Random(4)
+    same, other = "".join(rng.choices("abcdefgh ", k=450)), "".join(rng.choices("abcdefgh ", k=450))
+    rows = [(7, same)] * 3000 + [(None, other), (8, other[:300]), (9, "x" + same[:199])]
+    began = time.time()
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), with_text=True).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == Counter({(7, 450, 450, 1): 3000, (None, 450, 300, 1): 1, (8, 300, 300, 1): 1, (9, 200, 0, 0): 1})
+    assert {bytes(r.kept) for r in got} == {b"", other[300:].encode(), ("x" + same[:199]).encode()} and time.time() - began < 60
+
+
+@pytest.mark.parametrize("name, size", [("_SLICE", 1 << 10), ("_FLUSH", 3), ("_SORT", 1000)])
+def test_suffix_dedup_with_small_slices_and_flushes(spark, name, size, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, name, size)
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choices("abcdefghé ", k=n))
+    shared = [text(260), text(700), "z" * 500]
+    rows = [(i, text(rng.randint(0, 3000)) + rng.choice(shared) + text(rng.randint(0, 1500)) + rng.choice(shared)) for i in range(25)]
+    seen = Counter(d[i : i + 200] for _, t in rows for d in [t.encode()] for i in range(len(d) - 199))
+    for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect():
+        d = rows[r.doc_id][1].encode()
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - 199):
+            if seen[d[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        assert bytes(r.kept) == np.frombuffer(d, np.uint8)[~gone].tobytes() and r.n_removed == gone.sum()
+
+
 def test_suffix_group_split_is_exact():
     rng = random.Random(1)
     core = bytes(rng.choices(b"abcdefgh", k=300))
@@ -155,7 +184,11 @@ def test_suffix_group_split_is_exact():
         text, first, count, anchor, _, _ = suffix_dedup.segments(np.frombuffer(p, np.uint8), np.array([0, len(p)]), 200)
         group += [(True, i, int(f), int(a - f), p[f : f + c + 199]) for f, c, a in zip(first, count, anchor, strict=True)]
     whole, split = set(), set()
-    for target, parts in ((whole, [group]), (split, suffix_dedup._split(group, 200))):
+    by_core: dict = {}
+    for wanted, doc, start, offset, piece in group:
+        for key, skip, at, part in suffix_dedup._split(77, offset, piece, 200):
+            by_core.setdefault(key, []).append((wanted, doc, start + skip, at, part))
+    for target, parts in ((whole, [group]), (split, list(by_core.values()))):
         for part in parts:
             for (_, doc, start, _, _), twice in zip(part, suffix_dedup.repeats([x[4] for x in part], 200), strict=True):
                 target.update((doc, start + int(i)) for i in np.flatnonzero(twice))
