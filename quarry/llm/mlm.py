@@ -119,29 +119,36 @@ def start_parameters(used: np.ndarray | None = None, seed: int = 7) -> dict[str,
     return p
 
 
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """By position, the ids at ``_OFFSETS``; outside of the text the padding id."""
-    edge = np.full(SIDE, _PAD, ids.dtype)
-    wide = np.concatenate([edge, ids, edge])
-    return np.stack([wide[SIDE + o : SIDE + o + len(ids)] for o in _OFFSETS])
+def contexts(texts: list[np.ndarray], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids at ``_OFFSETS`` of every position of the texts, outside of a text the padding id, and its own id; ``keep``: of these positions."""
+    edge = np.full(SIDE, _PAD, np.uint16)
+    wide = np.concatenate([edge, *(x for t in texts for x in (t, edge))])
+    at = np.flatnonzero(wide != _PAD)
+    at = at if keep is None else at[keep]
+    return np.stack([wide[at + o] for o in _OFFSETS]), wide[at]
 
 
-def _forward(p: dict[str, np.ndarray], near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hidden units, both digits, and by digit the exponentials, their sums and the logarithm of the right one's share."""
+_ONES = np.ones(2 * DIGIT, np.float32)
+
+
+def _forward(p: dict[str, np.ndarray], near: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hidden units, exponentials of the logits of both digits side by side, their two sums, and ln P of the right digits.
+
+    A logit above 60 counts as 60, which keeps the sums finite in place of a subtracted maximum.
+    """
     h = p["embed"][0][near[0]]
     for i in range(1, 2 * SIDE):
         h += p["embed"][i][near[i]]
     h += p["hidden"]
     np.tanh(h, out=h)
-    first, second = ids // DIGIT, ids % DIGIT
-    at, out = np.arange(len(ids)), []
-    for logits, digit in ((h @ p["first"] + p["first_bias"], first), (h @ p["second"] + p["second_bias"][first], second)):
-        logits -= logits.max(1, keepdims=True)
-        right = logits[at, digit]
-        np.exp(logits, out=logits)
-        total = logits.sum(1)
-        out += [logits, total, right - np.log(total)]
-    return h, first, second, *out
+    logits = h @ np.concatenate([p["first"], p["second"]], 1)
+    logits += np.concatenate([np.broadcast_to(p["first_bias"], (DIGIT, DIGIT)), p["second_bias"]], 1)[first]
+    np.minimum(logits, np.float32(60), out=logits)
+    at = np.arange(len(first))
+    right = logits[at, first] + logits[at, second + DIGIT]
+    np.exp(logits, out=logits)
+    total = (logits.reshape(-1, DIGIT) @ _ONES[:DIGIT]).reshape(-1, 2)
+    return h, logits, total, right - np.log(total) @ _ONES[:2]
 
 
 def log_probability(p: dict[str, np.ndarray], ids: np.ndarray) -> float:
@@ -154,11 +161,11 @@ def log_probabilities(p: dict[str, np.ndarray], texts: list[np.ndarray], step: i
     sizes = [len(t) for t in texts]
     if not sum(sizes):
         return np.zeros(len(texts))
-    near, ids = np.concatenate([contexts(t) for t in texts], 1), np.concatenate(texts)
+    near, ids = contexts(texts)
     each = np.empty(len(ids))
     for s in range(0, len(ids), step):
-        x = _forward(p, near[:, s : s + step], ids[s : s + step])
-        each[s : s + step] = x[5] + x[8]
+        part = ids[s : s + step]
+        each[s : s + step] = _forward(p, near[:, s : s + step], part // DIGIT, part % DIGIT)[3]
     owner = np.repeat(np.arange(len(texts)), sizes)
     return np.bincount(owner, each, len(texts))
 
@@ -172,35 +179,44 @@ class _Trainer:
 
     def step(self, near: np.ndarray, ids: np.ndarray) -> None:
         p, n = self.p, len(ids)
-        h, first, second, da, a_sum, a_log, db, b_sum, b_log = _forward(p, near, ids)
-        self.loss -= float(a_log.sum(dtype=np.float64) + b_log.sum(dtype=np.float64))
+        order = np.argsort(ids, kind="stable")  # by first digit, then by second
+        near, ids = near[:, order], ids[order]
+        first, second = ids // DIGIT, ids % DIGIT
+        h, d, total, log = _forward(p, near, first, second)
+        self.loss -= float(log.sum(dtype=np.float64))
+        d.reshape(-1, DIGIT)[:] *= (1 / (n * total)).reshape(-1, 1)
         at = np.arange(n)
-        for d, total, digit in ((da, a_sum, first), (db, b_sum, second)):
-            d *= (1 / (n * total))[:, None]
-            d[at, digit] -= np.float32(1 / n)
-        dh = (da @ p["first"].T + db @ p["second"].T) * (1 - h * h)
-        self._move("first", h.T @ da)
-        self._move("second", h.T @ db)
-        self._move("first_bias", da.sum(0))
-        self._move("hidden", dh.sum(0))
-        self._move_rows("second_bias", first, db)
+        d[at, first] -= np.float32(1 / n)
+        d[at, second + DIGIT] -= np.float32(1 / n)
+        both = np.concatenate([p["first"], p["second"]], 1)
+        dh = d @ both.T
+        dh *= 1 - h * h
+        grad = h.T @ d
+        self._move("first", grad[:, :DIGIT])
+        self._move("second", grad[:, DIGIT:])
+        self._move("first_bias", (np.ones(n, np.float32) @ d)[:DIGIT])
+        self._move("hidden", np.ones(n, np.float32) @ dh)
+        self._move_rows("second_bias", first, d[:, DIGIT:])
         for i in range(2 * SIDE):
-            self._move_rows("embed", near[i], dh, i)
+            order = np.argsort(near[i], kind="stable")
+            self._move_rows("embed", near[i][order], dh[order], i)
 
     def _move(self, name: str, grad: np.ndarray) -> None:
         self.seen[name] += grad * grad
         self.p[name] -= self.rate * grad / np.sqrt(self.seen[name])
 
     def _move_rows(self, name: str, rows: np.ndarray, grad: np.ndarray, table: int | None = None) -> None:
-        """Only the rows of a table that the minibatch has."""
+        """Only the rows of a table that the minibatch has; ``rows`` ascend."""
         p, seen = (x[name] if table is None else x[name][table] for x in (self.p, self.seen))
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        starts = np.flatnonzero(np.diff(rows.astype(np.int32), prepend=-1))
-        total, rows = np.add.reduceat(grad[order], starts), rows[starts]
-        now = seen[rows] + total * total
+        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        total, rows = np.add.reduceat(grad, starts), rows[starts]
+        now = seen[rows]
+        now += total * total
         seen[rows] = now
-        p[rows] -= self.rate * total / np.sqrt(now)
+        np.sqrt(now, out=now)
+        total /= now
+        total *= self.rate
+        p[rows] -= total
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -217,8 +233,9 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _masked(n: int, number: int, turn: int, stride: int) -> np.ndarray:
-    """The positions of a task's text (n tokens) that a round predicts; ``stride`` rounds have each position once."""
-    return np.random.default_rng((n, number)).permutation(n)[turn % stride :: stride]
+    """Of n positions of a task, from the ``number``-th on, those that a round predicts; ``stride`` rounds have each once."""
+    x = (np.arange(number, number + n, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return np.flatnonzero((x >> np.uint64(40)) % np.uint64(stride) == turn % stride)
 
 
 def train(docs: DataFrame, known: list[bytes], text: str = "text", rounds: int = 2, rate: float = 0.1, batch_size: int = 4096, stride: int = 2, losses: list[float] | None = None) -> dict[str, np.ndarray]:
@@ -243,14 +260,15 @@ def train_codes(coded: DataFrame, rounds: int = 2, rate: float = 0.1, batch_size
             trainer = _Trainer(_shaped(shared.value), rate)
             held: list[tuple[np.ndarray, np.ndarray]] = []
             waiting = weight = number = 0
-            for batch in batches:
-                for value in batch.column(0):
-                    ids = np.frombuffer(value.as_buffer(), np.uint16)
-                    number += 1
-                    masked = _masked(len(ids), number, turn, stride)
+            for whole in batches:
+                for a in range(0, whole.num_rows, 200):
+                    texts = [np.frombuffer(v.as_buffer(), np.uint16) for v in whole.column(0).slice(a, 200)]
+                    n = sum(map(len, texts))
+                    masked = _masked(n, number, turn, stride)
+                    number += n
                     if not len(masked):
                         continue
-                    held.append((contexts(ids)[:, masked], ids[masked]))
+                    held.append(contexts(texts, masked))
                     waiting += len(masked)
                     weight += len(masked)
                     if waiting >= batch_size:

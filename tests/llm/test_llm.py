@@ -386,6 +386,44 @@ def test_lm_probabilities_sum_to_one_over_all_words(spark):
     assert got[1] == 0 and abs(sum(np.exp(got[2 + i]) for i in range(3000)) - 1) < 1e-4
 
 
+def test_lm_log_probability_matches_brute_force():
+    rng = np.random.default_rng(3)
+    p = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in mlm.start_parameters().items()}
+    texts = [rng.integers(0, mlm._PAD, n).astype(np.uint16) for n in (1, 2, 5, 9, 0)]
+    got = mlm.log_probabilities(p, texts, step=4)
+    for text, found in zip(texts, got, strict=True):
+        want = 0.0
+        for i, code in enumerate(text.tolist()):
+            total = p["hidden"].astype(float)
+            for table, o in zip(p["embed"], mlm._OFFSETS, strict=True):
+                total = total + table[text[i + o] if 0 <= i + o < len(text) else mlm._PAD]
+            h = np.tanh(total)
+            a = h @ p["first"] + p["first_bias"]
+            a = np.exp(a) / np.exp(a).sum()
+            b = h @ p["second"] + p["second_bias"][code // mlm.DIGIT]
+            want += np.log(a[code // mlm.DIGIT]) + np.log((np.exp(b) / np.exp(b).sum())[code % mlm.DIGIT])
+        assert found == pytest.approx(want, abs=1e-3)
+
+
+def test_lm_gradients_lower_the_loss(spark):
+    rng = random.Random(1)
+    corpus = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 9}" for j in range(60)) if rng.random() < 0.9 else None) for i in range(300)], "doc_id long, text string").coalesce(1)
+    losses: list[float] = []
+    mlm.train(corpus, mlm.frequent_words(corpus), rounds=4, batch_size=256, losses=losses)
+    assert len(losses) == 4 and losses == sorted(losses, reverse=True) and losses[-1] < 1
+
+
+def test_lm_scores_in_small_stretches(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i if i % 9 else None, " ".join(f"w{int(rng.paretovariate(0.5)) % 90000}" for _ in range(rng.choice([0, 1, 30, 200])))) for i in range(200)] + [(5, None)] * 3
+    corpus = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = sorted((r.doc_id or -1, r.n_tokens, round(r.log_probability, 2)) for r in mlm.score(corpus).collect())
+    monkeypatch.setattr(mlm, "_FLUSH", 50)
+    monkeypatch.setattr(mlm, "_ROWS", 7)
+    monkeypatch.setattr(mlm, "_BUCKET", 40)
+    assert len(whole) == 203 and whole == sorted((r.doc_id or -1, r.n_tokens, round(r.log_probability, 2)) for r in mlm.score(corpus).collect())
+
+
 def test_lm_trains_on_every_token_once(spark):
     import inspect
 
