@@ -21,8 +21,8 @@ Tokens travel as packed arrays keyed by ranges of their hashes, not as rows: a t
 once, the reducer of a hash range finds frequencies, and only tokens of two or more nodes go on.
 
 Defined results: a null or wordless text has the empty set, linked with nothing; fewer than five words count as one
-shingle; repeated rows share a node; a null key is carried along and never is a component's id unless all are null;
-an empty table gives an empty result; other columns do not matter.
+shingle; repeated rows share a node; the key may be of any type that can be ordered; a null key is carried along and never
+is a component's id unless all are null; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm._spark import drop, materialize, shuffle_partitions
 from quarry.llm._text import batch_word_hashes, groups, mix, ngram_hashes
@@ -70,7 +71,7 @@ def needed(n: np.ndarray, t: Fraction) -> np.ndarray:
     return -(-n * t.numerator // t.denominator)
 
 
-_MAP = "slot int, kind int, key long, node long, n int, nodes binary, sizes binary, owners binary, tokens binary"
+_MAP = "slot int, kind int, key {key}, node long, n int, nodes binary, sizes binary, owners binary, tokens binary"
 
 
 def _postings(docs: DataFrame, key: str, text: str, n: int, slots: int) -> DataFrame:
@@ -91,22 +92,20 @@ def _postings(docs: DataFrame, key: str, text: str, n: int, slots: int) -> DataF
             order = np.argsort(tokens, kind="stable")
             tokens, owners = tokens[order], owners[order]
             slot = (tokens >> shift).astype(np.int64)
-            edges = np.searchsorted(slot, np.arange(slots + 1))
+            present = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
             rows = []
-            for s in range(slots):
-                a, b = edges[s], edges[s + 1]
-                if a < b:
-                    used, local = np.unique(owners[a:b], return_inverse=True)
-                    short = (tokens[a:b] << (_U64(64) - shift)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_KEPT]
-                    rows.append((s, 1, None, None, None, nodes[used].tobytes(), sizes[used].tobytes(), local.astype("<u2" if len(used) <= 65536 else "<u4").tobytes(), short.tobytes()))
+            for a, b in zip(present, np.append(present[1:], len(slot)), strict=True):
+                used, local = np.unique(owners[a:b], return_inverse=True)
+                short = (tokens[a:b] << (_U64(64) - shift)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_KEPT]
+                rows.append((int(slot[a]), 1, None, None, None, nodes[used].tobytes(), sizes[used].tobytes(), local.astype("<u2" if len(used) <= 65536 else "<u4").tobytes(), short.tobytes()))
             known.clear()
             sets.clear()
             held = 0
             for a in range(0, len(rows), 64):
-                yield _batch(rows[a : a + 64], names)
+                yield _batch(rows[a : a + 64], names, kind)
 
         for batch in _slices(batches, 1000):
-            rows = []
+            rows, kind = [], batch.schema.field(0).type
             texts = [(x or "").encode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             for k, s in zip(batch.column(0).to_pylist(), shingle_sets(texts, n), strict=True):
                 node = node_of(s)
@@ -118,11 +117,16 @@ def _postings(docs: DataFrame, key: str, text: str, n: int, slots: int) -> DataF
                     held += len(s)
                     if held >= _FLUSH:
                         yield from ship()
-            yield _batch(rows, names)
+            yield _batch(rows, names, kind)
         if sets:
             yield from ship()
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, _MAP)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, _typed(_MAP, docs.schema[key].dataType))
+
+
+def _typed(schema: str, key: T.DataType) -> T.StructType:
+    """The schema with the key's type, which may be any that can be ordered."""
+    return T.StructType([T.StructField(f.name, key) if f.name == "key" else f for f in T.StructType.fromDDL(schema.format(key="long")).fields])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -132,25 +136,24 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             yield batch.slice(a, rows)
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+def _batch(rows: list[tuple], names: list[str], key: pa.DataType) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), key, pa.int64(), pa.int32(), *[pa.binary()] * 4]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-_REDUCED = "kind int, key long, node long, n int, part int, nodes binary, sizes binary, owners binary, tokens binary, freqs binary"
+_REDUCED = "kind int, key {key}, node long, n int, part int, nodes binary, sizes binary, owners binary, tokens binary, freqs binary"
 
 
 def _frequencies(postings: DataFrame, parts: int) -> DataFrame:
     """kind 0 as it comes; kind 1: the postings of tokens of two or more nodes, with frequencies, by part of the node."""
     names = [c.split()[0] for c in _REDUCED.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
-
-    def make(rows: list[tuple]) -> pa.RecordBatch:
+    def make(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+        kinds = [pa.int32(), key, pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    def reduce(slot: int, found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def reduce(slot: int, found: list[tuple], key: pa.DataType) -> Iterator[pa.RecordBatch]:
         nodes = [np.frombuffer(x[0], "<i8") for x in found]
         sizes = [np.frombuffer(x[1], "<u4") for x in found]
         owners = [np.frombuffer(x[2], "<u2" if len(m) <= 65536 else "<u4") for x, m in zip(found, nodes, strict=True)]
@@ -185,27 +188,27 @@ def _frequencies(postings: DataFrame, parts: int) -> DataFrame:
             if len(at):
                 used, first, local = np.unique(node[at], return_index=True, return_inverse=True)
                 rows.append((1, None, None, None, p, used.tobytes(), size[at][first].astype("<u4").tobytes(), local.astype("<u4").tobytes(), (tokens[at] + salt).tobytes(), freq[at].astype("<u4").tobytes()))
-        yield make(rows)
+        yield make(rows, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, found = None, []
         for batch in batches:
-            plain = []
+            plain, of = [], batch.schema.field(2).type
             for s, kind, key, node, n, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
                     plain.append((0, key, node, n, None, None, None, None, None, None))
                     continue
                 if s != slot and found:
-                    yield from reduce(slot, found)
+                    yield from reduce(slot, found, of)
                     found = []
                 slot = s
                 found.append(packed)
-            yield make(plain)
+            yield make(plain, of)
         if found:
-            yield from reduce(slot, found)
+            yield from reduce(slot, found, of)
 
     dealt = postings.repartition(shuffle_partitions(postings.sparkSession), "slot").sortWithinPartitions("slot", "kind")
-    return dealt.mapInArrow(run, _REDUCED)
+    return dealt.mapInArrow(run, _typed(_REDUCED, postings.schema["key"].dataType))
 
 
 _INDEXED = "node long, n int, m int, bits binary, tokens binary, sigs array<long>"
@@ -369,9 +372,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: str = "3/4", rare: int = 256) -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     t, spark = Fraction(threshold), docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    slots = 1 << max(0, (size // (8 << 20)).bit_length())  # a range holds the postings of about 8 MB of text
-    slots = max(slots, 64)
+    slots = 1 << max(6, (8 * shuffle_partitions(spark) - 1).bit_length())  # several ranges a task
     first, scratch = [], []
     reduced = materialize(_frequencies(_postings(docs, key, text, n, slots), min(slots, 8 * shuffle_partitions(spark))), first)
     rows = materialize(reduced.filter("kind = 0").select("key", "node", F.col("n").cast("long").alias("n_shingles")), scratch)

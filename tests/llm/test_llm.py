@@ -696,3 +696,72 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     assert abs(size(out[3]) - size(out[2])) < 0.1 * size(out[2])
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_pieces(spark.createDataFrame(out[3], docs.schema), pieces, 2048)
+
+
+ODD = "doc_id long, text string, source string, _key string, _spans map<string,string>, _carry int, _quality_kept string, file long, `index` int, row string, kind int"
+
+
+def odd_rows() -> list[tuple]:
+    rng = random.Random(21)
+    vocab = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(30, 300))) for _ in range(30)]
+    extra = lambda i: ("k", {"a": str(i)}, i, "no", 5, 6, "r", 7)
+    rows = [(i, t, f"s{i % 3}" if i % 7 else None, *extra(i)) for i, t in enumerate(texts)]
+    rows += [rows[4], rows[4], (None, texts[5], "s1", *extra(1)), (None, texts[6] + " secret: Abcdefgh12345678", None, *extra(2)), (None, None, None, *extra(3)), (7, texts[8], "s0", *extra(4)), (99, "", "s9", *extra(5))]
+    return [*rows, (100, texts[9] + " user: bob token=abcdefghijklmnop", "s1", *extra(6))]
+
+
+@pytest.mark.parametrize("from_file", [True, False])
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, from_file):
+    import corpus_pipeline
+
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, ODD)
+    if from_file:
+        docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages, said = dict(corpus_pipeline.STAGES), lambda rs: Counter(str(tuple(r)) for r in rs)
+    kept = stages["quality_rules"](spark, docs, "")
+    ok = {t: quality.digests([t], quality.Bands())["kept"][0] for _, t, *_ in rows if t is not None}
+    assert kept.columns == docs.columns and said(kept.collect()) == said(r for r in rows if r[1] is not None and ok[r[1]])
+    one = stages["ngram_join"](spark, kept, "")
+    left = one.collect()
+    assert one.columns == docs.columns and not said(left) - said(kept.collect())
+    groups: dict = {}
+    for r, c in zip(kept.collect(), brute_components([(i, r.text) for i, r in enumerate(kept.collect())]), strict=True):
+        groups.setdefault(c, []).append(r)
+    least = lambda rs: min((r.doc_id is None, r.doc_id or 0) for r in rs)
+    assert len(left) == len(groups) and Counter((r.doc_id is None, r.doc_id or 0) for r in left) == Counter(map(least, groups.values()))
+    masked = stages["secret_scan"](spark, one, "")
+    assert masked.columns == docs.columns and masked.filter("text like '%Abcdefgh12345678%'").count() == 0 and masked.count() == len(left)
+    mixed = stages["mixing"](spark, masked, "")
+    assert mixed.columns == docs.columns and not {str(tuple(r)) for r in mixed.collect()} - {str(tuple(r)) for r in masked.collect()}
+    check_pieces(mixed, stages["packing"](spark, mixed, "").collect(), 2048)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_operators_run_in_a_session_without_a_preset_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import corpus_pipeline
+from quarry.llm import mixing, ngram_join, queries, secret_scan, suffix_dedup
+assert s.conf.get("spark.checkpoint.dir", None) is None
+d = s.createDataFrame([(i, "one two three four five six " * 9, "a") for i in range(4)], "doc_id long, text string, source string")
+assert [f.count() for f in (secret_scan.scan(d), suffix_dedup.dedup(d), ngram_join.jaccard_components(d), mixing.mix(d))] == [4] * 4
+d.write.parquet(PATH + "/documents.parquet")
+assert corpus_pipeline.run(s, PATH).count() == 0
+""".replace("PATH", repr(str(tmp_path / "in")))
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.path.abspath(f"{os.path.dirname(__file__)}/../..")}
+    run = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=600)
+    assert run.returncode == 0, run.stderr[-3000:]
