@@ -16,6 +16,10 @@ TYPE_WEIGHTS = {
 }
 DEFAULT_WEIGHT = 0.35
 SOURCES = list(SOURCE_WEIGHTS)
+#: The order in which sources are asked.
+ASKED = [
+    "wikipedia", "arxiv", "semantic_scholar", "pubmed", "openalex", "core", "crossref", "stack_exchange", "hacker_news", "github", "wikidata", "sec_edgar", "data_gov", "official_docs",
+]
 SOURCE_TYPES = {
     "sec_edgar": "filing", "data_gov": "government", "official_docs": "government", "pubmed": "medical", "wikipedia": "encyclopedic",
     "wikidata": "structured_fact", "github": "code", "stack_exchange": "forum", "hacker_news": "tech_discussion",
@@ -24,17 +28,19 @@ STANCES = {
     "filing": "primary_source", "government": "primary_source", "academic": "secondary_analysis", "medical": "secondary_analysis", "code": "secondary_analysis",
     "encyclopedic": "tertiary_summary", "structured_fact": "tertiary_summary", "forum": "opinion", "tech_discussion": "opinion",
 }
-PRERANK_STOPWORDS = (
-    "about after also because before between could from have into like more most that their there these this what when where which while with would your"
-).split()
-SCORE_STOPWORDS = (
-    "about after again also because being between could does doing down each exactly from have more most should that their there these they this through using "
-    "what when where which while with would"
-).split()
-GAP_STOPWORDS = (
-    "about after again against also because been being between could does doing down each exactly from have more most should that their there these they this "
-    "through towards using what when where which while with would"
-).split()
+PRERANK_STOPWORDS = [
+    "about", "after", "also", "because", "before", "between", "could", "from", "have", "into", "like", "more", "most", "that", "their", "there", "these", "this", "what",
+    "when", "where", "which", "while", "with", "would", "your",
+]
+SCORE_STOPWORDS = [
+    "about", "after", "again", "also", "because", "being", "between", "could", "does", "doing", "down", "each", "exactly", "from", "have", "more", "most", "should",
+    "that", "their", "there", "these", "they", "this", "through", "using", "what", "when", "where", "which", "while", "with", "would",
+]
+GAP_STOPWORDS = [
+    "about", "after", "again", "against", "also", "because", "been", "being", "between", "could", "does", "doing", "down", "each", "exactly", "from", "have", "more",
+    "most", "should", "that", "their", "there", "these", "they", "this", "through", "towards", "using", "what", "when", "where", "which", "while", "with", "would",
+]
+# Rules of intents and domains, phrase boosts, sources by type and topic, aliases, tracking parameters.
 OIL = "(oil|crude|wti|brent|opec|gasoline|energy|petroleum|fuel|commodity|commodities)"
 INTENT_RULES = [  # pattern, query types, source types
     ("(debt|inflation|deficit|spending|fiscal|geopolitic|market downturn|crash)", ["multi-hop", "fresh-fact"], ["government", "academic"]),
@@ -77,6 +83,8 @@ SOURCE_ALIASES = {
     "eia_open_data": ["official_docs", "data_gov"], "eia_steo": ["official_docs", "data_gov"], "exchange_docs": ["official_docs"],
 }
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid"]
+#: mode, attempts of a model call, extraction, repair rounds, chunks that pre-ranking keeps
+MODE_POLICY = [("fast", 1, False, 0, 18), ("balanced", 1, True, 2, 12), ("quality", 2, True, 4, 18)]
 NOW = "2025-01-01 00:00:00"
 
 

@@ -10,7 +10,6 @@ from quarry.plans.evidence import EngineConf, Evidence, answers, rounds
 
 #: Fixed value: what a source id looks like.
 SOURCE_ID = r"^[a-z][a-z0-9_:-]{1,63}$"
-MODE_POLICY = [("fast", 1, False, 0), ("balanced", 1, True, 2), ("quality", 2, True, 4)]  # mode, attempts, extraction, rounds
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
@@ -42,6 +41,7 @@ class Tools:
     """``search``, ``evidence``, ``trace``, ``sources``, ``source_health``, ``cost`` and ``plugin_doctor``."""
 
     def __init__(self, asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf()) -> None:
+        self.asked, self.items, self.conf = asked, items, conf
         self.plan = Evidence(asked, items, conf)
 
     def search(self) -> DataFrame:
@@ -51,7 +51,7 @@ class Tools:
         return self.plan.selected.select("query_id", "chunk_id", "source", "source_type", "url", "content", "claim", "stance", "relevance", "confidence", "gain")
 
     def trace(self) -> DataFrame:
-        return rounds(self.plan.asked, self.plan.items, self.plan.conf)
+        return rounds(self.asked, self.items, self.conf)
 
     def sources(self) -> DataFrame:
         return dims.registry(self.plan.asked.sparkSession)

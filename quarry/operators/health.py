@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.dims import TYPE_WEIGHTS, lookup
+from quarry import topics
+from quarry.dims import GAP_STOPWORDS, TYPE_WEIGHTS, lookup, strings
+from quarry.functions.text import terms
+from quarry.operators import planner
 from quarry.operators.ranking import matches_required
 
 
@@ -56,21 +59,87 @@ def health(intents: DataFrame, selected: DataFrame, clusters: DataFrame, failed_
     return h.select("query_id", F.col("n").alias("selected"), "matched", *(F.when(some, F.col(p)).otherwise(0).cast("long").alias(p) for p in parts), "quality", "coverage", status.alias("status"), (F.floor(F.col("rel") * 1e6 + 0.5) / 1e6).alias("avg_relevance"), F.col("primary").alias("primary_sources"), F.col("near_zero"))
 
 
-def gaps(intents: DataFrame, selected: DataFrame, healthy: DataFrame) -> DataFrame:
-    """Required types without evidence, split into hard and soft, and whether to retry: one row a query."""
-    met = selected.select("query_id", "stance", "source_type", "source")
-    needs = intents.select("query_id", "query_types", F.explode("required_types").alias("needs"))
-    covered = needs.join(met, "query_id").filter(matches_required(F.col("stance"), F.col("source_type"), F.col("source"), F.col("needs"))).select("query_id", "needs").distinct()
-    open_ = needs.join(covered, ["query_id", "needs"], "left_anti").join(healthy.select("query_id", "status"), "query_id")
-    good = F.col("status").isin("adequate", "strong")
-    hard = (
-        F.when(F.col("needs").isin("encyclopedic", "forum", "code") & good, False).when(F.col("needs") == "news", False).when(F.col("needs").isin("primary-document", "government", "filing", "medical"), True)
-        .when((F.col("needs") == "academic") & F.arrays_overlap("query_types", F.array(F.lit("academic"), F.lit("source-attribution"))), True).otherwise(~good)
+def _keyword_only(query: Column, title: Column, content: Column, relevance: Column) -> Column:
+    """Whether a chunk only shares words with the query: hardly relevant, about its author, or with one query term at most."""
+    asked = F.array_except(terms(query, 2), strings(GAP_STOPWORDS))
+    hits = F.size(F.array_intersect(asked, terms(F.concat_ws(" ", F.coalesce(title, F.lit("")), content), 2)))
+    author = F.lower(F.coalesce(title, F.lit(""))).rlike("about the author|author biography|editorial board|copyright|terms of use")
+    return (relevance < 0.18) | ((F.size(asked) >= 4) & (author | ((hits <= 1) & (relevance < 0.35))))
+
+
+def unavailable(results: DataFrame) -> DataFrame:
+    """(query_id, source) of sources that were asked, never answered, and only failed in ways that a retry cannot mend.
+
+    ``results``: (query_id, source, ok, category, code), one row a request.
+    """
+    code = F.upper(F.coalesce("code", F.lit("")))
+    final = F.col("category").isin("missing_config", "rate_limited", "query_invalid", "unavailable") | code.contains("MISSING") | code.contains("DISABLED") | code.isin("HTTP_403", "HTTP_429", "HTTP_422")
+    r = results.groupBy("query_id", "source").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(~F.col("ok") & ~F.coalesce(final, F.lit(False))).alias("other"))
+    return r.filter("ok = 0 AND failed > 0 AND other = 0").select("query_id", "source")
+
+
+def classify_gaps(query: Column, types: Column, required: Column, missing: Column, healthy: Column, matched: Column, sources: Column, primary: Column) -> tuple[Column, Column]:
+    """The missing source types that evidence can't do without, and those that it can."""
+    lower, has = F.lower(query), lambda a, x: F.array_contains(a, x)
+    appsec = lower.rlike(next(p for n, p, *_ in topics.GAPS if n == "appsec")) & healthy & (has(matched, "academic") | (sources >= 2)) & (has(matched, "primary-document") | (primary > 0))
+    code_needed = has(required, "code") & lower.rlike(topics.NEEDS_CODE)
+    academic = has(types, "academic") | has(types, "source-attribution")
+
+    def soft(g: Column) -> Column:
+        return (
+            F.when((g == "code") & appsec, True).when((g == "encyclopedic") & (healthy | appsec), True).when((g == "forum") & healthy, True).when((g == "code") & ~code_needed & healthy, True).when(g == "news", True)
+            .when(g.isin("primary-document", "government", "filing", "medical"), False).when((g == "academic") & academic, False).otherwise(healthy)
+        )
+
+    return F.filter(missing, lambda g: ~soft(g)), F.filter(missing, soft)
+
+
+def gaps(intents: DataFrame, selected: DataFrame, healthy: DataFrame, results: DataFrame | None = None, round_: int = 0, rounds: int = 2) -> DataFrame:
+    """One row a query: what its evidence lacks, whether another round is to mend it, and the sub-queries of that round.
+
+    ``results``: (query_id, source, ok) of the requests made. Lists of chunk ids are in ascending order.
+    """
+    q = intents.select("query_id", "query", "query_types", "required_types") if "query" in intents.columns else intents.select("query_id", F.lit("").alias("query"), "query_types", "required_types")
+    met = selected.select("query_id", "stance", "source_type", "source", "title", "content", "relevance", "chunk_id").join(q, "query_id")
+    per_query = met.groupBy("query_id").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.filter("required_types", lambda r: matches_required(F.col("stance"), F.col("source_type"), F.col("source"), r))))).alias("matched"),
+        F.countDistinct("source").alias("sources"), F.avg("relevance").alias("average"), F.count(F.lit(1)).alias("n"),
+        F.array_sort(F.collect_list(F.when(F.col("relevance") < 0.18, F.col("chunk_id")))).alias("low_ids"),
+        F.array_sort(F.collect_list(F.when(_keyword_only(F.col("query"), F.col("title"), F.col("content"), F.col("relevance")), F.col("chunk_id")))).alias("keyword_only_ids"),
+        F.lower(F.array_join(F.collect_list(F.concat_ws(" ", F.coalesce("title", F.lit("")), "content")), " ")).alias("said"),
+    )
+    none = F.array().cast("array<string>")
+    g = q.join(healthy.select("query_id", "status", "primary_sources"), "query_id").join(per_query, "query_id", "left").fillna(0, ["sources", "average", "n"]).fillna("", ["said"])
+    for c in ("matched", "low_ids", "keyword_only_ids"):
+        g = g.withColumn(c, F.coalesce(c, none))
+    failed = F.lit(None).cast("array<string>")
+    if results is not None:
+        lost = results.groupBy("query_id", "source").agg(F.count_if("ok").alias("ok"), F.count(F.lit(1)).alias("asked")).filter("ok = 0 AND asked > 0")
+        g = g.join(lost.groupBy("query_id").agg(F.array_sort(F.collect_list("source")).alias("lost")), "query_id", "left")
+        failed = F.array_intersect(planner.important_sources(F.col("query"), F.col("required_types")), F.coalesce("lost", none))
+    ok = F.col("status").isin("adequate", "strong")
+    g = g.withColumn("missing", F.array_except("required_types", "matched")).withColumn("failed_sources", F.coalesce(failed, none))
+    hard, soft = classify_gaps(F.col("query"), F.col("query_types"), F.col("required_types"), F.col("missing"), ok, F.col("matched"), F.col("sources"), F.col("primary_sources"))
+    g = g.withColumn("hard_gaps", hard).withColumn("soft_gaps", soft).withColumn("missing_facets", planner.missing_facets(F.col("query"), F.col("said"))).withColumn("selected", F.col("n"))
+    weak = F.col("status").isin("weak", "insufficient")
+    some = lambda c: F.size(c) > 0
+    critical = (F.col("n") == 0) | weak | some("low_ids") | some("keyword_only_ids") | some("hard_gaps") | some("missing_facets") | some("failed_sources") | (F.col("average") < 0.25)
+    g = planner.repair_plan(g.withColumn("critical", critical))
+    retry = F.col("critical") & (some("plan") if round_ < rounds else F.lit(False))
+    joined = lambda c: F.array_join(c, ", ")
+    reasons = [
+        F.when(F.col("n") == 0, F.lit("No selected evidence is left after retrieval, scoring, deduplication and assembly.")), F.when(weak, F.concat(F.lit("Evidence is "), "status", F.lit("."))),
+        F.when(some("hard_gaps"), F.concat(F.lit("Source types that are needed are missing: "), joined("hard_gaps"), F.lit("."))), F.when(some("soft_gaps"), F.concat(F.lit("Source types that are missing but not needed: "), joined("soft_gaps"), F.lit("."))),
+        F.when((F.col("average") > 0) & (F.col("average") < 0.35), F.concat(F.lit("Mean relevance is low ("), F.format_number("average", 2), F.lit(")."))), F.when(some("missing_facets"), F.concat(F.lit("Missing facets: "), joined("missing_facets"), F.lit("."))),
+        F.when(some("failed_sources"), F.concat(F.lit("Sources that matter failed: "), joined("failed_sources"), F.lit("."))), F.when(some("low_ids"), F.concat(F.lit("Chunks hardly relevant: "), joined("low_ids"), F.lit("."))),
+        F.when(some("keyword_only_ids"), F.concat(F.lit("Chunks that only share words: "), joined("keyword_only_ids"), F.lit("."))),
+    ]
+    return g.select(
+        "query_id", "query", "query_types", "required_types", "missing", "hard_gaps", "soft_gaps", "missing_facets", "low_ids", "keyword_only_ids", "failed_sources", "critical", "plan",
+        F.when(retry, "retry_retrieval").when(F.col("critical"), "synthesize_cautiously").otherwise("no_retry").alias("action"),
+        F.when(retry, "retryable_critical_gaps").when(F.col("critical"), "critical_gaps_not_retryable").when(ok & some("soft_gaps"), "adequate_with_soft_gaps").otherwise("no_retryable_gaps").alias("stop_reason"),
+        F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons"),
     )
-    g = open_.withColumn("hard", hard).groupBy("query_id").agg(F.count_if("hard").alias("hard_gaps"), F.count_if(~F.col("hard")).alias("soft_gaps"), F.array_join(F.array_sort(F.collect_list("needs")), ",").alias("missing"))
-    out = healthy.join(g, "query_id", "left").fillna(0, ["hard_gaps", "soft_gaps"]).fillna("", ["missing"])
-    critical = (F.col("selected") == 0) | F.col("status").isin("weak", "insufficient") | (F.col("near_zero") > 0) | (F.col("hard_gaps") > 0) | (F.col("avg_relevance") < 0.25)
-    return out.select("query_id", "missing", "hard_gaps", "soft_gaps", critical.alias("critical"), F.when(critical, "retry_retrieval").otherwise("no_retry").alias("action"), F.when(critical, "retryable_critical_gaps").when(F.col("soft_gaps") > 0, "adequate_with_soft_gaps").otherwise("no_retryable_gaps").alias("stop_reason"))
 
 
 DELTAS = {"confirmed": (1.0, 0.0), "contradicted": (0.0, 1.0), "repeated": (0.2, 0.1), "observed": (0.05, 0.05)}

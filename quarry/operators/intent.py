@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.dims import DOMAIN_RULES, INTENT_RULES, OIL, SOURCE_ALIASES, SOURCES, TOPIC_SOURCES, TYPE_SOURCES, strings
+from quarry.dims import ASKED, DOMAIN_RULES, INTENT_RULES, OIL, SOURCE_ALIASES, SOURCES, TOPIC_SOURCES, TYPE_SOURCES, strings
 
 _NONE = "array<string>"
 #: A word boundary over ASCII word characters; the engine's own ``\\b`` also knows other letters.
@@ -58,57 +58,12 @@ def with_intent(queries: DataFrame, query: str = "query") -> DataFrame:
 
 
 def fallback_sources(query: Column, required: Column) -> Column:
-    """Target sources of the general plan: by required type, then by topic, in catalog order, at most 6."""
+    """Target sources of the general plan: by required type, then by topic, in the order in which sources are asked, at most 6."""
     lower = F.lower(query)
     pairs = [(F.array_contains(required, t), s) for t, s in TYPE_SOURCES.items()] + [(lower.rlike(p), s) for p, s in TOPIC_SOURCES]
     found = _where(pairs)
     found = F.when(F.size(found) == 0, strings(["wikipedia", "wikidata", "crossref"])).otherwise(found)
-    return F.slice(F.filter(strings(PRIORITY), lambda s: F.array_contains(found, s)), 1, 6)
-
-
-#: The order in which sources are asked (fixed value).
-PRIORITY = (
-    "wikipedia arxiv semantic_scholar pubmed openalex core crossref stack_exchange hacker_news github wikidata sec_edgar data_gov official_docs"
-).split()
-
-
-def plan(intents: DataFrame) -> DataFrame:
-    """Sub-queries: (query_id, ix, sub_query, target_sources, retrieval_intent, max_results)."""
-    q, types = F.col("query"), F.col("query_types")
-    sources = fallback_sources(q, F.col("required_types"))
-    row = lambda text, targets, intent, n: F.struct(text.alias("sub_query"), targets.alias("target_sources"), intent.alias("retrieval_intent"), n.cast("int").alias("max_results"))
-    main = row(q, F.col("sources"), F.when(F.array_contains(types, "source-attribution"), "primary_evidence").otherwise("corroborating"), F.least(F.lit(6), F.greatest(F.lit(3), F.size("sources"))))
-    fresh = row(F.concat(q, F.lit(" latest official data projections")), F.slice(F.filter("sources", lambda s: s.isin("data_gov", "sec_edgar", "openalex", "crossref")), 1, 4), F.lit("temporal"), F.lit(5))
-    contrary = row(F.concat(q, F.lit(" primary source evidence risks limitations")), F.slice(F.filter("sources", lambda s: s != "hacker_news"), 1, 5), F.lit("contrarian"), F.lit(4))
-    rows = F.array(main, F.when(F.array_contains(types, "fresh-fact"), fresh), F.when(F.array_contains(types, "adversarial"), contrary))
-    kept = F.slice(F.filter(rows, lambda r: r.isNotNull() & (F.size(r["target_sources"]) > 0)), 1, 6)
-    return intents.withColumn("sources", sources).select("query_id", F.posexplode(kept).alias("ix", "s")).select("query_id", "ix", "s.*")
-
-
-def broaden(plan_: DataFrame, intents: DataFrame, most: int = 7) -> DataFrame:
-    """The plan with sub-queries for source families that no sub-query asks."""
-    lower, q = F.lower("query"), F.col("query")
-    short = F.size(F.split(F.trim("query"), r"\s+")) <= 10
-    market = lower.rlike("(oil|crude|wti|brent|opec|gasoline|energy|petroleum|fuel|commodity|commodities|inflation|rates|fed|treasury|market|prices?)")
-    software = lower.rlike("(software|security|appsec|code|api|library|framework|github|vulnerability)")
-    lacks = lambda *s: ~F.arrays_overlap("asked", strings(list(s)))
-    row = lambda text, targets, intent, n: F.struct(F.concat(q, F.lit(text)).alias("sub_query"), strings(targets).alias("target_sources"), F.lit(intent).alias("retrieval_intent"), F.lit(n).alias("max_results"))
-    extra = F.array(
-        F.when((short | market) & lacks("wikipedia", "wikidata"), row(" background entities official context", ["wikipedia", "wikidata"], "definitional", 3)),
-        F.when((F.array_contains("query_types", "fresh-fact") | market) & lacks("official_docs", "data_gov"), row(" official data forecast statistics", ["official_docs", "data_gov"], "temporal", 5)),
-        F.when((short | market | F.array_contains("required_types", "academic")) & lacks("openalex", "crossref"), row(" causes forecast analysis evidence", ["openalex", "crossref"], "corroborating", 4)),
-        F.when(software & lacks("github"), row(" implementation examples documentation", ["github", "stack_exchange"], "corroborating", 4)),
-    )
-    asked = plan_.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("target_sources"))).alias("asked"), F.sort_array(F.collect_list(F.struct("ix", "sub_query", "target_sources", "retrieval_intent", "max_results"))).alias("base"))
-    joined = intents.join(asked, "query_id")
-    rows = F.slice(F.concat(F.transform("base", lambda b: F.struct(b["sub_query"].alias("sub_query"), b["target_sources"].alias("target_sources"), b["retrieval_intent"].alias("retrieval_intent"), b["max_results"].alias("max_results"))), F.filter(extra, lambda r: r.isNotNull())), 1, most)
-    return joined.select("query_id", F.posexplode(rows).alias("ix", "s")).select("query_id", "ix", "s.*")
-
-
-def prefer(plan_: DataFrame, preferred: list[str]) -> DataFrame:
-    """Target sources restricted to preferred ones; sub-queries without any are left out."""
-    kept = F.filter("target_sources", lambda s: s.isin(*preferred))
-    return plan_.withColumn("target_sources", kept).filter(F.size("target_sources") > 0)
+    return F.slice(F.filter(strings(ASKED), lambda s: F.array_contains(found, s)), 1, 6)
 
 
 def coerce_source(name: Column) -> Column:
@@ -122,6 +77,6 @@ def coerce_source(name: Column) -> Column:
 
 def tasks(plan_: DataFrame, registry: DataFrame) -> DataFrame:
     """One row for each sub-query and source in plan order; a source without a connector is marked."""
-    t = plan_.select("query_id", "ix", "sub_query", "max_results", F.posexplode("target_sources").alias("pos", "source"))
+    t = plan_.select("query_id", "ix", "sub_query", "retrieval_intent", "max_results", F.posexplode("target_sources").alias("pos", "source"))
     known = F.broadcast(registry.select("source", F.lit(True).alias("known")))  # one row a connector
     return t.join(known, "source", "left").withColumn("error", F.when(F.col("known").isNull(), "SOURCE_HANDLER_MISSING")).drop("known")

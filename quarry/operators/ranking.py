@@ -26,15 +26,19 @@ def any_required(required: str = "required_types", news: str = "never") -> Colum
     return F.exists(required, lambda r: matches_required(F.col("stance"), F.col("source_type"), F.col("source"), r, news))
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, least_hits: int = 3) -> DataFrame:
-    """(query_id, chunk_id, shared): chunks that share at least ``least_hits`` distinct terms with a query.
+def candidates(tasks: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, ix, source, item_id, shared): of every sub-query and source the ``max_results`` items that share most distinct terms.
 
-    An equi-join on terms; a chunk's terms are cut to those that some query has before they are shuffled.
+    What a connector's search does, over a table of items (id, ord, source, text): ties go to the lesser ``ord``. An
+    equi-join on source and term; an item's terms are cut to those that some sub-query asks its source for before they
+    are shuffled, and the best of a task are kept within a partition first.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query"), 3, SCORE_STOPWORDS))).alias("term"))
-    c = chunks.select("chunk_id", F.explode(F.array_distinct(terms(F.col("content")))).alias("term"))
-    c = c.join(q.select("term").distinct(), "term", "left_semi")
-    return q.join(c, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least_hits)
+    q = tasks.select("query_id", "ix", "source", "max_results", F.explode(F.array_distinct(terms(F.col("sub_query"), 3, SCORE_STOPWORDS))).alias("term"))
+    i = items.select("source", F.col("id").alias("item_id"), "ord", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    i = i.join(q.select("source", "term").distinct(), ["source", "term"], "left_semi")
+    shared = q.join(i, ["source", "term"]).groupBy("query_id", "ix", "source", "max_results", "item_id", "ord").agg(F.count(F.lit(1)).alias("shared"))
+    best = F.row_number().over(W.partitionBy("query_id", "ix", "source").orderBy(F.desc("shared"), "ord"))
+    return shared.withColumn("r", best).filter("r <= 10").filter("r <= max_results").select("query_id", "ix", "source", "item_id", "shared")
 
 
 def with_haystack(rows: DataFrame) -> DataFrame:

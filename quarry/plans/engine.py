@@ -9,7 +9,7 @@ from quarry import dims
 from quarry.operators import assembly, dedup, ranking
 from quarry.operators.ranking import GUARD
 from quarry.plans import evidence
-from quarry.plans.relational import _union_sql
+from quarry.plans.planning import HITS, PLAN
 from quarry.plans.scalars import CHUNKS, PRE_STOP, RAW, STOP, terms_sql, tokens_sql
 
 QUERIES, SQL = {}, {}
@@ -31,17 +31,12 @@ _WEIGHTS = (
     f"s(source, sw) AS (VALUES {','.join(f'({chr(39)}{k}{chr(39)}, {v}::DOUBLE)' for k, v in dims.SOURCE_WEIGHTS.items())}), "
     f"t(source_type, tw) AS (VALUES {','.join(f'({chr(39)}{k}{chr(39)}, {v}::DOUBLE)' for k, v in dims.TYPE_WEIGHTS.items())})"
 )
-_UNION = "list_filter(asked || ['government','academic','encyclopedic'], lambda x, i: list_position(asked || ['government','academic','encyclopedic'], x) = i)"
 #: candidates with the columns of query and chunk
 BASE = f"""WITH RECURSIVE {RAW}, {CHUNKS}, {_WEIGHTS},
-q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
-i1 AS (SELECT *, list_slice({_union_sql(1)}, 1, 4) AS types0, list_slice({_union_sql(2)}, 1, 5) AS asked FROM q),
-i2 AS (SELECT *, CASE WHEN regexp_matches(lower(query), '{dims.OIL}') THEN {_UNION} ELSE asked END AS r0 FROM i1),
-qi AS (SELECT query_id, query, CASE WHEN len(types0) = 0 THEN ['multi-hop'] ELSE types0 END AS types, list_slice(CASE WHEN list_contains(types0, 'fresh-fact') AND len(r0) = 0 THEN ['government','academic'] ELSE r0 END, 1, 6) AS required FROM i2),
-hit AS (SELECT query_id, chunk_id, count(*) AS shared FROM (SELECT query_id, unnest(list_distinct({terms_sql('query', STOP)})) AS term FROM q) JOIN (SELECT chunk_id, unnest(list_distinct({terms_sql('content')})) AS term FROM chunk) USING (term) GROUP BY ALL HAVING count(*) >= 3),
-c AS (SELECT query_id, chunk_id, query, types, required, content, {tokens_sql('content')} AS tokens, source, raw.source_type, url, title, publish_date, raw.ord * 10000 + n AS ord, greatest(coalesce(sw, 0.35), coalesce(tw, 0.35)) AS weight,
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {PLAN}, {HITS},
+c AS (SELECT query_id, chunk_id, query, types, required, content, {tokens_sql('content')} AS tokens, raw.source, raw.source_type, url, title, publish_date, raw.ord * 10000 + n AS ord, greatest(coalesce(sw, 0.35), coalesce(tw, 0.35)) AS weight,
   lower(title || '  ' || content) AS hay, epoch_us(TIMESTAMP '2025-01-01') / 8.64e10 - epoch_us(publish_date::TIMESTAMP) / 8.64e10 AS age
-  FROM hit JOIN qi USING (query_id) JOIN chunk USING (chunk_id) JOIN raw ON raw.id = chunk.item_id LEFT JOIN s USING (source) LEFT JOIN t ON t.source_type = raw.source_type),
+  FROM (SELECT DISTINCT query_id, item_id FROM hit) JOIN qi USING (query_id) JOIN chunk USING (item_id) JOIN raw ON raw.id = chunk.item_id LEFT JOIN s ON s.source = raw.source LEFT JOIN t ON t.source_type = raw.source_type),
 f AS (SELECT *, CASE WHEN age < 0 THEN 0.8 WHEN age < 30 THEN 1.0 WHEN age < 365 THEN 0.85 WHEN age < 1825 THEN 0.7 ELSE 0.55 END::DOUBLE AS freshness,
   {terms_sql('query', PRE_STOP)} AS pt, list_distinct({terms_sql('query', STOP)}) AS st FROM c)"""
 
@@ -69,10 +64,9 @@ sc AS (SELECT *, least(rel0, CASE WHEN regexp_matches(lower(title), '{GUARD["boi
 cb AS (SELECT *, relevance * weight * confidence * greatest(0.4, greatest(0.2, freshness)) AS combined FROM sc)"""
 
 
-@query("t00_candidates", BASE + " SELECT query_id, chunk_id, shared FROM hit")
+@query("t00_candidates", f"WITH {RAW}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {PLAN}, {HITS} SELECT query_id, ix, source, item_id, shared FROM hit")
 def t00(spark, d):
-    e = evidence.of(spark, d)
-    return ranking.candidates(e.asked, e.chunks)
+    return evidence.of(spark, d).hits
 
 
 @query("t01_local_score", BASE + LOCAL + " SELECT query_id, chunk_id, round(local_score, 6) AS local_score FROM g")
@@ -153,7 +147,9 @@ def a11(spark, d):
 
 @query("a13_gaps")
 def a13(spark, d):
-    return evidence.of(spark, d).gaps
+    g = evidence.of(spark, d).gaps
+    joined = [F.array_join(c, "|").alias(c) for c in ("missing", "hard_gaps", "soft_gaps", "missing_facets", "low_ids", "keyword_only_ids", "failed_sources", "reasons")]
+    return g.select("query_id", *joined, "critical", "action", "stop_reason", F.size("plan").alias("repairs"))
 
 
 @query("c01_repair_rounds")
@@ -169,5 +165,6 @@ def f18(spark, d):
 
 @query("flagship_evidence")
 def flagship(spark, d):
-    s = evidence.of(spark, d).selected
+    e = evidence.of(spark, d)
+    s = evidence.final(evidence.run(e.asked, e.items), "selected")
     return s.select("query_id", "chunk_id", "source", "source_type", "tokens", F.round("relevance", 6).alias("relevance"), F.round("gain", 6).alias("gain"))

@@ -1,7 +1,8 @@
 """The evidence plan: from queries and a corpus to scored, deduplicated and selected chunks with diagnostics.
 
 Every stage is a DataFrame keyed by query, so all queries run in one job. ``Evidence`` builds the stages lazily and
-keeps each for the next; ``rounds`` repeats retrieval with wider plans for queries whose gaps call for it.
+keeps each for the next; ``rounds`` asks repair plans for queries whose evidence has gaps, over the union of what all
+rounds have found. Only items that some sub-query retrieved are chunked, and their texts are joined by id.
 """
 
 from __future__ import annotations
@@ -13,67 +14,91 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.binding import chunks, queries, raw_items
-from quarry.dims import NOW
-from quarry.operators import assembly, dedup, health, intent, ranking
+from quarry.dims import MODE_POLICY, NOW, registry, strings
+from quarry.functions.vector import hash_embedding
+from quarry.operators import assembly, dedup, health, intent, planner, ranking
 from quarry.shared import checkpointed
 
 
 @dataclass(frozen=True)
 class EngineConf:
-    """Policy of a run. ``mode`` sets how many repair rounds there are: fast 0, balanced 2, quality 4."""
+    """Policy of a run; ``mode`` sets the number of repair rounds and of chunks that pre-ranking keeps."""
 
     now: str = NOW
     mode: str = "balanced"
     token_budget: int = 4000
-    prerank_cap: int = 12
     threshold: float = 0.2
-    least_hits: int = 3
     tau: float = 0.85
+    preferred: tuple[str, ...] = ()
 
     @property
     def max_rounds(self) -> int:
-        return {"fast": 0, "balanced": 2, "quality": 4}[self.mode]
+        return next(r for m, _, _, r, _ in MODE_POLICY if m == self.mode)
+
+    @property
+    def prerank_cap(self) -> int:
+        return next(c for m, *_, c in MODE_POLICY if m == self.mode)
 
 
 class Evidence:
-    def __init__(self, asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf()) -> None:
-        self.asked, self.items, self.conf = asked, items, conf
+    """One round. ``plan``: (query_id, plan), if it is not the first one; ``before``: scored chunks of earlier rounds;
+    ``store``: (source, domain, score), reliability known from earlier runs."""
+
+    def __init__(self, asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), plan: DataFrame | None = None, before: DataFrame | None = None, round_: int = 0, store: DataFrame | None = None) -> None:
+        self.asked, self.items, self.conf, self.own_plan, self.before, self.round, self.store = asked, items, conf, plan, before, round_, store
 
     @cached_property
     def intents(self) -> DataFrame:
-        return intent.with_intent(self.asked)
+        return checkpointed(intent.with_intent(self.asked))
+
+    @cached_property
+    def planned(self) -> DataFrame:
+        if self.own_plan is not None:
+            return self.intents.join(self.own_plan, "query_id")
+        return checkpointed(planner.preferred(planner.broadened(planner.first_plan(self.intents)), list(self.conf.preferred)))
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """Items that the plan's sub-queries retrieve."""
+        tasks = intent.tasks(planner.sub_queries(self.planned), registry(self.asked.sparkSession)).filter("error IS NULL")
+        return checkpointed(ranking.candidates(tasks, self.items))
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return checkpointed(chunks(self.items, self.conf.now).withColumn("summary", F.lit(None).cast("string")))
+        found = self.items.join(self.hits.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+        return checkpointed(chunks(found, self.conf.now).withColumn("summary", F.lit(None).cast("string")))
 
     @cached_property
     def fetched(self) -> DataFrame:
-        """Candidate chunks with their query's columns."""
-        found = ranking.candidates(self.asked, self.chunks, self.conf.least_hits)
+        """Chunks of retrieved items with their query's columns, without those that an earlier round had."""
+        found = self.chunks.join(self.hits.select("query_id", "item_id").distinct(), "item_id")
+        if self.before is not None:
+            found = found.join(self.before.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
         wanted = self.intents.select("query_id", "query", "query_types", "required_types", "domain")
-        return ranking.with_haystack(checkpointed(found.join(self.chunks, "chunk_id").join(wanted, "query_id")))
+        return ranking.with_haystack(checkpointed(found.join(wanted, "query_id")))
 
     @cached_property
     def preranked(self) -> DataFrame:
         scored = self.fetched.withColumn("surprise", F.lit(0.0)).withColumn("local_score", ranking.local_score(self.conf.now))
-        unique = ranking.one_per_duplicate_key(scored)
+        unique = checkpointed(ranking.one_per_duplicate_key(scored))
         kept = ranking.diverse_top_k(unique, self.conf.prerank_cap).select("query_id", "chunk_id", "position")
         return checkpointed(unique.drop("surprise").join(kept, ["query_id", "chunk_id"]))
 
     @cached_property
     def scored(self) -> DataFrame:
-        return ranking.keep_or_rescue(ranking.score(self.preranked), self.conf.threshold)
+        return checkpointed(ranking.keep_or_rescue(ranking.score(self.preranked), self.conf.threshold))
 
     @cached_property
     def weighted(self) -> DataFrame:
-        """Scored chunks with reliability from what the round itself observed."""
+        """Scored chunks of all rounds, with their sources' reliability: as stored, else from what was observed."""
         seen = self.scored.select("source", "domain", "source_type", F.lit("observed").alias("kind"), "ord")
-        return checkpointed(health.adjust_weights(self.scored, health.reliability(seen)))
+        own = health.adjust_weights(self.scored, health.reliability(seen) if self.store is None else self.store)
+        own = own.withColumn("embedding", hash_embedding()(F.col("content")))
+        return checkpointed(own if self.before is None else own.unionByName(self.before))
 
     @cached_property
     def links(self) -> DataFrame:
-        return checkpointed(dedup.edges(self.weighted, tau=self.conf.tau))
+        return checkpointed(dedup.edges(self.weighted, "embedding", self.conf.tau))
 
     @cached_property
     def clusters(self) -> DataFrame:
@@ -92,27 +117,57 @@ class Evidence:
     def selected(self) -> DataFrame:
         return self.unique.join(self.selection.filter("decision = 'selected'").select("query_id", "chunk_id", "gain"), ["query_id", "chunk_id"])
 
+    @cached_property
+    def results(self) -> DataFrame:
+        """(query_id, source, ok) of what the plan asked; a source without a connector fails."""
+        tasks = intent.tasks(planner.sub_queries(self.planned), registry(self.asked.sparkSession))
+        return tasks.select("query_id", "source", F.col("error").isNull().alias("ok"))
+
     @cached_property
     def health(self) -> DataFrame:
-        return health.health(self.intents, self.selected, self.clusters)
+        return checkpointed(health.health(self.intents, self.selected, self.clusters))
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return health.gaps(self.intents, self.selected, self.health)
+        return checkpointed(health.gaps(self.intents, self.selected, self.health, self.results, self.round, self.conf.max_rounds))
+
+    def next_plan(self) -> DataFrame:
+        """(query_id, plan) of the round after this one, for the queries that are to be retried."""
+        todo = self.gaps.filter("action = 'retry_retrieval'").withColumn("gaps", F.when(F.size("hard_gaps") > 0, F.col("hard_gaps")).otherwise(F.col("required_types")))
+        lost = self.results.groupBy("query_id", "source").agg(F.max("ok").alias("ok")).filter("NOT ok").groupBy("query_id").agg(F.collect_list("source").alias("lost"))
+        todo = planner.broadened_repair(todo, self.round + 1).join(lost, "query_id", "left")
+        return planner.without(todo, F.coalesce("lost", strings([]))).filter(F.size("plan") > 0).select("query_id", "plan")
+
+
+def run(asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), store: DataFrame | None = None) -> list[Evidence]:
+    """The rounds: each asks the repair plan of the queries that are to be retried, and ends with none or the mode's last."""
+    steps = [Evidence(asked, items, conf, store=store)]
+    while steps[-1].round < conf.max_rounds:
+        last = steps[-1]
+        plan = checkpointed(last.next_plan())
+        if plan.isEmpty():
+            break
+        todo = checkpointed(asked.join(plan.select("query_id"), "query_id", "left_semi"))
+        before = last.weighted.join(plan.select("query_id"), "query_id", "left_semi")
+        steps.append(Evidence(todo, items, conf, plan, before, last.round + 1, store))
+    return steps
+
+
+def final(steps: list[Evidence], name: str) -> DataFrame:
+    """A result (``selected``, ``health``, ``gaps``, ``clusters``) of every query in its last round."""
+    out = getattr(steps[-1], name)
+    for earlier, later in zip(steps[-2::-1], steps[:0:-1], strict=True):
+        out = out.unionByName(getattr(earlier, name).join(later.asked.select("query_id"), "query_id", "left_anti"))
+    return out
 
 
 def rounds(asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf()) -> DataFrame:
-    """Gaps of every round: (round, query_id, status, ...). A round runs only for queries that are to be retried, with a
-    lower bar for candidates and a larger pool, and stops when none is left or the mode's limit is reached."""
-    done, todo = None, asked
-    for n in range(conf.max_rounds + 1):
-        wider = EngineConf(conf.now, conf.mode, conf.token_budget, conf.prerank_cap + 6 * n, conf.threshold, max(1, conf.least_hits - n), conf.tau)
-        step = Evidence(todo, items, wider)
-        found = checkpointed(step.gaps.join(step.health.select("query_id", "status", "quality", "coverage"), "query_id").withColumn("round", F.lit(n)))
+    """Gaps and health of every round: (round, query_id, status, quality, ...)."""
+    done = None
+    for step in run(asked, items, conf):
+        found = step.gaps.select("query_id", "action", "stop_reason", F.size("hard_gaps").alias("hard_gaps"), F.size("missing_facets").alias("missing_facets"), F.size("plan").alias("repairs"))
+        found = found.join(step.health.select("query_id", "selected", "status", "quality", "coverage"), "query_id").withColumn("round", F.lit(step.round))
         done = found if done is None else done.unionByName(found)
-        todo = checkpointed(asked.join(found.filter("critical").select("query_id"), "query_id", "left_semi"))
-        if todo.isEmpty():
-            break
     return done
 
 

@@ -44,9 +44,12 @@ def p21(spark, d):
     return table(spark, d, "documents").select("doc_id", facade.coerce_json(said, "score bigint, label string").alias("x")).select("doc_id", "x.score", "x.label")
 
 
-@query("z02_mode_policy", "SELECT * FROM (VALUES ('fast', 1, false, 0), ('balanced', 1, true, 2), ('quality', 2, true, 4)) t(mode, attempts, extraction, rounds)")
+@query("z02_mode_policy", """SELECT item_id, mode, (item_id % 3 = 2)::INT + 1 AS attempts, item_id % 3 > 0 AS extraction, ([0, 2, 4])[item_id % 3 + 1] AS rounds, CASE WHEN item_id % 3 = 1 THEN 12 ELSE 18 END AS cap
+    FROM (SELECT item_id, (['fast','balanced','quality'])[item_id % 3 + 1] AS mode FROM benchmark)""")
 def z02(spark, d):
-    return spark.createDataFrame(facade.MODE_POLICY, "mode string, attempts int, extraction boolean, rounds int")
+    mode = F.element_at(dims.strings(["fast", "balanced", "quality"]), (F.col("item_id") % 3 + 1).cast("int"))
+    policy = F.broadcast(spark.createDataFrame(dims.MODE_POLICY, "mode string, attempts int, extraction boolean, rounds int, cap int"))  # three rows
+    return table(spark, d, "benchmark").select("item_id", mode.alias("mode")).join(policy, "mode")
 
 
 @query("f36_cache_keys", "SELECT count(DISTINCT sha1(lang || chr(0) || source || chr(0) || text)) AS keys, count(*) AS n FROM documents")

@@ -69,18 +69,6 @@ def p11(spark, d):
     return _turns(spark, d).select("conv_id", "turn", intent.domain(F.col("query")).alias("domain"))
 
 
-@query("p06_p07_plan")
-def p06(spark, d):
-    i = intent.with_intent(_turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "query"))
-    return intent.broaden(intent.plan(i), i).withColumn("target_sources", F.array_join("target_sources", ","))
-
-
-@query("p08_preferred", """SELECT doc_id, array_to_string(list_filter(['wikipedia','arxiv','github'], lambda s: s <> 'arxiv' OR doc_id % 2 = 0), ',') AS kept FROM documents""")
-def p08(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.array_join(F.filter(dims.strings(["wikipedia", "arxiv", "github"]), lambda s: (s != "arxiv") | (F.col("doc_id") % 2 == 0)), ",").alias("kept"))
-
-
 @query("p09_source_aliases", "SELECT * FROM (VALUES ('EIA','data_gov'), ('FRED','data_gov'), ('Google Scholar','semantic_scholar,openalex'), ('Wikipedia','wikipedia'), ('sec.gov','sec_edgar'), ('nothing','')) t(name, sources) WHERE name <> 'sec.gov' UNION ALL SELECT 'sec.gov', 'official_docs,sec_edgar'")
 def p09(spark, d):
     names = spark.createDataFrame([("EIA",), ("FRED",), ("Google Scholar",), ("Wikipedia",), ("sec.gov",), ("nothing",)], "name string")
@@ -94,11 +82,6 @@ def p22(spark, d):
     return c.select("conv_id", "turn", "role", F.when(F.length("text") > 600, F.concat(F.rtrim(F.substring("text", 1, 600)), F.lit(" [truncated]"))).otherwise(F.col("text")).alias("content"))
 
 
-@query("p10_unavailable_sources", """SELECT event_type AS source FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type <> 'error') = 0""")
-def p10(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(F.count_if(F.col("event_type") != "error").alias("ok")).filter("ok = 0").select("source")
-
-
 @query("p16_required_match", f"""WITH {RAW}, r AS (SELECT unnest(['primary-document','news','academic','government']) AS required)
     SELECT required, source, CASE WHEN required = 'primary-document' THEN source_type IN ('filing','government','structured_fact','medical') WHEN required = 'news' THEN source = 'hacker_news' ELSE source_type = required END AS matched, count(*) AS n
     FROM raw, r GROUP BY ALL""")

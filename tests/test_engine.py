@@ -12,7 +12,7 @@ from quarry.binding import freshness_ranked, freshness_stored
 from quarry.functions import text as T
 from quarry.functions import url as U
 from quarry.functions import vector as V
-from quarry.operators import assembly, dedup, health, intent, ranking
+from quarry.operators import assembly, dedup, health, intent, planner, ranking
 
 CHUNK = (
     "query_id long, chunk_id string, ord long, source string, source_type string, url string, title string, summary string, author string, publish_date timestamp, content string, claim string, "
@@ -176,7 +176,24 @@ def test_hard_gap_asks_for_a_retry(spark):
     i = intents(spark, ["fresh-fact"], ["government"])
     s = frame(spark, chunk("x", source_type="forum", stance="opinion", relevance=0.9, weight=0.9))
     got = health.gaps(i, s, health.health(i, s, spark.createDataFrame([], NO_CLUSTERS))).first()
-    assert got.critical and got.hard_gaps == 1 and got.action == "retry_retrieval"
+    assert got.critical and got.hard_gaps == ["government"] and got.action == "retry_retrieval" and "data_gov" in got.plan[0].target_sources
+
+
+def test_healthy_evidence_with_soft_gaps_is_not_retried(spark):
+    i = spark.createDataFrame([(1, "how are solar panels made", ["multi-hop"], ["academic", "encyclopedic"])], "query_id long, query string, query_types array<string>, required_types array<string>")
+    s = frame(spark, *(chunk(f"c{n}", source=f"s{n}", content="how solar panels are made of cells", relevance=0.9, weight=0.9) for n in range(6)))
+    h = spark.createDataFrame([(1, "adequate", 0)], "query_id long, status string, primary_sources long")
+    got = health.gaps(i, s, h).first()
+    assert not got.critical and (got.action, got.stop_reason, got.soft_gaps) == ("no_retry", "adequate_with_soft_gaps", ["encyclopedic"])
+
+
+def test_keyword_only_chunks_call_for_a_retry(spark):
+    i = spark.createDataFrame([(1, "crude inventory forecast brent outlook", ["fresh-fact"], ["academic"])], "query_id long, query string, query_types array<string>, required_types array<string>")
+    s = frame(spark, chunk("k", content="a crude joke", relevance=0.3), chunk("low", content="none", relevance=0.1))
+    h = spark.createDataFrame([(1, "adequate", 0)], "query_id long, status string, primary_sources long")
+    got = health.gaps(i, s, h, spark.createDataFrame([(1, "data_gov", False), (1, "arxiv", True)], "query_id long, source string, ok boolean")).first()
+    assert (got.low_ids, got.keyword_only_ids, got.failed_sources, got.missing_facets) == (["low"], ["k", "low"], ["data_gov"], ["official forecast", "supply-demand mechanism"]) and got.action == "retry_retrieval"
+    assert health.gaps(i, s, h, round_=2).first().action == "synthesize_cautiously"
 
 
 def test_reliability_moves_with_observations(spark):
@@ -216,10 +233,45 @@ def test_hash_embedding_is_unit(spark):
 
 
 def test_plan_for_a_query(spark):
-    q = spark.createDataFrame([(1, "Which SEC filing shows inflation risk?"), (2, "hello")], "query_id long, query string")
+    q = spark.createDataFrame([(1, "Which SEC filing shows inflation risk?"), (2, "hello"), (3, "Why did crude prices fall?"), (4, "do squawk news reach bank desks first")], "query_id long, query string")
     i = intent.with_intent(q)
-    rows = intent.broaden(intent.plan(i), i).orderBy("query_id", "ix").collect()
+    rows = planner.sub_queries(planner.broadened(planner.first_plan(i))).orderBy("query_id", "ix").collect()
     assert {r.retrieval_intent for r in rows if r.query_id == 1} >= {"primary_evidence", "temporal", "contrarian"}
     assert all(0 < len(r.target_sources) <= 6 for r in rows) and any(r.query_id == 2 for r in rows)
-    t = intent.tasks(intent.plan(i), spark.createDataFrame([("wikipedia",)], "source string")).collect()
+    assert [r.target_sources for r in rows if r.query_id == 3][0] == ["official_docs", "data_gov"] and [r.target_sources for r in rows if r.query_id == 4][1] == ["official_docs", "sec_edgar"]
+    t = intent.tasks(planner.sub_queries(planner.first_plan(i)), spark.createDataFrame([("wikipedia",)], "source string")).collect()
     assert {r.error for r in t if r.source == "crossref"} == {"SOURCE_HANDLER_MISSING"}
+
+
+def test_one_common_term_retrieves(spark):
+    items = spark.createDataFrame([("a", 1, "arxiv", "alpha words"), ("b", 2, "arxiv", "alpha bravo"), ("c", 3, "core", "alpha bravo"), ("d", 4, "arxiv", None), ("e", 5, "arxiv", "nothing here")], "id string, ord long, source string, text string")
+    tasks = spark.createDataFrame([(1, 0, "arxiv", 1, "alpha bravo alpha"), (2, 0, "arxiv", 5, "alpha")], "query_id long, ix int, source string, max_results int, sub_query string")
+    assert sorted(tuple(r) for r in ranking.candidates(tasks, items).collect()) == [(1, 0, "arxiv", "b", 2), (2, 0, "arxiv", "a", 1), (2, 0, "arxiv", "b", 1)]
+
+
+def test_similar_vectors_merge_below_a_type_limit(spark):
+    import math
+
+    turned = [1.0, 0.0], [0.9, math.sqrt(1 - 0.81)]
+    for kinds, n in ((("academic", "academic"), 1), (("academic", "code"), 2)):  # 0.9 is enough within a type, not across
+        rows = frame(spark, chunk("a", source_type=kinds[0], content="solar panels lower charges", claim="panels lower charges"), chunk("b", source_type=kinds[1], content="medieval routes crossed mountains", claim="routes crossed mountains"))
+        rows = rows.withColumn("v", F.when(F.col("chunk_id") == "a", F.array(*map(F.lit, turned[0]))).otherwise(F.array(*map(F.lit, turned[1]))))
+        links = dedup.edges(rows, "v")
+        got = dedup.representatives(rows, dedup.components_by_query(rows, links), links).collect()
+        assert len(got) == n and got[0].level == "semantic"
+
+
+def test_repair_rounds_unite_what_they_find(spark):
+    from quarry.plans import evidence
+
+    text = "EIA short term energy outlook crude Brent forecast supply demand inventory " * 6
+    items = [(f"i{n}", n, s, k, f"https://{s}.example.org/{n}", f"title {n}", None, None, f"{text} number{n} note{n}", None) for n, (s, k) in enumerate([("data_gov", "government"), ("openalex", "academic"), ("wikipedia", "encyclopedic"), ("stack_exchange", "forum")] * 3)]
+    items = spark.createDataFrame(items, "id string, ord long, source string, source_type string, url string, title string, author string, publish_date timestamp, text string, summary string")
+    asked = spark.createDataFrame([(1, "What does the outlook say on crude oil demand?"), (2, "medical zebra stripes")], "query_id long, query string")
+    steps = evidence.run(asked, items)
+    assert 1 < len(steps) <= 3
+    seen = [{r.chunk_id for r in s.weighted.filter("query_id = 1").collect()} for s in steps if s.asked.filter("query_id = 1").count()]
+    assert all(a <= b for a, b in zip(seen, seen[1:], strict=False)) and seen[0]
+    last = evidence.final(steps, "health").collect()
+    assert sorted(r.query_id for r in last) == [1, 2] and {r.status for r in last if r.query_id == 2} == {"insufficient"}
+    assert {r["round"] for r in evidence.rounds(asked, items).collect()} == set(range(len(steps)))
