@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import dims
-from quarry.plans.evidence import EngineConf, Evidence, answers, rounds
+from quarry.plans.evidence import EngineConf, Evidence, answers, rounds, run
 
 #: Fixed value: what a source id looks like.
 SOURCE_ID = r"^[a-z][a-z0-9_:-]{1,63}$"
@@ -51,7 +51,7 @@ class Tools:
         return self.plan.selected.select("query_id", "chunk_id", "source", "source_type", "url", "content", "claim", "stance", "relevance", "confidence", "gain")
 
     def trace(self) -> DataFrame:
-        return rounds(self.asked, self.items, self.conf)
+        return rounds(run(self.asked, self.items, self.conf))
 
     def sources(self) -> DataFrame:
         return dims.registry(self.plan.asked.sparkSession)

@@ -161,10 +161,10 @@ def final(steps: list[Evidence], name: str) -> DataFrame:
     return out
 
 
-def rounds(asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf()) -> DataFrame:
+def rounds(steps: list[Evidence]) -> DataFrame:
     """Gaps and health of every round: (round, query_id, status, quality, ...)."""
     done = None
-    for step in run(asked, items, conf):
+    for step in steps:
         found = step.gaps.select("query_id", "action", "stop_reason", F.size("hard_gaps").alias("hard_gaps"), F.size("missing_facets").alias("missing_facets"), F.size("plan").alias("repairs"))
         found = found.join(step.health.select("query_id", "selected", "status", "quality", "coverage"), "query_id").withColumn("round", F.lit(step.round))
         done = found if done is None else done.unionByName(found)

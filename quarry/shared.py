@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +20,30 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut in the shared folder."""
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for scratch tables; it goes when the application ends."""
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
+def on_disk(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path, as the JVM knows them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written once as Parquet in the scratch folder, and read back."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    df.write.parquet(path)
+    fs, root = on_disk(spark, scratch_root(spark))
+    fs.deleteOnExit(root)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its lineage cut by a table in the shared folder.
+
+    Not ``DataFrame.checkpoint``: that hands on the constraints of the plan that it cuts, and plans of several rounds
+    then take minutes to optimize.
+    """
+    return written(df, f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}")

@@ -274,4 +274,4 @@ def test_repair_rounds_unite_what_they_find(spark):
     assert all(a <= b for a, b in zip(seen, seen[1:], strict=False)) and seen[0]
     last = evidence.final(steps, "health").collect()
     assert sorted(r.query_id for r in last) == [1, 2] and {r.status for r in last if r.query_id == 2} == {"insufficient"}
-    assert {r["round"] for r in evidence.rounds(asked, items).collect()} == set(range(len(steps)))
+    assert {r["round"] for r in evidence.rounds(steps).collect()} == set(range(len(steps)))
