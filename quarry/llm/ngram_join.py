@@ -17,8 +17,8 @@ by parity bitmaps: two sets differ in at least as many tokens as their bitmaps d
 from above, exactly. Only pairs that pass this bound are given out and verified. Thus no link between components is
 lost, and the pairs that leave a task are links and near misses, not all pairs of a group.
 
-Tokens travel as packed arrays keyed by ranges of their hashes, not as rows: a task ships each of its distinct sets
-once, the reducer of a hash range finds frequencies, and only tokens of two or more nodes go on.
+Tokens travel as packed arrays keyed by ranges of their hashes, not as rows: a stretch of rows ships each of its distinct
+sets once, the reducer of a hash range finds frequencies, and only tokens of two or more nodes go back to a stretch.
 
 Defined results: a null or wordless text has the empty set, linked with nothing; fewer than five words count as one
 shingle; repeated rows share a node; the key may be of any type that can be ordered; a null key is carried along and never
@@ -32,6 +32,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,11 +72,11 @@ def needed(n: np.ndarray, t: Fraction) -> np.ndarray:
     return -(-n * t.numerator // t.denominator)
 
 
-_MAP = "slot int, kind int, key {key}, node long, n int, nodes binary, sizes binary, owners binary, tokens binary"
+_MAP = "slot int, kind int, key {key}, node long, n int, stretch long, nodes binary, sizes binary, owners binary, tokens binary"
 
 
 def _postings(docs: DataFrame, key: str, text: str, n: int, slots: int) -> DataFrame:
-    """kind 0: (key, node, n) of every row. kind 1: by slot, the postings of a hash range, packed."""
+    """kind 0: (key, node, n) of every row. kind 1: by slot and stretch of rows, the postings of a hash range, packed."""
     names = [c.split()[0] for c in _MAP.split(", ")]
     shift = _U64(64 - (slots - 1).bit_length())
 
@@ -83,9 +84,10 @@ def _postings(docs: DataFrame, key: str, text: str, n: int, slots: int) -> DataF
         known: dict[int, int] = {}
         sets: list[np.ndarray] = []
         held = turn = 0
+        stretch = TaskContext.get().partitionId() << 33
 
         def ship() -> Iterator[pa.RecordBatch]:
-            nonlocal held
+            nonlocal held, stretch
             sizes = np.array([len(s) for s in sets], "<u4")
             tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype="<u4"), sizes)
             nodes = np.array([*known], "<i8")
@@ -97,10 +99,11 @@ def _postings(docs: DataFrame, key: str, text: str, n: int, slots: int) -> DataF
             for a, b in zip(present, np.append(present[1:], len(slot)), strict=True):
                 used, local = np.unique(owners[a:b], return_inverse=True)
                 short = (tokens[a:b] << (_U64(64) - shift)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_KEPT]
-                rows.append((int(slot[a]), 1, None, None, None, nodes[used].tobytes(), sizes[used].tobytes(), local.astype("<u2" if len(used) <= 65536 else "<u4").tobytes(), short.tobytes()))
+                rows.append((int(slot[a]), 1, None, None, None, stretch, nodes[used].tobytes(), sizes[used].tobytes(), local.astype("<u2" if len(used) <= 65536 else "<u4").tobytes(), short.tobytes()))
             known.clear()
             sets.clear()
             held = 0
+            stretch += 1
             for a in range(0, len(rows), 64):
                 yield _batch(rows[a : a + 64], names, kind)
 
@@ -110,7 +113,7 @@ def _postings(docs: DataFrame, key: str, text: str, n: int, slots: int) -> DataF
             for k, s in zip(batch.column(0).to_pylist(), shingle_sets(texts, n), strict=True):
                 node = node_of(s)
                 turn += 1
-                rows.append((turn % slots, 0, k, node, len(s), None, None, None, None))
+                rows.append((turn % slots, 0, k, node, len(s), None, None, None, None, None))
                 if len(s) and node not in known:
                     known[node] = len(sets)
                     sets.append(s)
@@ -137,57 +140,62 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
 
 def _batch(rows: list[tuple], names: list[str], key: pa.DataType) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), key, pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    kinds = [pa.int32(), pa.int32(), key, pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-_REDUCED = "kind int, key {key}, node long, n int, part int, nodes binary, sizes binary, owners binary, tokens binary, freqs binary"
+_REDUCED = "kind int, key {key}, node long, n int, stretch long, nodes binary, sizes binary, owners binary, tokens binary, freqs binary"
 
 
-def _frequencies(postings: DataFrame, parts: int) -> DataFrame:
-    """kind 0 as it comes; kind 1: the postings of tokens of two or more nodes, with frequencies, by part of the node."""
+def _frequencies(postings: DataFrame) -> DataFrame:
+    """kind 0 as it comes; kind 1: the postings of tokens of two or more nodes, with frequencies, sent back by stretch.
+
+    A set that several stretches have is sent back to the first of them alone, as every token of it is known in each.
+    """
     names = [c.split()[0] for c in _REDUCED.split(", ")]
+
     def make(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
-        kinds = [pa.int32(), key, pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+        kinds = [pa.int32(), key, pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def reduce(slot: int, found: list[tuple], key: pa.DataType) -> Iterator[pa.RecordBatch]:
-        nodes = [np.frombuffer(x[0], "<i8") for x in found]
-        sizes = [np.frombuffer(x[1], "<u4") for x in found]
-        owners = [np.frombuffer(x[2], "<u2" if len(m) <= 65536 else "<u4") for x, m in zip(found, nodes, strict=True)]
-        short = np.frombuffer(b"".join(x[3] for x in found), np.uint8).reshape(-1, _KEPT)
+        found.sort(key=lambda x: x[0])
+        nodes = [np.frombuffer(x[1], "<i8") for x in found]
+        sizes = [np.frombuffer(x[2], "<u4") for x in found]
+        owners = [np.frombuffer(x[3], "<u2" if len(m) <= 65536 else "<u4") for x, m in zip(found, nodes, strict=True)]
+        short = np.frombuffer(b"".join(x[4] for x in found), np.uint8).reshape(-1, _KEPT)
         tokens = np.zeros((len(short), 8), np.uint8)
         tokens[:, 8 - _KEPT :] = short
         tokens = tokens.view(">u8").ravel().astype(_U64)
         node = np.concatenate([m[o] for m, o in zip(nodes, owners, strict=True)])
         size = np.concatenate([m[o] for m, o in zip(sizes, owners, strict=True)])
+        piece = np.repeat(np.arange(len(found), dtype=np.int32), [len(o) for o in owners])
         order = np.argsort(tokens, kind="stable")
-        tokens, node, size = tokens[order], node[order], size[order]
+        tokens = tokens[order]
         start = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, int)
         count = np.diff(np.append(start, len(tokens)))
         many = np.repeat(count > 1, count)
-        tokens, node, size = tokens[many], node[many], size[many]
-        order = np.lexsort((node, tokens))  # one set may come from several tasks
-        tokens, node, size = tokens[order], node[order], size[order]
+        tokens, order = tokens[many], order[many]
+        node, size, piece = node[order], size[order], piece[order]
+        order = np.lexsort((piece, node, tokens))  # one set may come from several stretches
+        tokens, node, size, piece = tokens[order], node[order], size[order], piece[order]
         fresh = np.append(True, (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1]))[: len(tokens)]
-        tokens, node, size = tokens[fresh], node[fresh], size[fresh]
+        tokens, node, size, piece = tokens[fresh], node[fresh], size[fresh], piece[fresh]
         start = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, int)
         count = np.diff(np.append(start, len(tokens)))
         freq = np.repeat(count, count)
         keep = freq > 1
-        tokens, node, size, freq = tokens[keep], node[keep], size[keep], freq[keep]
+        tokens, node, size, piece, freq = tokens[keep], node[keep], size[keep], piece[keep], freq[keep]
         salt = mix(np.array([slot], _U64)) << _U64(8 * _KEPT)  # the slot again, as the token's upper bytes
-        part = (mix(node.view(_U64)) % _U64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        order = np.argsort(piece, kind="stable")
+        edges = np.flatnonzero(np.append(True, piece[order][1:] != piece[order][:-1])) if len(order) else np.zeros(0, int)
         rows = []
-        for p in range(parts):
-            at = order[edges[p] : edges[p + 1]]
-            if len(at):
-                used, first, local = np.unique(node[at], return_index=True, return_inverse=True)
-                rows.append((1, None, None, None, p, used.tobytes(), size[at][first].astype("<u4").tobytes(), local.astype("<u4").tobytes(), (tokens[at] + salt).tobytes(), freq[at].astype("<u4").tobytes()))
+        for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+            at = order[a:b]
+            used, first, local = np.unique(node[at], return_index=True, return_inverse=True)
+            rows.append((1, None, None, None, found[piece[at[0]]][0], used.tobytes(), size[at][first].astype("<u4").tobytes(), local.astype("<u4").tobytes(), (tokens[at] + salt).tobytes(), freq[at].astype("<u4").tobytes()))
         yield make(rows, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,19 +272,19 @@ def _signatures(reduced: DataFrame, t: Fraction, rare: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "m", "bits", "tokens", "sigs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, found = None, []
+        stretch, found = None, []
         for batch in batches:
-            for p, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if p != part and found:
+            for x, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if x != stretch and found:
                     yield index(found)
                     found = []
-                part = p
+                stretch = x
                 found.append(packed)
         if found:
             yield index(found)
 
-    rows = reduced.filter("kind = 1").select("part", "nodes", "sizes", "owners", "tokens", "freqs")
-    return rows.repartition(shuffle_partitions(reduced.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, _INDEXED)
+    rows = reduced.filter("kind = 1").select("stretch", "nodes", "sizes", "owners", "tokens", "freqs")
+    return rows.repartition(shuffle_partitions(reduced.sparkSession), "stretch").sortWithinPartitions("stretch").mapInArrow(run, _INDEXED)
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
@@ -372,9 +380,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: str = "3/4", rare: int = 256) -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     t, spark = Fraction(threshold), docs.sparkSession
-    slots = 1 << max(6, (8 * shuffle_partitions(spark) - 1).bit_length())  # several ranges a task
+    slots = 1 << max(6, (2 * shuffle_partitions(spark) - 1).bit_length())  # more than one range a task
     first, scratch = [], []
-    reduced = materialize(_frequencies(_postings(docs, key, text, n, slots), min(slots, 8 * shuffle_partitions(spark))), first)
+    reduced = materialize(_frequencies(_postings(docs, key, text, n, slots)), first)
     rows = materialize(reduced.filter("kind = 0").select("key", "node", F.col("n").cast("long").alias("n_shingles")), scratch)
     indexed = materialize(_signatures(reduced, t, rare), scratch)
     drop(spark, first)
