@@ -190,9 +190,9 @@ def _frequencies(postings: DataFrame) -> DataFrame:
         tokens, node, size, piece, freq = tokens[keep], node[keep], size[keep], piece[keep], freq[keep]
         salt = mix(np.array([slot], _U64)) << _U64(8 * _KEPT)  # the slot again, as the token's upper bytes
         order = np.argsort(piece, kind="stable")
-        edges = np.flatnonzero(np.append(True, piece[order][1:] != piece[order][:-1])) if len(order) else np.zeros(0, int)
+        edges = np.flatnonzero(np.diff(piece[order], prepend=-1, append=len(found)))
         rows = []
-        for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+        for a, b in zip(edges, edges[1:], strict=False):
             at = order[a:b]
             used, first, local = np.unique(node[at], return_index=True, return_inverse=True)
             rows.append((1, None, None, None, found[piece[at[0]]][0], used.tobytes(), size[at][first].astype("<u4").tobytes(), local.astype("<u4").tobytes(), (tokens[at] + salt).tobytes(), freq[at].astype("<u4").tobytes()))
