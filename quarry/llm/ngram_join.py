@@ -14,8 +14,9 @@ take their places in the prefix but are never indexed. Every node under a signat
 pivots there: the least and the largest node, and the one with the largest share of tokens that others have too. Nodes
 of one component need no further comparison. What is left under a signature, pairs of different components, is compared
 by parity bitmaps: two sets differ in at least as many tokens as their bitmaps do in bits, which bounds their overlap
-from above, exactly. Only pairs that pass this bound are given out and verified. Thus no link between components is
-lost, and the pairs that leave a task are links and near misses, not all pairs of a group.
+from above, exactly. Only pairs that pass this bound are given out and verified: first one of a node and a component, and
+of those that stay apart, all. Thus no link between components is lost, and the pairs that leave a task are near misses
+and a few links, not all pairs of a group.
 
 Tokens travel as packed arrays keyed by ranges of their hashes, not as rows: a stretch of rows ships each of its distinct
 sets once, the reducer of a hash range finds frequencies, and only tokens of two or more nodes go back to a stretch.
@@ -294,8 +295,11 @@ def _bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _survivors(n: np.ndarray, m: np.ndarray, root: np.ndarray, main: int, bits: list[bytes], t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places, of different roots and one not in ``main``, whose bitmaps allow the threshold."""
+def _survivors(n: np.ndarray, m: np.ndarray, root: np.ndarray, main: int, bits: list[bytes], t: Fraction, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places, of different roots and one not in ``main``, whose bitmaps allow the threshold.
+
+    ``most``: of a place and a root, only so many, those that the bitmaps allow the largest overlap.
+    """
     width = min(map(len, bits))
     folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), 0) for b in bits]).view(_U64)
     open_ = np.flatnonzero(root != main)
@@ -308,14 +312,20 @@ def _survivors(n: np.ndarray, m: np.ndarray, root: np.ndarray, main: int, bits:
         bound = (m[x][:, None] + m[None, :] - differ.astype(np.int64)) // 2
         ok = bound * (t.numerator + t.denominator) >= t.numerator * (n[x][:, None] + n[None, :])
         i, j = np.nonzero(ok & (root[x][:, None] != root[None, :]))
+        if most and len(i):
+            order = np.lexsort((-bound[i, j] / (n[x[i]] + n[j]), root[j], i))
+            i, j = i[order], j[order]
+            first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]])))
+            turn = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+            i, j = i[turn < most], j[turn < most]
         yield x[i], j
 
 
 _OPEN = ("sig", "node", "n", "m", "root", "main", "bits")
 
 
-def _near_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b) that may be linked, each once a task, from rows of ``_OPEN``."""
+def _near_pairs(rows: DataFrame, t: Fraction, most: int | None = None) -> DataFrame:
+    """(a, b) that may be linked, each once a task, from rows of ``_OPEN``; ``most`` as in ``_survivors``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -325,7 +335,7 @@ def _near_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
             nonlocal size
             node, n, m, root, main, bits = zip(*group, strict=True)
             ids = np.array(node, np.int64)
-            for x, y in _survivors(np.array(n, np.int64), np.array(m, np.int64), np.array(root, np.int64), main[0], list(bits), t):
+            for x, y in _survivors(np.array(n, np.int64), np.array(m, np.int64), np.array(root, np.int64), main[0], list(bits), t, most):
                 pairs = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0)
                 held.append(pairs)
                 size += len(pairs)
@@ -394,14 +404,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = star.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     links = materialize(_verify(pairs, sets, t), scratch)
     roots = materialize(components(links, scratch), scratch)
-    # what is left: under a signature, pairs of different components; the commonest component there is only compared with others
-    own = met.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    by_root = own.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
-    most = by_root.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    open_ = own.join(most.select("sig", "main"), "sig").join(indexed.select("node", "n", "m", "bits"), "node")
-    rest = _near_pairs(open_, t).distinct()
-    more = materialize(_verify(rest, sets, t), scratch)
-    final = components(links.unionByName(more), scratch) if not more.isEmpty() else roots
+    # what is left: under a signature, pairs of different components; the commonest component there is only compared with
+    # others. One link joins two components, so first the likeliest pair of a node and a component is tried, then, of
+    # what is still apart, every pair
+    for tries in (1, None):
+        own = met.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        by_root = own.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
+        most = by_root.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        open_ = own.join(most.select("sig", "main"), "sig").join(indexed.select("node", "n", "m", "bits"), "node")
+        more = materialize(_verify(_near_pairs(open_, t, tries).distinct(), sets, t), scratch)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = materialize(components(links, scratch), scratch)
+    final = roots
     # least key of a node, then of a component, back to rows
     least = materialize(rows.groupBy("node").agg(F.min("key").alias("least")).join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), scratch)
     named = materialize(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").filter("node <> 0").select("node", "component_id"), scratch)
