@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from quarry.dims import strings
 
@@ -49,6 +55,16 @@ def truncate_to_budget(c: Column, budget: int) -> Column:
     return F.when(F.size(w) <= keep, c).otherwise(F.concat(F.array_join(F.slice(w, 1, keep), " "), F.lit("...")))
 
 
+def embedder_tokens(c: Column) -> Column:
+    """What the hash embedding counts: lower-case runs of letters, digits, dots and dashes, of three characters or more."""
+    return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9\s.-]", " "), r"[ \t\n\r\f\x0B]+"), lambda t: F.length(t) > 2)
+
+
+def apostrophe_words(c: Column) -> Column:
+    """Lower-case alphanumeric words with an inner apostrophe kept."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+(?:'[a-z0-9]+)?"), F.lit(0))
+
+
 def terms(c: Column, longer_than: int = 3, stop: list[str] | None = None) -> Column:
     """Lower-case alphanumeric tokens longer than a bound and not stop words, in order, with repeats."""
     kept = F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: F.length(t) > longer_than)
@@ -65,6 +81,59 @@ def content_key(c: Column, limit: int = 2000) -> Column:
     return F.substring(F.trim(spaced), 1, limit)
 
 
+@pandas_udf(StringType())
+def _decomposed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """NFKD of lower-cased text."""
+    for series in parts:
+        yield series.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+
+
+@pandas_udf(StringType())
+def _composed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """NFKC."""
+    for series in parts:
+        yield series.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def decomposed(c: Column) -> Column:
+    """Lower case in compatibility decomposition; only texts with letters beyond ASCII leave the JVM for it."""
+    return F.when(c.rlike(r"^\p{ASCII}*$"), F.lower(c)).otherwise(_decomposed(F.when(~c.rlike(r"^\p{ASCII}*$"), F.lower(c))))
+
+
+def _marked_letters() -> dict[str, str]:
+    """Lower-case letters that decompose into an ASCII letter and marks, by their letter; made by rule."""
+    out = {}
+    for c in map(chr, range(0xC0, 0x1F00)):
+        d = unicodedata.normalize("NFKD", c)
+        if c == c.lower() and len(d) > 1 and d[0].isascii() and d[0].isalnum() and all(unicodedata.combining(x) for x in d[1:]):
+            out[c] = d[0]
+    return out
+
+
+_MARKED = _marked_letters()
+
+
+def _plain(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9_\s./:-]+", " "), r"[ \t\n\r\f\x0B]+", " "))
+
+
+def normalized_text(c: Column) -> Column:
+    """Lower case, decomposed, other than ASCII letters, digits, white space and ``_./:-`` to spaces, collapsed."""
+    return _plain(decomposed(c))
+
+
+def folded(c: Column) -> Column:
+    """The same without leaving the JVM, so that it works inside arrays: of what decomposes it knows letters with marks."""
+    letters = "".join(_MARKED)
+    return _plain(F.translate(F.regexp_replace(F.lower(c), f"([{letters}])", "$1 "), letters, "".join(_MARKED.values())))
+
+
+def matched_question(c: Column) -> Column:
+    """A question as it is compared with others: NFKC, quotes and dashes folded, one space, lower case."""
+    plain = F.translate(_composed(c), "\u2018\u2019\u201c\u201d\u2013\u2014", "''\"\"--")
+    return F.lower(F.trim(F.regexp_replace(plain, r"[ \t\n\r\f\x0B]+", " ")))
+
+
 def first_sentence(c: Column, limit: int = 240) -> Column:
     sentence = F.element_at(F.split(F.regexp_replace(c, r"\.[ \t\n\r\f\x0B]+", "." + _MARK), _MARK), 1)
     return F.substring(F.when(sentence != "", sentence).otherwise(c), 1, limit)

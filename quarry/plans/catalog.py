@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import engine, extras, planning, relational, scalars, scans
+from quarry.plans import engine, evaluation, extras, planning, relational, scalars, scans
 
-_MODULES = (scalars, relational, planning, engine, scans, extras)
+_MODULES = (scalars, relational, planning, engine, evaluation, scans, extras)
 
 
 def queries() -> dict:

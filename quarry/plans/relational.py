@@ -216,11 +216,6 @@ def a02(spark, d):
     return s.groupBy("key").agg(F.count(F.lit(1)).alias("items"), F.max("score").cast("long").alias("best"), F.min_by("id", F.struct(-F.col("score"), "ord")).alias("primary_id"))
 
 
-@query("a03_extraction_counters", "SELECT CASE WHEN length(html) >= 1200 THEN 'full_text' WHEN length(html) >= 300 THEN 'snippet' ELSE 'metadata_only' END AS status, count(*) AS pages, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1")
-def a03(spark, d):
-    n = F.length("html")
-    return table(spark, d, "pages").groupBy(F.when(n >= 1200, "full_text").when(n >= 300, "snippet").otherwise("metadata_only").alias("status")).agg(F.count(F.lit(1)).alias("pages"), F.sum(n).alias("chars"))
-
 
 @query("a04_exact_duplicates", "SELECT doc_id, k, n FROM (SELECT doc_id, sha1(text) AS k, count(*) OVER (PARTITION BY sha1(text)) AS n, row_number() OVER (PARTITION BY sha1(text) ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")
 def a04(spark, d):
@@ -237,17 +232,6 @@ def a15(spark, d):
     return spark.sql("SELECT stage, model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost FROM quarry_cost_facts GROUP BY GROUPING SETS ((), (stage), (model))")
 
 
-@query("a16_gold_facts", r"""WITH k AS (SELECT item_id, list_slice(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: length(t) > 6), 1, 3) AS keys FROM benchmark),
-    f AS (SELECT item_id, unnest(keys) AS key FROM k), h AS (SELECT item_id, key, count(DISTINCT doc_id) AS docs FROM f LEFT JOIN documents ON contains(lower(documents.text), key) GROUP BY ALL)
-    SELECT item_id, count(*) FILTER (WHERE docs > 0) AS facts_hit, count(*) AS facts FROM h GROUP BY 1""")
-def a16(spark, d):
-    keys = F.slice(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: F.length(t) > 6), 1, 3)
-    facts = table(spark, d, "benchmark").select("item_id", F.explode(keys).alias("key")).distinct()
-    # substrings of texts, not tokens: facts are few (three an item), texts are scanned once for all of them
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("body"))
-    hits = docs.join(facts.select("key").distinct(), F.contains(F.col("body"), F.col("key"))).select("key").distinct().withColumn("hit", F.lit(1))
-    return facts.join(hits, "key", "left").groupBy("item_id").agg(F.count("hit").alias("facts_hit"), F.count(F.lit(1)).alias("facts"))
-
 
 @query("a18_adjudication_merge", "SELECT doc_id, greatest(quality, toxic) AS facts, (CASE WHEN quality = 1 THEN 'q' ELSE '' END) || (CASE WHEN toxic = 1 THEN 't' ELSE '' END) AS flags FROM labels")
 def a18(spark, d):
