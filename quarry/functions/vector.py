@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -21,6 +21,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0) | norm.isNull(), F.lit(0.0)).otherwise(dot(a, b) / F.nullif(norm, F.lit(0.0)))
 
 
+def in_blocks(queries: DataFrame, rows: DataFrame, key: str, vector: str = "embedding", block: int = 512) -> DataFrame:
+    """(q, key, cosine) of a stated query set against all other rows, in blocks of queries.
+
+    Every row is sent once a block, so each task compares its rows with one block of bounded size; neither side is broadcast.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("e"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    r = rows.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return q.join(r, "block").filter(F.col("q") != F.col(key)).select("q", key, cosine(F.col("e"), F.col(vector)).alias("cosine"))
+
+
 def unit(a: Column) -> Column:
     norm = F.sqrt(dot(a, a))
     return F.when(norm == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / F.nullif(norm, F.lit(0.0))))

@@ -121,3 +121,17 @@ def js_divergence(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     both = p.join(q, [*keys, "term"], "full").fillna(0.0, ["p", "q"]).withColumn("m", (F.col("p") + F.col("q")) / 2)
     part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / F.col("m"))).otherwise(0.0)
     return both.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(part("p") + part("q")) / 2 / F.ln(F.lit(2.0)))).alias("js"))
+
+
+def js_to_common(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of every group of ``a`` to one distribution ``b`` (term, n), which is not copied to the groups.
+
+    What only ``b`` has adds ``ln 2`` times its share, and that share is what its terms in the group leave.
+    """
+    p = a.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(*keys))).select(*keys, "term", "p")
+    total = b.agg(F.sum("n").alias("total")).first()["total"] or 1
+    q = b.select("term", (F.col("n") / F.lit(total)).alias("q"))
+    both = p.join(q, "term", "left").fillna(0.0, ["q"]).withColumn("m", (F.col("p") + F.col("q")) / 2)
+    here = F.sum(F.col("p") * F.ln(F.col("p") / F.col("m"))) + F.sum(F.when(F.col("q") > 0, F.col("q") * F.ln(F.col("q") / F.col("m"))).otherwise(0.0))
+    ln2 = F.ln(F.lit(2.0))
+    return both.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (here + ln2 * (1 - F.sum("q"))) / 2 / ln2)).alias("js"))

@@ -9,7 +9,7 @@ from quarry import dims
 from quarry.binding import raw_items, table
 from quarry.functions import text as T
 from quarry.operators import health, intent
-from quarry.operators.dedup import js_divergence, set_pairs
+from quarry.operators.dedup import js_to_common, set_pairs
 from quarry.plans.scalars import RAW, terms_sql
 
 QUERIES, SQL = {}, {}
@@ -129,14 +129,13 @@ def j07(spark, d):
     return set_pairs(sets, 0.92).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("j08_cosine_pairs", """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-    WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.5""")
+@query("j08_cosine_pairs", """SELECT a.vec_id AS q, b.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.25""")
 def j08(spark, d):
-    from quarry.functions.vector import cosine
+    from quarry.functions.vector import in_blocks
 
     e = table(spark, d, "embeddings")
-    x, y = e.toDF("a", "x", "label"), e.toDF("b", "y", "label")
-    return x.join(y, "label").filter("a < b").withColumn("c", cosine(F.col("x"), F.col("y"))).filter("c >= 0.5").select("a", "b", F.round("c", 5).alias("cosine"))
+    return in_blocks(e.filter("vec_id % 50 = 0"), e, "vec_id").filter("cosine >= 0.25").withColumn("cosine", F.round("cosine", 5))
 
 
 @query("j09_cache_split", "SELECT d.doc_id, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) THEN 'hit' ELSE 'miss' END AS cache FROM documents d")
@@ -281,8 +280,7 @@ def f14(spark, d):
     docs = table(spark, d, "documents")
     a = docs.select("lang", F.explode(T.terms(F.col("text"), 2)).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
     b = table(spark, d, "benchmark").select(F.explode(T.terms(F.col("text"), 2)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    langs = docs.select("lang").distinct()
-    return js_divergence(a, b.join(langs), ["lang"]).select("lang", F.round("js", 6).alias("js"))
+    return js_to_common(a, b, ["lang"]).select("lang", F.round("js", 6).alias("js"))
 
 
 @query("f47_reliability", """WITH o AS (SELECT CASE event_type WHEN 'click' THEN 'confirmed' WHEN 'error' THEN 'contradicted' WHEN 'view' THEN 'repeated' ELSE 'observed' END AS kind, user_id FROM events)

@@ -127,17 +127,17 @@ def f12(spark, d):
 @query(
     "f13_jaccard_to_benchmark",
     f"""WITH d AS (SELECT doc_id, list_distinct({terms_sql('text')}) AS a FROM documents), b AS (SELECT item_id, list_distinct({terms_sql('text')}) AS b FROM benchmark),
-    hit AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(a) AS t FROM d) JOIN (SELECT item_id, unnest(b) AS t FROM b) USING (t) GROUP BY ALL HAVING count(*) >= 12)
+    hit AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(a) AS t FROM d) JOIN (SELECT item_id, unnest(b) AS t FROM b) USING (t) GROUP BY ALL)
     SELECT doc_id, item_id, round(n / (len(a) + len(b) - n)::DOUBLE, 6) AS jaccard, round(n / least(len(a), len(b))::DOUBLE, 6) AS overlap FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)""",
 )
 def f13(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.array_distinct(T.terms(F.col("text"))).alias("a"))
     items = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.terms(F.col("text"))).alias("b"))
-    right = items.select("item_id", F.explode("b").alias("t"))
-    left = docs.select("doc_id", F.explode("a").alias("t")).join(right.select("t").distinct(), "t", "left_semi")
-    hit = left.join(right, "t").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 12")
-    pairs = hit.join(docs, "doc_id").join(items, "item_id")
-    return pairs.select("doc_id", "item_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(T.overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
+    right = items.select("item_id", F.size("b").alias("nb"), F.explode("b").alias("t"))
+    left = docs.select("doc_id", F.size("a").alias("na"), F.explode("a").alias("t")).join(right.select("t").distinct(), "t", "left_semi")
+    n = F.col("n")
+    hit = left.join(right, "t").groupBy("doc_id", "item_id", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
+    return hit.select("doc_id", "item_id", F.round(n / (F.col("na") + F.col("nb") - n), 6).alias("jaccard"), F.round(n / F.least("na", "nb"), 6).alias("overlap"))
 
 
 @query("f16_first_sentence", r"""SELECT doc_id, substr(CASE WHEN s <> '' THEN s ELSE text END, 1, 240) AS claim FROM
@@ -146,10 +146,10 @@ def f16(spark, d):
     return table(spark, d, "documents").select("doc_id", T.first_sentence(F.col("text")).alias("claim"))
 
 
-@query("f22_slug", "SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CASE WHEN length(text) > 100 THEN rtrim(substr(text, 1, 100)) || ' [truncated]' ELSE text END AS short FROM documents")
+@query("f22_slug", "SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CASE WHEN length(text) > 100 THEN rtrim(substr(text, 1, 100)) || ' [truncated]' ELSE text END AS short FROM documents")
 def f22(spark, d):
     short = F.when(F.length("text") > 100, F.concat(F.rtrim(F.substring("text", 1, 100)), F.lit(" [truncated]"))).otherwise(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"), short.alias("short"))
+    return table(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"), short.alias("short"))
 
 
 @query("s26_item_id", """SELECT doc_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(source || '/' || doc_id, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)::BIGINT AS hash FROM documents""")
@@ -223,8 +223,7 @@ def f41(spark, d):
     from pyspark.sql import Window as W
 
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))  # the stated query set, against all rows
-    s = q.join(e, F.col("q") != F.col("vec_id")).select("q", "vec_id", F.round(V.cosine(F.col("e"), F.col("embedding")), 6).alias("cosine"))
+    s = V.in_blocks(e.filter("vec_id % 50 = 0"), e, "vec_id").withColumn("cosine", F.round("cosine", 6))  # the stated query set, against all rows
     return s.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("cosine"), "vec_id"))).filter("r <= 5").drop("r")
 
 

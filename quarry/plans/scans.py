@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-BODY = "substr(text, 1, 200)"
+BODY = "text"
 
 
 def _strip(sql: str) -> str:
@@ -51,7 +51,7 @@ RECORDED = {
 
 def _connector(source: str, payload: str):
     def run(spark, d):
-        docs = table(spark, d, "documents").withColumn("b", F.substring("text", 1, 200))
+        docs = table(spark, d, "documents").withColumn("b", F.col("text"))
         recorded = docs.select(F.to_json(F.expr(payload)).alias("payload"))
         return connectors.parse(recorded, source).select("source_type", "url", "title", "author", "published", F.col("text").alias("body"))
 
@@ -65,10 +65,14 @@ for _i, (_source, (_payload, _columns)) in enumerate(RECORDED.items()):
     SQL[_name] = f"SELECT '{_type}' AS source_type, " + ", ".join(f"{c} AS {n}" for c, n in zip(_columns, ["url", "title", "author", "published", "body"], strict=True)) + " FROM documents"
 
 
-@query("s04_arxiv", "SELECT 'https://arxiv.org/abs/' || doc_id AS url, source AS title, 'A, ' || lang AS author, '2020-01-01' AS published FROM documents")
+_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("s04_arxiv", f"SELECT 'https://arxiv.org/abs/' || doc_id AS url, source AS title, 'A, ' || lang AS author, '2020-01-01' AS published, {_strip(_ESCAPED)} AS body FROM documents")
 def s04(spark, d):
-    entry = F.format_string("<feed><entry><id>https://arxiv.org/abs/%s</id><title>%s</title><summary>s</summary><published>2020-01-01</published><author><name>A</name></author><author><name>%s</name></author></entry></feed>", F.col("doc_id").cast("string"), F.col("source"), F.col("lang"))
-    return connectors.parse(table(spark, d, "documents").select(entry.alias("payload")), "arxiv").select("url", "title", "author", "published")
+    text = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    entry = F.format_string("<feed><entry><id>https://arxiv.org/abs/%s</id><title>%s</title><summary>%s</summary><published>2020-01-01</published><author><name>A</name></author><author><name>%s</name></author></entry></feed>", F.col("doc_id").cast("string"), F.col("source"), text, F.col("lang"))
+    return connectors.parse(table(spark, d, "documents").select(entry.alias("payload")), "arxiv").select("url", "title", "author", "published", F.col("text").alias("body"))
 
 
 @query("s06_pubmed", "SELECT 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url, source AS title, '10.3/' || doc_id AS doi FROM documents")
@@ -85,7 +89,42 @@ def s02(spark, d):
 
 @query("s13_compact_query")
 def s13(spark, d):
-    return table(spark, d, "benchmark").select("item_id", connectors.compact_query(F.col("text"), dims.SCORE_STOPWORDS).alias("compact"))
+    return table(spark, d, "benchmark").select("item_id", connectors.compact_query(F.col("text")).alias("compact"))
+
+
+@query("s12_most_starred", "SELECT user_id, string_agg('r' || event_id, ',' ORDER BY stars DESC, event_id) AS repos FROM (SELECT *, (event_id * 37) % 101 AS stars FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (event_id * 37) % 101 DESC, event_id) <= 5) GROUP BY 1")
+def s12_starred(spark, d):
+    """Repositories of a response by stars, at most five."""
+    e = table(spark, d, "events").withColumn("stars", (F.col("event_id") * 37 % 101).cast("int"))
+    one = F.struct(F.col("event_id").alias("id"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("full_name"), F.lit("https://github.com/o/r").alias("html_url"), F.col("stars").alias("stargazers_count"))
+    responses = e.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("items")).select("user_id", F.to_json(F.struct("items")).alias("payload"))
+    found = connectors.parse(responses, "github", 5, keep=("user_id",))
+    return found.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]), ",").alias("repos"))
+
+
+@query("s16_query_variants", """WITH q AS (SELECT item_id, text || (['', ' crude and cpi', ' jobs and gdp', ' inflation'])[item_id % 4 + 1] AS t FROM benchmark), v AS (SELECT item_id, [trim(t)] || (CASE WHEN regexp_matches(lower(t), '(oil|crude|wti|brent|petroleum|gasoline|fuel)') THEN ['oil prices', 'Short-Term Energy Outlook petroleum prices', 'crude oil', 'petroleum prices'] ELSE [] END)
+    || (CASE WHEN regexp_matches(lower(t), '(inflation|cpi|prices|consumer price)') THEN ['consumer price index', 'inflation'] ELSE [] END) || (CASE WHEN regexp_matches(lower(t), '(employment|jobs|unemployment|labor)') THEN ['unemployment', 'employment'] ELSE [] END) || (CASE WHEN regexp_matches(lower(t), '(gdp|gross domestic product|economic growth)') THEN ['gross domestic product', 'GDP'] ELSE [] END) AS l FROM q)
+    SELECT item_id, array_to_string(list_slice(l, 1, 5), '|') AS variants FROM v""")
+def s16_variants(spark, d):
+    tail = F.element_at(dims.strings(["", " crude and cpi", " jobs and gdp", " inflation"]), (F.col("item_id") % 4 + 1).cast("int"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(connectors.query_variants(F.concat("text", tail)), "|").alias("variants"))
+
+
+@query("s16_first_non_empty", "SELECT user_id, min(event_id) AS chosen FROM events WHERE event_type <> 'error' GROUP BY 1")
+def s16_first(spark, d):
+    r = table(spark, d, "events").select("user_id", F.col("event_id").alias("variant"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("items"))
+    return connectors.first_non_empty(r, "user_id").filter("items > 0").select("user_id", F.col("variant").alias("chosen"))
+
+
+@query("s08_disabled_sources", "SELECT * FROM (VALUES ('core', 'CORE_API_KEY_MISSING', false), ('sec_edgar', 'SEC_USER_AGENT_MISSING', false)) t(source, code, retryable)")
+def s08_disabled(spark, d):
+    return connectors.disabled(dims.registry(spark), {}).select("source", "code", "retryable")
+
+
+@query("s05_retry_budget", "SELECT user_id, least(2, count(*) FILTER (WHERE event_type = 'error')) AS retries, count(*) FILTER (WHERE event_type = 'error') > 2 AS gave_up FROM events GROUP BY 1")
+def s05_retries(spark, d):
+    tries = table(spark, d, "events").select(F.col("user_id").alias("task"), F.when(F.col("event_type") == "error", "HTTP_429").alias("code"))
+    return connectors.retried(tries, "task", 2).select(F.col("task").alias("user_id"), "retries", "gave_up")
 
 
 @query("s24_failures_as_rows", "SELECT doc_id, doc_id % 3 = 0 AS ok, CASE WHEN doc_id % 3 = 1 THEN 'MALFORMED_PAYLOAD' WHEN doc_id % 3 = 2 THEN 'MISSING_FIELD' END AS code FROM documents")
@@ -107,15 +146,15 @@ def _checkpoint(spark) -> str:
 @query("c13_stream_hourly", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def c13(spark, d):
     stream = events.hourly(events.read_stream(spark, d)).drop("total")
-    out = events.run_once(stream, f"hourly_{uuid.uuid4().hex}", "complete", _checkpoint(spark))
+    out = events.run_once(stream, "complete", _checkpoint(spark))
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
 @query("c07_stream_reliability", """SELECT user_id, round(3.3 + sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 0.2 WHEN 'error' THEN 0 ELSE 0.05 END)::DOUBLE, 6) AS alpha FROM events GROUP BY 1""")
 def c07(spark, d):
     raw = spark.readStream.schema(events.SCHEMA).option("pathGlobFilter", "events.parquet").parquet(d)
-    out = events.run_once(events.reliability_stream(raw), f"reliability_{uuid.uuid4().hex}", "update", _checkpoint(spark))
-    return out.groupBy("user_id").agg(F.max_by("alpha", F.col("alpha") + F.col("beta")).alias("alpha")).select("user_id", F.round("alpha", 6).alias("alpha"))
+    out = events.run_once(events.reliability_stream(raw), "update", _checkpoint(spark))
+    return out.groupBy("user_id").agg(F.max_by("alpha", F.struct("batch", F.col("alpha") + F.col("beta"))).alias("alpha")).select("user_id", F.round("alpha", 6).alias("alpha"))
 
 
 @query("k02_feedback_view", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS vote FROM events GROUP BY 1")
@@ -128,11 +167,11 @@ def k02(spark, d):
     return with_feedback(runs, feedback).select(F.col("run_id").alias("user_id"), "vote")
 
 
-@query("k04_gold_round_trip", "SELECT 'Q' || (item_id % 5) AS question, 'facts' AS section, 'f' || item_id AS id, trim(replace(substr(text, 1, 40), chr(10), ' ')) AS fact FROM benchmark")
+@query("k04_gold_round_trip", "SELECT 'Q' || (item_id % 5) AS question, 'facts' AS section, 'f' || item_id AS id, trim(replace(text, chr(10), ' ')) AS fact FROM benchmark")
 def k04(spark, d):
     from quarry.sources.files import parse_gold_markdown, to_gold_markdown
 
     b = table(spark, d, "benchmark")
-    facts = b.select(F.concat(F.lit("Q"), (F.col("item_id") % 5).cast("string")).alias("question"), F.lit("facts").alias("section"), F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("id"), F.trim(F.translate(F.substring("text", 1, 40), "\n", " ")).alias("text"), F.lit(1.0).alias("weight"))
+    facts = b.select(F.concat(F.lit("Q"), (F.col("item_id") % 5).cast("string")).alias("question"), F.lit("facts").alias("section"), F.concat(F.lit("f"), F.col("item_id").cast("string")).alias("id"), F.trim(F.translate("text", "\n", " ")).alias("text"), F.lit(1.0).alias("weight"))
     lines = to_gold_markdown(facts).select(F.col("question").alias("file"), F.posexplode(F.split("markdown", "\n")).alias("n", "value"))
     return parse_gold_markdown(lines).select("question", "section", "id", F.col("text").alias("fact"))

@@ -76,15 +76,23 @@ def _maps() -> dict[str, tuple[str, Callable[[Column], list[Column]]]]:
     }
 
 
-def parse(payloads: DataFrame, source: str, limit: int = 10) -> DataFrame:
-    """Items of every payload row, in response order, at most ``limit`` each."""
+def parse(payloads: DataFrame, source: str, limit: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Items of every payload row, at most ``limit`` each, in response order, repositories by falling stars.
+
+    ``keep``: columns of the payload's row to carry along, and then ``rank``, an item's place.
+    """
     if source == "pubmed":
         return parse_pubmed(payloads, limit)
     if source == "arxiv":
         return parse_atom(payloads, limit)
     path, columns = _maps()[source]
-    p = payloads.select(F.from_json("payload", SCHEMAS[source]).alias("p")).select(F.explode(F.slice(F.col(path), 1, limit)).alias("x"))
-    return p.select(*columns(F.col("x")))
+    p = payloads.select(*keep, F.from_json("payload", SCHEMAS[source]).alias("p"))
+    items = F.col(path)
+    if source == "github":
+        marked = F.transform(items, lambda x, i: F.struct((-F.coalesce(x["stargazers_count"], F.lit(0))).alias("s"), i.alias("i"), x.alias("x")))
+        items = F.transform(F.array_sort(marked), lambda m: m["x"])
+    p = p.select(*keep, F.posexplode(F.slice(items, 1, limit)).alias("rank", "x"))
+    return p.select(*keep, *(["rank"] if keep else []), *columns(F.col("x")))
 
 
 def parse_pubmed(payloads: DataFrame, limit: int) -> DataFrame:
@@ -122,11 +130,55 @@ def fetch(payloads: DataFrame, source: str, key: str = "task") -> DataFrame:
     return payloads.select(key, F.lit(source).alias("source"), ok.alias("ok"), F.when(~ok, F.when(n == 0, "MALFORMED_PAYLOAD").otherwise("MISSING_FIELD")).alias("code"))
 
 
-def compact_query(query: Column, stop: list[str], most: int = 220) -> Column:
-    """A search text of at most ``most`` characters: distinct words in order, stop words left out, while they fit."""
-    from quarry.dims import strings
-
-    words = F.filter(F.split(F.regexp_replace(query, r"[^A-Za-z0-9_./:+#-]+", " "), " "), lambda w: (w != "") & ~F.array_contains(strings(stop), F.lower(w)))
-    start = F.struct(F.lit("").alias("s"), F.array().cast("array<string>").alias("seen"))
-    grow = lambda acc, w: F.when(F.array_contains(acc["seen"], F.lower(w)) | (F.length(acc["s"]) + 1 + F.length(w) > most), acc).otherwise(F.struct(F.trim(F.concat(acc["s"], F.lit(" "), w)).alias("s"), F.concat(acc["seen"], F.array(F.lower(w))).alias("seen")))
-    return F.aggregate(words, start, grow, lambda acc: acc["s"])
+# Words that a repository search leaves out, and words that it puts first.
+SEARCH_STOP = [
+    "about", "after", "again", "also", "and", "are", "because", "before", "being", "between", "but", "can", "could", "did", "does", "doing", "for", "from", "had", "has", "have", "how", "into", "its", "more", "most", "not", "should", "than", "that",
+    "the", "their", "them", "there", "these", "they", "this", "through", "was", "were", "what", "when", "where", "which", "while", "who", "why", "will", "with", "would", "you", "your",
+]
+FIRST = r"(?i)^(owasp|asvs|nist|cisa|appsec|security|sast|dast|sca|webhook|auth|authorization|vulnerability|scanner|semgrep|codeql|trivy|zap|dependency|secret|iac|ssrf|csrf|cors)$"
+SECOND = r"(?i)^(implementation|example|template|repository|library|framework|docs|testing|validation|release|gate)$"
+
+
+def compact_query(query: Column, most: int = 220, most_encoded: int = 256) -> Column:
+    """A repository search: distinct words, telling ones first, as many as fit in characters and in their encoded form."""
+    words = F.split(F.regexp_replace(query, "[\"'`\u201c\u201d\u2018\u2019]", " "), r"[^a-zA-Z0-9_.#+-]+")
+    words = F.filter(words, lambda w: (F.length(w) > 1) & ~F.lower(w).isin(*SEARCH_STOP))
+    lower = F.transform(words, lambda w: F.lower(w))
+    once = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_position(lower, F.lower(x["w"])) == x["i"] + 1)
+    worth = lambda w: F.least(F.lit(12), F.length(w)) + F.when(w.rlike(FIRST), 20).otherwise(0) + F.when(w.rlike(SECOND), 10).otherwise(0) + F.when(w.rlike("[._#+-]"), 4).otherwise(0)
+    ordered = F.transform(F.array_sort(F.transform(once, lambda x: F.struct((-worth(x["w"])).alias("o"), x["i"].alias("i"), x["w"].alias("w")))), lambda x: x["w"])
+    encoded = lambda s: F.length(F.regexp_replace(F.regexp_replace(s, "[^A-Za-z0-9_.~!*'()-]", "%xx"), "%xx", "xxx"))  # noqa: E731  (ASCII words)
+    grown = lambda s, w: F.when(s == "", w).otherwise(F.concat(s, F.lit(" "), w))
+    found = F.aggregate(ordered, F.lit(""), lambda s, w: F.when((F.length(grown(s, w)) <= most) & (encoded(grown(s, w)) <= most_encoded), grown(s, w)).otherwise(s))
+    return F.when(found != "", found).otherwise("secure software development appsec testing")
+
+
+def query_variants(query: Column, most: int = 5) -> Column:
+    """The query and, by what it is on, the names of data sets to try after it."""
+    lower, none = F.lower(query), F.array().cast("array<string>")
+    rules = [  # fixed values
+        ("(oil|crude|wti|brent|petroleum|gasoline|fuel)", ["oil prices", "Short-Term Energy Outlook petroleum prices", "crude oil", "petroleum prices"]), ("(inflation|cpi|prices|consumer price)", ["consumer price index", "inflation"]),
+        ("(employment|jobs|unemployment|labor)", ["unemployment", "employment"]), ("(gdp|gross domestic product|economic growth)", ["gross domestic product", "GDP"]),
+    ]
+    more = [F.when(lower.rlike(p), F.array(*map(F.lit, v))).otherwise(none) for p, v in rules]
+    return F.slice(F.array_distinct(F.filter(F.concat(F.array(F.trim(query)), *more), lambda v: v != "")), 1, most)
+
+
+def first_non_empty(responses: DataFrame, key: str, order: str = "variant") -> DataFrame:
+    """Of a task's responses (with ``items``, their number) the first that has any, else the last."""
+    full = F.col("items") > 0
+    rank = F.struct(F.when(full, 0).otherwise(1).alias("a"), F.when(full, F.col(order)).otherwise(-F.col(order)).alias("b"))
+    return responses.groupBy(key).agg(F.min_by(F.struct(*responses.columns), rank).alias("r")).select("r.*")
+
+
+def disabled(registry: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """(source, code, message, retryable) of connectors that lack a setting: an API key, or a user agent."""
+    lacks = [(s, code, text) for s, name, code, text in (("core", "core_api_key", "CORE_API_KEY_MISSING", "the API key is not set"), ("sec_edgar", "sec_user_agent", "SEC_USER_AGENT_MISSING", "the user agent is not set")) if not settings.get(name)]
+    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(c).alias("code"), F.lit(m).alias("message")) for s, c, m in lacks)) if lacks else F.array().cast("array<struct<s:string,code:string,message:string>>"))
+    return registry.select("source", rows.alias("x")).filter("source = x.s").select("source", "x.code", "x.message", F.lit(False).alias("retryable"))
+
+
+def retried(tries: DataFrame, key: str, budget: int = 2) -> DataFrame:
+    """By task: how many of its rate-limited tries (``code`` HTTP_429) a budget lets it repeat, and whether it gave up."""
+    limited = F.count_if(F.col("code") == "HTTP_429")
+    return tries.groupBy(key).agg(F.least(F.lit(budget), limited).alias("retries"), (limited > budget).alias("gave_up"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 GOLD = "questions array<struct<id:string,question:string,atomic_facts:array<struct<id:string,text:string,keywords:array<string>,weight:double>>,required_sources:array<struct<id:string,type:string,description:string,weight:double>>,penalize_if:array<string>>>, _corrupt_record string"
 
@@ -51,44 +50,18 @@ def to_gold_markdown(facts: DataFrame) -> DataFrame:
     return t.select("question", F.concat(F.lit("# "), "question", F.lit("\n"), F.array_join(F.transform("parts", lambda x: F.concat(F.lit("## "), x["section"], F.lit("\n"), x["body"])), "\n")).alias("markdown"))
 
 
-class RecordedSource(DataSource):
-    """A connector as a data source: option ``path`` is a folder of recorded responses, one file a task; rows never raise.
+def recorded(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded responses of a folder in any file system that Spark reads: (task, ok, payload, error), one row a file.
 
-    ``spark.dataSource.register(RecordedSource)``, then ``spark.read.format("recorded").option("path", folder).load()``.
+    A file that is no UTF-8 text is a failure row; nothing raises.
     """
+    raw = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("task"), "content")
+    good = F.expr("is_valid_utf8(cast(content AS STRING))")
+    return raw.select("task", good.alias("ok"), F.when(good, F.col("content").cast("string")).alias("payload"), F.when(~good, "DECODE_FAILED").alias("error"))
 
-    @classmethod
-    def name(cls) -> str:
-        return "recorded"
 
-    def schema(self) -> str:
-        return "task string, ok boolean, payload string, error string"
-
-    def reader(self, schema):
-        return _RecordedReader(self.options)
-
-
-class _Part(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-
-class _RecordedReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.folder = options["path"]
-
-    def partitions(self):
-        import os
-
-        return [_Part(os.path.join(self.folder, f)) for f in sorted(os.listdir(self.folder))] or [_Part("")]
-
-    def read(self, partition):
-        import os
-
-        if not partition.path:
-            return
-        try:
-            with open(partition.path, encoding="utf-8") as f:
-                yield os.path.basename(partition.path), True, f.read(), None
-        except (OSError, UnicodeDecodeError) as e:
-            yield os.path.basename(partition.path), False, None, type(e).__name__
+def read_runs(spark: SparkSession, path: str, schema: str, day: str | None = None, run_id: str | None = None) -> DataFrame:
+    """Run records written by ``write_runs``; a day prunes folders, an id picks one run."""
+    r = spark.read.schema(f"{schema}, day date").json(path)
+    r = r if day is None else r.filter(F.col("day") == F.lit(day).cast("date"))
+    return r if run_id is None else r.filter(F.col("run_id") == run_id)

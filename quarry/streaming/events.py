@@ -61,8 +61,33 @@ def reliability_stream(events: DataFrame, prior: float = 0.55) -> DataFrame:
     return events.select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(update, output, kept, "update", "NoTimeout")
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Everything that is available now, into a memory table."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Everything that is available now, written by batch under a shared folder and read back, with the number of the batch.
+
+    Of a complete result only the last batch stays; a batch that is tried again overwrites itself.
+    """
+    rows = f"{folder}/rows"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        path = rows if mode == "complete" else f"{rows}/batch={n}"
+        (batch.withColumn("batch", F.lit(n).cast("long")) if mode == "complete" else batch).write.mode("overwrite").parquet(path)
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+    return df.sparkSession.read.schema(schema).parquet(rows)
+
+
+def heartbeats(events: DataFrame, seconds: int) -> DataFrame:
+    """A progress row for every full interval in which a user's run is silent: (user_id, event_id, beat, at)."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = events.select("event_id", "user_id", us.alias("us"), ((F.lead(us).over(w) - us) / F.lit(seconds * 1_000_000)).alias("silent"))
+    beats = e.filter("silent > 1").select("user_id", "event_id", "us", F.explode(F.sequence(F.lit(1), (F.ceil("silent") - 1).cast("int"))).alias("beat"))
+    return beats.select("user_id", "event_id", "beat", F.timestamp_micros(F.col("us") + F.col("beat") * F.lit(seconds * 1_000_000)).alias("at"))
+
+
+def frames(events: DataFrame, kind: str = "event_type", order: str = "event_id") -> DataFrame:
+    """Rows as frames of a server-sent event stream: ``event:``, ``data:`` as JSON on one line, a blank line."""
+    body = F.to_json(F.struct(*(F.col(c) for c in events.columns if c != kind)))
+    return events.select(F.col(order), F.concat(F.lit("event: "), F.col(kind), F.lit("\ndata: "), body, F.lit("\n\n")).alias("frame"))

@@ -16,8 +16,7 @@ ROOT = Path(__file__).resolve().parents[1]
 def test_recorded_source_never_raises(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"items": [{"id": 1, "full_name": "o/r", "html_url": "https://github.com/o/r", "description": "d", "owner": {"login": "o"}}]}))
     (tmp_path / "b.json").write_bytes(b"\xff\xfe\xff")
-    spark.dataSource.register(files.RecordedSource)
-    got = spark.read.format("recorded").option("path", str(tmp_path)).load()
+    got = files.recorded(spark, str(tmp_path))
     assert {(r.task, r.ok) for r in got.collect()} == {("a.json", True), ("b.json", False)}
     items = connectors.parse(got.filter("ok"), "github").collect()
     assert [(r.url, r.author) for r in items] == [("https://github.com/o/r", "o")]
@@ -48,7 +47,7 @@ def test_stream_windows_are_a_subset_of_batch(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     batch = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     want = {tuple(r) for r in events.hourly(batch).select("hour", "event_type", "n").collect()}
-    out = events.run_once(events.hourly(events.read_stream(spark, d)).drop("total"), "closed_hours", "append", str(tmp_path / "c"))
+    out = events.run_once(events.hourly(events.read_stream(spark, d)).drop("total"), "append", str(tmp_path / "c"))
     got = {tuple(r) for r in out.select("hour", "event_type", "n").collect()}
     assert got <= want and len(want) - len(got) < 20
 
