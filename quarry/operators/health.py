@@ -59,6 +59,17 @@ def health(intents: DataFrame, selected: DataFrame, clusters: DataFrame, failed_
     return h.select("query_id", F.col("n").alias("selected"), "matched", *(F.when(some, F.col(p)).otherwise(0).cast("long").alias(p) for p in parts), "quality", "coverage", status.alias("status"), (F.floor(F.col("rel") * 1e6 + 0.5) / 1e6).alias("avg_relevance"), F.col("primary").alias("primary_sources"), F.col("near_zero"))
 
 
+def reasons(most: int = 4) -> Column:
+    """What a health row (quality, coverage, claims, primary_sources, avg_relevance, degraded) is due to, the first four."""
+    n = lambda c: F.col(c).cast("string")
+    said = [
+        F.when(F.col("quality") >= 80, F.lit("Evidence is of high quality.")), F.when(F.col("claims") == 0, F.lit("No claims were selected.")),
+        F.when(F.col("primary_sources") > 0, F.concat(n("primary_sources"), F.lit(" selected from primary sources."))).otherwise(F.lit("No primary source was selected.")),
+        F.when(F.col("avg_relevance") < 0.35, F.lit("Mean relevance is low.")), F.when(F.col("degraded") > 0, F.concat(n("degraded"), F.lit(" selected from degraded texts."))), F.when(F.col("coverage") < 35, F.lit("Coverage is low.")),
+    ]
+    return F.slice(F.filter(F.array(*said), lambda r: r.isNotNull()), 1, most)
+
+
 def _keyword_only(query: Column, title: Column, content: Column, relevance: Column) -> Column:
     """Whether a chunk only shares words with the query: hardly relevant, about its author, or with one query term at most."""
     asked = F.array_except(terms(query, 2), strings(GAP_STOPWORDS))

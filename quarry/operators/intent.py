@@ -34,6 +34,13 @@ def required_types(query: Column) -> Column:
     return _first_wins(F.when(F.array_contains(query_types(query), "fresh-fact") & (F.size(asked) == 0), strings(["government", "academic"])).otherwise(asked), 6)
 
 
+def without_news(query: Column, required: Column) -> Column:
+    """Required types without news that the query does not ask for; official and academic sources stand in."""
+    asks = F.lower(query).rlike(r"\b(news|headline|headlines|article|articles|press)\b")
+    other = F.array_distinct(F.concat(F.filter(required, lambda r: r != "news"), strings(["government", "academic"])))
+    return F.when(F.array_contains(required, "news") & ~asks, other).otherwise(required)
+
+
 def entities(query: Column) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(query, F.lit(rf"{_EDGE}[A-Z][A-Za-z0-9.-]*(?:\s+[A-Z][A-Za-z0-9.-]*){{0,3}}{_EDGE}"), F.lit(0))), 1, 10)
 
