@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from quarry.llm._spark import drop, materialize, shuffle_partitions
 from quarry.llm._text import batch_word_hashes, groups, mix, ngram_hashes
-from quarry.llm.components import components
+from quarry.llm.components import components, salted_join
 
 _U64 = np.uint64
 #: Tokens that a map task gathers before it ships them; bounds its memory.
@@ -419,7 +419,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     final = roots
     # least key of a node, then of a component, back to rows
     least = materialize(rows.groupBy("node").agg(F.min("key").alias("least")).join(final, "node", "left").withColumn("root", F.coalesce("root", "node")), scratch)
-    named = materialize(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").filter("node <> 0").select("node", "component_id"), scratch)
+    named = materialize(salted_join(least, least.groupBy("root").agg(F.min("least").alias("component_id")), "root", "node").filter("node <> 0").select("node", "component_id"), scratch)
     linked = rows.filter("n_shingles > 0").join(named, "node").select(F.col("key").alias(key), "n_shingles", "component_id")
     result = materialize(linked.unionByName(rows.filter("n_shingles = 0").select(F.col("key").alias(key), "n_shingles", F.col("key").alias("component_id"))))
     drop(spark, scratch)

@@ -274,6 +274,25 @@ def test_ngram_join_matches_brute_force(spark, docs, empty, rare):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_match_union_find(spark, seed):
+    from quarry.llm.components import components
+
+    rng = random.Random(seed)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(rng.choice([0, 40, 70]))] + [(200, 200 + i) for i in range(1, 40)] * (seed % 2)
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+
+    def find(x: int) -> int:
+        return x if root[x] == x else find(root[x])
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted((n, find(n)) for n in root)
+
+
 def test_bitmap_bound_never_drops_a_link():
     rng, t = np.random.default_rng(2), ngram_join.Fraction("3/4")
     for _ in range(200):
