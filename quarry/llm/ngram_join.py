@@ -390,7 +390,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: str = "3/4", rare: int = 256) -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     t, spark = Fraction(threshold), docs.sparkSession
-    slots = 1 << max(6, (2 * shuffle_partitions(spark) - 1).bit_length())  # more than one range a task
+    slots = 1 << max(6, (shuffle_partitions(spark) - 1).bit_length())  # a range a task; more would repeat the lists of nodes
     first, scratch = [], []
     reduced = materialize(_frequencies(_postings(docs, key, text, n, slots)), first)
     rows = materialize(reduced.filter("kind = 0").select("key", "node", F.col("n").cast("long").alias("n_shingles")), scratch)
