@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from quarry.dims import strings
 
 _MARK = "\x01"
 
@@ -27,7 +26,7 @@ _ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("&lt;", "<"), ("&
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
+    return F.trim(c, F.lit(" \t\n\r\f\x0b"))
 
 
 def clean_html(c: Column) -> Column:
@@ -45,8 +44,8 @@ def words(c: Column) -> Column:
 
 
 def token_estimate(c: Column, least: int = 1) -> Column:
-    n = F.size(words(c))
-    return F.when(n == 0, F.lit(0)).otherwise(F.greatest(F.lit(least), F.ceil(n * F.lit(1.33)))).cast("long")
+    n = F.size(F.split(trim(c), r"[ \t\n\r\f\x0B]+"))  # what is trimmed has no empty words
+    return F.when(trim(c) == "", F.lit(0)).otherwise(F.greatest(F.lit(least), F.ceil(n * F.lit(1.33)))).cast("long")
 
 
 def truncate_to_budget(c: Column, budget: int) -> Column:
@@ -67,8 +66,7 @@ def apostrophe_words(c: Column) -> Column:
 
 def terms(c: Column, longer_than: int = 3, stop: list[str] | None = None) -> Column:
     """Lower-case alphanumeric tokens longer than a bound and not stop words, in order, with repeats."""
-    kept = F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: F.length(t) > longer_than)
-    return F.filter(kept, lambda t: ~F.array_contains(strings(stop), t)) if stop else kept
+    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: (F.length(t) > longer_than) & ~t.isin(*stop) if stop else F.length(t) > longer_than)
 
 
 def normalized(c: Column) -> Column:
