@@ -47,12 +47,12 @@ def freshness_ranked(published, now: str) -> F.Column:
     return F.when(published.isNull(), 0.55).when(a <= 365, 1.0).when(a <= 1095, 0.78).when(a <= 2920, 0.6).otherwise(0.45)
 
 
-def chunks(items: DataFrame, now: str, least: int = 500, most: int = 1000) -> DataFrame:
-    """Raw items as chunks with the scores that they start with."""
+def chunks(items: DataFrame, now: str, least: int = 500, most: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Raw items as chunks with the scores that they start with, and the columns ``carry``."""
     c = items.select("*", F.posexplode(pack_chunks(F.trim("text"), least, most)).alias("n", "content")).filter(F.col("content") != "")
     weight = source_weight(F.col("source"), F.col("source_type"))
     return c.select(
         F.concat("id", F.lit(":chunk:"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("chunk_id"), F.col("id").alias("item_id"), (F.col("ord") * 10000 + F.col("n")).alias("ord"),
         "source", "source_type", "url", "title", "author", "publish_date", "content", lookup(STANCES, F.col("source_type"), "speculation").alias("stance"),
-        clamp01(weight).alias("weight"), freshness_stored(F.col("publish_date"), now).alias("freshness"), token_estimate(F.col("content")).alias("tokens"),
+        clamp01(weight).alias("weight"), freshness_stored(F.col("publish_date"), now).alias("freshness"), token_estimate(F.col("content")).alias("tokens"), *carry,
     )

@@ -179,6 +179,12 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.nullif(least, F.lit(0)))
 
 
+def item_parts(title: Column, summary: Column, text: Column) -> Column:
+    """Title, summary and text of an item, each different part once, by blank lines."""
+    parts = F.array_distinct(F.filter(F.array(title, summary, text), lambda p: p.isNotNull() & (p != "")))
+    return F.array_join(parts, "\n\n")
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
 

@@ -32,7 +32,8 @@ def penalty() -> Column:
 
 
 def assemble(chunks: DataFrame, budget: int = 4000) -> DataFrame:
-    """(query_id, chunk_id, decision, position, gain): required types first, then by gain; rejects keep their last gain.
+    """(query_id, chunk_id, decision, position, gain, reason): required types first, then by gain; rejects keep their last
+    gain, and why: ``relevance``, ``budget`` or ``gain``.
 
     Gain is relevance * novelty * weight * type weight - penalty; novelty is 1 less the largest claim overlap with
     the selection. The choice is sequential and a query's chunks are few after pre-ranking, so it runs per query.
@@ -61,7 +62,8 @@ def assemble(chunks: DataFrame, budget: int = 4000) -> DataFrame:
         def settle(i: int, ok: bool, value: float) -> None:
             nonlocal used
             pool.discard(i)
-            out.append((r[i]["query_id"], r[i]["chunk_id"], "selected" if ok else "rejected", len(taken) if ok else None, value))
+            why = None if ok else "relevance" if r[i]["relevance"] < 0.08 else "budget" if used + r[i]["tokens"] > budget else "gain"
+            out.append((r[i]["query_id"], r[i]["chunk_id"], "selected" if ok else "rejected", len(taken) if ok else None, value, why))
             if ok:
                 taken.append(i)
                 used += r[i]["tokens"]
@@ -78,9 +80,9 @@ def assemble(chunks: DataFrame, budget: int = 4000) -> DataFrame:
             settle(i, r[i]["relevance"] >= 0.08 and used + r[i]["tokens"] <= budget and value > 0, value)
         for i in sorted(pool):
             settle(i, False, gain(i))
-        return pd.DataFrame(out, columns=["query_id", "chunk_id", "decision", "position", "gain"]).astype({"position": "Int32"})
+        return pd.DataFrame(out, columns=["query_id", "chunk_id", "decision", "position", "gain", "reason"]).astype({"position": "Int32"})
 
-    return rows.groupBy("query_id").applyInPandas(choose, "query_id long, chunk_id string, decision string, position int, gain double")
+    return rows.groupBy("query_id").applyInPandas(choose, "query_id long, chunk_id string, decision string, position int, gain double, reason string")
 
 
 def final_gains(chunks: DataFrame, selection: DataFrame) -> DataFrame:

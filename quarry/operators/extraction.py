@@ -67,6 +67,18 @@ def readable(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(main_text)
 
 
+def pdf_text(content: bytes, most_pages: int = 8) -> str | None:
+    """Text of the first pages of a PDF, if a library for it is installed; None, a failed attempt, if not or if it cannot be read."""
+    try:
+        from io import BytesIO
+
+        from pypdf import PdfReader
+
+        return " ".join(" ".join((p.extract_text() or "").split()) for p in PdfReader(BytesIO(content)).pages[:most_pages])
+    except Exception:  # no library, or no PDF
+        return None
+
+
 def truncated(text: Column, most: int = MOST_CHARS) -> Column:
     return F.when(F.length(text) > most, F.trim(F.substring(text, 1, most))).otherwise(text)
 

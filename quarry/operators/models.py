@@ -130,6 +130,33 @@ def rule_provider(asked: dict) -> str:
     return json.dumps({"core_intent": asked["prompt"][:200], "query_type": ["multi-hop"], "entities": [], "temporal_constraints": None, "required_source_types": []})
 
 
+def http_provider(endpoint: str, model: str, key_variable: str, timeout: float = 30.0) -> Callable[[dict], str]:
+    """A provider that posts prompts to a chat endpoint; the key is read from the environment where the call runs."""
+    def ask(asked: dict) -> str:
+        import os
+        import urllib.request
+
+        turns = [{"role": "user", "content": asked["prompt"]}]
+        if "error" in asked:
+            turns += [{"role": "assistant", "content": asked["last"]}, {"role": "user", "content": f"That was not of the form asked for ({asked['error']}). Answer again."}]
+        body = json.dumps({"model": model, "messages": turns}).encode()
+        request = urllib.request.Request(endpoint, body, {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(key_variable, '')}"})
+        with urllib.request.urlopen(request, timeout=timeout) as response:
+            return json.load(response)["choices"][0]["message"]["content"]
+
+    return ask
+
+
+def answers_with_fallback(drafts: DataFrame, provider: Callable[[dict], str] | None) -> DataFrame:
+    """(query_id, answer, by) of drafts (query_id, prompt, fallback): the provider's answer, else the rule's."""
+    if provider is None:
+        return drafts.select("query_id", F.col("fallback").alias("answer"), F.lit("rule").alias("by"))
+    said = call(drafts.select(F.col("query_id").alias("key"), F.lit("synthesis").alias("task"), "prompt"), provider, SCHEMAS["synthesis"])
+    final = F.when(F.trim("output.final_answer") != "", F.col("output.final_answer"))
+    j = drafts.join(said.select(F.col("key").alias("query_id"), final.alias("final")), "query_id", "left")
+    return j.select("query_id", F.coalesce("final", "fallback").alias("answer"), F.when(F.col("final").isNull(), "rule").otherwise("model").alias("by"))
+
+
 def intent_prompt(query: Column, history: Column, now: str) -> Column:
     return F.concat(F.lit(f"Today is {now}.\nState the intent of the question as JSON with the fields of the contract.\nQuestion: "), query, F.when(F.coalesce(history, F.lit("")) != "", F.concat(F.lit("\nEarlier turns:\n"), history)).otherwise(""))
 

@@ -131,7 +131,7 @@ def a06(spark, d):
 
 @query("t09_assembly")
 def t09(spark, d):
-    return evidence.of(spark, d).selection.select("query_id", "chunk_id", "decision", "position", F.round("gain", 6).alias("gain"))
+    return evidence.of(spark, d).selection.select("query_id", "chunk_id", "decision", "position", F.round("gain", 6).alias("gain"), "reason")
 
 
 @query("t11_final_gains")

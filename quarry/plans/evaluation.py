@@ -57,6 +57,19 @@ def a03(spark, d):
     return extraction.merged(once, once)
 
 
+@query("c05_evidence_from_pages")
+def c05_evidence(spark, d):
+    """The evidence plan over pages: short items are looked up, and degraded texts count for less."""
+    items = _page_items(spark, d).drop("group_id")
+    e = evidence.Evidence(queries(spark, d), items, pages=table(spark, d, "pages"))
+    return e.scored.select("query_id", "chunk_id", "status", "degraded", F.round("confidence", 6).alias("confidence"), F.round("relevance", 6).alias("relevance"), "how")
+
+
+@query("f08_item_parts", "SELECT doc_id, array_to_string(list_filter([source, lang, text], lambda x, i: x <> '' AND list_position([source, lang, text], x) = i), chr(10) || chr(10)) AS body FROM documents")
+def f08(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.item_parts(F.col("source"), F.col("lang"), F.col("text")).alias("body"))
+
+
 @query("f03_main_text")
 def f03(spark, d):
     return table(spark, d, "pages").select("page_id", extraction.readable(F.col("html")).alias("body"))

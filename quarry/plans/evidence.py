@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quarry.binding import chunks, queries, raw_items
 from quarry.dims import MODE_POLICY, NOW, registry, strings
 from quarry.functions.vector import hash_embedding
-from quarry.operators import assembly, dedup, health, intent, planner, ranking
+from quarry.operators import assembly, dedup, extraction, health, intent, planner, ranking
 from quarry.shared import checkpointed
 
 
@@ -42,10 +42,11 @@ class EngineConf:
 
 class Evidence:
     """One round. ``plan``: (query_id, plan), if it is not the first one; ``before``: scored chunks of earlier rounds;
-    ``store``: (source, domain, score), reliability known from earlier runs."""
+    ``store``: (source, domain, score), reliability known from earlier runs; ``pages``: (url, html), where the texts of
+    retrieved items are looked up."""
 
-    def __init__(self, asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), plan: DataFrame | None = None, before: DataFrame | None = None, round_: int = 0, store: DataFrame | None = None) -> None:
-        self.asked, self.items, self.conf, self.own_plan, self.before, self.round, self.store = asked, items, conf, plan, before, round_, store
+    def __init__(self, asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), plan: DataFrame | None = None, before: DataFrame | None = None, round_: int = 0, store: DataFrame | None = None, pages: DataFrame | None = None) -> None:
+        self.asked, self.items, self.conf, self.own_plan, self.before, self.round, self.store, self.pages = asked, items, conf, plan, before, round_, store, pages
 
     @cached_property
     def intents(self) -> DataFrame:
@@ -63,15 +64,24 @@ class Evidence:
         tasks = intent.tasks(planner.sub_queries(self.planned), registry(self.asked.sparkSession)).filter("error IS NULL")
         return checkpointed(ranking.candidates(tasks, self.items))
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """What is known of the texts of retrieved items, by query."""
+        wanted = self.items.join(self.hits.select(F.col("query_id").alias("group_id"), F.col("item_id").alias("id")).distinct(), "id")
+        return checkpointed(extraction.documents(wanted, self.pages))
+
     @cached_property
     def chunks(self) -> DataFrame:
+        if self.pages is not None:
+            docs = self.documents.select(F.col("group_id").alias("query_id"), F.col("item_id").alias("id"), "ord", "source", "source_type", F.col("canonical_url").alias("url"), "title", "author", "publish_date", "text", "status")
+            return checkpointed(chunks(docs, self.conf.now, carry=("query_id", "status")).withColumn("summary", F.lit(None).cast("string")))
         found = self.items.join(self.hits.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
         return checkpointed(chunks(found, self.conf.now).withColumn("summary", F.lit(None).cast("string")))
 
     @cached_property
     def fetched(self) -> DataFrame:
         """Chunks of retrieved items with their query's columns, without those that an earlier round had."""
-        found = self.chunks.join(self.hits.select("query_id", "item_id").distinct(), "item_id")
+        found = self.chunks if self.pages is not None else self.chunks.join(self.hits.select("query_id", "item_id").distinct(), "item_id")
         if self.before is not None:
             found = found.join(self.before.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
         wanted = self.intents.select("query_id", "query", "query_types", "required_types", "domain")
@@ -86,7 +96,10 @@ class Evidence:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return checkpointed(ranking.keep_or_rescue(ranking.score(self.preranked), self.conf.threshold))
+        rated = ranking.score(self.preranked)
+        if self.pages is not None:
+            rated = ranking.treat_extraction(rated).withColumn("combined", ranking.combined()).withColumn("degraded", extraction.is_degraded(F.col("status")))
+        return checkpointed(ranking.keep_or_rescue(rated, self.conf.threshold))
 
     @cached_property
     def weighted(self) -> DataFrame:
@@ -139,9 +152,9 @@ class Evidence:
         return planner.without(todo, F.coalesce("lost", strings([]))).filter(F.size("plan") > 0).select("query_id", "plan")
 
 
-def run(asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), store: DataFrame | None = None) -> list[Evidence]:
+def run(asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), store: DataFrame | None = None, pages: DataFrame | None = None) -> list[Evidence]:
     """The rounds: each asks the repair plan of the queries that are to be retried, and ends with none or the mode's last."""
-    steps = [Evidence(asked, items, conf, store=store)]
+    steps = [Evidence(asked, items, conf, store=store, pages=pages)]
     while steps[-1].round < conf.max_rounds:
         last = steps[-1]
         plan = checkpointed(last.next_plan())
@@ -149,7 +162,7 @@ def run(asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), sto
             break
         todo = checkpointed(asked.join(plan.select("query_id"), "query_id", "left_semi"))
         before = last.weighted.join(plan.select("query_id"), "query_id", "left_semi")
-        steps.append(Evidence(todo, items, conf, plan, before, last.round + 1, store))
+        steps.append(Evidence(todo, items, conf, plan, before, last.round + 1, store, pages))
     return steps
 
 

@@ -67,6 +67,12 @@ def c08(spark, d):
     return models.call(prompts, _stubborn, models.SCHEMAS["synthesis"]).select("key", "attempts", "ok", "error", F.col("output.final_answer").alias("answer"))
 
 
+@query("z14_answers_with_fallback", "SELECT doc_id AS query_id, CASE WHEN doc_id % 4 = 3 THEN text ELSE 'x' END AS answer, CASE WHEN doc_id % 4 = 3 THEN 'rule' ELSE 'model' END AS by FROM documents")
+def z14(spark, d):
+    drafts = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("question "), F.col("doc_id").cast("string")).alias("prompt"), F.col("text").alias("fallback"))
+    return models.answers_with_fallback(drafts, _stubborn)
+
+
 @query("z05_model_by_rule", "SELECT doc_id AS key, 0.82::DOUBLE AS relevance, 0.78::DOUBLE AS confidence, 0.75::DOUBLE AS freshness, 0.55::DOUBLE AS surprise FROM documents")
 def z05(spark, d):
     prompts = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.lit("scoring").alias("task"), F.col("text").alias("prompt"))

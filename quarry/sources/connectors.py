@@ -130,6 +130,22 @@ def fetch(payloads: DataFrame, source: str, key: str = "task") -> DataFrame:
     return payloads.select(key, F.lit(source).alias("source"), ok.alias("ok"), F.when(~ok, F.when(n == 0, "MALFORMED_PAYLOAD").otherwise("MISSING_FIELD")).alias("code"))
 
 
+def http_get(url: str, timeout: float = 8.0, agent: str = "quarry/1") -> tuple[bool, str | None, str | None, bool]:
+    """(ok, body, code, retryable) of an address; never raises. Rate limits and server errors may be tried again."""
+    import urllib.error
+    import urllib.request
+
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as response:
+            return True, response.read().decode("utf-8", "replace"), None, False
+    except urllib.error.HTTPError as e:
+        return False, None, f"HTTP_{e.code}", e.code == 429 or e.code >= 500
+    except TimeoutError:
+        return False, None, "TIMEOUT", True
+    except (OSError, ValueError) as e:
+        return False, None, "TIMEOUT" if "timed out" in str(e) else "NETWORK", not isinstance(e, ValueError)
+
+
 # Words that a repository search leaves out, and words that it puts first.
 SEARCH_STOP = [
     "about", "after", "again", "also", "and", "are", "because", "before", "being", "between", "but", "can", "could", "did", "does", "doing", "for", "from", "had", "has", "have", "how", "into", "its", "more", "most", "not", "should", "than", "that",
