@@ -63,6 +63,53 @@ def edges(chunks: DataFrame, embedding: str | None = None, tau: float = 0.85) ->
     return found.groupBy("query_id", "a", "b").agg(F.min("level").alias("level"))
 
 
+def edges_by_query(chunks: DataFrame, embedding: str | None = None, tau: float = 0.85) -> DataFrame:
+    """The same within queries of few chunks (after pre-ranking they are bounded): every pair of a query's chunks in one pass."""
+    import numpy as np
+    import pandas as pd
+
+    said = F.coalesce("claim", F.substring("content", 1, 240))
+    rows = chunks.select(
+        "query_id", "chunk_id", "source_type", document_key(F.col("source"), F.col("url"), F.col("title"), F.col("author"), F.col("publish_date")).alias("document"), content_key(F.col("content")).alias("same"),
+        F.array_distinct(terms(content_key(F.col("content"), 1 << 30))).alias("near"), F.array_distinct(terms(content_key(said, 1 << 30))).alias("claimed"), (F.col(embedding) if embedding else F.array().cast("array<double>")).alias("v"),
+    )
+
+    def link(r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values("chunk_id").reset_index(drop=True)
+        found: dict[tuple[int, int], int] = {}
+
+        def add(a: int, b: int, level: str) -> None:
+            found[a, b] = min(found.get((a, b), 9), LEVELS[level])
+
+        def star(keys: list, level: str) -> None:
+            first: dict = {}
+            for i, k in enumerate(keys):
+                if k is not None and first.setdefault(k, i) != i:
+                    add(first[k], i, level)
+
+        star(r.document.tolist(), "document")
+        star(r.same.tolist(), "chunk")
+        for column, least, level in (("near", 0.92, "chunk"), ("claimed", 0.78, "claim")):
+            sets = [frozenset(x) for x in r[column]]
+            star([None if x else "" for x in sets], level)
+            for i, a in enumerate(sets):
+                for j in range(i + 1, len(sets)):
+                    b = sets[j]
+                    if a and b and min(len(a), len(b)) >= least * max(len(a), len(b)) - 1e-9 and len(a & b) >= least * len(a | b):
+                        add(i, j, level)
+        if embedding:
+            kinds, vectors = r.source_type.tolist(), [np.asarray(x, float) for x in r.v]
+            norms = [np.sqrt((x * x).sum()) for x in vectors]
+            for i in range(len(r)):
+                for j in range(i + 1, len(r)):
+                    if len(vectors[i]) == len(vectors[j]) and norms[i] * norms[j] > 0 and float(vectors[i] @ vectors[j]) / (norms[i] * norms[j]) >= (tau if kinds[i] == kinds[j] else max(0.94, tau + 0.08)):
+                        add(i, j, "semantic")
+        ids, pairs = r.chunk_id.tolist(), sorted(found)
+        return pd.DataFrame({"query_id": [r.query_id[0]] * len(pairs), "a": [ids[a] for a, _ in pairs], "b": [ids[b] for _, b in pairs], "level": [found[p] for p in pairs]})
+
+    return rows.groupBy("query_id").applyInPandas(link, "query_id long, a string, b string, level int")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(query_id, chunk_id, cluster): the least member reachable; label propagation with checkpoints and pointer jumps."""
     both = links.select("query_id", "a", "b").unionByName(links.select("query_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -111,7 +111,7 @@ class Evidence:
 
     @cached_property
     def links(self) -> DataFrame:
-        return checkpointed(dedup.edges(self.weighted, "embedding", self.conf.tau))
+        return checkpointed(dedup.edges_by_query(self.weighted, "embedding", self.conf.tau))
 
     @cached_property
     def clusters(self) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarry import cli
 from quarry.functions import text as T
 from quarry.functions import vector as V
-from quarry.operators import answers, assembly, extraction, gold, models, planner, ranking, stores, traces
+from quarry.operators import answers, assembly, dedup, extraction, gold, models, planner, ranking, stores, traces
 from quarry.sources import connectors, curated, files
 from tests.test_engine import chunk, frame
 
@@ -132,6 +132,14 @@ def test_diverse_choice_matches_brute_force(spark, seed):
     assert [r.chunk_id for r in got] == [r[1] for r in taken]
 
 
+def test_links_of_few_chunks_equal_the_general_form(spark):
+    rng = random.Random(8)
+    base = [" ".join(rng.choices("alpha bravo charlie delta echoes foxtrot golfing hotels india juliet".split(), k=n)) for n in (0, 3, 6, 9)]
+    rows = [chunk(f"c{i:02d}", url=f"https://x.org/{rng.randrange(12)}", title=rng.choice(["t", "u"]), source=rng.choice(["core", "arxiv"]), source_type=rng.choice(["academic", "code"]), content=rng.choice(base) + rng.choice(["", " extra"]), claim=rng.choice([None, *base])) for i in range(30)]
+    f = frame(spark, *rows).withColumn("v", V.hash_embedding()(F.col("content")))
+    assert sorted(map(tuple, dedup.edges(f, "v", 0.8).collect())) == sorted(map(tuple, dedup.edges_by_query(f, "v", 0.8).collect()))
+
+
 def test_final_gains_against_the_selection(spark):
     rows = [chunk("a", claim="alpha bravo charlie"), chunk("b", claim="alpha bravo delta"), chunk("c", claim="other words entirely")]
     selection = spark.createDataFrame([(1, "a", "selected"), (1, "c", "selected"), (1, "b", "rejected")], "query_id long, chunk_id string, decision string")
