@@ -21,6 +21,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0) | norm.isNull(), F.lit(0.0)).otherwise(dot(a, b) / F.nullif(norm, F.lit(0.0)))
 
 
+def cosine_padded(a: Column, b: Column) -> Column:
+    """Cosine of vectors of any lengths, the shorter one as if it went on with zeros."""
+    n = F.least(F.size(a), F.size(b))
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when((norm == 0) | norm.isNull(), F.lit(0.0)).otherwise(dot(F.slice(a, 1, n), F.slice(b, 1, n)) / F.nullif(norm, F.lit(0.0)))
+
+
 def in_blocks(queries: DataFrame, rows: DataFrame, key: str, vector: str = "embedding", block: int = 512) -> DataFrame:
     """(q, key, cosine) of a stated query set against all other rows, in blocks of queries.
 

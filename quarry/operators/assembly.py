@@ -94,3 +94,21 @@ def final_gains(chunks: DataFrame, selection: DataFrame) -> DataFrame:
     new = F.when(F.col("like").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.05), 1 - F.col("like"))))
     g = F.col("relevance") * new * F.col("weight") * F.col("type_weight") - F.col("penalty")
     return most.select("query_id", "chunk_id", (F.floor(g * 10000 + 0.5) / 10000).alias("gain"))
+
+
+def fitting(rows: DataFrame, group: str, order: str, tokens: str, budget: int) -> DataFrame:
+    """(group, order, used): of every group, in order, the rows that still fit the budget; one that does not is passed over.
+
+    Whether a row fits depends on those taken before it, so a group's sizes are folded as one array, in the JVM.
+    """
+    sizes = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")))).alias("s"))
+    kept = "struct<used:bigint,taken:array<struct<o:bigint,used:bigint>>>"
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,used:bigint>>").alias("taken")).cast(kept)
+
+    def step(acc: Column, x: Column) -> Column:
+        now = acc["used"] + x["t"]
+        more = F.concat(acc["taken"], F.array(F.struct(x["o"].cast("long").alias("o"), now.alias("used"))))
+        return F.when(now <= budget, F.struct(now.alias("used"), more.alias("taken")).cast(kept)).otherwise(acc)
+
+    taken = sizes.select(group, F.explode(F.aggregate("s", start, step, lambda a: a["taken"])).alias("x"))
+    return taken.select(group, F.col("x.o").alias(order), F.col("x.used").alias("used"))

@@ -91,3 +91,15 @@ def history(runs: DataFrame, feedback: DataFrame, most: int = 240) -> DataFrame:
     last = feedback.groupBy("run_id").agg(F.max_by("vote", "updated_at").alias("vote"))
     preview = F.when(F.length("answer") > most, F.concat(F.rtrim(F.substring("answer", 1, most)), F.lit("..."))).otherwise(F.col("answer"))
     return runs.select("run_id", "query", preview.alias("preview"), "finished").join(last, "run_id", "left")
+
+
+def merged_entries(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Entries of two histories as one: of an entry that both have, each field as the new one has it, else as the old one."""
+    o = old.select(*(F.col(c).alias(f"{c}_old" if c != key else c) for c in old.columns))
+    j = o.join(new, key, "full")
+    return j.select(key, *(F.coalesce(F.col(c), F.col(f"{c}_old")).alias(c) for c in new.columns if c != key))
+
+
+def source_results(requests: DataFrame) -> DataFrame:
+    """(source, queried, ok, failed, timing, errors) of requests (source, ok, timing_ms, code); each error code once."""
+    return requests.groupBy("source").agg(F.count(F.lit(1)).alias("queried"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.sum("timing_ms").alias("timing"), F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("code")))).alias("errors"))

@@ -196,3 +196,35 @@ def p21_shapes(spark, d):
 def z02(spark, d):
     mode = F.element_at(dims.strings(["fast", "balanced", "quality"]), (F.abs(F.floor(F.col("query_id") / 1000)) % 3 + 1).cast("int"))
     return _asked(spark, d).select("query_id", models.attempts_of(mode, F.lit("scoring")).alias("attempts"))
+
+
+@query("w03_fitting_rows", """WITH RECURSIVE o AS (SELECT user_id, event_id, (event_id % 37)::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    f AS (SELECT user_id, event_id, n, CASE WHEN t <= 100 THEN t ELSE 0 END AS used, t <= 100 AS taken FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.n, CASE WHEN used + t <= 100 THEN used + t ELSE used END, used + t <= 100 FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+    SELECT user_id, event_id, used FROM f WHERE taken""")
+def w03(spark, d):
+    from quarry.operators.assembly import fitting
+
+    return fitting(table(spark, d, "events").withColumn("t", F.col("event_id") % 37), "user_id", "event_id", "t", 100)
+
+
+@query("a23_merged_entries", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.lang, a.lang) AS lang, coalesce(b.source, a.source) AS source FROM (SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 > 0) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' END AS lang, NULL::VARCHAR AS source FROM documents WHERE doc_id % 5 > 0) b USING (doc_id)")
+def a23(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    new = docs.filter("doc_id % 5 > 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "new").alias("lang"), F.lit(None).cast("string").alias("source"))
+    return traces.merged_entries(docs.filter("doc_id % 3 > 0"), new, "doc_id")
+
+
+@query("a01_source_results", "SELECT event_type AS source, count(*) AS queried, count(*) FILTER (WHERE event_id % 3 > 0) AS ok, count(*) FILTER (WHERE event_id % 3 = 0) AS failed, sum(event_id % 100)::BIGINT AS timing, coalesce(string_agg(DISTINCT 'HTTP_' || (400 + event_id % 4), ',' ORDER BY 'HTTP_' || (400 + event_id % 4)) FILTER (WHERE event_id % 3 = 0), '') AS errors FROM events GROUP BY 1")
+def a01(spark, d):
+    i = F.col("event_id")
+    r = table(spark, d, "events").select(F.col("event_type").alias("source"), (i % 3 > 0).alias("ok"), (i % 100).alias("timing_ms"), F.concat(F.lit("HTTP_"), (i % 4 + 400).cast("string")).alias("code"))
+    return traces.source_results(r).withColumn("errors", F.array_join("errors", ","))
+
+
+@query("f41_padded_cosine", "SELECT a.vec_id AS q, b.vec_id AS vec_id, round(list_inner_product(list_slice(a.embedding, 1, 40)::DOUBLE[], list_slice(b.embedding, 1, 40)::DOUBLE[]) / sqrt(list_inner_product(list_slice(a.embedding, 1, 40)::DOUBLE[], list_slice(a.embedding, 1, 40)::DOUBLE[])) / sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def f41(spark, d):
+    from quarry.functions.vector import cosine_padded
+
+    e = table(spark, d, "embeddings")
+    a = e.select(F.col("vec_id").alias("q"), (F.col("vec_id") + 1).alias("vec_id"), F.slice("embedding", 1, 40).alias("short"))
+    return a.join(e.select("vec_id", "embedding"), "vec_id").select("q", "vec_id", F.round(cosine_padded(F.col("short"), F.col("embedding")), 5).alias("cosine"))

@@ -65,3 +65,18 @@ def read_runs(spark: SparkSession, path: str, schema: str, day: str | None = Non
     r = spark.read.schema(f"{schema}, day date").json(path)
     r = r if day is None else r.filter(F.col("day") == F.lit(day).cast("date"))
     return r if run_id is None else r.filter(F.col("run_id") == run_id)
+
+
+def read_gold_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Records (question, section, id, text, keywords, weight) of a gold draft as CSV with a header; keywords by semicolons."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema("question string, section string, id string, text string, keywords string, weight string").csv(path)
+    words = F.filter(F.transform(F.split(F.coalesce("keywords", F.lit("")), ";"), lambda k: F.trim(k)), lambda k: k != "")
+    return raw.select("question", F.lower("section").alias("section"), "id", "text", words.alias("keywords"), F.coalesce(F.expr("try_cast(weight AS DOUBLE)"), F.lit(1.0)).alias("weight"))
+
+
+def gold_of_records(records: DataFrame) -> DataFrame:
+    """Gold answers (question_id, valid, facts, required, penalties) of records; a question without facts is not valid."""
+    part = lambda name, value: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == name, F.struct("id", value.alias("v"))))), lambda x: x["v"])
+    words = F.col("keywords") if "keywords" in records.columns else F.array().cast("array<string>")
+    g = records.groupBy(F.col("question").alias("question_id")).agg(part("facts", F.struct("text", words.alias("keywords"))).alias("facts"), part("sources", F.col("text")).alias("required"), part("penalties", F.col("text")).alias("penalties"))
+    return g.select("question_id", (F.size("facts") > 0).alias("valid"), "facts", "required", "penalties")

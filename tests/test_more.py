@@ -229,3 +229,9 @@ def test_run_records_by_day(spark, tmp_path):
     files.write_runs(runs, str(tmp_path / "runs"), longest=5)
     got = files.read_runs(spark, str(tmp_path / "runs"), "run_id string, answer string", run_id="a").collect()
     assert [(r.run_id, r.answer) for r in got] == [("a", "xxxxx")]
+
+
+def test_gold_drafts_as_csv(spark, tmp_path):
+    (tmp_path / "g.csv").write_text('question,section,id,text,keywords,weight\nQ1,Facts,f1,"a fact, whole",one; two,2\nQ1,sources,s1,government,,\nQ1,penalties,p1,insider news,,x\nQ2,sources,s1,news,,\n')
+    g = {r.question_id: r for r in files.gold_of_records(files.read_gold_csv(spark, str(tmp_path / "g.csv"))).collect()}
+    assert [tuple(f) for f in g["Q1"].facts] == [("a fact, whole", ["one", "two"])] and (g["Q1"].required, g["Q1"].penalties, g["Q1"].valid, g["Q2"].valid) == (["government"], ["insider news"], True, False)
