@@ -249,8 +249,8 @@ def f09(spark, d):
 
 # --- gold scores --------------------------------------------------------------------------------------------------------
 
-_GOLD = """g AS (SELECT item_id % 40 AS question_id, item_id % 7 <> 3 AS valid, [{'text': text, 'keywords': CASE WHEN item_id % 2 = 0 THEN [split_part(text, ' ', 1), split_part(text, ' ', 3)] ELSE []::VARCHAR[] END}, {'text': text, 'keywords': ['data', 'water', 'report', 'zzz']}] AS facts,
-    ['government', 'primary-document', 'news', 'forum'] AS required, ['used insider news', 'treats consensus as truth', split_part(text, '.', 1)] AS penalties FROM benchmark WHERE item_id % 40 = item_id),
+_GOLD = """g AS (SELECT item_id AS question_id, item_id % 7 <> 3 AS valid, [{'text': text, 'keywords': CASE WHEN item_id % 2 = 0 THEN [split_part(text, ' ', 1), split_part(text, ' ', 3)] ELSE []::VARCHAR[] END}, {'text': text, 'keywords': ['data', 'water', 'report', 'zzz']}] AS facts,
+    ['government', 'primary-document', 'news', 'forum'] AS required, ['used insider news', 'treats consensus as truth', split_part(text, '.', 1)] AS penalties FROM benchmark),
 a AS (SELECT doc_id, 'e' || (doc_id % 3) AS engine, doc_id % 45 AS question_id, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE text || CASE WHEN doc_id % 5 = 0 THEN ' It used insider news.' ELSE '' END END AS answer, CASE doc_id % 4 WHEN 0 THEN []
     WHEN 1 THEN [{'source_name': 'sec_edgar', 'source_type': 'filing', 'url': 'https://a.org', 'title': 'Reuters news', 'provenance': 'primary'}]
     WHEN 2 THEN [{'source_name': 'data_gov', 'source_type': 'government', 'url': NULL, 'title': 't', 'provenance': 'unknown'}, {'source_name': 'data_gov', 'source_type': 'government', 'url': NULL, 'title': 't', 'provenance': 'unknown'}]
@@ -262,8 +262,7 @@ def _gold(spark, d):
     words = F.split("text", " ")
     few = F.when(F.col("item_id") % 2 == 0, F.array(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.coalesce(F.get(words, F.lit(2)), F.lit("")))).otherwise(F.array().cast("array<string>"))
     facts = F.array(F.struct("text", few.alias("keywords")), F.struct("text", dims.strings(["data", "water", "report", "zzz"]).alias("keywords")))
-    g = table(spark, d, "benchmark").filter("item_id % 40 = item_id")  # the first forty are the questions
-    return g.select((F.col("item_id") % 40).alias("question_id"), (F.col("item_id") % 7 != 3).alias("valid"), facts.alias("facts"), dims.strings(["government", "primary-document", "news", "forum"]).alias("required"), F.array(F.lit("used insider news"), F.lit("treats consensus as truth"), F.get(F.split("text", r"\."), F.lit(0))).alias("penalties"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), (F.col("item_id") % 7 != 3).alias("valid"), facts.alias("facts"), dims.strings(["government", "primary-document", "news", "forum"]).alias("required"), F.array(F.lit("used insider news"), F.lit("treats consensus as truth"), F.get(F.split("text", r"\."), F.lit(0))).alias("penalties"))
 
 
 def _gold_answers(spark, d):
@@ -445,3 +444,61 @@ def s28(spark, d):
 def f18_run(spark, d):
     e = evidence.of(spark, d)
     return answers.general_answer(e.selected).withColumn("citations", F.array_join("citations", ","))
+
+
+# --- health and gains of made-up selections -----------------------------------------------------------------------------
+
+_KINDS, _STANCES = ["government", "forum", "academic", "medical", "code"], ["primary_source", "opinion", "secondary_analysis", "tertiary_summary"]
+_SELECTED = f"""s AS (SELECT doc_id, doc_id % 30 AS query_id, 's' || (doc_id % 7) AS source, ({_list(_KINDS)})[doc_id % 5 + 1] AS source_type, ({_list(_STANCES)})[doc_id % 4 + 1] AS stance, ((doc_id * 7) % 100) / 100::DOUBLE AS relevance, ((doc_id * 13) % 100) / 100::DOUBLE AS confidence,
+    ((doc_id * 3) % 100) / 100::DOUBLE AS weight, ((doc_id * 11) % 100) / 100::DOUBLE AS freshness, doc_id % 3 > 0 AS has_claim, doc_id % 9 = 0 AS degraded, text FROM documents),
+i AS (SELECT n AS query_id, CASE WHEN n % 3 = 0 THEN ['fresh-fact'] ELSE ['multi-hop'] END AS types, CASE n % 4 WHEN 0 THEN ['government','academic'] WHEN 1 THEN ['primary-document','forum'] WHEN 2 THEN [] ELSE ['news','code'] END AS required FROM range(33) t(n))"""
+
+
+def _selected(spark, d):
+    i = F.col("doc_id")
+    pick = lambda values, n: F.element_at(dims.strings(values), (i % n + 1).cast("int"))
+    s = table(spark, d, "documents").select(
+        F.concat(F.lit("c"), F.lpad(i.cast("string"), 8, "0")).alias("chunk_id"), (i % 30).alias("query_id"), F.concat(F.lit("s"), (i % 7).cast("string")).alias("source"), pick(_KINDS, 5).alias("source_type"), pick(_STANCES, 4).alias("stance"), (i * 7 % 100 / 100).alias("relevance"), (i * 13 % 100 / 100).alias("confidence"),
+        (i * 3 % 100 / 100).alias("weight"), (i * 11 % 100 / 100).alias("freshness"), F.when(i % 3 > 0, F.col("text")).alias("claim"), (i % 9 == 0).alias("degraded"),
+    )
+    n = F.col("query_id")
+    none = F.array().cast("array<string>")
+    types = F.when(n % 3 == 0, dims.strings(["fresh-fact"])).otherwise(dims.strings(["multi-hop"]))
+    required = F.when(n % 4 == 0, dims.strings(["government", "academic"])).when(n % 4 == 1, dims.strings(["primary-document", "forum"])).when(n % 4 == 2, none).otherwise(dims.strings(["news", "code"]))
+    return s, spark.range(33).select(F.col("id").alias("query_id")).select("query_id", types.alias("query_types"), required.alias("required_types"))
+
+
+@query("a11_health_of_selections", f"""WITH {_SELECTED}, a AS (SELECT query_id, count(*) AS n, avg(relevance) AS rel, avg(confidence) AS conf, avg(weight) AS wt, avg(freshness) AS fresh, count(*) FILTER (WHERE has_claim) AS claims, count(DISTINCT source_type) AS types, count(DISTINCT source) AS sources,
+      count(*) FILTER (WHERE stance = 'primary_source' OR source_type IN ('government','filing','structured_fact','medical')) AS prim, count(*) FILTER (WHERE relevance < 0.18) AS zero, count(*) FILTER (WHERE degraded) AS deg FROM s GROUP BY 1),
+    m AS (SELECT query_id, count(DISTINCT r) AS matched FROM (SELECT query_id, unnest(required) AS r FROM i) JOIN s USING (query_id) WHERE CASE r WHEN 'primary-document' THEN stance = 'primary_source' OR source_type IN ('government','filing','structured_fact','medical') WHEN 'news' THEN false ELSE source_type = r END GROUP BY 1),
+    j AS (SELECT i.query_id, required, coalesce(n, 0) AS n, coalesce(rel, 0) AS rel, coalesce(conf, 0) AS conf, coalesce(wt, 0) AS wt, coalesce(fresh, 0) AS fresh, coalesce(claims, 0) AS claims, coalesce(a.types, 0) AS types, coalesce(sources, 0) AS sources, coalesce(prim, 0) AS prim, coalesce(zero, 0) AS zero, coalesce(deg, 0) AS deg, coalesce(matched, 0) AS matched, i.query_id % 5 AS merged,
+      list_has_any(required, ['primary-document','government','filing','medical']) OR list_has_any(i.types, ['source-attribution','adversarial','fresh-fact']) AS need FROM i LEFT JOIN a USING (query_id) LEFT JOIN m USING (query_id)),
+    k AS (SELECT *, n / greatest(1, n + merged)::DOUBLE AS nr FROM j),
+    p AS (SELECT *, floor(greatest(0, least(100, (rel + conf) / 2 * 100)) + 0.5) AS rc, floor(greatest(0, least(100, (0.72 * wt + 0.18 * (prim > 0)::INT + CASE WHEN NOT need THEN 0.08 WHEN prim > 0 THEN 0.1 ELSE -0.14 END) * 100)) + 0.5) AS sa,
+      floor(greatest(0, least(100, (0.34 * least(1, claims / 8::DOUBLE) + 0.24 * least(1, types / 3::DOUBLE) + 0.16 * least(1, sources / 3::DOUBLE) + 0.16 * matched / greatest(1, len(required))::DOUBLE + 0.1 * nr) * 100)) + 0.5) AS cd, floor(greatest(0, least(100, fresh * 100)) + 0.5) AS ff FROM k),
+    q AS (SELECT *, floor(greatest(0, least(100, 0.35 * rc + 0.25 * sa + 0.25 * cd + 0.15 * ff)) + 0.5) AS q0, floor(greatest(0, least(100, 0.65 * cd + 0.2 * rc + 15 * nr)) + 0.5) AS c0, CASE WHEN zero > 0 THEN greatest(0.45, 1 - zero / greatest(1, n)::DOUBLE) ELSE 1 END * CASE WHEN deg > 0 THEN greatest(0.55, 1 - 0.25 * deg / greatest(1, n)::DOUBLE) ELSE 1 END AS ze, CASE WHEN rel < 0.25 THEN 34 WHEN rel < 0.35 THEN 58 ELSE 100 END AS cap FROM p),
+    z AS (SELECT *, CASE WHEN n > 0 THEN least(floor(q0 * ze + 0.5), cap) ELSE 0 END::BIGINT AS quality, CASE WHEN n > 0 THEN least(floor(c0 * ze + 0.5), cap) ELSE 0 END::BIGINT AS coverage FROM q)
+    SELECT query_id, n AS selected, matched, quality, coverage, CASE WHEN n = 0 THEN 'insufficient' WHEN least(quality, coverage) >= 80 THEN 'strong' WHEN least(quality, coverage) >= 60 THEN 'adequate' WHEN least(quality, coverage) >= 35 THEN 'weak' ELSE 'insufficient' END AS status FROM z""")
+def a11(spark, d):
+    from quarry.operators import health
+
+    s, i = _selected(spark, d)
+    clusters = i.select("query_id", (F.col("query_id") % 5 + 1).alias("size"))
+    return health.health(i, s, clusters).select("query_id", "selected", "matched", "quality", "coverage", "status")
+
+
+_OVERLAP = "CASE WHEN len(x.own) = 0 OR len(y.own) = 0 THEN 0 ELSE len(list_intersect(x.own, y.own)) / least(len(x.own), len(y.own))::DOUBLE END"
+_MATCHED = "len(list_filter(required, lambda r: CASE r WHEN 'primary-document' THEN stance = 'primary_source' OR source_type IN ('government','filing','structured_fact','medical') WHEN 'news' THEN false ELSE source_type = r END)) > 0"
+
+
+@query("t11_gains_of_selections", f"""WITH {_SELECTED}, x AS (SELECT s.*, types, list_distinct({terms_sql("(CASE WHEN has_claim THEN text ELSE '' END)")}) AS own, 1 + CASE WHEN {_MATCHED} THEN 0.28 ELSE 0 END + CASE WHEN list_contains(types, 'multi-hop') THEN least(0.25, has_claim::INT * 0.04) ELSE 0 END + CASE WHEN list_contains(types, 'fresh-fact') THEN freshness * 0.25 ELSE 0 END AS tw,
+      CASE WHEN list_contains(types, 'fresh-fact') AND stance = 'tertiary_summary' THEN 0.05 ELSE 0 END AS pen FROM s JOIN i USING (query_id)),
+    o AS (SELECT x.doc_id, max({_OVERLAP}) AS alike FROM x JOIN x y ON y.query_id = x.query_id AND y.doc_id <> x.doc_id AND y.doc_id % 2 = 0 GROUP BY 1)
+    SELECT x.query_id, 'c' || lpad(x.doc_id::VARCHAR, 8, '0') AS chunk_id, round(floor((relevance * CASE WHEN alike IS NULL THEN 1 ELSE least(1, greatest(0.05, 1 - alike)) END * weight * tw - pen) * 10000 + 0.5) / 10000, 3) AS gain FROM x LEFT JOIN o USING (doc_id)""")
+def t11(spark, d):
+    from quarry.operators import assembly
+
+    s, i = _selected(spark, d)
+    c = s.join(i, "query_id").withColumn("surprise", F.lit(0.0))
+    selection = s.filter("cast(substring(chunk_id, 2) as long) % 2 = 0").select("query_id", "chunk_id", F.lit("selected").alias("decision"))
+    return assembly.final_gains(c, selection).withColumn("gain", F.round("gain", 3))
