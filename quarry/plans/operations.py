@@ -228,3 +228,33 @@ def f41(spark, d):
     e = table(spark, d, "embeddings")
     a = e.select(F.col("vec_id").alias("q"), (F.col("vec_id") + 1).alias("vec_id"), F.slice("embedding", 1, 40).alias("short"))
     return a.join(e.select("vec_id", "embedding"), "vec_id").select("q", "vec_id", F.round(cosine_padded(F.col("short"), F.col("embedding")), 5).alias("cosine"))
+
+
+_TASKS = "t AS (SELECT doc_id, (['wikipedia','core','github','nowhere'])[doc_id % 4 + 1] AS source, (doc_id % 3 + 1)::INT AS most, (doc_id % 6)::INT AS n, doc_id % 7 AS k FROM documents)"
+
+
+def _routed(spark, d):
+    from quarry.operators.intent import tasks
+    from quarry.sources import connectors
+
+    i = F.col("doc_id")
+    source = F.element_at(dims.strings(["wikipedia", "core", "github", "nowhere"]), (i % 4 + 1).cast("int"))
+    docs = table(spark, d, "documents")
+    plan = docs.select(i.alias("query_id"), F.lit(0).alias("ix"), F.lit("q").alias("sub_query"), F.array(source).alias("target_sources"), F.lit("temporal").alias("retrieval_intent"), (i % 3 + 1).cast("int").alias("max_results"))
+    one = F.struct(F.lit("k").alias("key"), F.lit("t").alias("title"), F.lit("1").alias("id"), F.lit("o/r").alias("full_name"))
+    many = F.array_repeat(one, (i % 6).cast("int"))
+    body = F.when(source == "wikipedia", F.to_json(F.struct(many.alias("pages")))).when(source == "core", F.to_json(F.struct(many.alias("results")))).otherwise(F.to_json(F.struct(many.alias("items"))))
+    payload = F.when(i % 7 == 1, "oops").when(i % 7 == 2, '{"other": 1}').when(i % 7 == 3, None).otherwise(body)
+    responses = docs.select(i.alias("query_id"), F.lit(0).alias("ix"), source.alias("source"), payload.alias("payload"), F.when(i % 7 == 4, "HTTP_429").alias("code"))
+    return connectors.routed(tasks(plan, dims.registry(spark)).select("query_id", "ix", "source", "max_results", "error"), responses)
+
+
+@query("s01_routed_results", f"""WITH {_TASKS} SELECT doc_id AS query_id, source, code IS NULL AS ok, code, CASE code WHEN 'HTTP_429' THEN 'rate_limited' WHEN 'MALFORMED_PAYLOAD' THEN 'query_invalid' WHEN 'MISSING_FIELD' THEN 'missing_config' WHEN 'SOURCE_HANDLER_MISSING' THEN 'missing_config' WHEN 'NO_RESPONSE' THEN 'unknown' END AS category
+    FROM (SELECT *, CASE WHEN source = 'nowhere' THEN 'SOURCE_HANDLER_MISSING' WHEN k = 4 THEN 'HTTP_429' WHEN k = 3 THEN 'NO_RESPONSE' WHEN k = 1 THEN 'MALFORMED_PAYLOAD' WHEN k = 2 THEN 'MISSING_FIELD' END AS code FROM t)""")
+def s01_results(spark, d):
+    return _routed(spark, d)[1].drop("ix")
+
+
+@query("s25_routed_items", f"WITH {_TASKS} SELECT doc_id AS query_id, source, least(most, n) AS items FROM t WHERE source <> 'nowhere' AND k NOT IN (1, 2, 3, 4) AND n > 0")
+def s25_items(spark, d):
+    return _routed(spark, d)[0].groupBy("query_id", "source").agg(F.count(F.lit(1)).cast("int").alias("items"))

@@ -130,6 +130,26 @@ def fetch(payloads: DataFrame, source: str, key: str = "task") -> DataFrame:
     return payloads.select(key, F.lit(source).alias("source"), ok.alias("ok"), F.when(~ok, F.when(n == 0, "MALFORMED_PAYLOAD").otherwise("MISSING_FIELD")).alias("code"))
 
 
+def routed(tasks: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items and results of tasks (query_id, ix, source, max_results, error) by their recorded responses (query_id, ix, source,
+    payload, code): items with their task, at most ``max_results`` of each; one result a task, ok or with a code and category.
+
+    A task without a connector or a response, and a payload that is not of its service's form, are failures, never errors.
+    """
+    key = ["query_id", "ix", "source"]
+    r = tasks.join(responses, key, "left")
+    good = [s for s in SCHEMAS if s != "pubmed"]
+    items, oks = None, F.lit(False)
+    for source in good:
+        first = SCHEMAS[source].split(" ")[0]
+        oks = oks | ((F.col("source") == source) & F.coalesce(F.from_json("payload", SCHEMAS[source]).getField(first).isNotNull(), F.lit(False)))
+        found = parse(r.filter((F.col("source") == source) & F.col("code").isNull()).drop("source", "text", "title"), source, keep=("query_id", "ix", "max_results")).filter("rank < max_results").drop("max_results")
+        items = found if items is None else items.unionByName(found)
+    failed = F.coalesce("error", F.col("code"), F.when(F.col("payload").isNull(), "NO_RESPONSE"), F.when(~oks, F.when(F.trim("payload").startswith("{"), "MISSING_FIELD").otherwise("MALFORMED_PAYLOAD")))
+    results = r.select(*key, failed.isNull().alias("ok"), failed.alias("code"), F.when(failed.isNotNull(), classify_error(failed, F.lit(""))).alias("category"))
+    return items, results
+
+
 def http_get(url: str, timeout: float = 8.0, agent: str = "quarry/1") -> tuple[bool, str | None, str | None, bool]:
     """(ok, body, code, retryable) of an address; never raises. Rate limits and server errors may be tried again."""
     import urllib.error

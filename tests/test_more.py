@@ -235,3 +235,22 @@ def test_gold_drafts_as_csv(spark, tmp_path):
     (tmp_path / "g.csv").write_text('question,section,id,text,keywords,weight\nQ1,Facts,f1,"a fact, whole",one; two,2\nQ1,sources,s1,government,,\nQ1,penalties,p1,insider news,,x\nQ2,sources,s1,news,,\n')
     g = {r.question_id: r for r in files.gold_of_records(files.read_gold_csv(spark, str(tmp_path / "g.csv"))).collect()}
     assert [tuple(f) for f in g["Q1"].facts] == [("a fact, whole", ["one", "two"])] and (g["Q1"].required, g["Q1"].penalties, g["Q1"].valid, g["Q2"].valid) == (["government"], ["insider news"], True, False)
+
+
+def test_tools_and_an_own_source(spark):
+    from examples import company_docs
+    from quarry import facade
+
+    docs = spark.createDataFrame([("a/b", "Oil outlook", "EIA short term energy outlook crude Brent forecast supply demand", None)], "path string, title string, body string, changed timestamp")
+    items = company_docs.items(docs)
+    assert items.columns == ["id", "ord", "source", "source_type", "url", "title", "author", "publish_date", "text", "summary"]
+    known = spark.createDataFrame([("company_docs",), ("arxiv",)], "id string")
+    assert facade.plugin_diagnostics(spark.createDataFrame([company_docs.MANIFEST], "id string, label string"), known).count() == 0
+    asked = spark.createDataFrame([(1, "crude oil outlook demand")], "query_id long, query string")
+    t = facade.Tools(asked, items.withColumn("source", F.lit("data_gov")).withColumn("source_type", F.lit("government")), facade.EngineConf(mode="fast"))
+    assert [r.source for r in t.evidence().collect()] == ["data_gov"] and "[" in t.search().first().answer and t.trace().first().status
+    assert t.sources().count() == 14 and set(cli.adapters(t)) == {"search", "evidence", "trace", "sources"}
+    results = spark.createDataFrame([("core", True, 5), ("core", False, 7)], "source string, ok boolean, timing_ms long")
+    assert tuple(t.source_health(results).first()) == ("core", 2, 1, 1, 12)
+    costs = spark.createDataFrame([("fetch", "m", 5, 0.5), ("score", "m", 7, 0.25)], "stage string, model string, tokens long, cost double")
+    assert {(r.stage, r.model): r.cost for r in t.cost(costs).collect()} == {(None, None): 0.75, ("fetch", None): 0.5, ("score", None): 0.25, (None, "m"): 0.75}
