@@ -105,6 +105,8 @@ def edges_by_query(chunks: DataFrame, embedding: str | None = None, tau: float =
                     if len(vectors[i]) == len(vectors[j]) and norms[i] * norms[j] > 0 and float(vectors[i] @ vectors[j]) / (norms[i] * norms[j]) >= (tau if kinds[i] == kinds[j] else max(0.94, tau + 0.08)):
                         add(i, j, "semantic")
         ids, pairs = r.chunk_id.tolist(), sorted(found)
+        if not pairs:
+            return pd.DataFrame({"query_id": r.query_id[:0], "a": r.chunk_id[:0], "b": r.chunk_id[:0], "level": r.query_id[:0].astype("int32")})
         return pd.DataFrame({"query_id": [r.query_id[0]] * len(pairs), "a": [ids[a] for a, _ in pairs], "b": [ids[b] for _, b in pairs], "level": [found[p] for p in pairs]})
 
     return rows.groupBy("query_id").applyInPandas(link, "query_id long, a string, b string, level int")
