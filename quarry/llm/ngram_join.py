@@ -411,7 +411,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         own = met.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         by_root = own.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
         most = by_root.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        open_ = own.join(most.select("sig", "main"), "sig").join(indexed.select("node", "n", "m", "bits"), "node")
+        apart = own.join(most.select("sig", "main"), "sig")
+        if tries:  # a signature of one component stays one
+            apart = met = materialize(apart, scratch)
+        open_ = apart.join(indexed.select("node", "n", "m", "bits"), "node")
         more = materialize(_verify(_near_pairs(open_, t, tries).distinct(), sets, t), scratch)
         if not more.isEmpty():
             links = links.unionByName(more)
