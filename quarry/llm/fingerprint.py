@@ -40,7 +40,7 @@ _U64 = np.uint64
 def sums(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The strong lanes (uint32) and likeness lanes (int64) of every text, one row each."""
     strong, lanes = np.zeros((len(texts), STRONG), np.uint32), np.zeros((len(texts), LANES), np.int64)
-    for a, b in groups([len(t) for t in texts], 2 << 20):
+    for a, b in groups([len(t) for t in texts], 1 << 20):
         paragraphs, owner = [], []
         for i in range(a, b):
             own = [p for p in texts[i].split(b"\n") if p.strip()]
@@ -163,7 +163,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             # a row's next is the row behind it in the run; a run ends with its first guest
             own = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i + 1][0] == rows[i][0]]
-            for a, b in groups([len(rows[i][3]) for i in own], 8 << 20):
+            for a, b in groups([len(rows[i][3]) for i in own], 4 << 20):
                 part = own[a:b]
                 needed = sorted({*part, *(i + 1 for i in part)})
                 place = {j: n for n, j in enumerate(needed)}
@@ -177,7 +177,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             new = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
             held += new
             size += sum(len(r[3]) for r in new)
-            if size > 16 << 20:
+            if size > 8 << 20:
                 yield from out(held)
                 held, size = held[-1:], len(held[-1][3])
         yield from out(held)
