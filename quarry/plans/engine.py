@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry import dims
+from quarry.binding import chunks, raw_items
 from quarry.operators import assembly, dedup, ranking
 from quarry.operators.ranking import GUARD
 from quarry.plans import evidence
@@ -117,7 +118,7 @@ def p13(spark, d):
 
 @query("a05_document_components", f"""WITH RECURSIVE {RAW}, {CHUNKS} SELECT chunk_id, min(chunk_id) OVER (PARTITION BY item_id) AS cluster FROM chunk""")
 def a05(spark, d):
-    c = evidence.of(spark, d).chunks.select(F.lit(0).alias("query_id"), "chunk_id", "item_id")
+    c = chunks(raw_items(spark, d), dims.NOW).select(F.lit(0).alias("query_id"), "chunk_id", "item_id")
     w = W.partitionBy("item_id").orderBy("chunk_id")
     chain = c.withColumn("b", F.lag("chunk_id").over(w)).filter("b IS NOT NULL").select("query_id", F.col("chunk_id").alias("a"), "b")
     return dedup.components(c.select("query_id", "chunk_id"), chain).select("chunk_id", "cluster")
