@@ -409,9 +409,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # what is still apart, every pair
     for tries in (1, None):
         own = met.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        by_root = own.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
-        most = by_root.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        apart = own.join(most.select("sig", "main"), "sig")
+        of_sig = W.partitionBy("sig")  # all windows read one shuffle
+        apart = own.withColumn("least", F.min("root").over(of_sig)).withColumn("most", F.max("root").over(of_sig)).filter("least <> most")
+        apart = apart.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("sig", "root"))).withColumn("main", F.max_by("root", F.struct("c", "root")).over(of_sig))
+        apart = apart.select("sig", "node", "root", "main")
         if tries:  # a signature of one component stays one
             apart = met = materialize(apart, scratch)
         open_ = apart.join(indexed.select("node", "n", "m", "bits"), "node")
