@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.dims import ASKED, DOMAIN_RULES, INTENT_RULES, OIL, SOURCE_ALIASES, SOURCES, TOPIC_SOURCES, TYPE_SOURCES, strings
+from quarry.functions.control import let
 
 _NONE = "array<string>"
 #: A word boundary over ASCII word characters; the engine's own ``\\b`` also knows other letters.
@@ -23,15 +24,16 @@ def _first_wins(c: Column, limit: int) -> Column:
 
 def query_types(query: Column) -> Column:
     found = _first_wins(_where([(F.lower(query).rlike(p), t) for p, t, _ in INTENT_RULES]), 4)
-    return F.when(F.size(found) == 0, strings(["multi-hop"])).otherwise(found)
+    return let(found, lambda f: F.when(F.size(f) == 0, strings(["multi-hop"])).otherwise(f))
 
 
 def required_types(query: Column) -> Column:
     """Source types of the rules (at most 5), then the normaliser's additions (at most 6)."""
     lower = F.lower(query)
     asked = _first_wins(_where([(lower.rlike(p), s) for p, _, s in INTENT_RULES]), 5)
-    asked = F.when(lower.rlike(OIL), F.array_distinct(F.concat(asked, strings(["government", "academic", "encyclopedic"])))).otherwise(asked)
-    return _first_wins(F.when(F.array_contains(query_types(query), "fresh-fact") & (F.size(asked) == 0), strings(["government", "academic"])).otherwise(asked), 6)
+    asked = let(asked, lambda a: F.when(lower.rlike(OIL), F.array_distinct(F.concat(a, strings(["government", "academic", "encyclopedic"])))).otherwise(a))
+    fresh = F.array_contains(query_types(query), "fresh-fact")
+    return let(asked, lambda a: _first_wins(F.when((F.size(a) == 0) & fresh, strings(["government", "academic"])).otherwise(a), 6))
 
 
 def without_news(query: Column, required: Column) -> Column:
@@ -68,9 +70,8 @@ def fallback_sources(query: Column, required: Column) -> Column:
     """Target sources of the general plan: by required type, then by topic, in the order in which sources are asked, at most 6."""
     lower = F.lower(query)
     pairs = [(F.array_contains(required, t), s) for t, s in TYPE_SOURCES.items()] + [(lower.rlike(p), s) for p, s in TOPIC_SOURCES]
-    found = _where(pairs)
-    found = F.when(F.size(found) == 0, strings(["wikipedia", "wikidata", "crossref"])).otherwise(found)
-    return F.slice(F.filter(strings(ASKED), lambda s: F.array_contains(found, s)), 1, 6)
+    found = let(_where(pairs), lambda f: F.when(F.size(f) == 0, strings(["wikipedia", "wikidata", "crossref"])).otherwise(f))
+    return let(found, lambda f: F.slice(F.filter(strings(ASKED), lambda s: F.array_contains(f, s)), 1, 6))
 
 
 def coerce_source(name: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import topics
 from quarry.dims import SOURCES, strings
+from quarry.functions.control import let
 from quarry.operators.intent import fallback_sources
 
 ROW = "struct<sub_query:string,target_sources:array<string>,retrieval_intent:string,max_results:int>"
@@ -21,11 +22,6 @@ def rows(templates: list[tuple], query: Column) -> Column:
     return F.array(*said).cast(_NO_ROWS)
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value made once, however often it is used; optimizers copy a column into each of its uses."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _present(array: Column) -> Column:
     return F.filter(array, lambda r: r.isNotNull())
 
@@ -43,7 +39,8 @@ def general(query: Column, types: Column, sources: Column) -> Column:
 def first_plan(intents: DataFrame) -> DataFrame:
     """Adds ``plan``: the rows of the first topic that fits, else the general plan; sources no longer than the schema allows."""
     q, lower = F.col("query"), F.lower("query")
-    plan = _let(fallback_sources(q, F.col("required_types")), lambda sources: general(q, F.col("query_types"), sources))
+    asked = F.struct(F.col("query_types").alias("types"), F.col("required_types").alias("required"))
+    plan = let(asked, lambda x: let(fallback_sources(q, x["required"]), lambda sources: general(q, x["types"], sources)))
     for _, pattern, templates in reversed(topics.PLANS):
         plan = F.when(lower.rlike(pattern), rows(templates, q)).otherwise(plan)
     return intents.withColumn("plan", plan)
@@ -53,16 +50,17 @@ def broadened(planned: DataFrame, most: int = 7) -> DataFrame:
     """``plan`` with rows for source families that it does not ask."""
     lower, q = F.lower("query"), F.col("query")
     short = F.size(F.split(F.regexp_replace("query", r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", ""), r"[ \t\n\r\f\x0B]+")) <= 10
-    market = lower.rlike(topics.MARKET)
-    when = {"background": short | market, "data": F.array_contains("query_types", "fresh-fact") | market, "analysis": short | market | F.array_contains("required_types", "academic"), "code": lower.rlike(topics.SOFTWARE)}
+    known = F.struct(F.col("plan").alias("plan"), short.alias("short"), lower.rlike(topics.MARKET).alias("market"), F.array_contains("query_types", "fresh-fact").alias("fresh"), F.array_contains("required_types", "academic").alias("academic"))
 
-    def more(plan: Column) -> Column:
-        asked = F.flatten(F.transform(plan, lambda r: r["target_sources"]))
+    def more(x: Column) -> Column:
+        wide = x["short"] | x["market"]
+        when = {"background": wide, "data": x["fresh"] | x["market"], "analysis": wide | x["academic"], "code": lower.rlike(topics.SOFTWARE)}
+        asked = F.flatten(F.transform(x["plan"], lambda r: r["target_sources"]))
         lacks = lambda name: ~F.arrays_overlap(asked, strings(topics.BROADER[name][1][:1] if name == "code" else topics.BROADER[name][1]))
         extra = F.array(*(F.when(c & lacks(name), rows([topics.BROADER[name]], q)[0]) for name, c in when.items()))
-        return F.slice(F.concat(plan, _present(extra)), 1, most)
+        return F.slice(F.concat(x["plan"], _present(extra)), 1, most)
 
-    return planned.withColumn("plan", _let(F.col("plan"), more))
+    return planned.withColumn("plan", let(known, more))
 
 
 def preferred(planned: DataFrame, wanted: list[str], most: int = 7) -> DataFrame:
@@ -73,7 +71,7 @@ def preferred(planned: DataFrame, wanted: list[str], most: int = 7) -> DataFrame
     kept = F.transform("plan", lambda r: r.withField("target_sources", F.filter(r["target_sources"], lambda s: s.isin(*wanted))))
     kept = F.filter(kept, lambda r: F.size(r["target_sources"]) > 0)
     only = rows([("{q}", wanted[:6], "primary_evidence", min(10, max(3, len(wanted))))], F.col("query"))
-    return planned.withColumn("plan", _let(kept, lambda k: F.when(F.size(k) > 0, F.slice(k, 1, most)).otherwise(only)))
+    return planned.withColumn("plan", let(kept, lambda k: F.when(F.size(k) > 0, F.slice(k, 1, most)).otherwise(only)))
 
 
 def coerced(planned: DataFrame, coerce) -> DataFrame:
@@ -127,7 +125,7 @@ def _first_wins(array: Column, key) -> Column:
         keys = F.transform(marked, lambda m: m["k"])
         return F.transform(F.filter(marked, lambda m: F.array_position(keys, m["k"]) == m["i"] + 1), lambda m: m["r"])
 
-    return _let(marked, first)
+    return let(marked, first)
 
 
 def repair_plan(gapped: DataFrame, most: int = 7) -> DataFrame:
@@ -138,7 +136,7 @@ def repair_plan(gapped: DataFrame, most: int = 7) -> DataFrame:
         by_topic = F.when(lower.rlike(pattern), rows(templates, q)).otherwise(by_topic)
     by_gap = F.flatten(F.transform("hard_gaps", lambda g: _by_kind(g, q, topics.TYPE_GAPS)))
     lacking = (F.size("missing_facets") > 0) | (F.col("selected") < 3)
-    found = _let(F.concat(by_topic, by_gap), lambda f: F.when((F.size(f) == 0) & lacking, rows(topics.NOTHING, q)).otherwise(f))
+    found = let(F.concat(by_topic, by_gap), lambda f: F.when((F.size(f) == 0) & lacking, rows(topics.NOTHING, q)).otherwise(f))
     found = F.concat(found, F.when(F.array_contains("query_types", "adversarial"), rows(topics.CONTRARY, q)).otherwise(none))
     key = lambda r: F.concat(F.lower(r["sub_query"]), F.lit("::"), F.array_join(r["target_sources"], ","))
     return gapped.withColumn("plan", F.slice(_first_wins(found, key), 1, most))

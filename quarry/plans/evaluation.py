@@ -449,8 +449,8 @@ def f18_run(spark, d):
 # --- health and gains of made-up selections -----------------------------------------------------------------------------
 
 _KINDS, _STANCES = ["government", "forum", "academic", "medical", "code"], ["primary_source", "opinion", "secondary_analysis", "tertiary_summary"]
-_SELECTED = f"""s AS (SELECT doc_id, doc_id % 30 AS query_id, 's' || (doc_id % 7) AS source, ({_list(_KINDS)})[doc_id % 5 + 1] AS source_type, ({_list(_STANCES)})[doc_id % 4 + 1] AS stance, ((doc_id * 7) % 100) / 100::DOUBLE AS relevance, ((doc_id * 13) % 100) / 100::DOUBLE AS confidence,
-    ((doc_id * 3) % 100) / 100::DOUBLE AS weight, ((doc_id * 11) % 100) / 100::DOUBLE AS freshness, doc_id % 3 > 0 AS has_claim, doc_id % 9 = 0 AS degraded, text FROM documents),
+_SELECTED = f"""s AS (SELECT doc_id, doc_id % 30 AS query_id, 's' || (doc_id % 7) AS source, ({_list(_KINDS)})[doc_id % 5 + 1] AS source_type, ({_list(_STANCES)})[doc_id % 4 + 1] AS stance, ((doc_id * 7) % 97) / 97::DOUBLE AS relevance, ((doc_id * 13) % 97) / 97::DOUBLE AS confidence,
+    ((doc_id * 3) % 97) / 97::DOUBLE AS weight, ((doc_id * 11) % 97) / 97::DOUBLE AS freshness, doc_id % 3 > 0 AS has_claim, doc_id % 9 = 0 AS degraded, text FROM documents),
 i AS (SELECT n AS query_id, CASE WHEN n % 3 = 0 THEN ['fresh-fact'] ELSE ['multi-hop'] END AS types, CASE n % 4 WHEN 0 THEN ['government','academic'] WHEN 1 THEN ['primary-document','forum'] WHEN 2 THEN [] ELSE ['news','code'] END AS required FROM range(33) t(n))"""
 
 
@@ -458,8 +458,8 @@ def _selected(spark, d):
     i = F.col("doc_id")
     pick = lambda values, n: F.element_at(dims.strings(values), (i % n + 1).cast("int"))
     s = table(spark, d, "documents").select(
-        F.concat(F.lit("c"), F.lpad(i.cast("string"), 8, "0")).alias("chunk_id"), (i % 30).alias("query_id"), F.concat(F.lit("s"), (i % 7).cast("string")).alias("source"), pick(_KINDS, 5).alias("source_type"), pick(_STANCES, 4).alias("stance"), (i * 7 % 100 / 100).alias("relevance"), (i * 13 % 100 / 100).alias("confidence"),
-        (i * 3 % 100 / 100).alias("weight"), (i * 11 % 100 / 100).alias("freshness"), F.when(i % 3 > 0, F.col("text")).alias("claim"), (i % 9 == 0).alias("degraded"),
+        F.concat(F.lit("c"), F.lpad(i.cast("string"), 8, "0")).alias("chunk_id"), (i % 30).alias("query_id"), F.concat(F.lit("s"), (i % 7).cast("string")).alias("source"), pick(_KINDS, 5).alias("source_type"), pick(_STANCES, 4).alias("stance"), (i * 7 % 97 / 97).alias("relevance"), (i * 13 % 97 / 97).alias("confidence"),
+        (i * 3 % 97 / 97).alias("weight"), (i * 11 % 97 / 97).alias("freshness"), F.when(i % 3 > 0, F.col("text")).alias("claim"), (i % 9 == 0).alias("degraded"),
     )
     n = F.col("query_id")
     none = F.array().cast("array<string>")
@@ -494,11 +494,11 @@ _MATCHED = "len(list_filter(required, lambda r: CASE r WHEN 'primary-document' T
 @query("t11_gains_of_selections", f"""WITH {_SELECTED}, x AS (SELECT s.*, types, list_distinct({terms_sql("(CASE WHEN has_claim THEN text ELSE '' END)")}) AS own, 1 + CASE WHEN {_MATCHED} THEN 0.28 ELSE 0 END + CASE WHEN list_contains(types, 'multi-hop') THEN least(0.25, has_claim::INT * 0.04) ELSE 0 END + CASE WHEN list_contains(types, 'fresh-fact') THEN freshness * 0.25 ELSE 0 END AS tw,
       CASE WHEN list_contains(types, 'fresh-fact') AND stance = 'tertiary_summary' THEN 0.05 ELSE 0 END AS pen FROM s JOIN i USING (query_id)),
     o AS (SELECT x.doc_id, max({_OVERLAP}) AS alike FROM x JOIN x y ON y.query_id = x.query_id AND y.doc_id <> x.doc_id AND y.doc_id % 2 = 0 GROUP BY 1)
-    SELECT x.query_id, 'c' || lpad(x.doc_id::VARCHAR, 8, '0') AS chunk_id, round(floor((relevance * CASE WHEN alike IS NULL THEN 1 ELSE least(1, greatest(0.05, 1 - alike)) END * weight * tw - pen) * 10000 + 0.5) / 10000, 3) AS gain FROM x LEFT JOIN o USING (doc_id)""")
+    SELECT x.query_id, 'c' || lpad(x.doc_id::VARCHAR, 8, '0') AS chunk_id, floor((relevance * CASE WHEN alike IS NULL THEN 1 ELSE least(1, greatest(0.05, 1 - alike)) END * weight * tw - pen) * 10000 + 0.5) / 10000 AS gain FROM x LEFT JOIN o USING (doc_id)""")
 def t11(spark, d):
     from quarry.operators import assembly
 
     s, i = _selected(spark, d)
     c = s.join(i, "query_id").withColumn("surprise", F.lit(0.0))
     selection = s.filter("cast(substring(chunk_id, 2) as long) % 2 = 0").select("query_id", "chunk_id", F.lit("selected").alias("decision"))
-    return assembly.final_gains(c, selection).withColumn("gain", F.round("gain", 3))
+    return assembly.final_gains(c, selection)
