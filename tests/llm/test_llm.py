@@ -221,6 +221,14 @@ def test_token_output_round_trip(docs, empty):
     assert token_output.matrices(empty, path).count() == 0
 
 
+def test_token_output_files(docs, tmp_path):
+    packed = token_output.matrices(docs, vocabulary(), limit=64).cache()
+    token_output.write(packed, str(tmp_path / "m"), sequences_per_file=3)
+    back = docs.sparkSession.read.parquet(str(tmp_path / "m"))
+    assert Counter(map(str, back.collect())) == Counter(map(str, packed.collect()))
+    assert max(r["count"] for r in back.groupBy(F.input_file_name()).count().collect()) <= 3
+
+
 def test_best_fit_tree_matches_linear_search():
     rng = random.Random(5)
     for _ in range(50):
@@ -293,6 +301,22 @@ def test_components_match_union_find(spark, seed):
     assert sorted((r.node, r.root) for r in got) == sorted((n, find(n)) for n in root)
 
 
+def test_ngram_join_keys_of_any_type(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [("b", text), ("a", text), ("a", text + " more"), (None, text), ("z", "other words are here now"), ("y", None), (None, "")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert Counter((r.doc_id, r.component_id) for r in got.collect()) == Counter({("b", "a"): 1, ("a", "a"): 2, (None, "a"): 1, ("z", "z"): 1, ("y", "y"): 1, (None, None): 1})
+
+
+def test_fingerprints_in_small_batches(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(i, words_of(rng, rng.choice([0, 3, 4000]))) for i in range(40)], "doc_id long, text string")
+    whole = sorted(map(str, fingerprint.fingerprints(rows).collect()))
+    real = fingerprint.groups
+    monkeypatch.setattr(fingerprint, "groups", lambda sizes, limit: real(sizes, 1000))
+    assert whole == sorted(map(str, fingerprint.fingerprints(rows).collect()))
+
+
 def test_bitmap_bound_never_drops_a_link():
     rng, t = np.random.default_rng(2), ngram_join.Fraction("3/4")
     for _ in range(200):
