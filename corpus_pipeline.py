@@ -33,7 +33,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     place = F.struct(F.col("row")["doc_id"].isNull().alias("none"), F.col("row")["doc_id"].alias("id"), "file", "index")
     found = ngram_join.jaccard_components(rows.select(place.alias("place"), F.col("row")["text"].alias("text")), key="place")
     first = materialize(found.filter("place = component_id").select("place.file", "place.index"))
-    return rows.join(first, ["file", "index"], "left_semi").select("row.*")
+    # those that stay grow with the corpus, so they are merged at every size, never broadcast
+    return rows.join(first.hint("merge"), ["file", "index"], "left_semi").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
