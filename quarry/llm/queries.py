@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprint, license_scan, mixing, mlm, ngram_join, packing, quality, secret_scan, suffix_dedup, token_output, vector_codes
+from quarry.llm import fingerprint, license_scan, mixing, mlm, ngram_join, packing, phrases, quality, secret_scan, suffix_dedup, token_output, vector_codes
 from quarry.llm._tokens import vocabulary
 
 
@@ -60,6 +60,10 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_documents(spark, sf_dir))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(_documents(spark, sf_dir))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_embeddings(spark, sf_dir))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_license_scan": op9_license_scan,
         "op10_fingerprint": op10_fingerprint,
+        "op12_phrases": op12_phrases,
         "op13_vector_codes": op13_vector_codes,
     }
 
@@ -93,6 +98,25 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN (SELECT do
 """
 
 
+_PHRASES_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, g, count(*) AS f FROM (
+  SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda m: list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])))) AS g FROM w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE len(g) = 1 GROUP BY lang),
+o AS (SELECT * FROM g WHERE f >= 30),
+c AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM o WHERE len(g) > 1),
+s AS (SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+  FROM c JOIN o x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN o y ON y.lang = c.lang AND y.g = c.g[c.k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+i AS (SELECT lang, g, max(f) AS f FROM (
+  SELECT lang, f, unnest(flatten(list_transform(range(2, len(g)), lambda m: list_transform(range(1, len(g) - m + 2), lambda i: g[i:i + m - 1])))) AS g FROM o WHERE len(g) > 2) GROUP BY ALL),
+k AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN i USING (lang, g) WHERE NOT coalesce(100 * i.f >= 80 * b.a, false))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def _vector_codes_sql() -> str:
     """Rounds are the same step again, so they are written out from one text."""
     assign = "SELECT p.r, p.part, arg_min(c.e, (list_sum(list_transform(list_zip(p.q, c.c), lambda z: (z[1] - z[2]) ** 2))::BIGINT, c.e)) AS e, min(list_sum(list_transform(list_zip(p.q, c.c), lambda z: (z[1] - z[2]) ** 2))::BIGINT) AS d FROM p JOIN c{i} c USING (part) GROUP BY ALL"
@@ -116,4 +140,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 def oracle_sql() -> dict[str, str]:
     """SQL can't say the others: compression, tokenization, training, rounding to copies, spans with positions, bytes of
     UTF-8 and vector hashes are tested against brute force in tests/llm."""
-    return {"op4_ngram_join": _NGRAM_JOIN_SQL, "op13_vector_codes": _vector_codes_sql()}
+    return {"op4_ngram_join": _NGRAM_JOIN_SQL, "op12_phrases": _PHRASES_SQL, "op13_vector_codes": _vector_codes_sql()}
