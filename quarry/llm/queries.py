@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprint, license_scan, mixing, mlm, ngram_join, packing, phrases, quality, secret_scan, suffix_dedup, token_output, vector_codes
+from quarry.llm import fingerprint, license_scan, mixing, mlm, ngram_join, packing, phrases, quality, secret_scan, suffix_dedup, token_output, vector_codes, vector_join
 from quarry.llm._tokens import vocabulary
 
 
@@ -60,6 +60,10 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_documents(spark, sf_dir))
 
 
+def op11_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_duplicates(_embeddings(spark, sf_dir))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrases(_documents(spark, sf_dir))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_license_scan": op9_license_scan,
         "op10_fingerprint": op10_fingerprint,
+        "op11_vector_join": op11_vector_join,
         "op12_phrases": op12_phrases,
         "op13_vector_codes": op13_vector_codes,
     }
@@ -98,6 +103,16 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN (SELECT do
 """
 
 
+_VECTOR_JOIN_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v,
+    len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings),
+l AS MATERIALIZED (SELECT x.r AS a, y.r AS b FROM (SELECT * FROM v WHERE usable) x JOIN (SELECT * FROM v WHERE usable) y ON len(x.v) = len(y.v) AND x.r <> y.r AND list_cosine_similarity(x.v, y.v) >= 0.9),
+c AS (SELECT r, r AS root FROM v UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.r),
+m AS (SELECT c.r, min(v.vec_id) AS component_id FROM c JOIN v ON v.r = c.root GROUP BY c.r),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN m USING (r) LEFT JOIN n USING (r)
+"""
+
 _PHRASES_SQL = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
@@ -140,4 +155,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 def oracle_sql() -> dict[str, str]:
     """SQL can't say the others: compression, tokenization, training, rounding to copies, spans with positions, bytes of
     UTF-8 and vector hashes are tested against brute force in tests/llm."""
-    return {"op4_ngram_join": _NGRAM_JOIN_SQL, "op12_phrases": _PHRASES_SQL, "op13_vector_codes": _vector_codes_sql()}
+    return {"op4_ngram_join": _NGRAM_JOIN_SQL, "op11_vector_join": _VECTOR_JOIN_SQL, "op12_phrases": _PHRASES_SQL, "op13_vector_codes": _vector_codes_sql()}

@@ -9,7 +9,8 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm import vector_codes
+from quarry.llm import vector_codes, vector_join
+from quarry.llm.queries import _VECTOR_JOIN_SQL
 
 SCHEMA = "vec_id long, embedding array<{}>, label int, code string, error string, key string, vector int"
 
@@ -79,3 +80,84 @@ def test_bounds_leave_few_entries_and_never_the_nearest():
     entry, distance = vector_codes.Filter(entries).nearest(parts)
     every = ((parts[:, None] - entries) ** 2).sum(2)
     assert (entry == every.argmin(1)).all() and (distance == every.min(1)).all()
+
+
+def brute_links(rows, threshold=0.9):
+    """(id, links, component, kept) of every row, comparing all pairs."""
+    fit = [bool(r[1]) and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1]) for r in rows]
+    unit = [vector_join.unit(np.array([r[1]], float))[0] if ok else None for r, ok in zip(rows, fit, strict=True)]
+    near = [[j for j in range(len(rows)) if j != i and fit[i] and fit[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold] for i in range(len(rows))]
+    out, seen = [], {}
+    for i in range(len(rows)):
+        if i not in seen:
+            reached, todo = {i}, [i]
+            while todo:
+                todo = [j for k in todo for j in near[k] if j not in reached and not reached.add(j)]
+            ids = [rows[j][0] for j in reached if rows[j][0] is not None]
+            seen |= dict.fromkeys(reached, min(ids) if ids else None)
+        out.append((rows[i][0], len(near[i]), seen[i], rows[i][0] == seen[i]))
+    return sorted(out, key=repr)
+
+
+def linked(df, **how):
+    return sorted(map(tuple, vector_join.near_duplicates(df, **how).collect()), key=repr)
+
+
+def cluster(rng, centre, n, spread):
+    return [single(centre + rng.normal(size=len(centre)) * spread) for _ in range(n)]
+
+
+@pytest.mark.parametrize("stripe", [2048, 40])
+def test_vector_links_match_brute_force(spark, stripe):
+    rng = np.random.default_rng(5)
+    unit = lambda: vector_join.unit(rng.normal(size=(1, 24)))[0]
+    vectors = [single(unit()) for _ in range(150)]
+    vectors += cluster(rng, unit(), 120, 0.02) + cluster(rng, unit(), 60, 0.06) + cluster(rng, unit(), 3, 0.03)
+    vectors += [single(3 * np.array(vectors[0])), single(-np.array(vectors[1])), vectors[2], vectors[2], vectors[200], [0.0] * 24, None, [], [None] * 24, [math.nan] * 24, [math.inf] * 24, [1.0] * 8, [1.0] * 8, [1.0] * 7]
+    rows = [(i, v, 1) for i, v in enumerate(vectors)]
+    rows += [(None, vectors[160], 1), (None, single(unit()), 1), (None, [0.5] * 5, 2), (None, [0.5] * 5, 2), rows[7], (9, single(unit()), 1)]
+    assert linked(table(spark, rows), stripe=stripe) == brute_links(rows)
+
+
+def test_vectors_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    a = vector_join.unit(rng.normal(size=(1, 10)))[0]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate((a * 1e300, a * 1e-300, -a, a + 0.01))]
+    assert linked(table(spark, rows, "double")) == brute_links(rows)
+    assert linked(table(spark, [])) == [] and linked(table(spark, [(1, None, 1)])) == [(1, 0, 1, True)]
+
+
+def test_near_threshold_pairs_are_decided_in_doubles(spark):
+    rng, rows = np.random.default_rng(7), []
+    for i in range(300):
+        x, z = vector_join.unit(rng.normal(size=(2, 64)))
+        z = vector_join.unit((z - (z @ x) * x)[None])[0]
+        c = 0.9 + (i - 149.5) * 1e-5
+        rows += [(2 * i, x.tolist(), 1), (2 * i + 1, (c * x + math.sqrt(1 - c * c) * z).tolist(), 1)]
+    got, want = linked(table(spark, rows, "double")), brute_links(rows)
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want)
+
+
+@pytest.mark.parametrize("width", [3, 64, 300])
+def test_recall_of_filters(width):
+    rng = np.random.default_rng(8)
+    x, z = vector_join.unit(rng.normal(size=(800, width))), rng.normal(size=(800, width))
+    z = vector_join.unit(z - (z * x).sum(1, keepdims=True) * x)
+    f = vector_join.filters(x)
+    for c, least in ((0.9, 0.97), (0.95, 0.99)):
+        g = vector_join.filters(c * x + math.sqrt(1 - c * c) * z)
+        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(f, g, strict=True)]) >= least
+    far = vector_join.filters(vector_join.unit(rng.normal(size=(800, width))))
+    assert width < 10 or np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(f, far, strict=True)]) < 0.01
+
+
+def test_vector_links_match_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    rows = [(i, v, 1) for i, v in enumerate(cluster(rng, np.ones(16), 40, 0.1) + cluster(rng, -np.ones(16), 30, 0.4) + [None, [0.0] * 16])]
+    df = table(spark, rows)
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    assert linked(df) == sorted(con.execute(_VECTOR_JOIN_SQL).fetchall(), key=repr)
