@@ -26,21 +26,6 @@ def any_required(required: str = "required_types", news: str = "never") -> Colum
     return F.exists(required, lambda r: matches_required(F.col("stance"), F.col("source_type"), F.col("source"), r, news))
 
 
-def candidates(tasks: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, ix, source, item_id, shared): of every sub-query and source the ``max_results`` items that share most distinct terms.
-
-    What a connector's search does, over a table of items (id, ord, source, text): ties go to the lesser ``ord``. An
-    equi-join on source and term; an item's terms are cut to those that some sub-query asks its source for before they
-    are shuffled, and the best of a task are kept within a partition first.
-    """
-    q = tasks.select("query_id", "ix", "source", "max_results", F.explode(F.array_distinct(terms(F.col("sub_query"), 3, SCORE_STOPWORDS))).alias("term"))
-    i = items.select("source", F.col("id").alias("item_id"), "ord", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    i = i.join(q.select("source", "term").distinct(), ["source", "term"], "left_semi")
-    shared = q.join(i, ["source", "term"]).groupBy("query_id", "ix", "source", "max_results", "item_id", "ord").agg(F.count(F.lit(1)).alias("shared"))
-    best = F.row_number().over(W.partitionBy("query_id", "ix", "source").orderBy(F.desc("shared"), "ord"))
-    return shared.withColumn("r", best).filter("r <= 10").filter("r <= max_results").select("query_id", "ix", "source", "item_id", "shared")
-
-
 def with_haystack(rows: DataFrame) -> DataFrame:
     """Adds ``hay``, the lower-cased text that scores look into; a column of its own, so that it is made once a row."""
     return rows.withColumn("hay", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), "content")))
@@ -177,14 +162,23 @@ def combined() -> Column:
     return F.col("relevance") * F.col("weight") * F.col("confidence") * F.greatest(F.lit(0.4), F.col("freshness"))
 
 
-def score(rows: DataFrame) -> DataFrame:
-    """Relevance, confidence, freshness, surprise, the claim and the combined score, by rule."""
-    s = rows.withColumn("relevance", guarded(fallback_relevance()))
-    s = s.withColumn("confidence", F.least(F.lit(0.92), F.greatest(F.lit(0.28), F.col("weight")))).withColumn("freshness", F.greatest(F.lit(0.2), F.col("freshness")))
+def rate(rows: DataFrame) -> DataFrame:
+    """Relevance and confidence by rule: what a model would be asked for, and what a cache keeps."""
+    return rows.withColumn("relevance", guarded(fallback_relevance())).withColumn("confidence", F.least(F.lit(0.92), F.greatest(F.lit(0.28), F.col("weight"))))
+
+
+def completed(rated: DataFrame) -> DataFrame:
+    """Freshness, surprise, the claim and the combined score of rows with relevance and confidence."""
+    s = rated.withColumn("freshness", F.greatest(F.lit(0.2), F.col("freshness")))
     s = s.withColumn("surprise", F.when(F.col("source_type").isin("forum", "tech_discussion"), 0.35).otherwise(0.55)).withColumn("claim", first_sentence(F.col("content")))
     return s.withColumn("combined", combined())
 
 
+def score(rows: DataFrame) -> DataFrame:
+    """Relevance, confidence, freshness, surprise, the claim and the combined score, by rule."""
+    return completed(rate(rows))
+
+
 def keep_or_rescue(scored: DataFrame, threshold: float = 0.2, limit: int = 6) -> DataFrame:
     """Rows above the threshold; where a query has none, its best plausible ones; then the best plausible one of every
     required type still without any. Column ``how``: passed, rescued or covered."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -54,6 +56,51 @@ class Trace:
         return self.spark.createDataFrame(self.rows, "run_id string, stage string, began double, ms long").withColumn("began", F.timestamp_seconds("began"))
 
 
+class DeadlineReached(Exception):
+    """The time of a piece of work is over; what it had running was cancelled."""
+
+
+class Deadline:
+    """Bounds the Spark jobs that are begun inside, on this thread, by time.
+
+    A thread watches the clock beside the running jobs, which carry a tag; when the time is over it cancels them, and
+    whatever is begun after that, until the block is left, which then raises ``DeadlineReached``. ``check`` raises it
+    between jobs. Jobs of other threads and outside the block go on.
+    """
+
+    def __init__(self, spark: SparkSession, seconds: float | None, tag: str | None = None) -> None:
+        self.context, self.seconds, self.tag = spark.sparkContext, seconds, tag or f"deadline-{uuid.uuid4().hex}"
+        self.over, self.left = threading.Event(), threading.Event()
+
+    def _watch(self) -> None:
+        if not self.left.wait(self.seconds):
+            self.over.set()
+            while True:
+                self.context.cancelJobsWithTag(self.tag)
+                if self.left.wait(0.1):
+                    return
+
+    def check(self) -> None:
+        if self.over.is_set():
+            raise DeadlineReached(self.tag)
+
+    def __enter__(self) -> Deadline:
+        self.context.addJobTag(self.tag)
+        if self.seconds is not None:
+            self.watcher = threading.Thread(target=self._watch, daemon=True)
+            self.watcher.start()
+        return self
+
+    def __exit__(self, kind, error, trace) -> bool:
+        self.left.set()
+        if self.seconds is not None:
+            self.watcher.join()
+        self.context.removeJobTag(self.tag)
+        if kind is not None and self.over.is_set() and not issubclass(kind, DeadlineReached):
+            raise DeadlineReached(self.tag) from error
+        return False
+
+
 def cancel(spark: SparkSession, run_id: str) -> list[str]:
     """Interrupts what a run has going; its jobs carry ``run_id`` as a tag (``spark.addTag``)."""
     return spark.interruptTag(run_id)

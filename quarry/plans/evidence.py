@@ -7,6 +7,7 @@ rounds have found. Only items that some sub-query retrieved are chunked, and the
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from quarry.binding import chunks, queries, raw_items
 from quarry.dims import MODE_POLICY, NOW, registry, strings
 from quarry.functions.vector import hash_embedding
-from quarry.operators import assembly, dedup, extraction, health, intent, planner, ranking
-from quarry.shared import checkpointed
+from quarry.operators import assembly, dedup, extraction, health, intent, planner, ranking, retrieval, stores
+from quarry.operators.traces import Deadline, DeadlineReached, cautious
+from quarry.shared import checkpointed, collected, drop
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,10 @@ class EngineConf:
     threshold: float = 0.2
     tau: float = 0.85
     preferred: tuple[str, ...] = ()
+    #: seconds that all repair rounds may take; and what a cache of scores keeps, and scores at a time
+    repair_seconds: float | None = None
+    cache_size: int = 2000
+    batch: int = 8
 
     @property
     def max_rounds(self) -> int:
@@ -43,10 +49,10 @@ class EngineConf:
 class Evidence:
     """One round. ``plan``: (query_id, plan), if it is not the first one; ``before``: scored chunks of earlier rounds;
     ``store``: (source, domain, score), reliability known from earlier runs; ``pages``: (url, html), where the texts of
-    retrieved items are looked up."""
+    retrieved items are looked up; ``cache``: a ``stores.Table`` of ``stores.CACHE``, scores known from earlier runs."""
 
-    def __init__(self, asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), plan: DataFrame | None = None, before: DataFrame | None = None, round_: int = 0, store: DataFrame | None = None, pages: DataFrame | None = None) -> None:
-        self.asked, self.items, self.conf, self.own_plan, self.before, self.round, self.store, self.pages = asked, items, conf, plan, before, round_, store, pages
+    def __init__(self, asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), plan: DataFrame | None = None, before: DataFrame | None = None, round_: int = 0, store: DataFrame | None = None, pages: DataFrame | None = None, cache: stores.Table | None = None) -> None:
+        self.asked, self.items, self.conf, self.own_plan, self.before, self.round, self.store, self.pages, self.cache = asked, items, conf, plan, before, round_, store, pages, cache
 
     @cached_property
     def intents(self) -> DataFrame:
@@ -62,7 +68,7 @@ class Evidence:
     def hits(self) -> DataFrame:
         """Items that the plan's sub-queries retrieve."""
         tasks = intent.tasks(planner.sub_queries(self.planned), registry(self.asked.sparkSession)).filter("error IS NULL")
-        return checkpointed(ranking.candidates(tasks, self.items))
+        return checkpointed(retrieval.search(tasks, self.items))
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -94,9 +100,21 @@ class Evidence:
         kept = ranking.diverse_top_k(unique, self.conf.prerank_cap).select("query_id", "chunk_id", "position")
         return checkpointed(unique.drop("surprise").join(kept, ["query_id", "chunk_id"]))
 
+    @cached_property
+    def rated(self) -> DataFrame:
+        """Pre-ranked chunks with relevance and confidence; what the cache has is not scored again, and what it has not it learns."""
+        if self.cache is None:
+            return checkpointed(ranking.score(self.preranked))
+        rows = self.preranked if "status" in self.preranked.columns else self.preranked.withColumn("status", F.lit(None).cast("string"))
+        keyed = rows.withColumn("key", stores.score_key(F.sha2("query", 256)))
+        scored = checkpointed(stores.cached_scores(keyed, self.cache.read(), ranking.rate, self.conf.batch))
+        self.cache.update(lambda held: stores.cache_used(held, scored, self.conf.cache_size))
+        self.cache_use = checkpointed(scored.groupBy("query_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.max("turn").alias("batches")))
+        return ranking.completed(scored.drop("key", "hit", "turn", *(set(rows.columns) - set(self.preranked.columns))))
+
     @cached_property
     def scored(self) -> DataFrame:
-        rated = ranking.score(self.preranked)
+        rated = self.rated
         if self.pages is not None:
             rated = ranking.treat_extraction(rated).withColumn("combined", ranking.combined()).withColumn("degraded", extraction.is_degraded(F.col("status")))
         return checkpointed(ranking.keep_or_rescue(rated, self.conf.threshold))
@@ -144,6 +162,20 @@ class Evidence:
     def gaps(self) -> DataFrame:
         return checkpointed(health.gaps(self.intents, self.selected, self.health, self.results, self.round, self.conf.max_rounds))
 
+    def finish(self) -> Evidence:
+        """Computes the round and drops the tables of its stages but for those that results and later rounds read."""
+        self.planned  # noqa: B018
+        with collected() as stages:
+            self.scored  # noqa: B018
+        self.weighted  # noqa: B018
+        with collected() as links:
+            self.links  # noqa: B018
+        self.clusters, self.selection, self.health, self.gaps  # noqa: B018
+        drop(self.asked.sparkSession, stages + links)
+        for name in ("hits", "documents", "chunks", "fetched", "preranked", "rated", "scored", "links"):
+            self.__dict__.pop(name, None)  # made again if asked for
+        return self
+
     def next_plan(self) -> DataFrame:
         """(query_id, plan) of the round after this one, for the queries that are to be retried."""
         todo = self.gaps.filter("action = 'retry_retrieval'").withColumn("gaps", F.when(F.size("hard_gaps") > 0, F.col("hard_gaps")).otherwise(F.col("required_types")))
@@ -152,17 +184,34 @@ class Evidence:
         return planner.without(todo, F.coalesce("lost", strings([]))).filter(F.size("plan") > 0).select("query_id", "plan")
 
 
-def run(asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), store: DataFrame | None = None, pages: DataFrame | None = None) -> list[Evidence]:
-    """The rounds: each asks the repair plan of the queries that are to be retried, and ends with none or the mode's last."""
-    steps = [Evidence(asked, items, conf, store=store, pages=pages)]
+def run(
+    asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), store: DataFrame | None = None, pages: DataFrame | None = None, cache: stores.Table | None = None
+) -> list[Evidence]:
+    """The rounds: each asks the repair plan of the queries that are to be retried, and ends with none or the mode's last.
+
+    With ``conf.repair_seconds`` the rounds after the first end when that time is over: what runs then is cancelled and
+    what it has written is dropped, the rounds before stay, and queries that were to be retried are answered cautiously.
+    """
+    spark, began = asked.sparkSession, None
+    steps = [Evidence(asked, items, conf, store=store, pages=pages, cache=cache).finish()]
     while steps[-1].round < conf.max_rounds:
-        last = steps[-1]
-        plan = checkpointed(last.next_plan())
-        if plan.isEmpty():
-            break
-        todo = checkpointed(asked.join(plan.select("query_id"), "query_id", "left_semi"))
-        before = last.weighted.join(plan.select("query_id"), "query_id", "left_semi")
-        steps.append(Evidence(todo, items, conf, plan, before, last.round + 1, store, pages))
+        last, began = steps[-1], began or time.monotonic()
+        left = None if conf.repair_seconds is None else max(0.0, conf.repair_seconds - (time.monotonic() - began))
+        with collected() as made:
+            try:
+                with Deadline(spark, left) as limit:
+                    limit.check()
+                    plan = checkpointed(last.next_plan())
+                    if plan.isEmpty():
+                        break
+                    todo = checkpointed(asked.join(plan.select("query_id"), "query_id", "left_semi"))
+                    before = last.weighted.join(plan.select("query_id"), "query_id", "left_semi")
+                    steps.append(Evidence(todo, items, conf, plan, before, last.round + 1, store, pages, cache).finish())
+            except DeadlineReached:
+                drop(spark, made)
+                why = f"Repair loop stopped after reaching the {conf.repair_seconds:g} s repair time budget."
+                last.gaps = checkpointed(cautious(last.gaps, F.col("action") == "retry_retrieval", why))
+                break
     return steps
 
 

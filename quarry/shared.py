@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +43,34 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OPEN: ContextVar[list[str] | None] = ContextVar("checkpoints", default=None)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that ``checkpointed`` writes inside, for ``drop``."""
+    token = _OPEN.set([])
+    try:
+        yield _OPEN.get()
+    finally:
+        _OPEN.reset(token)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing still to be read depends on."""
+    for path in paths:
+        fs, where = on_disk(spark, path)
+        fs.delete(where, True)
+    paths.clear()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut by a table in the shared folder.
 
     Not ``DataFrame.checkpoint``: that hands on the constraints of the plan that it cuts, and plans of several rounds
     then take minutes to optimize.
     """
-    return written(df, f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}")
+    path = f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    if _OPEN.get() is not None:
+        _OPEN.get().append(path)
+    return written(df, path)

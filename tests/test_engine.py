@@ -12,7 +12,7 @@ from quarry.binding import freshness_ranked, freshness_stored
 from quarry.functions import text as T
 from quarry.functions import url as U
 from quarry.functions import vector as V
-from quarry.operators import assembly, dedup, health, intent, planner, ranking
+from quarry.operators import assembly, dedup, health, intent, planner, ranking, retrieval
 
 CHUNK = (
     "query_id long, chunk_id string, ord long, source string, source_type string, url string, title string, summary string, author string, publish_date timestamp, content string, claim string, "
@@ -246,7 +246,7 @@ def test_plan_for_a_query(spark):
 def test_one_common_term_retrieves(spark):
     items = spark.createDataFrame([("a", 1, "arxiv", "alpha words"), ("b", 2, "arxiv", "alpha bravo"), ("c", 3, "core", "alpha bravo"), ("d", 4, "arxiv", None), ("e", 5, "arxiv", "nothing here")], "id string, ord long, source string, text string")
     tasks = spark.createDataFrame([(1, 0, "arxiv", 1, "alpha bravo alpha"), (2, 0, "arxiv", 5, "alpha")], "query_id long, ix int, source string, max_results int, sub_query string")
-    assert sorted(tuple(r) for r in ranking.candidates(tasks, items).collect()) == [(1, 0, "arxiv", "b", 2), (2, 0, "arxiv", "a", 1), (2, 0, "arxiv", "b", 1)]
+    assert sorted(tuple(r) for r in retrieval.search(tasks, items).collect()) == [(1, 0, "arxiv", "b", 2), (2, 0, "arxiv", "a", 1), (2, 0, "arxiv", "b", 1)]
 
 
 def test_similar_vectors_merge_below_a_type_limit(spark):

@@ -172,7 +172,7 @@ def test_versions_of_a_store(spark, tmp_path):
     assert t.read().count() == 0
     for n in (1, 2, 3, 4):
         t.write(stores.updated_reliability(t.read(), seen))
-        assert t.read().first().observations == n and len(t.versions()) <= 2
+        assert t.read().first().observations == n and len(t.folders()) <= 2
     assert t.read().first().alpha == pytest.approx(6 * 0.95 + 4)
 
 
