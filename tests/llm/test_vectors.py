@@ -156,7 +156,7 @@ def test_vector_links_match_sql(spark):
     import duckdb
 
     rng = np.random.default_rng(9)
-    rows = [(i, v, 1) for i, v in enumerate(cluster(rng, np.ones(16), 40, 0.1) + cluster(rng, -np.ones(16), 30, 0.4) + [None, [0.0] * 16])]
+    rows = [(i, v, 1) for i, v in enumerate(cluster(rng, np.ones(16), 40, 0.1) + cluster(rng, -np.ones(16), 30, 0.2) + [None, [0.0] * 16])]
     df = table(spark, rows)
     con = duckdb.connect()
     con.register("embeddings", df.toArrow())
