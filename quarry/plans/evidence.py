@@ -91,7 +91,9 @@ class Evidence:
         if self.before is not None:
             found = found.join(self.before.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
         wanted = self.intents.select("query_id", "query", "query_types", "required_types", "domain")
-        return ranking.with_haystack(checkpointed(found.join(wanted, "query_id")))
+        # few bytes, but costly to score: dealt out by number, as small partitions would be put together
+        parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return ranking.with_haystack(checkpointed(found.join(wanted, "query_id").repartition(parts)))
 
     @cached_property
     def preranked(self) -> DataFrame:
@@ -210,7 +212,8 @@ def run(
             except DeadlineReached:
                 drop(spark, made)
                 why = f"Repair loop stopped after reaching the {conf.repair_seconds:g} s repair time budget."
-                last.gaps = checkpointed(cautious(last.gaps, F.col("action") == "retry_retrieval", why))
+                stopped = last.gaps.withColumn("stopped", F.col("action") == "retry_retrieval")
+                last.gaps = checkpointed(cautious(stopped, F.col("stopped"), why).drop("stopped"))
                 break
     return steps
 
