@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.control import let
 from quarry.llm._spark import materialize
 
 KINDS = ["assign", "access", "hex", "weak_secret", "weak_id", "endpoint"]
@@ -113,29 +114,31 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     return scanned.select(F.col("_carry")[key].alias(key), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_say(base), 256).alias("base_sha256"), _say(s).alias("spans"))
 
 
+def _latest(ends: Column, n: Column) -> Column:
+    """The largest end up to each place, by doubling: every step looks back twice as far."""
+    back = lambda of, k: F.slice(F.concat(F.array_repeat(F.lit(0), F.pow(F.lit(2.0), k).cast("int")), of), 1, n)
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")), ends, lambda of, k: F.zip_with(of, back(of, k), lambda a, b: F.greatest(a, b)))
+
+
 def redact(scanned: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The carried columns, every span (overlapping ones as one) of ``text`` replaced by ``mask``.
 
-    The text is cut into blocks once and each block keeps what lies between spans, so the work stays linear in the
-    text, up to one comparison for each block and span.
+    What lies between spans is cut from blocks of the text, of which each piece reads only its own. So the work is in
+    proportion to the text and to the spans times their logarithm, for very long texts with many spans too; a null text stays null.
     """
-    t, s = F.col("_carry")[text], F.col("_spans")
-    gap = "struct<start:int,end:int,masked:boolean>"
-    state = f"struct<at:int,gaps:array<{gap}>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{gap}>").alias("gaps")).cast(state)
-    add = lambda acc, end, masked: F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(masked).alias("masked"))))
-    gaps = F.aggregate(
-        s, start,
-        lambda acc, x: F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], add(acc, x["start"], True)).otherwise(acc["gaps"]).alias("gaps")).cast(state),
-        lambda acc: add(acc, F.length(t), False),
-    )
-
-    def kept(block: Column, i: Column) -> Column:
-        low, high = i * _BLOCK, (i + 1) * _BLOCK
-        here = F.filter("_gaps", lambda g: (g["start"] < high) & (g["end"] >= low))
-        cut = lambda g: F.substring(block, F.greatest(g["start"], low) - low + 1, F.greatest(F.lit(0), F.least(g["end"], high) - F.greatest(g["start"], low)))
-        return F.array_join(F.transform(here, lambda g: F.concat(cut(g), F.when(g["masked"] & (g["end"] < high), F.lit(mask)).otherwise(""))), "")
-
-    blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
-    masked = F.when(F.size(s) > 0, F.array_join(F.transform(blocks, kept), "")).otherwise(t)
-    return scanned.withColumn("_gaps", gaps).select(F.col("_carry").withField(text, masked).alias("_carry")).select("_carry.*")
+    t, s, block = F.col("_carry")[text], F.col("_spans"), F.lit(_BLOCK)
+    part = lambda c: F.floor(c / block).cast("int")
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        cut = lambda i: F.coalesce(F.substring(F.get(blocks, i), F.greatest(start - i * block, F.lit(0)) + 1, F.least(end - i * block, block) - F.greatest(start - i * block, F.lit(0))), F.lit(""))
+        return F.when(end <= start, "").otherwise(F.array_join(F.transform(F.sequence(part(start), part(end - 1)), cut), ""))
+
+    def masked(blocks: Column, latest: Column, n: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(0)), latest), 1, n)
+        gaps = F.filter(F.zip_with(before, s, lambda b, x: F.struct(b.alias("start"), x["start"].alias("end"))), lambda g: g["end"] >= g["start"])
+        first = F.array_join(F.transform(gaps, lambda g: piece(blocks, g["start"], g["end"])), mask)
+        return F.concat(first, F.lit(mask), piece(blocks, F.element_at(latest, -1), F.length(t)))
+
+    # bound once: a column that a lambda names would be made again for every element
+    found = let(F.size(s), lambda n: let(_latest(F.transform(s, lambda x: x["end"]), n), lambda latest: let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)), lambda blocks: masked(blocks, latest, n))))
+    return scanned.select(F.col("_carry").withField(text, F.when(F.size(s) > 0, found).otherwise(t)).alias("_carry")).select("_carry.*")
