@@ -133,7 +133,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     light = rows.select("key", "hash").repartitionByRange(parts, F.asc_nulls_first("key"), "hash")
     ends = light.groupBy(F.spark_partition_id()).agg(F.min(place).alias("low"), F.max(place).alias("high")).collect()  # one row a partition
     plain = lambda p: tuple(x for x in p if x is not None)
-    lows, highs = sorted(plain(r["low"]) for r in ends), sorted(plain(r["high"]) for r in ends)
+    nested = isinstance(docs.schema[key].dataType, (T.StructType, T.ArrayType))
+    lows, highs = ([], []) if nested else (sorted(plain(r["low"]) for r in ends), sorted(plain(r["high"]) for r in ends))
     edges = spark.sparkContext.broadcast((lows, highs))
 
     @F.pandas_udf("array<int>")
@@ -146,9 +147,18 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             out.append([b] if at != highs[b] else [b, (b + 1) % len(lows)])
         return pd.Series(out)
 
-    # a null key is stood in for by any other value, as pandas would turn whole numbers beside nulls into fractions
-    some = F.coalesce("key", F.lit(lows[-1][1] if lows and lows[-1][0] else None).cast(docs.schema[key].dataType))
-    marked = rows.withColumn("buckets", buckets(F.col("key").isNotNull(), some, "hash"))
+    kind = docs.schema[key].dataType
+    if nested:  # Python has no order of these; the edges, one a partition, are compared by Spark
+        known = T.StructType([T.StructField("known", T.BooleanType()), T.StructField("key", kind), T.StructField("hash", T.LongType())])
+        both = T.StructType([T.StructField(n, T.ArrayType(known)) for n in ("lows", "highs")])
+        one = spark.createDataFrame([([r["low"] for r in ends], [r["high"] for r in ends])], both).select(F.sort_array("lows").alias("lows"), F.sort_array("highs").alias("highs"))
+        at = rows.join(F.broadcast(one)).withColumn("b", F.size(F.filter("lows", lambda x: x <= place)) - 1)  # one row
+        last = F.get("highs", F.col("b")).eqNullSafe(place)
+        marked = at.withColumn("buckets", F.when(last, F.array("b", (F.col("b") + 1) % F.size("lows"))).otherwise(F.array("b")))
+    else:
+        # a null key is stood in for by any other value, as pandas would turn whole numbers beside nulls into fractions
+        some = F.coalesce("key", F.lit(lows[-1][1] if lows and lows[-1][0] else None).cast(kind))
+        marked = rows.withColumn("buckets", buckets(F.col("key").isNotNull(), some, "hash"))
     spread = marked.select("key", "text", "hash", F.posexplode("buckets").alias("guest", "bucket")).select("bucket", "guest", "key", "text", "hash")
     return spread.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("key"), F.desc("hash"), F.desc("text")).drop("hash")
 
