@@ -46,8 +46,6 @@ from quarry.llm.components import components, salted_join
 _U64 = np.uint64
 #: Tokens that a map task gathers before it ships them; bounds its memory.
 _FLUSH = 1_000_000
-#: Bytes of a token that travel beside its slot.
-_KEPT = 6
 
 
 def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
@@ -99,8 +97,7 @@ def _postings(docs: DataFrame, key: str, text: str, n: int, slots: int) -> DataF
             rows = []
             for a, b in zip(present, np.append(present[1:], len(slot)), strict=True):
                 used, local = np.unique(owners[a:b], return_inverse=True)
-                short = (tokens[a:b] << (_U64(64) - shift)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_KEPT]
-                rows.append((int(slot[a]), 1, None, None, None, stretch, nodes[used].tobytes(), sizes[used].tobytes(), local.astype("<u2" if len(used) <= 65536 else "<u4").tobytes(), short.tobytes()))
+                rows.append((int(slot[a]), 1, None, None, None, stretch, nodes[used].tobytes(), sizes[used].tobytes(), local.astype("<u2" if len(used) <= 65536 else "<u4").tobytes(), tokens[a:b].tobytes()))
             known.clear()
             sets.clear()
             held = 0
@@ -161,15 +158,12 @@ def _frequencies(postings: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    def reduce(slot: int, found: list[tuple], key: pa.DataType) -> Iterator[pa.RecordBatch]:
+    def reduce(found: list[tuple], key: pa.DataType) -> Iterator[pa.RecordBatch]:
         found.sort(key=lambda x: x[0])
         nodes = [np.frombuffer(x[1], "<i8") for x in found]
         sizes = [np.frombuffer(x[2], "<u4") for x in found]
         owners = [np.frombuffer(x[3], "<u2" if len(m) <= 65536 else "<u4") for x, m in zip(found, nodes, strict=True)]
-        short = np.frombuffer(b"".join(x[4] for x in found), np.uint8).reshape(-1, _KEPT)
-        tokens = np.zeros((len(short), 8), np.uint8)
-        tokens[:, 8 - _KEPT :] = short
-        tokens = tokens.view(">u8").ravel().astype(_U64)
+        tokens = np.frombuffer(b"".join(x[4] for x in found), "<u8")
         node = np.concatenate([m[o] for m, o in zip(nodes, owners, strict=True)])
         size = np.concatenate([m[o] for m, o in zip(sizes, owners, strict=True)])
         piece = np.repeat(np.arange(len(found), dtype=np.int32), [len(o) for o in owners])
@@ -189,14 +183,13 @@ def _frequencies(postings: DataFrame) -> DataFrame:
         freq = np.repeat(count, count)
         keep = freq > 1
         tokens, node, size, piece, freq = tokens[keep], node[keep], size[keep], piece[keep], freq[keep]
-        salt = mix(np.array([slot], _U64)) << _U64(8 * _KEPT)  # the slot again, as the token's upper bytes
         order = np.argsort(piece, kind="stable")
         edges = np.flatnonzero(np.diff(piece[order], prepend=-1, append=len(found)))
         rows = []
         for a, b in zip(edges, edges[1:], strict=False):
             at = order[a:b]
             used, first, local = np.unique(node[at], return_index=True, return_inverse=True)
-            rows.append((1, None, None, None, found[piece[at[0]]][0], used.tobytes(), size[at][first].astype("<u4").tobytes(), local.astype("<u4").tobytes(), (tokens[at] + salt).tobytes(), freq[at].astype("<u4").tobytes()))
+            rows.append((1, None, None, None, found[piece[at[0]]][0], used.tobytes(), size[at][first].astype("<u4").tobytes(), local.astype("<u4").tobytes(), tokens[at].tobytes(), freq[at].astype("<u4").tobytes()))
         yield make(rows, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,13 +201,13 @@ def _frequencies(postings: DataFrame) -> DataFrame:
                     plain.append((0, key, node, n, None, None, None, None, None, None))
                     continue
                 if s != slot and found:
-                    yield from reduce(slot, found, of)
+                    yield from reduce(found, of)
                     found = []
                 slot = s
                 found.append(packed)
             yield make(plain, of)
         if found:
-            yield from reduce(slot, found, of)
+            yield from reduce(found, of)
 
     dealt = postings.repartition(shuffle_partitions(postings.sparkSession), "slot").sortWithinPartitions("slot", "kind")
     return dealt.mapInArrow(run, _typed(_REDUCED, postings.schema["key"].dataType))
