@@ -59,6 +59,15 @@ def by_text(docs, result):
     return [(texts[r.doc_id] or "", r) for r in got]
 
 
+@pytest.mark.parametrize("make", [lambda i: F.struct((-i).alias("a"), F.lit(1).alias("b")), lambda i: F.array(-i, i)])
+def test_fingerprints_of_nested_keys(spark, make):
+    """A struct or array orders the rows as Spark does."""
+    docs = spark.range(40).select("id", F.when(F.col("id") < 37, make(F.col("id"))).alias("key"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("text")).repartition(3)
+    got = {tuple(r.key) if r.key is not None else None: r for r in fingerprint.fingerprints(docs, "key").collect() if r.key is not None}
+    plain = {-r.key: r for r in fingerprint.fingerprints(docs.select((-F.col("id")).alias("key"), "text").filter("key > -37").unionByName(docs.filter("id >= 37").select(F.lit(None).cast("long").alias("key"), "text")), "key").collect() if r.key is not None}
+    assert len(got) == 37 and [got[k].edited_sha256 for k in sorted(got)] == [plain[-k[0]].edited_sha256 for k in sorted(got)]
+
+
 def test_secret_scan_base_matches_brute_force(docs, empty):
     for text, r in by_text(docs, secret_scan.digest(secret_scan.scan(docs))):
         want = brute_secrets(text)
@@ -114,6 +123,14 @@ def test_secret_redaction_cuts_at_the_spans(spark):
         assert r.text == (want + texts[r.doc_id][at:] if texts[r.doc_id] is not None else None)
 
 
+def test_redaction_of_a_text_with_many_spans(spark):
+    """Time in proportion to the spans: 100,000 in one text."""
+    texts = [" ".join(f"token=abcdefgh{i:06d} ok" for i in range(100_000)), "token=abcdefghijkl " * 5, "AKIA" + "A" * 20 + "deadbeef" * 40]
+    masked = secret_scan.redact(secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ("doc_id", "text"))).collect()
+    got = {r.doc_id: r.text for r in masked}
+    assert got[0] == " ".join(["[SECRET] ok"] * 100_000) and got[1] == "[SECRET] " * 5 and got[2] == "[SECRET]" * 2
+
+
 def test_secret_redaction(docs):
     masked = secret_scan.redact(secret_scan.scan(docs, ("doc_id", "text"))).collect()
     left = secret_scan.digest(secret_scan.scan(docs.sparkSession.createDataFrame([(r.doc_id, r.text) for r in masked], "doc_id long, text string"))).agg(F.sum(F.col("n_assign") + F.col("n_access") + F.col("n_hex"))).first()[0]
