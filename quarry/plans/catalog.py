@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import engine, evaluation, extras, operations, planning, relational, scalars, scans
+from quarry.plans import durable, engine, evaluation, extras, operations, planning, relational, scalars, scans
 
-_MODULES = (scalars, relational, planning, engine, evaluation, operations, scans, extras)
+_MODULES = (scalars, relational, planning, engine, evaluation, operations, scans, extras, durable)
 
 
 def queries() -> dict:

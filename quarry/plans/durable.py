@@ -1,0 +1,71 @@
+"""Queries over what outlives a job: cached scores, a store fed by a stream, recorded responses as a data source."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from quarry import dims
+from quarry.operators import ranking, stores
+from quarry.plans import evidence
+from quarry.plans.engine import BASE, SCORED
+from quarry.plans.operations import S01, _answered
+from quarry.shared import checkpointed, scratch_root
+from quarry.streaming import events
+
+QUERIES, SQL = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _place(spark) -> str:
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+@query("c06_cached_scoring", BASE + SCORED + """ SELECT query_id, CASE WHEN query_id % 2 = 0 THEN count(*) ELSE 0 END AS hits, CASE WHEN query_id % 2 = 0 THEN 0 ELSE count(*) END AS misses,
+    CASE WHEN query_id % 2 = 0 THEN 0 ELSE ceil(count(*) / 8)::BIGINT END AS batches, round(min(relevance), 6) AS low, round(max(relevance), 6) AS high FROM cb GROUP BY 1""")
+def cached_scoring(spark, d):
+    """Chunks of every second query are scored, then those of all; the second time scores what the cache lacks, in batches of eight."""
+    cache = stores.Table(spark, _place(spark), stores.CACHE)
+    keyed = checkpointed(evidence.of(spark, d).fetched.withColumn("status", F.lit(None).cast("string")).withColumn("key", stores.score_key(F.sha2(F.concat_ws(":", "query_id", "query"), 256))))
+    for rows in (keyed.filter("query_id % 2 = 0"), keyed):
+        scored = checkpointed(stores.cached_scores(rows, cache.read(), ranking.rate))
+        cache.update(lambda held: stores.cache_used(held, scored, 1 << 20))  # noqa: B023
+    found = (F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.max("turn").alias("batches"))
+    return scored.groupBy("query_id").agg(*found, F.round(F.min("relevance"), 6).alias("low"), F.round(F.max("relevance"), 6).alias("high"))
+
+
+@query("k03_store_from_stream", f"""WITH o AS (SELECT event_type AS source, (user_id % 3)::VARCHAR AS domain, event_id, (['confirmed','contradicted','repeated','observed'])[event_id % 4 + 1] AS kind, (['filing','forum','academic'])[event_id % 3 + 1] AS source_type FROM events),
+    g AS (SELECT source, domain, arg_min(source_type, event_id) AS st, sum(CASE kind WHEN 'confirmed' THEN 1 WHEN 'repeated' THEN 0.2 WHEN 'observed' THEN 0.05 ELSE 0 END)::DOUBLE AS up, sum(CASE kind WHEN 'contradicted' THEN 1 WHEN 'repeated' THEN 0.1 WHEN 'observed' THEN 0.05 ELSE 0 END)::DOUBLE AS down, count(*) AS n FROM o GROUP BY ALL),
+    w(st, prior) AS (VALUES ('filing', 0.95::DOUBLE), ('forum', {dims.TYPE_WEIGHTS['forum']}::DOUBLE), ('academic', {dims.TYPE_WEIGHTS['academic']}::DOUBLE))
+    SELECT source, domain, round(6 * prior + up, 6) AS alpha, round(6 * (1 - prior) + down, 6) AS beta, n AS observations FROM g JOIN w USING (st)""")
+def store_from_stream(spark, d):
+    """The event stream as observations, added to a versioned store batch by batch."""
+    raw = spark.readStream.schema(events.SCHEMA).option("pathGlobFilter", "events.parquet").parquet(d)
+    kind = F.element_at(dims.strings(["confirmed", "contradicted", "repeated", "observed"]), (F.col("event_id") % 4 + 1).cast("int"))
+    kinds = F.element_at(dims.strings(["filing", "forum", "academic"]), (F.col("event_id") % 3 + 1).cast("int"))
+    observed = raw.select(F.col("event_type").alias("source"), (F.col("user_id") % 3).cast("string").alias("domain"), kinds.alias("source_type"), kind.alias("kind"), F.col("event_id").alias("ord"))
+    place = _place(spark)
+    store = stores.Table(spark, f"{place}/store", stores.INCREMENTS)
+    stores.feed(observed, store, "events", f"{place}/state")
+    return stores.reliability_of(store.read()).select("source", "domain", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), "observations")
+
+
+@query("s01_data_source", S01)
+def data_source(spark, d):
+    """Recorded responses written as a folder and read by the data source, then joined to their tasks."""
+    from quarry.sources import connectors, recorded
+
+    tasks, responses = _answered(spark, d)
+    folder = _place(spark)
+    recorded.record(responses, folder)
+    return connectors.routed(tasks, recorded.read_recorded(spark, folder))[1].drop("ix")

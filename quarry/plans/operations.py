@@ -233,9 +233,8 @@ def f41(spark, d):
 _TASKS = "t AS (SELECT doc_id, (['wikipedia','core','github','nowhere'])[doc_id % 4 + 1] AS source, (doc_id % 3 + 1)::INT AS most, (doc_id % 6)::INT AS n, doc_id % 7 AS k FROM documents)"
 
 
-def _routed(spark, d):
+def _answered(spark, d):
     from quarry.operators.intent import tasks
-    from quarry.sources import connectors
 
     i = F.col("doc_id")
     source = F.element_at(dims.strings(["wikipedia", "core", "github", "nowhere"]), (i % 4 + 1).cast("int"))
@@ -246,11 +245,20 @@ def _routed(spark, d):
     body = F.when(source == "wikipedia", F.to_json(F.struct(many.alias("pages")))).when(source == "core", F.to_json(F.struct(many.alias("results")))).otherwise(F.to_json(F.struct(many.alias("items"))))
     payload = F.when(i % 7 == 1, "oops").when(i % 7 == 2, '{"other": 1}').when(i % 7 == 3, None).otherwise(body)
     responses = docs.select(i.alias("query_id"), F.lit(0).alias("ix"), source.alias("source"), payload.alias("payload"), F.when(i % 7 == 4, "HTTP_429").alias("code"))
-    return connectors.routed(tasks(plan, dims.registry(spark)).select("query_id", "ix", "source", "max_results", "error"), responses)
+    return tasks(plan, dims.registry(spark)).select("query_id", "ix", "source", "max_results", "error"), responses
+
+
+def _routed(spark, d):
+    from quarry.sources import connectors
+
+    return connectors.routed(*_answered(spark, d))
+
+
+S01 = f"""WITH {_TASKS} SELECT doc_id AS query_id, source, code IS NULL AS ok, code, CASE code WHEN 'HTTP_429' THEN 'rate_limited' WHEN 'MALFORMED_PAYLOAD' THEN 'query_invalid' WHEN 'MISSING_FIELD' THEN 'missing_config' WHEN 'SOURCE_HANDLER_MISSING' THEN 'missing_config' WHEN 'NO_RESPONSE' THEN 'unknown' END AS category
+    FROM (SELECT *, CASE WHEN source = 'nowhere' THEN 'SOURCE_HANDLER_MISSING' WHEN k = 4 THEN 'HTTP_429' WHEN k = 3 THEN 'NO_RESPONSE' WHEN k = 1 THEN 'MALFORMED_PAYLOAD' WHEN k = 2 THEN 'MISSING_FIELD' END AS code FROM t)"""
 
 
-@query("s01_routed_results", f"""WITH {_TASKS} SELECT doc_id AS query_id, source, code IS NULL AS ok, code, CASE code WHEN 'HTTP_429' THEN 'rate_limited' WHEN 'MALFORMED_PAYLOAD' THEN 'query_invalid' WHEN 'MISSING_FIELD' THEN 'missing_config' WHEN 'SOURCE_HANDLER_MISSING' THEN 'missing_config' WHEN 'NO_RESPONSE' THEN 'unknown' END AS category
-    FROM (SELECT *, CASE WHEN source = 'nowhere' THEN 'SOURCE_HANDLER_MISSING' WHEN k = 4 THEN 'HTTP_429' WHEN k = 3 THEN 'NO_RESPONSE' WHEN k = 1 THEN 'MALFORMED_PAYLOAD' WHEN k = 2 THEN 'MISSING_FIELD' END AS code FROM t)""")
+@query("s01_routed_results", S01)
 def s01_results(spark, d):
     return _routed(spark, d)[1].drop("ix")
 

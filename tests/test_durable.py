@@ -202,3 +202,30 @@ def test_bounds_leave_out_stretches():
         best.scan(known, pa.array(words), np.array([n]), pa.array([f"i{n}"]))
         best.cut()
     assert best.ids == ["i3", "i0"] and best.skipped == 2 and best.looked == 5
+
+
+def test_recorded_responses_as_a_data_source(spark, tmp_path):
+    from quarry.sources import recorded
+
+    rows = [(i, i % 3, ["core", "a b/c", "github"][i % 3], None if i % 4 == 0 else f'{{"x": "é{i}"}}', "HTTP_429" if i % 5 == 0 else None) for i in range(60)]
+    folder = str(tmp_path / "r")
+    recorded.record(spark.createDataFrame(rows, recorded.SCHEMA).repartition(2), folder)
+    for split in ("67108864", "100", "1"):
+        assert sorted(map(tuple, recorded.read_recorded(spark, folder, splitBytes=split).collect()), key=repr) == sorted(rows, key=repr)
+    core = recorded.read_recorded(spark, folder).filter("source = 'core' AND query_id > 5")
+    assert sorted(r.query_id for r in core.collect()) == [i for i in range(6, 60) if i % 3 == 0]
+    assert recorded.read_recorded(spark, folder).filter("source IN ('core', 'github')").count() == 40 and recorded.read_recorded(spark, folder).filter("source = 'none'").count() == 0
+    (tmp_path / "r" / "source=bad").mkdir()
+    (tmp_path / "r" / "source=bad" / "x.json").write_bytes(b'{"query_id": 1}\nno json\n[1]\n\n{"query_id": "x"}\n\xff\xfe\n{"query_id": 2, "payload": "p"}')
+    got = recorded.read_recorded(spark, folder).filter("source = 'bad'").collect()
+    assert sorted((r.query_id or 0, r.code or "", r.payload or "") for r in got) == sorted([(1, "", ""), (2, "", "p")] + [(0, "MALFORMED_RECORD", "")] * 4)
+
+
+def test_filters_on_the_source_prune_folders():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    from quarry.sources.recorded import RecordedReader
+
+    r = RecordedReader("unused", 1)
+    left = list(r.pushFilters([EqualTo(("source",), "a"), GreaterThan(("query_id",), 3), In(("source",), ("a", "b"))]))
+    assert r.sources == {"a"} and left == [GreaterThan(("query_id",), 3)]
