@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry import dims, facade
 from quarry.binding import table
+from quarry.operators import firsts
 
 QUERIES, SQL = {}, {}
 
@@ -77,18 +76,10 @@ def j05(spark, d):
     return adjust_weights(c, store).select("doc_id", F.round("weight", 6).alias("weight"))
 
 
-@query("a10_greedy_clusters")
+@query("a10_greedy_clusters", """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+    e AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND y.vec_id < x.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.5),
+    r AS (SELECT vec_id, vec_id AS f FROM v UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.f), m AS (SELECT vec_id, min(f) AS f FROM r GROUP BY 1)
+    SELECT vec_id, label, (dense_rank() OVER (PARTITION BY label ORDER BY f) - 1)::INT AS cluster FROM m JOIN v USING (vec_id)""")
 def a10(spark, d):
-    """The first cluster with a similar member takes a vector; the order of ids decides, so each label is one pass."""
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id")
-        v = np.stack(rows.embedding.to_numpy())
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        label: list[int] = []
-        for i in range(len(v)):
-            near = np.flatnonzero(v[:i] @ v[i] >= 0.5) if i else []
-            label.append(min(label[j] for j in near) if len(near) else max(label, default=-1) + 1)
-        return pd.DataFrame({"vec_id": rows.vec_id, "label": rows.label, "cluster": label})
-
-    return table(spark, d, "embeddings").groupBy("label").applyInPandas(greedy, "vec_id long, label int, cluster int")
+    """The first cluster with a similar member takes a vector, in the order of ids."""
+    return firsts.first_similar(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 0.5)

@@ -37,7 +37,7 @@ def parse_gold_markdown(lines: DataFrame, line: str = "value", order: str = "n")
     """Facts and sources of a gold draft: ``# question`` opens a question, ``## section`` a section, ``- a | b | w`` a record."""
     w = W.partitionBy("file").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     c = F.col(line)
-    at = lines.withColumn("question", F.last(F.when(c.rlike("^# "), F.substring(c, 3, 1000)), ignorenulls=True).over(w)).withColumn("section", F.last(F.when(c.rlike("^## "), F.lower(F.substring(c, 4, 100))), ignorenulls=True).over(w))
+    at = lines.withColumn("question", F.last(F.when(c.rlike("^# "), F.substring(c, F.lit(3), F.length(c))), ignorenulls=True).over(w)).withColumn("section", F.last(F.when(c.rlike("^## "), F.lower(F.substring(c, F.lit(4), F.length(c)))), ignorenulls=True).over(w))
     p = F.split(F.regexp_replace(c, r"^-\s*", ""), r"\s*\|\s*")
     return at.filter(c.rlike(r"^-\s")).select("question", "section", F.get(p, F.lit(0)).alias("id"), F.get(p, F.lit(1)).alias("text"), F.coalesce(F.expr(f"try_cast(get(split(regexp_replace({line}, '^-\\\\s*', ''), '\\\\s*\\\\|\\\\s*'), 2) AS DOUBLE)"), F.lit(1.0)).alias("weight"))
 

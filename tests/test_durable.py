@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import retrieval, stores, traces
+from quarry.operators import firsts, retrieval, stores, traces
 from quarry.plans import evidence
 from quarry.shared import collected, scratch_root
 
@@ -229,3 +229,21 @@ def test_filters_on_the_source_prune_folders():
     r = RecordedReader("unused", 1)
     left = list(r.pushFilters([EqualTo(("source",), "a"), GreaterThan(("query_id",), 3), In(("source",), ("a", "b"))]))
     assert r.sources == {"a"} and left == [GreaterThan(("query_id",), 3)]
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_first_similar_equals_the_sequence(spark, block):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), None if g == 2 else g, rng.normal(size=3).tolist()) for i, g in zip(rng.permutation(600), rng.choice([0, 0, 0, 1, 2], 600), strict=True)]
+    rows = [(i, None if g is None else int(g), v) for i, g, v in rows]
+    want = []
+    for group in (0, 1, None):
+        done: list[tuple[np.ndarray, int]] = []
+        for i, _, v in sorted(r for r in rows if r[1] == group):
+            v = np.array(v) / np.linalg.norm(v)
+            near = [c for u, c in done if u @ v >= 0.9]
+            done.append((v, min(near) if near else max((c for _, c in done), default=-1) + 1))
+            want.append((i, group, done[-1][1]))
+    df = spark.createDataFrame([*rows, (None, 0, [1.0, 0.0, 0.0]), (9999, 0, None)], "id long, g int, v array<double>")
+    assert sorted(map(tuple, firsts.first_similar(df, "id", "g", "v", 0.9, block).collect())) == sorted(want)
+    assert firsts.first_similar(df.limit(0), "id", "g", "v", 0.9).count() == 0
