@@ -5,10 +5,10 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ERROR = "struct<stage:string,code:string,message:string,retryable:boolean,details:map<string,string>>"
@@ -39,21 +39,36 @@ def enough(mode: Column, status: Column, quality: Column, soft_only: Column) ->
 
 
 class Trace:
-    """Times of stages on the driver, as rows; the counts of their results are observed, not collected."""
+    """Stages of a run on the driver, as rows: when they began, how long they took, and what was observed of their results."""
 
     def __init__(self, spark: SparkSession, run_id: str) -> None:
         self.spark, self.run_id, self.rows = spark, run_id, []
 
     @contextmanager
-    def stage(self, name: str) -> Iterator[None]:
-        began = time.time()
+    def stage(self, name: str) -> Iterator[dict]:
+        """Times what is inside; counts that are put into the dict are told with it. A stage that fails is told of too."""
+        began, counts = time.time(), {}
         try:
-            yield
+            yield counts
         finally:
-            self.rows.append((self.run_id, name, began, int((time.time() - began) * 1000)))
+            self.rows.append((self.run_id, name, began, int((time.time() - began) * 1000), counts))
+
+    def written(self, name: str, rows: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``write(rows)`` as a stage: its rows, and the sum of ``tokens`` if there are, are observed by the job that writes them."""
+        seen = Observation()
+        sums = [F.sum("tokens").alias("tokens")] if "tokens" in rows.columns else []
+        with self.stage(name) as counts:
+            done = write(rows.observe(seen, F.count(F.lit(1)).alias("rows"), *sums))
+            counts |= {k: int(v or 0) for k, v in seen.get.items()}
+        return done
+
+    def stages(self) -> DataFrame:
+        """(run_id, stage, started, ms, counts), what ``stage_events`` takes."""
+        rows = self.spark.createDataFrame(self.rows, "run_id string, stage string, began double, ms long, counts map<string,long>")
+        return rows.select("run_id", "stage", F.timestamp_seconds("began").alias("started"), "ms", "counts")
 
     def frame(self) -> DataFrame:
-        return self.spark.createDataFrame(self.rows, "run_id string, stage string, began double, ms long").withColumn("began", F.timestamp_seconds("began"))
+        return self.stages().select("run_id", "stage", F.col("started").alias("began"), "ms")
 
 
 class DeadlineReached(Exception):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry import dims
-from quarry.operators import ranking, stores
+from quarry.operators import ranking, stores, traces
 from quarry.plans import evidence
 from quarry.plans.engine import BASE, SCORED
 from quarry.plans.operations import S01, _answered
@@ -60,6 +60,16 @@ def store_from_stream(spark, d):
     return stores.reliability_of(store.read()).select("source", "domain", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), "observations")
 
 
+@query("c11_stage_counts", BASE + """ SELECT 'hits:0' AS stage, (SELECT count(*) FROM hit) AS n, NULL::BIGINT AS tokens UNION ALL SELECT 'fetched:0', count(*), sum(tokens)::BIGINT FROM c""")
+def stage_counts(spark, d):
+    """Rows and tokens of stages, as observed while they ran."""
+    e = evidence.of(spark, d)
+    e.trace = traces.Trace(spark, "run")
+    e.fetched  # noqa: B018
+    seen = e.trace.stages().filter("stage IN ('hits:0', 'fetched:0')")
+    return seen.select("stage", F.col("counts")["rows"].alias("n"), F.col("counts")["tokens"].alias("tokens"))
+
+
 @query("s01_data_source", S01)
 def data_source(spark, d):
     """Recorded responses written as a folder and read by the data source, then joined to their tasks."""

@@ -18,7 +18,7 @@ from quarry.binding import chunks, queries, raw_items
 from quarry.dims import MODE_POLICY, NOW, registry, strings
 from quarry.functions.vector import hash_embedding
 from quarry.operators import assembly, dedup, extraction, health, intent, planner, ranking, retrieval, stores
-from quarry.operators.traces import Deadline, DeadlineReached, cautious
+from quarry.operators.traces import Deadline, DeadlineReached, Trace, cautious
 from quarry.shared import checkpointed, collected, drop
 
 
@@ -49,40 +49,45 @@ class EngineConf:
 class Evidence:
     """One round. ``plan``: (query_id, plan), if it is not the first one; ``before``: scored chunks of earlier rounds;
     ``store``: (source, domain, score), reliability known from earlier runs; ``pages``: (url, html), where the texts of
-    retrieved items are looked up; ``cache``: a ``stores.Table`` of ``stores.CACHE``, scores known from earlier runs."""
+    retrieved items are looked up; ``cache``: a ``stores.Table`` of ``stores.CACHE``, scores known from earlier runs; ``trace``: where stages are told of."""
 
-    def __init__(self, asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), plan: DataFrame | None = None, before: DataFrame | None = None, round_: int = 0, store: DataFrame | None = None, pages: DataFrame | None = None, cache: stores.Table | None = None) -> None:
+    def __init__(self, asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), plan: DataFrame | None = None, before: DataFrame | None = None, round_: int = 0, store: DataFrame | None = None, pages: DataFrame | None = None, cache: stores.Table | None = None, trace: Trace | None = None) -> None:
         self.asked, self.items, self.conf, self.own_plan, self.before, self.round, self.store, self.pages, self.cache = asked, items, conf, plan, before, round_, store, pages, cache
+        self.trace = trace
+
+    def _kept(self, stage: str, rows: DataFrame) -> DataFrame:
+        """``rows`` as a table; with a trace, under the stage's name with its time, rows and tokens as they are written."""
+        return checkpointed(rows) if self.trace is None else self.trace.written(f"{stage}:{self.round}", rows, checkpointed)
 
     @cached_property
     def intents(self) -> DataFrame:
-        return checkpointed(intent.with_intent(self.asked))
+        return self._kept("intents", intent.with_intent(self.asked))
 
     @cached_property
     def planned(self) -> DataFrame:
         if self.own_plan is not None:
             return self.intents.join(self.own_plan, "query_id")
-        return checkpointed(planner.preferred(planner.broadened(planner.first_plan(self.intents)), list(self.conf.preferred)))
+        return self._kept("planned", planner.preferred(planner.broadened(planner.first_plan(self.intents)), list(self.conf.preferred)))
 
     @cached_property
     def hits(self) -> DataFrame:
         """Items that the plan's sub-queries retrieve."""
         tasks = intent.tasks(planner.sub_queries(self.planned), registry(self.asked.sparkSession)).filter("error IS NULL")
-        return checkpointed(retrieval.search(tasks, self.items))
+        return self._kept("hits", retrieval.search(tasks, self.items))
 
     @cached_property
     def documents(self) -> DataFrame:
         """What is known of the texts of retrieved items, by query."""
         wanted = self.items.join(self.hits.select(F.col("query_id").alias("group_id"), F.col("item_id").alias("id")).distinct(), "id")
-        return checkpointed(extraction.documents(wanted, self.pages))
+        return self._kept("documents", extraction.documents(wanted, self.pages))
 
     @cached_property
     def chunks(self) -> DataFrame:
         if self.pages is not None:
             docs = self.documents.select(F.col("group_id").alias("query_id"), F.col("item_id").alias("id"), "ord", "source", "source_type", F.col("canonical_url").alias("url"), "title", "author", "publish_date", "text", "status")
-            return checkpointed(chunks(docs, self.conf.now, carry=("query_id", "status")).withColumn("summary", F.lit(None).cast("string")))
+            return self._kept("chunks", chunks(docs, self.conf.now, carry=("query_id", "status")).withColumn("summary", F.lit(None).cast("string")))
         found = self.items.join(self.hits.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
-        return checkpointed(chunks(found, self.conf.now).withColumn("summary", F.lit(None).cast("string")))
+        return self._kept("chunks", chunks(found, self.conf.now).withColumn("summary", F.lit(None).cast("string")))
 
     @cached_property
     def fetched(self) -> DataFrame:
@@ -93,25 +98,25 @@ class Evidence:
         wanted = self.intents.select("query_id", "query", "query_types", "required_types", "domain")
         # few bytes, but costly to score: dealt out by number, as small partitions would be put together
         parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return ranking.with_haystack(checkpointed(found.join(wanted, "query_id").repartition(parts)))
+        return ranking.with_haystack(self._kept("fetched", found.join(wanted, "query_id").repartition(parts)))
 
     @cached_property
     def preranked(self) -> DataFrame:
         scored = self.fetched.withColumn("surprise", F.lit(0.0)).withColumn("local_score", ranking.local_score(self.conf.now))
-        unique = checkpointed(ranking.one_per_duplicate_key(scored))
+        unique = self._kept("grouped", ranking.one_per_duplicate_key(scored))
         kept = ranking.diverse_top_k(unique, self.conf.prerank_cap).select("query_id", "chunk_id", "position")
-        return checkpointed(unique.drop("surprise").join(kept, ["query_id", "chunk_id"]))
+        return self._kept("preranked", unique.drop("surprise").join(kept, ["query_id", "chunk_id"]))
 
     @cached_property
     def rated(self) -> DataFrame:
         """Pre-ranked chunks with relevance and confidence; what the cache has is not scored again, and what it has not it learns."""
         if self.cache is None:
-            return checkpointed(ranking.score(self.preranked))
+            return self._kept("rated", ranking.score(self.preranked))
         rows = self.preranked if "status" in self.preranked.columns else self.preranked.withColumn("status", F.lit(None).cast("string"))
         keyed = rows.withColumn("key", stores.score_key(F.sha2("query", 256)))
-        scored = checkpointed(stores.cached_scores(keyed, self.cache.read(), ranking.rate, self.conf.batch))
+        scored = self._kept("rated", stores.cached_scores(keyed, self.cache.read(), ranking.rate, self.conf.batch))
         self.cache.update(lambda held: stores.cache_used(held, scored, self.conf.cache_size))
-        self.cache_use = checkpointed(scored.groupBy("query_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.max("turn").alias("batches")))
+        self.cache_use = self._kept("cache", scored.groupBy("query_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.max("turn").alias("batches")))
         return ranking.completed(scored.drop("key", "hit", "turn", *(set(rows.columns) - set(self.preranked.columns))))
 
     @cached_property
@@ -119,7 +124,7 @@ class Evidence:
         rated = self.rated
         if self.pages is not None:
             rated = ranking.treat_extraction(rated).withColumn("combined", ranking.combined()).withColumn("degraded", extraction.is_degraded(F.col("status")))
-        return checkpointed(ranking.keep_or_rescue(rated, self.conf.threshold))
+        return self._kept("scored", ranking.keep_or_rescue(rated, self.conf.threshold))
 
     @cached_property
     def weighted(self) -> DataFrame:
@@ -127,16 +132,16 @@ class Evidence:
         seen = self.scored.select("source", "domain", "source_type", F.lit("observed").alias("kind"), "ord")
         own = health.adjust_weights(self.scored, health.reliability(seen) if self.store is None else self.store)
         own = own.withColumn("embedding", hash_embedding()(F.col("content")))
-        return checkpointed(own if self.before is None else own.unionByName(self.before))
+        return self._kept("weighted", own if self.before is None else own.unionByName(self.before))
 
     @cached_property
     def links(self) -> DataFrame:
-        return checkpointed(dedup.edges_by_query(self.weighted, "embedding", self.conf.tau))
+        return self._kept("links", dedup.edges_by_query(self.weighted, "embedding", self.conf.tau))
 
     @cached_property
     def clusters(self) -> DataFrame:
         labels = dedup.components_by_query(self.weighted, self.links)
-        return checkpointed(dedup.representatives(self.weighted, labels, self.links))
+        return self._kept("clusters", dedup.representatives(self.weighted, labels, self.links))
 
     @cached_property
     def unique(self) -> DataFrame:
@@ -144,7 +149,7 @@ class Evidence:
 
     @cached_property
     def selection(self) -> DataFrame:
-        return checkpointed(assembly.assemble(self.unique, self.conf.token_budget))
+        return self._kept("selection", assembly.assemble(self.unique, self.conf.token_budget))
 
     @cached_property
     def selected(self) -> DataFrame:
@@ -158,11 +163,11 @@ class Evidence:
 
     @cached_property
     def health(self) -> DataFrame:
-        return checkpointed(health.health(self.intents, self.selected, self.clusters))
+        return self._kept("health", health.health(self.intents, self.selected, self.clusters))
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return checkpointed(health.gaps(self.intents, self.selected, self.health, self.results, self.round, self.conf.max_rounds))
+        return self._kept("gaps", health.gaps(self.intents, self.selected, self.health, self.results, self.round, self.conf.max_rounds))
 
     def finish(self) -> Evidence:
         """Computes the round and drops the tables of its stages but for those that results and later rounds read."""
@@ -187,7 +192,7 @@ class Evidence:
 
 
 def run(
-    asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), store: DataFrame | None = None, pages: DataFrame | None = None, cache: stores.Table | None = None
+    asked: DataFrame, items: DataFrame, conf: EngineConf = EngineConf(), store: DataFrame | None = None, pages: DataFrame | None = None, cache: stores.Table | None = None, trace: Trace | None = None
 ) -> list[Evidence]:
     """The rounds: each asks the repair plan of the queries that are to be retried, and ends with none or the mode's last.
 
@@ -195,7 +200,7 @@ def run(
     what it has written is dropped, the rounds before stay, and queries that were to be retried are answered cautiously.
     """
     spark, began = asked.sparkSession, None
-    steps = [Evidence(asked, items, conf, store=store, pages=pages, cache=cache).finish()]
+    steps = [Evidence(asked, items, conf, store=store, pages=pages, cache=cache, trace=trace).finish()]
     while steps[-1].round < conf.max_rounds:
         last, began = steps[-1], began or time.monotonic()
         left = None if conf.repair_seconds is None else max(0.0, conf.repair_seconds - (time.monotonic() - began))
@@ -208,7 +213,7 @@ def run(
                         break
                     todo = checkpointed(asked.join(plan.select("query_id"), "query_id", "left_semi"))
                     before = last.weighted.join(plan.select("query_id"), "query_id", "left_semi")
-                    steps.append(Evidence(todo, items, conf, plan, before, last.round + 1, store, pages, cache).finish())
+                    steps.append(Evidence(todo, items, conf, plan, before, last.round + 1, store, pages, cache, trace).finish())
             except DeadlineReached:
                 drop(spark, made)
                 why = f"Repair loop stopped after reaching the {conf.repair_seconds:g} s repair time budget."

@@ -247,3 +247,16 @@ def test_first_similar_equals_the_sequence(spark, block):
     df = spark.createDataFrame([*rows, (None, 0, [1.0, 0.0, 0.0]), (9999, 0, None)], "id long, g int, v array<double>")
     assert sorted(map(tuple, firsts.first_similar(df, "id", "g", "v", 0.9, block).collect())) == sorted(want)
     assert firsts.first_similar(df.limit(0), "id", "g", "v", 0.9).count() == 0
+
+
+def test_stages_of_a_real_run_are_told(spark):
+    trace = traces.Trace(spark, "r1")
+    steps = evidence.run(asked(spark), made_items(spark), trace=trace)
+    told = {r.stage: r for r in trace.stages().collect()}
+    assert {f"{s}:{n}" for n in range(len(steps)) for s in ("hits", "fetched", "scored", "selection", "gaps")} <= set(told)
+    assert told["intents:0"].counts == {"rows": 2} and told["scored:0"].counts["tokens"] > 0 and all(r.ms >= 0 for r in told.values())
+    events = traces.stage_events(trace.stages()).filter("stage = 'intents:0'").orderBy("n").collect()
+    assert [e.type for e in events] == ["stage_start", "counts", "stage_complete"] and events[1].message == "rows=2" and events[0].at <= events[2].at
+    with pytest.raises(ZeroDivisionError), trace.stage("fails"):
+        raise ZeroDivisionError
+    assert trace.frame().filter("stage = 'fails'").count() == 1
