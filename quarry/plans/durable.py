@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry import dims
+from quarry.binding import table
 from quarry.operators import ranking, stores, traces
 from quarry.plans import evidence
 from quarry.plans.engine import BASE, SCORED
 from quarry.plans.operations import S01, _answered
 from quarry.shared import checkpointed, scratch_root
+from quarry.sources import curated
 from quarry.streaming import events
 
 QUERIES, SQL = {}, {}
@@ -79,3 +81,32 @@ def data_source(spark, d):
     folder = _place(spark)
     recorded.record(responses, folder)
     return connectors.routed(tasks, recorded.read_recorded(spark, folder))[1].drop("ix")
+
+
+_LONG = "'long text ' || page_id || repeat(' and more', 9)"
+_WEB = "regexp_matches(url, '(?i)^https?://')"
+
+
+@query("s28_provider_answers", f"""SELECT page_id, (['openai','claude','gemini'])[page_id % 3 + 1] AS engine, CASE page_id % 5 WHEN 3 THEN 'missing' WHEN 4 THEN 'malformed' ELSE 'live' END AS mode,
+    CASE WHEN page_id % 5 > 2 THEN '' WHEN page_id % 3 = 0 THEN {_LONG} WHEN page_id % 3 = 1 THEN 'part a' || chr(10) || chr(10) || 'part b' ELSE 'one' || chr(10) || chr(10) || 'two' END AS answer,
+    CASE WHEN page_id % 5 > 2 THEN '' ELSE CASE WHEN {_WEB} THEN url || '=T,' ELSE '' END || 'https://x.example.org/' || page_id || '=https://x.example.org/' || page_id END AS sources FROM pages""")
+def provider_answers(spark, d):
+    """Payloads of three services over the pages' addresses, walked as JSON."""
+    none, page = F.lit(None).cast("string"), F.col("page_id").cast("string")
+    more = F.concat(F.lit("https://x.example.org/"), page)
+
+    def part(text=none, kind=none, **links):
+        at = {n: links.get(n, none) for n in ("url", "uri", "title", "name")}
+        return F.struct(text.alias("text"), kind.alias("type"), F.when(F.lit(bool(links)), F.array(F.struct(*(c.alias(n) for n, c in at.items())))).alias("links"))
+
+    long = F.concat(F.lit("long text "), page, F.repeat(F.lit(" and more"), 9))
+    seen, other, again = dict(url=F.col("url"), title=F.lit("T")), dict(uri=more), dict(uri=F.col("url"), name=F.lit("again"))
+    openai = F.to_json(F.struct(F.array(F.struct(F.array(part(long, **seen), part(F.lit("short"), **again), part(long, **other)).alias("content"))).alias("output")))
+    claude = F.to_json(F.struct(F.array(part(F.lit("part a"), F.lit("text"), **seen), part(F.lit("unseen"), F.lit("tool"), **again), part(F.lit("part b"), F.lit("text"), **other)).alias("content")))
+    gemini = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(part(F.lit("one"), **seen), part(F.lit("two"), **other)).alias("parts")).alias("content"))).alias("candidates")))
+    which = F.col("page_id") % 3
+    body = F.when(which == 0, openai).when(which == 1, claude).otherwise(gemini)
+    payload = F.when(F.col("page_id") % 5 == 3, none).when(F.col("page_id") % 5 == 4, F.concat(F.lit("{"), body)).otherwise(body)
+    engine = F.element_at(dims.strings(["openai", "claude", "gemini"]), (which + 1).cast("int"))
+    rows = curated.provider_answers(table(spark, d, "pages").select(engine.alias("engine"), F.col("page_id").alias("question_id"), payload.alias("payload")))
+    return rows.select(F.col("question_id").alias("page_id"), "engine", "mode", "answer", F.array_join(F.transform("sources", lambda x: F.concat(x["url"], F.lit("="), x["title"])), ",").alias("sources"))

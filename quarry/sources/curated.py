@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,3 +94,64 @@ def provider_row(results: DataFrame) -> DataFrame:
     has = F.coalesce(F.trim("payload"), F.lit("")) != ""
     texts = long_texts(F.coalesce("payload", F.lit("")))
     return results.select("engine", "question_id", F.when(has, "live").otherwise("missing").alias("mode"), F.lit("scoring_unavailable").alias("score_status"), F.coalesce(F.get(texts, F.lit(0)), F.lit("")).alias("answer"), harvested(F.coalesce("payload", F.lit(""))).alias("urls"))
+
+
+def _nodes(payload: object) -> list[dict]:
+    """All objects of a parsed payload, each before what it holds, in the payload's order; of any depth."""
+    out, todo = [], [payload]
+    while todo:
+        node = todo.pop()
+        inner = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
+        if isinstance(node, dict):
+            out.append(node)
+        todo += reversed(inner)
+    return out
+
+
+def _first(node: dict, names: tuple[str, ...]) -> str | None:
+    return next((node[n] for n in names if isinstance(node.get(n), str) and node[n].strip()), None)
+
+
+def _told(engine: str, payload: object) -> str:
+    """The answer, where each service has it; of any other shape the first four long texts."""
+    told = payload if isinstance(payload, dict) else {}
+    if engine == "openai" and isinstance(told.get("output_text"), str):
+        return told["output_text"]
+    parts = None
+    if engine == "claude" and isinstance(told.get("content"), list):
+        parts = [p["text"] for p in told["content"] if isinstance(p, dict) and p.get("type") == "text" and isinstance(p.get("text"), str)]
+    if engine == "gemini" and isinstance(told.get("candidates"), list):
+        held = [c["content"]["parts"] for c in told["candidates"] if isinstance(c, dict) and isinstance(c.get("content"), dict) and isinstance(c["content"].get("parts"), list)]
+        parts = [p["text"] for h in held for p in h if isinstance(p, dict) and isinstance(p.get("text"), str)]
+    if parts is None:
+        parts = list(dict.fromkeys(n["text"] for n in _nodes(payload) if isinstance(n.get("text"), str) and len(n["text"]) > 40))[:4]
+    return "\n\n".join(parts).strip()
+
+
+def _searched(engine: pd.Series, payload: pd.Series) -> pd.DataFrame:
+    out = []
+    for name, text in zip(engine, payload, strict=True):
+        try:
+            told = json.loads(text) if text is not None else None
+        except (ValueError, RecursionError):
+            told = None
+        found: dict[str, str] = {}
+        for node in _nodes(told):
+            url = _first(node, ("url", "uri"))
+            if url and re.match("(?i)https?://", url):
+                found.setdefault(url, _first(node, ("title", "name")) or url)
+        out.append((told is not None, _told(name, told), [{"url": u, "title": t} for u, t in [*found.items()][:12]]))
+    return pd.DataFrame(out, columns=["parsed", "answer", "sources"])
+
+
+def provider_answers(results: DataFrame) -> DataFrame:
+    """Web searches of other engines (engine, question_id, payload) as result rows: the answer as the service tells it, and up
+    to twelve sources (url, title) from anywhere in the payload, in its order, each address once.
+
+    A row without a payload is missing; one whose payload is no JSON is malformed, with an empty answer. Nothing is scored.
+    """
+    has = F.coalesce(F.trim("payload"), F.lit("")) != ""
+    searched = F.pandas_udf(_searched, "struct<parsed:boolean,answer:string,sources:array<struct<url:string,title:string>>>")
+    found = results.withColumn("found", searched("engine", F.when(has, F.col("payload"))))
+    mode = F.when(~has, "missing").when(F.col("found.parsed"), "live").otherwise("malformed")
+    return found.select("engine", "question_id", mode.alias("mode"), F.lit("scoring_unavailable").alias("score_status"), F.col("found.answer").alias("answer"), F.col("found.sources").alias("sources"))

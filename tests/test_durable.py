@@ -260,3 +260,22 @@ def test_stages_of_a_real_run_are_told(spark):
     with pytest.raises(ZeroDivisionError), trace.stage("fails"):
         raise ZeroDivisionError
     assert trace.frame().filter("stage = 'fails'").count() == 1
+
+
+def test_nested_payloads_are_walked(spark):
+    import json
+
+    from quarry.sources import curated
+
+    deep = {"a": [{"url": "https://one", "title": " ", "name": "One", "kids": [{"uri": "HTTP://two"}, {"url": 5, "uri": "https://three"}]}, {"url": "ftp://no"}, {"url": "https://one", "title": "later"}]}
+    many = [{"url": f"https://h/{i}"} for i in range(20)]
+    nested = 1
+    for _ in range(900):
+        nested = [nested]
+    texts = {"x": [{"text": "t" * 41}, {"text": "short"}, {"text": "t" * 41}, *({"text": str(i) * 50} for i in range(5))]}
+    rows = [("openai", "1", json.dumps(deep)), ("claude", "2", json.dumps(many)), ("gemini", "3", json.dumps(texts)), ("openai", "4", json.dumps({"output_text": "said", "text": "z" * 90})), ("openai", "5", "{oops"), ("openai", "6", None), ("claude", "7", json.dumps({"content": [nested, {"type": "text", "text": "c"}]})), ("gemini", "8", "7")]
+    got = {r.question_id: r for r in curated.provider_answers(spark.createDataFrame(rows, "engine string, question_id string, payload string")).collect()}
+    assert [tuple(x) for x in got["1"].sources] == [("https://one", "One"), ("HTTP://two", "HTTP://two"), ("https://three", "https://three")] and got["1"].answer == ""
+    assert [x.url for x in got["2"].sources] == [f"https://h/{i}" for i in range(12)]
+    assert got["3"].answer == "\n\n".join(["t" * 41, *(str(i) * 50 for i in range(3))]) and got["4"].answer == "said"
+    assert [got[i].mode for i in "45678"] == ["live", "malformed", "missing", "live", "live"] and got["7"].answer == "c"
