@@ -282,8 +282,8 @@ def _signatures(reduced: DataFrame, t: Fraction, rare: int) -> DataFrame:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens' counts by hash place; a power of two of places, about two a token."""
-    width = min(8192, max(256, 1 << (2 * len(tokens) - 1).bit_length()))
+    """Parity of the tokens' counts by hash place; a power of two of places, about eight a token."""
+    width = min(8192, max(256, 1 << (8 * len(tokens) - 1).bit_length()))
     place = (mix(tokens ^ _U64(0xE7037ED1A0B428DB)) % _U64(width)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
