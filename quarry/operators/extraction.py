@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from quarry.dims import lookup
+from quarry.functions.pdf import text_of_pdf
 from quarry.functions.text import strip_html
 from quarry.functions.url import document_type, evidence_key, normalized_url
 
@@ -67,18 +68,6 @@ def readable(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(main_text)
 
 
-def pdf_text(content: bytes, most_pages: int = 8) -> str | None:
-    """Text of the first pages of a PDF, if a library for it is installed; None, a failed attempt, if not or if it cannot be read."""
-    try:
-        from io import BytesIO
-
-        from pypdf import PdfReader
-
-        return " ".join(" ".join((p.extract_text() or "").split()) for p in PdfReader(BytesIO(content)).pages[:most_pages])
-    except Exception:  # no library, or no PDF
-        return None
-
-
 def truncated(text: Column, most: int = MOST_CHARS) -> Column:
     return F.when(F.length(text) > most, F.trim(F.substring(text, 1, most))).otherwise(text)
 
@@ -122,7 +111,8 @@ def documents(items: DataFrame, pages: DataFrame, most: int = 12, doi: str = "do
     """One row a document: raw items grouped by canonical URL, its best item, and the best of two attempts at its text.
 
     ``items``: raw items with ``ord`` and ``group_id`` (a query; at most ``most`` documents of a group are looked up);
-    ``pages``: (url, html). The page of a canonical URL that ``pages`` does not have is a failed attempt.
+    ``pages``: (url, html) and, where pages may be PDF files, ``pdf``, their bytes or null. The page of a canonical URL
+    that ``pages`` does not have is a failed attempt, and so is a PDF file whose text cannot be read.
     """
     known_doi = F.col(doi) if doi in items.columns else F.lit(None).cast("string")
     i = items.withColumn("canonical_url", normalized_url(F.col("url"), F.col("source"))).withColumn("document_key", evidence_key(F.col("url"), F.col("source"), F.col("source_type"), F.col("title"), known_doi))
@@ -133,14 +123,19 @@ def documents(items: DataFrame, pages: DataFrame, most: int = 12, doi: str = "do
     i = i.withColumn("turn", F.row_number().over(W.partitionBy("group_id").orderBy("first"))).withColumn("document_type", document_type(F.col("canonical_url"), F.col("source"), F.col("source_type")))
     i = i.withColumn("own_status", structured_status(F.col("said"), F.col("source")))
     look = (F.col("own_status") != "full_text") & (F.col("turn") <= most) & F.col("canonical_url").rlike("^https?://") & (F.col("source") != "github")
-    p = pages.withColumn("canonical_url", normalized_url(F.col("url"), F.lit("page"))).groupBy("canonical_url").agg(F.min_by("html", "url").alias("html"))
-    i = i.withColumn("looked", look).join(p, "canonical_url", "left")
-    i = i.withColumn("page", F.when(F.col("looked") & F.col("html").isNotNull(), truncated(readable(F.col("html")))))
-    i = i.withColumn("page_status", F.when(F.col("looked"), F.when(F.col("html").isNull(), "failed").otherwise(page_status(F.col("page")))))
+    files = "pdf" in pages.columns
+    one = F.struct("html", *(["pdf"] if files else []))
+    p = pages.withColumn("canonical_url", normalized_url(F.col("url"), F.lit("page"))).groupBy("canonical_url").agg(F.min_by(one, "url").alias("found"))
+    i = i.withColumn("looked", look).join(p.select("canonical_url", "found.*"), "canonical_url", "left")
+    as_file = F.col("pdf").isNotNull() if files else F.lit(False)
+    body = readable(F.col("html"))
+    body = F.when(as_file, text_of_pdf(F.when(F.col("looked"), F.col("pdf")))).otherwise(body) if files else body
+    i = i.withColumn("page", F.when(F.col("looked") & (as_file | F.col("html").isNotNull()), truncated(body)))
+    i = i.withColumn("page_status", F.when(F.col("looked"), F.when(F.col("page").isNull(), "failed").otherwise(page_status(F.col("page")))))
     rank = lambda c: lookup(LADDER, F.col(c), -1)
     better = F.col("looked") & ((rank("page_status") > rank("own_status")) | ((rank("page_status") == rank("own_status")) & (F.length("page") > F.length("said"))))
     i = i.withColumn("status", F.when(better, F.col("page_status")).otherwise(F.col("own_status"))).withColumn("body", F.when(better, F.col("page")).otherwise(F.col("said")))
-    method = F.when(better, "readable_html").when(F.col("status") == "metadata_only", "metadata_only").when(F.col("status") == "snippet", "source_snippet").otherwise("source_api_text")
+    method = F.when(better & as_file, "pdf_text").when(better, "readable_html").when(F.col("status") == "metadata_only", "metadata_only").when(F.col("status") == "snippet", "source_snippet").otherwise("source_api_text")
     return i.select(
         "group_id", "document_key", "canonical_url", "document_type", F.col("id").alias("item_id"), F.col("first").alias("ord"), "items", "source", "source_type", "title", "author", "publish_date", F.col("body").alias("text"), "summary",
         "status", method.alias("method"), lookup(CONFIDENCE, F.col("status")).alias("extraction_confidence"), lookup(COVERAGE, F.col("status")).alias("content_coverage"), degradation(F.col("status"), F.col("document_type")).alias("degradation_reason"),

@@ -82,14 +82,17 @@ def p22(spark, d):
     return c.select("conv_id", "turn", "role", F.when(F.length("text") > 600, F.concat(F.rtrim(F.substring("text", 1, 600)), F.lit(" [truncated]"))).otherwise(F.col("text")).alias("content"))
 
 
-@query("p16_required_match", f"""WITH {RAW}, r AS (SELECT unnest(['primary-document','news','academic','government']) AS required)
-    SELECT required, source, CASE WHEN required = 'primary-document' THEN source_type IN ('filing','government','structured_fact','medical') WHEN required = 'news' THEN source = 'hacker_news' ELSE source_type = required END AS matched, count(*) AS n
-    FROM raw, r GROUP BY ALL""")
+@query("p16_required_match", f"""WITH {RAW}, r AS (SELECT unnest(['primary-document','news','academic','government']) AS required), v AS (SELECT unnest(['assemble','health','prerank','score']) AS stage)
+    SELECT stage, required, source, CASE WHEN required = 'primary-document' THEN source_type IN ('filing','government','structured_fact','medical') WHEN required = 'news' THEN stage = 'prerank' AND source = 'hacker_news' ELSE source_type = required END AS matched, count(*) AS n
+    FROM raw, r, v GROUP BY ALL""")
 def p16(spark, d):
+    """What each stage takes for a required type; only pre-ranking has a source of news."""
     from quarry.operators.ranking import matches_required
 
     r = raw_items(spark, d).withColumn("stance", dims.lookup(dims.STANCES, F.col("source_type"), "speculation")).withColumn("required", F.explode(dims.strings(["primary-document", "news", "academic", "government"])))
-    return r.groupBy("required", "source", matches_required(F.col("stance"), F.col("source_type"), F.col("source"), F.col("required"), "prerank").alias("matched")).agg(F.count(F.lit(1)).alias("n"))
+    match = lambda stage: F.struct(F.lit(stage).alias("stage"), matches_required(F.col("stance"), F.col("source_type"), F.col("source"), F.col("required"), "prerank" if stage == "prerank" else "never").alias("matched"))
+    each = r.select("required", "source", F.explode(F.array(*map(match, ["assemble", "health", "prerank", "score"]))).alias("m"))
+    return each.groupBy("m.stage", "required", "source", "m.matched").agg(F.count(F.lit(1)).alias("n"))
 
 
 # joins

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.pdf import text_of_pdf
+
 GOLD = "questions array<struct<id:string,question:string,atomic_facts:array<struct<id:string,text:string,keywords:array<string>,weight:double>>,required_sources:array<struct<id:string,type:string,description:string,weight:double>>,penalize_if:array<string>>>, _corrupt_record string"
 
 
@@ -80,3 +82,15 @@ def gold_of_records(records: DataFrame) -> DataFrame:
     words = F.col("keywords") if "keywords" in records.columns else F.array().cast("array<string>")
     g = records.groupBy(F.col("question").alias("question_id")).agg(part("facts", F.struct("text", words.alias("keywords"))).alias("facts"), part("sources", F.col("text")).alias("required"), part("penalties", F.col("text")).alias("penalties"))
     return g.select("question_id", (F.size("facts") > 0).alias("valid"), "facts", "required", "penalties")
+
+
+def pdf_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """PDF files of a folder as pages (url, html, pdf), which ``extraction.documents`` takes; ``html`` is null."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(folder)
+    return raw.select(F.col("path").alias("url"), F.lit(None).cast("string").alias("html"), F.col("content").alias("pdf"))
+
+
+def read_pdf(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, ok, text, error) of the PDF files of a folder; one that cannot be read is a failure row."""
+    t = pdf_pages(spark, folder).select(F.substring_index("url", "/", -1).alias("file"), text_of_pdf("pdf").alias("text"))
+    return t.select("file", F.col("text").isNotNull().alias("ok"), "text", F.when(F.col("text").isNull(), "PDF_UNREADABLE").alias("error"))
