@@ -12,10 +12,13 @@ SALTS = 16
 
 
 def salted_join(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
-    """``rows`` joined to ``one``, which has a row a key, on the key and a hash of ``by``; each row of ``one`` goes to every part."""
+    """``rows`` joined to ``one``, which has a row a key, on the key and a hash of ``by``; each row of ``one`` goes to every part.
+
+    By merging: Spark sees the size of ``one`` before it is multiplied, and would send ``SALTS`` times that through the driver.
+    """
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    return left.join(right.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame, scratch: list[str] | None = None) -> DataFrame:

@@ -46,6 +46,8 @@ CODES, WORDS, LIST = 4, 1024, 6
 _SAMPLE, _PIVOTS, _STRIPE = 2048, 512, 2048
 #: Members that a pivot has in the sample at least; inner products in float32 are this near.
 _HOT, _FLOAT = 4, 1e-5
+#: Filters of more than a stripe's nodes up to which their table is broadcast.
+_FEW = 1 << 15
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -179,9 +181,12 @@ def _cells(coded: DataFrame, stripe: int, scratch: list[str]) -> DataFrame:
     large = materialize(large.select("width", "filter", F.col("main.ball").alias("main"), parts(many).alias("mains"), parts(F.col("n") - many).alias("opens")), scratch)
     rows = coded.select("node", "mult", "ball", "width", "code", "step", "error", "filters", F.posexplode("filters").alias("at", "filter"))
     rows = rows.withColumn("smaller", F.expr("slice(filters, 1, at)")).drop("filters", "at")
-    # a large filter's rows are dealt to parts before they meet its row
-    salt = F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")
-    rows = rows.withColumn("salt", salt).join(large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["width", "filter", "salt"], "left")
+    if large.limit(_FEW + 1).count() <= _FEW:
+        rows = rows.join(F.broadcast(large), ["width", "filter"], "left")  # at most _FEW rows
+    else:  # a large filter's rows are dealt to parts before they meet its row; merged, as Spark sees no size of what is multiplied
+        salt = F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")
+        salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        rows = rows.withColumn("salt", salt).join(salted.hint("merge"), ["width", "filter", "salt"], "left")
     # cells of main stripe i and open stripe j: i * opens + j; of open stripes j <= k: behind those, j * opens + k
     mine = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.when(F.col("ball") == F.col("main"), F.col("mains")).otherwise(F.col("opens"))).cast("int")
     cells = F.expr(

@@ -9,7 +9,11 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quarry.llm import vector_codes, vector_join
+from quarry.llm._spark import materialize
+from quarry.llm.components import salted_join
 from quarry.llm.queries import _VECTOR_JOIN_SQL
 
 SCHEMA = "vec_id long, embedding array<{}>, label int, code string, error string, key string, vector int"
@@ -161,3 +165,21 @@ def test_vector_links_match_sql(spark):
     con = duckdb.connect()
     con.register("embeddings", df.toArrow())
     assert linked(df) == sorted(con.execute(_VECTOR_JOIN_SQL).fetchall(), key=repr)
+
+
+def test_salted_tables_are_not_sent_through_the_driver(spark):
+    """Sixteen copies of a row are not in the size that Spark goes by: a small file was broadcast sixteen times as large."""
+    one = materialize(spark.range(1000).withColumnRenamed("id", "a"))
+    rows = spark.range(4000).select((F.col("id") % 1000).alias("a"), F.col("id").alias("b"))
+    joined = salted_join(rows, one, "a", "b")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 4000
+
+
+def test_links_are_the_same_when_large_filters_are_merged(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.normal(size=8) * 0.2 + (i % 3 == 0)).tolist(), 0) for i in range(120)]
+    links = lambda: sorted(vector_join.near_duplicates(table(spark, rows), stripe=4).collect())
+    before = links()
+    monkeypatch.setattr(vector_join, "_FEW", 0)
+    assert links() == before and any(r["n_links"] for r in before)
