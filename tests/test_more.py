@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry import cli
 from quarry.functions import text as T
 from quarry.functions import vector as V
+from quarry.functions.vector import in_blocks
 from quarry.operators import answers, assembly, dedup, extraction, gold, models, planner, ranking, stores, traces
 from quarry.sources import connectors, curated, files
 from tests.test_engine import chunk, frame
@@ -254,3 +255,26 @@ def test_tools_and_an_own_source(spark):
     assert tuple(t.source_health(results).first()) == ("core", 2, 1, 1, 12)
     costs = spark.createDataFrame([("fetch", "m", 5, 0.5), ("score", "m", 7, 0.25)], "stage string, model string, tokens long, cost double")
     assert {(r.stage, r.model): r.cost for r in t.cost(costs).collect()} == {(None, None): 0.75, ("fetch", None): 0.5, ("score", None): 0.25, (None, "m"): 0.75}
+
+
+def test_vectors_are_compared_in_cells_without_a_join(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=8).round(2).tolist() for i in range(300)}
+    vectors |= {7: vectors[50], 8: vectors[50], 9: [0.0] * 8, 10: None, 11: [1.0] * 5, 12: [None, *vectors[12][1:]], 100: vectors[150]}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").repartition(4)
+
+    def like(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+            return 0.0
+        x, y = np.array(a, np.float32).astype(float), np.array(b, np.float32).astype(float)
+        return float(x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)))
+
+    asked = [i for i in vectors if i % 50 == 0]
+    all_ = sorted((q, k, like(vectors[q], v)) for q in asked for k, v in vectors.items() if k != q)
+    found = in_blocks(rows.filter("vec_id % 50 = 0"), rows, "vec_id", least=0.25, digits=5, block=2, part=50)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    assert [x[:2] for x in got] == [x[:2] for x in all_ if x[2] >= 0.25] and np.allclose([x[2] for x in got], [x[2] for x in all_ if x[2] >= 0.25], atol=6e-6)
+    best = in_blocks(rows.filter("vec_id % 50 = 0"), rows, "vec_id", top=3, block=2, part=50)
+    want = [x for q in asked for x in sorted((x for x in all_ if x[0] == q), key=lambda x: (-round(x[2], 6), x[1]))[:3]]
+    assert sorted(map(tuple, best.select("q", "vec_id").collect())) == sorted(x[:2] for x in want)
