@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import overlap, terms
+from quarry.functions.text import terms
 from quarry.operators.ranking import any_required
 
+#: Chunks of each side of a cell, words of a product.
+_BLOCK, _WORDS = 2048, 4096
 _PRIMARY = ["government", "filing", "structured_fact", "medical"]
 
 
@@ -85,13 +90,57 @@ def assemble(chunks: DataFrame, budget: int = 4000) -> DataFrame:
     return rows.groupBy("query_id").applyInPandas(choose, "query_id long, chunk_id string, decision string, position int, gain double, reason string")
 
 
-def final_gains(chunks: DataFrame, selection: DataFrame) -> DataFrame:
-    """Every chunk's gain against the final selection without itself, to 4 digits."""
-    rows = chunks.withColumn("type_weight", query_type_weight()).withColumn("penalty", penalty()).withColumn("own", F.array_distinct(terms(F.coalesce("claim", F.lit("")))))
-    picked = rows.join(selection.filter("decision = 'selected'").select("query_id", "chunk_id"), ["query_id", "chunk_id"]).select("query_id", F.col("chunk_id").alias("other"), F.col("own").alias("theirs"))
-    pairs = rows.join(picked, "query_id", "left").withColumn("like", F.when(F.col("other") != F.col("chunk_id"), overlap(F.col("own"), F.col("theirs"))))
-    most = pairs.groupBy("query_id", "chunk_id").agg(F.max("like").alias("like"), *(F.first(c).alias(c) for c in ("relevance", "weight", "type_weight", "penalty")))
-    new = F.when(F.col("like").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.05), 1 - F.col("like"))))
+def _most_alike(a: pa.Table, b: pa.Table) -> pa.Table:
+    """Of each chunk of ``a`` the largest overlap coefficient with the chunks of ``b`` that have other ids; sets are not empty."""
+    sides, sizes = [], []
+    for words in (a["own"], b["theirs"]):
+        size = pc.list_value_length(words).to_numpy()
+        sides.append((np.repeat(np.arange(len(size)), size), pc.list_flatten(words).to_numpy()))
+        sizes.append(size)
+    shared = np.zeros((len(a), len(b)), np.float32)
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    for start in range(0, len(both) if shared.size else 0, _WORDS):
+        some, marks = both[start : start + _WORDS], []
+        for n, (row, word) in zip(shared.shape, sides, strict=True):
+            at = np.searchsorted(some, word).clip(max=len(some) - 1)
+            known = some[at] == word
+            marks.append(np.zeros((n, len(some)), np.float32))
+            marks[-1][row[known], at[known]] = 1
+        shared += marks[0] @ marks[1].T
+    if shared.size:
+        like = shared / np.minimum.outer(*sizes).astype(np.float64)
+        names = np.unique(np.array(a["chunk_id"].to_pylist() + b["other"].to_pylist(), object), return_inverse=True)[1]
+        like[names[: len(a), None] == names[len(a) :]] = 0
+        best = like.max(1)
+    else:
+        best = np.zeros(len(a))
+    return pa.table({"query_id": a["query_id"], "chunk_id": a["chunk_id"], "like": pa.array(best)})
+
+
+def final_gains(chunks: DataFrame, selection: DataFrame, block: int = _BLOCK) -> DataFrame:
+    """Every chunk's gain against the final selection without itself, to 4 digits.
+
+    Chunks and selected ones of a query meet in cells of at most about ``block`` of each, as products of word matrices, so a large
+    query is many tasks and no pair leaves its cell. Words are known by 64-bit hashes.
+    """
+    parts = ["relevance", "weight", "type_weight", "penalty"]
+    rows = chunks.withColumn("type_weight", query_type_weight()).withColumn("penalty", penalty()).withColumn("own", F.transform(F.array_distinct(terms(F.coalesce("claim", F.lit("")))), lambda t: F.xxhash64(t)))
+    rows = rows.select("query_id", "chunk_id", "own", *parts)
+    picked = rows.select("query_id", "chunk_id", "own").join(selection.filter("decision = 'selected'").select("query_id", "chunk_id"), ["query_id", "chunk_id"])
+    blocks = lambda df, name: df.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    number = blocks(rows, "across").join(blocks(picked, "down"), "query_id")
+    place = lambda n: F.pmod(F.xxhash64("chunk_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = rows.filter("size(own) > 0").join(number, "query_id").select("query_id", "chunk_id", "own", place("across").alias("i"), each("down").alias("j"))
+    y = picked.filter("size(own) > 0").join(number, "query_id").select(F.col("query_id").alias("q"), F.col("chunk_id").alias("other"), F.col("own").alias("theirs"), place("down").alias("j"), each("across").alias("i"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    cells = x.groupBy("query_id", "i", "j").cogroup(y.groupBy("q", "i", "j"))
+    likes = cells.applyInArrow(_most_alike, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, like double").groupBy("query_id", "chunk_id").agg(F.max("like").alias("like"))
+    one = rows.groupBy("query_id", "chunk_id").agg(*(F.first(c).alias(c) for c in parts))
+    ends = picked.groupBy("query_id").agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high"))
+    most = one.join(ends, "query_id", "left").join(likes, ["query_id", "chunk_id"], "left")
+    alone = F.col("low").isNull() | ((F.col("low") == F.col("chunk_id")) & (F.col("high") == F.col("chunk_id")))  # none else is selected
+    new = F.when(alone, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.05), 1 - F.coalesce("like", F.lit(0.0)))))
     g = F.col("relevance") * new * F.col("weight") * F.col("type_weight") - F.col("penalty")
     return most.select("query_id", "chunk_id", (F.floor(g * 10000 + 0.5) / 10000).alias("gain"))
 

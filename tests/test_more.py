@@ -278,3 +278,24 @@ def test_vectors_are_compared_in_cells_without_a_join(spark):
     best = in_blocks(rows.filter("vec_id % 50 = 0"), rows, "vec_id", top=3, block=2, part=50)
     want = [x for q in asked for x in sorted((x for x in all_ if x[0] == q), key=lambda x: (-round(x[2], 6), x[1]))[:3]]
     assert sorted(map(tuple, best.select("q", "vec_id").collect())) == sorted(x[:2] for x in want)
+
+
+def test_gains_in_cells_equal_those_in_one(spark):
+    rng = random.Random(4)
+    words = ["alpha", "bravo", "delta", "gamma", "sigma", "omega", "kappa"]
+    rows = [(q, f"c{i}", None if i % 7 == 3 else " ".join(rng.sample(words, rng.randint(1, 6)))) for q in (1, 2) for i in range(23)] + [(3, "c1", "alpha"), (4, "c1", "alpha"), (4, "c2", "alpha bravo")]
+    kept = {(q, c) for q, c, _ in rows if int(c[1:]) % 2 or q == 3}
+    fixed = ", ".join(f"{v} AS {k}" for k, v in {"relevance": "0.8d", "weight": "0.5d", "freshness": "0.5d", "surprise": "0d", "source_type": "'x'", "stance": "'y'", "query_types": "array('none')", "required_types": "array('code')"}.items())
+    df = spark.createDataFrame(rows, "query_id long, chunk_id string, claim string").selectExpr("*", *fixed.split(", "))
+    selection = spark.createDataFrame([(q, c, "selected") for q, c in kept], "query_id long, chunk_id string, decision string")
+
+    def like(a, b):
+        a, b = set((a or "").split()), set((b or "").split())
+        return len(a & b) / min(len(a), len(b)) if a and b else 0.0
+
+    want = {}
+    for q, c, said in rows:
+        others = [like(said, s) for p, d, s in rows if p == q and d != c and (p, d) in kept]
+        want[q, c] = int(0.4 * (max(0.05, 1 - max(others)) if others else 1.0) * 10000 + 0.5) / 10000
+    for block in (2048, 4):
+        assert {(r["query_id"], r["chunk_id"]): r["gain"] for r in assembly.final_gains(df, selection, block).collect()} == want
