@@ -299,3 +299,15 @@ def test_gains_in_cells_equal_those_in_one(spark):
         want[q, c] = int(0.4 * (max(0.05, 1 - max(others)) if others else 1.0) * 10000 + 0.5) / 10000
     for block in (2048, 4):
         assert {(r["query_id"], r["chunk_id"]): r["gain"] for r in assembly.final_gains(df, selection, block).collect()} == want
+
+
+def test_equal_sets_are_compared_once(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.sample(words, 25) for _ in range(6)]
+    sets = [(q, f"{i:03}", x) for q in (1, 2) for i, x in enumerate([b[::-1] if k % 2 else b + b[:3] for b in base for k in range(5)] + [base[0][:-1], base[0][1:], [*base[1], "more"], [], [], None])]
+    want = sorted((q, a, b, 1.0 if not x else len({*x} & {*y}) / len({*x} | {*y})) for q, a, x in sets for p, b, y in sets if p == q and a < b and x is not None and y is not None and (len({*x} & {*y}) >= 0.92 * len({*x} | {*y}) if x and y else not x and not y))
+    rows = spark.createDataFrame(sets, "query_id long, chunk_id string, tokens array<string>")
+    found = dedup.set_pairs(rows, 0.92)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "xxhash64(own" in found._jdf.queryExecution().optimizedPlan().toString()
