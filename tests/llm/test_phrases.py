@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import phrases
+from quarry.llm._spark import materialize
 from quarry.llm.queries import _PHRASES_SQL
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, shard int, ids string"
@@ -98,3 +99,12 @@ def test_phrases_match_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert sorted(map(tuple, phrases.phrases(docs.withColumn("n", F.lit(1))).collect())) == sorted(con.execute(_PHRASES_SQL).fetchall())
+
+
+def test_scores_are_not_joined_by_broadcast(spark):
+    """Parts of phrases are multiplied by the salts after Spark has taken their size."""
+    found = materialize(spark.createDataFrame([([1, 2], 40), ([2, 3], 30)], "ids array<long>, f long"))
+    parts = materialize(spark.createDataFrame([([i], 50) for i in (1, 2, 3)], "ids array<long>, f long"))
+    scored = phrases._scored(found, parts)
+    assert "BroadcastHashJoin" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r["ids"]): r["score"] for r in scored.collect()} == {(1, 2): 800000, (2, 3): 600000}
