@@ -9,6 +9,8 @@ from quarry.llm._spark import materialize
 
 #: Parts that the rows of one key are dealt to in a join, so that a hub or a large component is no task of its own.
 SALTS = 16
+#: Rows of two numbers that are broadcast at most, about 4 MB; a longer list is merged.
+FEW = 1 << 16
 
 
 def salted_join(rows: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
@@ -26,19 +28,27 @@ def components(edges: DataFrame, scratch: list[str] | None = None) -> DataFrame:
 
     Each step lets every node point its larger (then its smaller) neighbours to its least neighbour, and stops
     when no edge changes. The edges only ever shrink to a forest of stars; nothing is collected. An edge may come twice or
-    from a node to itself; without edges there are no rows.
+    from a node to itself; without edges there are no rows. The least neighbours of at most ``FEW`` nodes are broadcast.
     """
+
+    def told(rows: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+        return rows.join(F.broadcast(least), "a") if few else salted_join(rows, least, "a", "b")
+
+    def seen(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scratch)
-    mark = None
+    mark = seen(e)
     while True:
+        few = 2 * mark[0] <= FEW  # an edge has two nodes, and no step makes more edges
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = salted_join(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = told(both, least, few).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialize(large, scratch)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = salted_join(large, least, "a", "b")
+        small = told(large, least, few)
         e = materialize(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), scratch)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = seen(e)
         if now == mark:
             break
         mark = now

@@ -318,6 +318,19 @@ def test_components_match_union_find(spark, seed):
     assert sorted((r.node, r.root) for r in got) == sorted((n, find(n)) for n in root)
 
 
+def test_components_of_few_nodes_are_broadcast_and_of_many_merged(spark, monkeypatch):
+    from quarry.llm import components as parts
+
+    salted, joins = parts.salted_join, []
+    monkeypatch.setattr(parts, "salted_join", lambda *a: joins.append(a) or salted(*a))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(40, 41)], "a long, b long")
+    few = sorted(map(tuple, parts.components(edges).collect()))
+    assert not joins  # merging through salts took most of the time on many small partitions
+    monkeypatch.setattr(parts, "FEW", 8)
+    assert sorted(map(tuple, parts.components(edges).collect())) == few == [(i, 1) for i in range(1, 21)] + [(40, 40), (41, 40)]
+    assert joins
+
+
 def test_ngram_join_keys_of_any_type(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     rows = [("b", text), ("a", text), ("a", text + " more"), (None, text), ("z", "other words are here now"), ("y", None), (None, "")]
