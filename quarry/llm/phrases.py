@@ -12,7 +12,8 @@ become breaks, as no candidate holds them. Then, for phrases of 2, 3, ... words:
 
 So a frequent word or phrase travels once a shard, whatever its count, and nothing is keyed by hashes: phrases are compared
 by their numbers. Scores, cover by longer phrases and ranks are DataFrame operations on the phrases that were kept; joins
-on the words of phrases are salted, and ranks are taken within parts of a language before they are taken within it.
+on the words of phrases are salted, and ranks are taken within parts of a language before they are taken within it. What
+grows with the corpus is merged, never broadcast; only the starts of partitions and the totals of languages are sent.
 
 Defined results: a null or empty text has no words; a null language is ``und``; repeated rows count as often as they come;
 ties go to the phrase that is first in the order of UTF-8 bytes; an empty table gives an empty result; other columns do
@@ -112,7 +113,7 @@ def _vocabulary(shards: DataFrame, least: int, scratch: list[str]) -> DataFrame:
 def _encoded(shards: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(shard, seq): the global numbers of its words as uint32; 0 stands for breaks and rare words, runs of it for one."""
     each = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words")).alias("at", "w")).select("shard", "at", F.col("w.langs").alias("lang"), F.col("w.words").alias("word"))
-    known = each.join(vocabulary, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known"))
+    known = each.join(vocabulary.hint("merge"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +125,7 @@ def _encoded(shards: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 seq = seq[(seq > 0) | np.append(True, seq[:-1] > 0)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([seq.tobytes()], pa.binary())], names=["shard", "seq"])
 
-    return shards.select("shard", "ids").join(known, "shard").select("shard", "ids", "known").mapInArrow(run, "shard long, seq binary")
+    return shards.select("shard", "ids").join(known.hint("merge"), "shard").select("shard", "ids", "known").mapInArrow(run, "shard long, seq binary")
 
 
 class Suffixes:
@@ -288,7 +289,7 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int =
         own = level.filter("ids is not null").select("ids", "f")
         found = own if found is None else found.unionByName(own)
         bits = level.filter("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("slot", "bits")).alias(f"kept{n}"))
-        marked = marked.join(bits, "shard")
+        marked = marked.join(bits.hint("merge"), "shard")
     return vocabulary, found if found is not None else encoded.select(F.array(F.lit(0).cast("long")).alias("ids"), F.lit(0).cast("long").alias("f")).limit(0), totals
 
 
@@ -314,11 +315,11 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     inner = found.filter("size(ids) > 2").select("f", F.explode(F.expr("flatten(transform(sequence(2, size(ids) - 1), m -> transform(sequence(1, size(ids) - m + 1), i -> slice(ids, i, m))))")).alias("ids"))
     within = inner.groupBy("ids").agg(F.max("f").alias("most"))
     covered = F.expr(f"cast(most as decimal(20, 0)) * 100 >= cast(a as decimal(20, 0)) * {int(cover)}")
-    left = materialize(_scored(found, parts).join(within, "ids", "left").filter(~F.coalesce(covered, F.lit(False))).drop("most"), scratch)
+    left = materialize(_scored(found, parts).join(within.hint("merge"), "ids", "left").filter(~F.coalesce(covered, F.lit(False))).drop("most"), scratch)
     each = left.select("ids", F.posexplode("ids").alias("at", "id"))
     named = salted_join(each, vocabulary.select("id", "lang", "word"), "id", "ids")
     text_of = named.groupBy("ids").agg(F.max("lang").alias("lang"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    rows = left.join(text_of, "ids")
+    rows = left.join(text_of.hint("merge"), "ids")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # the best of each part of a language, then of the language
     rows = rows.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(shuffle_partitions(spark))))

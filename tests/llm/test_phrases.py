@@ -108,3 +108,14 @@ def test_scores_are_not_joined_by_broadcast(spark):
     scored = phrases._scored(found, parts)
     assert "BroadcastHashJoin" not in scored._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r["ids"]): r["score"] for r in scored.collect()} == {(1, 2): 800000, (2, 3): 600000}
+
+
+def test_what_grows_is_not_broadcast(spark, monkeypatch):
+    """Spark takes sizes of packed files, which are several times as large in the driver's memory."""
+    plans = []
+    write = phrases.materialize
+    monkeypatch.setattr(phrases, "materialize", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a))
+    docs = table(spark, [("one two three four five. one two three. " * 20, "en"), ("drei vier fünf. " * 20, "de")])
+    assert phrases.phrases(docs, least=5).count()
+    sent = [sum(x.split("BroadcastHashJoin [")[1].split("]")[0].split("#")[0] not in ("part", "lang") for x in p.splitlines() if "BroadcastHashJoin [" in x) for p in plans]
+    assert len(plans) > 6 and not any(sent)
