@@ -27,24 +27,33 @@ from quarry.shared import checkpointed
 _NONE = np.iinfo(np.int64).max
 
 
-def _unit(vectors: list) -> np.ndarray:
-    v = np.array(vectors, np.float64)
+def _unit(vectors: pa.ListArray) -> np.ndarray:
+    if len(np.unique(np.diff(vectors.offsets.to_numpy()))) > 1:
+        raise ValueError("vectors of a group differ in length")
+    v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The values of each row, arrays as Arrow arrays: what is held as Python objects is one row's numbers and names."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            values = (c[i] for c in batch.columns)
+            yield [x.values if isinstance(x, pa.ListScalar) else x.as_py() for x in values]
+
+
 def _earlier(pairs: DataFrame, threshold: float) -> DataFrame:
     """Of pairs of blocks (g, a, b, ids_a, vectors_a, ids_b, vectors_b), a <= b: (g, block, other, bits), the earlier similar
     vectors in ``other`` of each vector of ``block``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g, a, b, ids_a, va, ids_b, vb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids_a, ids_b = np.array(ids_a), np.array(ids_b)
-                near = _unit(va) @ _unit(vb).T >= threshold
-                found = [(g, a, b, near & (ids_b < ids_a[:, None]))] + ([(g, b, a, near.T & (ids_a < ids_b[:, None]))] if a != b else [])
-                rows = [(g, x, y, np.packbits(bits).tobytes()) for g, x, y, bits in found if bits.any()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["g", "block", "other", "bits"])
+        for g, a, b, ids_a, va, ids_b, vb in _rows(batches):
+            ids_a, ids_b = ids_a.to_numpy(), ids_b.to_numpy()
+            near = _unit(va) @ _unit(vb).T >= threshold
+            found = [(g, a, b, near & (ids_b < ids_a[:, None]))] + ([(g, b, a, near.T & (ids_a < ids_b[:, None]))] if a != b else [])
+            rows = [(g, x, y, np.packbits(bits).tobytes()) for g, x, y, bits in found if bits.any()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["g", "block", "other", "bits"])
 
     return pairs.mapInArrow(run, "g string, block int, other int, bits binary")
 
@@ -53,17 +62,30 @@ def _passed(known: DataFrame) -> DataFrame:
     """Of (g, block, bits, n, firsts of the other block): (g, block, firsts), the least that each vector hears of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for g, block, bits, n, firsts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                flags = np.unpackbits(np.frombuffer(bits, np.uint8), count=n * len(firsts)).reshape(n, -1).astype(bool)
-                out.append((g, block, np.where(flags, np.array(firsts, np.int64), _NONE).min(1)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=["g", "block", "firsts"])
+        names, held = ["g", "block", "firsts"], {}
+        for g, block, bits, n, firsts in _rows(batches):
+            flags = np.unpackbits(np.frombuffer(bits, np.uint8), count=n * len(firsts)).reshape(n, -1).astype(bool)
+            heard = np.where(flags, firsts.to_numpy(), _NONE).min(1)
+            if (g, block) in held:
+                np.minimum(held[g, block], heard, out=held[g, block])
+            else:
+                held[g, block] = heard
+            if len(held) >= 256:  # a task tells each block once, or as often as it has seen so many
+                yield _told(held, names)
+        if held:
+            yield _told(held, names)
 
     return known.select("g", "block", "bits", "n", "firsts").mapInArrow(run, "g string, block int, firsts array<long>")
 
 
+def _told(held: dict, names: list[str]) -> pa.RecordBatch:
+    flat = pa.array(np.concatenate(list(held.values())))
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held.values())]), pa.int32()), flat)
+    out = pa.RecordBatch.from_arrays([pa.array([g for g, _ in held], pa.string()), pa.array([b for _, b in held], pa.int32()), lists], names=names)
+    held.clear()
+    return out
+
+
 def _least(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": rows.g[:1], "block": rows.block[:1], "firsts": [np.minimum.reduce(list(rows.firsts))]})
 

@@ -311,3 +311,12 @@ def test_equal_sets_are_compared_once(spark):
     found = dedup.set_pairs(rows, 0.92)
     assert sorted(map(tuple, found.collect())) == want
     assert "xxhash64(own" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_task_tells_each_block_once(spark):
+    """Beginnings of a block come once a task, not once a pair of blocks, and only one row's numbers are held at a time."""
+    from quarry.operators import firsts
+
+    bits = lambda *rows: bytearray(np.packbits(np.array(rows, bool)).tobytes())
+    known = spark.createDataFrame([("g", 0, bits([1, 0], [0, 1]), 2, [7, 3]), ("g", 0, bits([0, 1], [0, 0]), 2, [9, 4])], "g string, block int, bits binary, n int, firsts array<long>").coalesce(1)
+    assert [(r.g, r.block, r.firsts) for r in firsts._passed(known).collect()] == [("g", 0, [4, 3])]
