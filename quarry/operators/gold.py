@@ -28,7 +28,11 @@ def plain(text: Column) -> Column:
 
 
 def meaningful(text: Column) -> Column:
-    return F.filter(F.split(folded(text), " "), lambda t: (F.length(t) > 2) & ~t.isin(*EMPTY_WORDS))
+    return _meaningful(folded(text))
+
+
+def _meaningful(said: Column) -> Column:
+    return F.filter(F.split(said, " "), lambda t: (F.length(t) > 2) & ~t.isin(*EMPTY_WORDS))
 
 
 def fact_hit(answer: Column, fact: Column, keywords: Column) -> Column:
@@ -37,13 +41,17 @@ def fact_hit(answer: Column, fact: Column, keywords: Column) -> Column:
     return F.exists(F.when(F.size(keywords) > 0, keywords).otherwise(own), lambda t: F.contains(plain(answer), plain(t)))
 
 
-def strict_fact_hit(said: Column, have: Column, fact: Column, keywords: Column) -> Column:
-    """Of an answer's folded text and meaningful words: whether all of one or two keywords or 3 of 4 of more occur, or 55 % of the fact's meaningful words and three."""
+def _known(words: Column, have: Column) -> Column:
+    """How many of ``words``, repeats counted, are among ``have``; what both hold is found by hashing, not word by word."""
+    common = F.array_intersect(words, have)
+    return F.when(F.size(common) == 0, 0).otherwise(F.size(F.filter(words, lambda t: F.array_contains(common, t))))
+
+
+def strict_fact_hit(said: Column, have: Column, keywords: Column, own: Column) -> Column:
+    """Of an answer's folded text and meaningful words: whether all of one or two keywords or 3 of 4 of more occur, or 55 % of the fact's meaningful words and three. Keywords are folded."""
     n = F.size(keywords)
-    hits = F.size(F.filter(keywords, lambda t: F.contains(said, folded(t))))
-    own = meaningful(fact)
-    words = F.size(F.filter(own, lambda t: F.array_contains(have, t)))
-    return ((n > 0) & (hits >= F.when(n <= 2, n).otherwise(F.ceil(n * 0.75)))) | ((F.size(own) > 0) & (words >= F.greatest(F.lit(3), F.ceil(F.size(own) * 0.55))))
+    hits = F.size(F.filter(keywords, lambda t: F.contains(said, t)))
+    return ((n > 0) & (hits >= F.when(n <= 2, n).otherwise(F.ceil(n * 0.75)))) | ((F.size(own) > 0) & (_known(own, have) >= F.greatest(F.lit(3), F.ceil(F.size(own) * 0.55))))
 
 
 def penalty_hit(answer: Column, penalty: Column) -> Column:
@@ -57,11 +65,9 @@ def penalty_hit(answer: Column, penalty: Column) -> Column:
     return out
 
 
-def strict_penalty_hit(said: Column, have: Column, penalty: Column) -> Column:
-    """Of the same: whether the answer says the penalty, or four fifths of its meaningful words, of which it has three."""
-    own = meaningful(penalty)
-    words = F.size(F.filter(own, lambda t: F.array_contains(have, t)))
-    return (folded(penalty) != "") & (F.contains(said, folded(penalty)) | ((F.size(own) >= 3) & (words >= F.ceil(F.size(own) * 0.8))))
+def strict_penalty_hit(said: Column, have: Column, penalty: Column, own: Column) -> Column:
+    """Of the same: whether the answer says the penalty, or four fifths of its meaningful words, of which it has three. The penalty is folded."""
+    return (penalty != "") & (F.contains(said, penalty) | ((F.size(own) >= 3) & (_known(own, have) >= F.ceil(F.size(own) * 0.8))))
 
 
 def is_primary(source: Column) -> Column:
@@ -93,14 +99,20 @@ def score(answers: DataFrame, gold: DataFrame, strict: bool = False) -> DataFram
     ``gold``: (question_id, valid, facts: array of structs text, keywords; required: array of types; penalties). An answer
     without gold, or with an invalid one, is blocked; an empty answer cannot be scored.
     """
-    a = answers.join(gold, "question_id", "left").withColumn("said", folded(F.coalesce("answer", F.lit("")))).withColumn("have", meaningful(F.col("answer")))
-    said, have = F.col("said"), F.col("have")
     none = F.array().cast("array<string>")
-    facts, required, penalties = F.coalesce("facts", F.array().cast("array<struct<text:string,keywords:array<string>>>")), F.coalesce("required", none), F.coalesce("penalties", none)
+    if strict:  # gold is folded once a question, before it meets the answers
+        words = lambda f: F.struct(f["text"].alias("text"), F.transform(f["keywords"], folded).alias("keywords"), meaningful(f["text"]).alias("own"))
+        told = lambda p: F.struct(p.alias("text"), folded(p).alias("said"), meaningful(p).alias("own"))
+        gold = gold.withColumn("facts", F.transform("facts", words)).withColumn("penalties", F.transform("penalties", told))
+    dealt = answers.repartition(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few files may hold many answers
+    a = dealt.join(gold, "question_id", "left").withColumn("said", folded(F.coalesce("answer", F.lit("")))).withColumn("have", F.array_distinct(_meaningful(F.col("said"))))
+    said, have = F.col("said"), F.col("have")
+    empty = lambda c: F.coalesce(c, F.array().cast(a.schema[c].dataType))
+    facts, required, penalties = empty("facts"), empty("required"), empty("penalties")
     answer, sources = F.coalesce("answer", F.lit("")), F.col("sources")
     status = F.when(F.trim(answer) == "", "scoring_unavailable").when(F.col("valid").isNull(), "blocked_missing_gold").when(~F.col("valid"), "blocked_invalid_gold").otherwise("scored")
-    hit_fact = (lambda f: strict_fact_hit(said, have, f["text"], f["keywords"])) if strict else (lambda f: fact_hit(answer, f["text"], f["keywords"]))
-    hit_penalty = (lambda p: strict_penalty_hit(said, have, p)) if strict else (lambda p: penalty_hit(answer, p))
+    hit_fact = (lambda f: strict_fact_hit(said, have, f["keywords"], f["own"])) if strict else (lambda f: fact_hit(answer, f["text"], f["keywords"]))
+    hit_penalty = (lambda p: strict_penalty_hit(said, have, p["said"], p["own"])) if strict else (lambda p: penalty_hit(answer, p))
     hit_source = strict_required_hit if strict else required_hit
     scored = status == "scored"
     count = lambda c: F.when(scored, F.size(c)).otherwise(0)
@@ -110,8 +122,10 @@ def score(answers: DataFrame, gold: DataFrame, strict: bool = False) -> DataFram
     else:
         primary = F.size(F.filter(sources, lambda s: F.coalesce((s["provenance"] == "primary") | s["source_type"].isin("filing", "government"), F.lit(False))))
         claims = F.slice(F.filter(sentences(answer), lambda s: F.length(s) > 80), 1, 3)
+    fallen = F.filter(penalties, hit_penalty)
+    fallen = F.transform(fallen, lambda p: p["text"]) if strict else fallen
     return a.select(
         "engine", "question_id", status.alias("score_status"), count(F.filter(facts, hit_fact)).alias("facts_hit"), F.size(facts).alias("facts_total"),
         count(F.filter(required, lambda r: hit_source(sources, r))).alias("required_hit"), F.size(required).alias("required_total"), F.when(scored, primary).otherwise(0).alias("primary_sources"),
-        F.when(scored, F.filter(penalties, hit_penalty)).otherwise(none).alias("penalties_hit"), F.when(scored & (F.size(sources) == 0), claims).otherwise(none).alias("unsourced"),
+        F.when(scored, fallen).otherwise(none).alias("penalties_hit"), F.when(scored & (F.size(sources) == 0), claims).otherwise(none).alias("unsourced"),
     )

@@ -320,3 +320,17 @@ def test_a_task_tells_each_block_once(spark):
     bits = lambda *rows: bytearray(np.packbits(np.array(rows, bool)).tobytes())
     known = spark.createDataFrame([("g", 0, bits([1, 0], [0, 1]), 2, [7, 3]), ("g", 0, bits([0, 1], [0, 0]), 2, [9, 4])], "g string, block int, bits binary, n int, firsts array<long>").coalesce(1)
     assert [(r.g, r.block, r.firsts) for r in firsts._passed(known).collect()] == [("g", 0, [4, 3])]
+
+
+def test_strict_scores_fold_gold_once_a_question(spark):
+    """What is folded of gold stands below the join, and meaningful words are looked up in what both hold."""
+    from quarry.operators import gold
+
+    source = "array<struct<source_name:string,source_type:string,url:string,title:string,provenance:string>>"
+    answers = spark.createDataFrame([("a", 1, "water water river bridge harbour", [])], f"engine string, question_id int, answer string, sources {source}")
+    known = spark.createDataFrame([(1, True, [("water water river mountain", [])], [], ["Water water!", "harbour bridge river"])], "question_id int, valid boolean, facts array<struct<text:string,keywords:array<string>>>, required array<string>, penalties array<string>")
+    scored = gold.score(answers, known, strict=True)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "own" in plan[plan.index("Join") :]
+    row = scored.first()
+    assert (row.facts_hit, row.facts_total, row.penalties_hit) == (1, 1, ["Water water!", "harbour bridge river"])
