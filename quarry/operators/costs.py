@@ -43,9 +43,13 @@ def resolved(items: DataFrame, catalog: DataFrame) -> DataFrame:
 def summary(items: DataFrame) -> DataFrame:
     """In all, by stage, by provider and by model: calls, tokens, cost, whether any is estimated, and where prices come from."""
     g = items.withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+    # rows are added up once; the four groupings are of the few sums
+    g = g.groupBy("stage", "provider", "model", "pricing_source").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("cost").alias("cost"), F.max("estimated").alias("estimated")
+    )
     sets = [[], ["stage"], ["provider"], ["model"]]
     out = g.groupingSets([[F.col(c) for c in s] for s in sets], "stage", "provider", "model").agg(
-        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), rounded(F.sum("cost")).alias("cost"),
+        F.grouping_id().alias("level"), F.sum("calls").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), rounded(F.sum("cost")).alias("cost"),
         F.max(F.col("estimated") | (F.col("pricing_source") == "unavailable")).alias("estimated"), F.when(F.countDistinct("pricing_source") == 1, F.min("pricing_source")).otherwise("mixed").alias("pricing_source"),
     )
     kind = F.when(F.col("level") == 7, "all").when(F.col("level") == 3, "stage").when(F.col("level") == 5, "provider").otherwise("model")

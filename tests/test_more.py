@@ -334,3 +334,16 @@ def test_strict_scores_fold_gold_once_a_question(spark):
     assert "own" in plan[plan.index("Join") :]
     row = scored.first()
     assert (row.facts_hit, row.facts_total, row.penalties_hit) == (1, 1, ["Water water!", "harbour bridge river"])
+
+
+def test_costs_are_added_up_before_they_are_grouped_four_times(spark):
+    """Only sums by stage, provider, model and source of price are multiplied for the groupings."""
+    from quarry.operators import costs
+
+    rows = [("s", "p", f"m{i % 2}", 1, 2, None if i == 3 else 0.5, i == 1, "unavailable" if i == 3 else "told") for i in range(4)]
+    out = costs.summary(spark.createDataFrame(rows, "stage string, provider string, model string, prompt_tokens long, completion_tokens long, cost double, estimated boolean, pricing_source string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Expand")[-1].split("LogicalRDD")[0]
+    assert {(r.kind, r.name): (r.calls, r.prompt_tokens, r.completion_tokens, r.cost, r.estimated, r.pricing_source) for r in out.collect()} == {
+        ("all", None): (4, 4, 8, 1.5, True, "mixed"), ("stage", "s"): (4, 4, 8, 1.5, True, "mixed"), ("provider", "p"): (4, 4, 8, 1.5, True, "mixed"), ("model", "m0"): (2, 2, 4, 1.0, False, "told"), ("model", "m1"): (2, 2, 4, 0.5, True, "mixed"),
+    }
