@@ -26,6 +26,8 @@ from quarry.shared import checkpointed
 
 #: Sub-queries and terms of a block; items of a stretch; pairs held until the best are kept.
 _TASKS, _TERMS, _STRETCH, _PAIRS = 4096, 1 << 18, 1024, 1 << 17
+#: Bytes of a batch of items that a task is handed: what a scan holds does not grow with its partition.
+BATCH = 8 << 20
 
 
 def blocks(tasks: DataFrame, most: int = _TASKS) -> Iterator[list]:

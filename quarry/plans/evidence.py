@@ -19,7 +19,7 @@ from quarry.dims import MODE_POLICY, NOW, registry, strings
 from quarry.functions.vector import hash_embedding
 from quarry.operators import assembly, dedup, extraction, health, intent, planner, ranking, retrieval, stores
 from quarry.operators.traces import Deadline, DeadlineReached, Trace, cautious
-from quarry.shared import checkpointed, collected, drop
+from quarry.shared import arrow_batches, checkpointed, collected, drop
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,8 @@ class Evidence:
     def hits(self) -> DataFrame:
         """Items that the plan's sub-queries retrieve."""
         tasks = intent.tasks(planner.sub_queries(self.planned), registry(self.asked.sparkSession)).filter("error IS NULL")
-        return self._kept("hits", retrieval.search(tasks, self.items))
+        with arrow_batches(self.asked.sparkSession, retrieval.BATCH):
+            return self._kept("hits", retrieval.search(tasks, self.items))
 
     @cached_property
     def documents(self) -> DataFrame:
