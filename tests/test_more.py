@@ -64,6 +64,22 @@ def test_matched_questions_fold_quotes(spark):
     assert a == b
 
 
+def test_matched_questions_are_composed_once_and_only_beyond_ascii(spark, tmp_path):
+    """One Python operator a side: a pushed filter computed every key twice, in workers of their own."""
+    from quarry.plans import evaluation
+
+    texts = ["plain ASCII ", "ﬁne Ⅳ caſe", "Cafe\u0301", None, "", "line\u2028", "a\nb\u0085"] * 300
+    spark.createDataFrame([(i, i % 3, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "FINE iv case"), (8, "caf\u00e9"), (9, None), (10, "Plain  ascii")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = evaluation.f21(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    key = lambda t: re.sub(r"[ \t\n\r\f\x0b]+", " ", unicodedata.normalize("NFKC", t)).strip(" ").lower()
+    known = {key(t): i for i, t in ((7, "FINE iv case"), (8, "café"), (10, "Plain  ascii"))}
+    want = sorted([(i, i % 3, known[key(t)]) for i, t in enumerate(texts) if t is not None and key(t) in known] + [(i, -1, i) for i in (7, 8, 10)])
+    assert len(want) == 903 and sorted(map(tuple, found.collect())) == want
+    assert len(re.findall("ArrowEvalPython", plan)) == 2
+
+
 def brute_compact(query: str, most: int = 220, encoded: int = 256) -> str:
     words, seen = [], set()
     for w in re.split(r"[^a-zA-Z0-9_.#+-]+", re.sub("[\"'`“”‘’]", " ", query)):
