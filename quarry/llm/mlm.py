@@ -27,6 +27,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,12 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def _words_of(value: pa.Scalar) -> list[bytes]:
+    """The same of a text as it lies in a batch."""
+    data = value.as_buffer()
+    return [] if data is None else data.to_pybytes().lower().split()
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) of every word; counts are exact and cover all rows."""
 
@@ -66,7 +73,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0):
-                counts.update(_words(value.as_py()))
+                counts.update(_words_of(value))
                 if len(counts) >= _FLUSH:
                     yield ship()
         yield ship()
@@ -96,16 +103,18 @@ def _class_sizes(counted: DataFrame, known: dict[bytes, int]) -> np.ndarray:
 def _coder(known: list[bytes]):
     table = {w: i for i, w in enumerate(known)}
 
-    class Code(dict):
-        def __missing__(self, word: bytes) -> int:
-            return KNOWN + zlib.crc32(word) % SHARED
-
-    of = Code(table)
-
     def code(text: str | None) -> np.ndarray:
-        return code.ids(_words(text))
+        return code.parts(_words(text))[0]
 
-    code.ids = lambda words: np.fromiter(map(of.__getitem__, words), np.uint16, len(words))
+    def parts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Codes, and places and words of those that share their codes."""
+        ids = np.fromiter(map(table.get, words, repeat(KNOWN)), np.uint16, len(words))
+        at = np.flatnonzero(ids == KNOWN)
+        rare = [words[j] for j in at.tolist()]
+        ids[at] += (np.fromiter(map(zlib.crc32, rare), np.uint32, len(rare)) % SHARED).astype(np.uint16)
+        return ids, at, rare
+
+    code.parts = parts
     return code
 
 
@@ -131,24 +140,34 @@ def contexts(texts: list[np.ndarray], keep: np.ndarray | None = None) -> tuple[n
 _ONES = np.ones(2 * DIGIT, np.float32)
 
 
-def _forward(p: dict[str, np.ndarray], near: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hidden units, exponentials of the logits of both digits side by side, their two sums, and ln P of the right digits.
+def _room(n: int) -> np.ndarray:
+    """Scratch of ``_forward`` for n positions; kept from batch to batch, since fresh pages cost more than the sums in them."""
+    return np.empty((2, n, 2 * DIGIT), np.float32)
+
+
+def _forward(p: dict[str, np.ndarray], near: np.ndarray, first: np.ndarray, second: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hidden units, exponentials of the logits of both digits side by side (in ``room``), their two sums, where the right
+    digits are among them (flat), and ln P of these.
 
     A logit above 60 counts as 60, which keeps the sums finite in place of a subtracted maximum.
     """
-    h = p["embed"][0][near[0]]
+    n = len(first)
+    logits, biases = room[:, :n]
+    h = np.take(p["embed"][0], near[0], axis=0)
     for i in range(1, 2 * SIDE):
-        h += p["embed"][i][near[i]]
+        h += np.take(p["embed"][i], near[i], axis=0)
     h += p["hidden"]
     np.tanh(h, out=h)
-    logits = h @ np.concatenate([p["first"], p["second"]], 1)
-    logits += np.concatenate([np.broadcast_to(p["first_bias"], (DIGIT, DIGIT)), p["second_bias"]], 1)[first]
-    np.minimum(logits, np.float32(60), out=logits)
-    at = np.arange(len(first))
-    right = logits[at, first] + logits[at, second + DIGIT]
+    np.matmul(h, np.concatenate([p["first"], p["second"]], 1), out=logits)
+    table = np.concatenate([np.broadcast_to(p["first_bias"], (DIGIT, DIGIT)), p["second_bias"]], 1)
+    logits += np.take(table, first, axis=0, out=biases, mode="clip")  # with another mode numpy copies ``out``
+    if n and logits.max() > 60:
+        np.minimum(logits, np.float32(60), out=logits)
+    right = np.arange(0, 2 * DIGIT * n, 2 * DIGIT) + np.stack([first, second + np.uint16(DIGIT)])
+    log = logits.reshape(-1)[right].sum(0)
     np.exp(logits, out=logits)
     total = (logits.reshape(-1, DIGIT) @ _ONES[:DIGIT]).reshape(-1, 2)
-    return h, logits, total, right - np.log(total) @ _ONES[:2]
+    return h, logits, total, right, log - np.log(total) @ _ONES[:2]
 
 
 def log_probability(p: dict[str, np.ndarray], ids: np.ndarray) -> float:
@@ -162,10 +181,10 @@ def log_probabilities(p: dict[str, np.ndarray], texts: list[np.ndarray], step: i
     if not sum(sizes):
         return np.zeros(len(texts))
     near, ids = contexts(texts)
-    each = np.empty(len(ids))
+    each, room = np.empty(len(ids)), _room(min(step, len(ids)))
     for s in range(0, len(ids), step):
         part = ids[s : s + step]
-        each[s : s + step] = _forward(p, near[:, s : s + step], part // DIGIT, part % DIGIT)[3]
+        each[s : s + step] = _forward(p, near[:, s : s + step], part // DIGIT, part % DIGIT, room)[4]
     owner = np.repeat(np.arange(len(texts)), sizes)
     return np.bincount(owner, each, len(texts))
 
@@ -176,47 +195,47 @@ class _Trainer:
     def __init__(self, p: dict[str, np.ndarray], rate: float) -> None:
         self.p, self.rate, self.loss = {k: v.copy() for k, v in p.items()}, rate, 0.0
         self.seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in p.items()}
+        self.room = _room(0)
+        self.places = np.arange((_PAD + 1) * WIDTH).reshape(-1, WIDTH)  # of a table's entries when it lies flat
 
     def step(self, near: np.ndarray, ids: np.ndarray) -> None:
         p, n = self.p, len(ids)
+        if n > self.room.shape[1]:
+            self.room = _room(n)
         order = np.argsort(ids, kind="stable")  # by first digit, then by second
-        near, ids = near[:, order], ids[order]
+        near, ids = np.take(near, order, axis=1), ids[order]
         first, second = ids // DIGIT, ids % DIGIT
-        h, d, total, log = _forward(p, near, first, second)
+        h, d, total, right, log = _forward(p, near, first, second, self.room)
         self.loss -= float(log.sum(dtype=np.float64))
         d.reshape(-1, DIGIT)[:] *= (1 / (n * total)).reshape(-1, 1)
-        at = np.arange(n)
-        d[at, first] -= np.float32(1 / n)
-        d[at, second + DIGIT] -= np.float32(1 / n)
+        d.reshape(-1)[right] -= np.float32(1 / n)
         both = np.concatenate([p["first"], p["second"]], 1)
         dh = d @ both.T
         dh *= 1 - h * h
         grad = h.T @ d
+        ones = np.ones(n, np.float32)
+        by_first = np.zeros((DIGIT, DIGIT), np.float32)
+        edges = np.searchsorted(first, np.arange(DIGIT + 1)).tolist()
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if a < b:
+                np.matmul(ones[a:b], d[a:b, DIGIT:], out=by_first[k])
         self._move("first", grad[:, :DIGIT])
         self._move("second", grad[:, DIGIT:])
-        self._move("first_bias", (np.ones(n, np.float32) @ d)[:DIGIT])
-        self._move("hidden", np.ones(n, np.float32) @ dh)
-        self._move_rows("second_bias", first, d[:, DIGIT:])
+        self._move("first_bias", (ones @ d)[:DIGIT])
+        self._move("hidden", ones @ dh)
+        self._move("second_bias", by_first)
+        flat = dh.astype(np.float64).reshape(-1)
         for i in range(2 * SIDE):
-            order = np.argsort(near[i], kind="stable")
-            self._move_rows("embed", near[i][order], dh[order], i)
-
-    def _move(self, name: str, grad: np.ndarray) -> None:
-        self.seen[name] += grad * grad
-        self.p[name] -= self.rate * grad / np.sqrt(self.seen[name])
+            by_word = np.bincount(np.take(self.places, near[i], axis=0).reshape(-1), flat, self.places.size)
+            self._move("embed", by_word.astype(np.float32).reshape(-1, WIDTH), i)
 
-    def _move_rows(self, name: str, rows: np.ndarray, grad: np.ndarray, table: int | None = None) -> None:
-        """Only the rows of a table that the minibatch has; ``rows`` ascend."""
+    def _move(self, name: str, grad: np.ndarray, table: int | None = None) -> None:
+        """Entries without a gradient stay as they are."""
         p, seen = (x[name] if table is None else x[name][table] for x in (self.p, self.seen))
-        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        total, rows = np.add.reduceat(grad, starts), rows[starts]
-        now = seen[rows]
-        now += total * total
-        seen[rows] = now
-        np.sqrt(now, out=now)
-        total /= now
-        total *= self.rate
-        p[rows] -= total
+        seen += grad * grad
+        grad *= self.rate
+        grad /= np.sqrt(seen)
+        p -= grad
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -314,8 +333,9 @@ def _encode(docs: DataFrame, key: str, text: str, known: list[bytes], buckets: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _coder(words.value)
         start = row = TaskContext.get().partitionId() << 33
-        rare: list[bytes] = []
+        rare: list[bytes] = []  # of a row, joined: kept one by one, words hold the memory that later rows could use again
         owners: list[np.ndarray] = []
+        held = 0
 
         def ship(kind: pa.DataType) -> pa.RecordBatch:
             hashes, owner = batch_word_hashes([b"\n".join(rare)])[0], np.concatenate(owners)
@@ -333,18 +353,18 @@ def _encode(docs: DataFrame, key: str, text: str, known: list[bytes], buckets: i
                 batch = whole.slice(a, 1000)
                 n, ids = batch.num_rows, []
                 for i, value in enumerate(batch.column(1)):
-                    tokens = _words(value.as_py())
-                    ids.append(code.ids(tokens))
-                    at = np.flatnonzero(ids[-1] >= KNOWN)
-                    if len(at):
-                        rare += [tokens[j] for j in at.tolist()]
+                    codes, at, own = code.parts(_words_of(value))
+                    ids.append(codes)
+                    if own:
+                        rare.append(b"\n".join(own))
                         owners.append(np.full(len(at), row + i - start, np.int64))
+                        held += len(at)
                 yield pa.RecordBatch.from_arrays([pa.array([start] * n, pa.int64()), pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=schema.names)
                 row += n
-                if len(rare) >= _FLUSH or row - start >= _ROWS:
+                if held >= _FLUSH or row - start >= _ROWS:
                     if rare:
                         yield ship(kind)
-                    rare, owners, start = [], [], row
+                    rare, owners, held, start = [], [], 0, row
         if rare:
             yield ship(kind)
 

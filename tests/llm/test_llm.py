@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -478,6 +479,68 @@ def test_lm_log_probability_matches_brute_force():
         assert found == pytest.approx(want, abs=1e-3)
 
 
+def test_lm_step_follows_the_gradient():
+    rng = np.random.default_rng(8)
+    p = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in mlm.start_parameters().items()}
+    near, ids, trainer = rng.integers(0, 40, (2 * mlm.SIDE, 700)).astype(np.uint16), rng.integers(0, 500, 700).astype(np.uint16), mlm._Trainer(p, 0.1)
+    near[0] = mlm._PAD
+    trainer.step(near, ids)
+    wide, D = {k: v.astype(float) for k, v in p.items()}, mlm.DIGIT
+    h = np.tanh(wide["hidden"] + sum(wide["embed"][i][near[i]] for i in range(2 * mlm.SIDE)))
+    first, second, at, grad, loss = ids // D, ids % D, np.arange(700), {k: np.zeros(v.shape) for k, v in p.items()}, 0.0
+    dh = np.zeros_like(h)
+    for name, bias, right in (("first", wide["first_bias"][None], first), ("second", wide["second_bias"][first], second)):
+        d = np.exp(h @ wide[name] + bias)
+        d /= d.sum(1, keepdims=True)
+        loss -= np.log(d[at, right]).sum()
+        d[at, right] -= 1
+        d /= 700
+        grad[name] = h.T @ d
+        dh += d @ wide[name].T
+        np.add.at(grad[f"{name}_bias"], first if name == "second" else ..., d if name == "second" else d.sum(0))
+    dh *= 1 - h * h
+    grad["hidden"] = dh.sum(0)
+    for i in range(2 * mlm.SIDE):
+        np.add.at(grad["embed"][i], near[i], dh)
+    assert trainer.loss == pytest.approx(loss, rel=1e-5)
+    for k, g in grad.items():
+        assert np.allclose(trainer.p[k], wide[k] - 0.1 * g / np.sqrt(g * g + 1e-2), atol=2e-5), k
+        assert (trainer.p[k][g == 0] == p[k][g == 0]).all(), k
+
+
+def test_lm_step_takes_no_fresh_pages_for_logits():
+    import tracemalloc
+
+    rng, trainer = np.random.default_rng(9), mlm._Trainer(mlm.start_parameters(), 0.1)
+    near, ids = rng.integers(0, mlm._PAD, (2 * mlm.SIDE, 4096)).astype(np.uint16), rng.integers(0, mlm._PAD, 4096).astype(np.uint16)
+    trainer.step(near, ids)
+    tracemalloc.start()
+    try:
+        trainer.step(near, ids)
+        assert tracemalloc.get_traced_memory()[1] < 3_000_000  # the logits of a batch alone are 2.1 MB, and were taken twice
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_logits_count_at_most_60():
+    p = mlm.start_parameters()
+    p["first_bias"][3] = 500
+    near, ids = np.full((2 * mlm.SIDE, 2), mlm._PAD, np.uint16), np.array([3 * mlm.DIGIT, 0], np.uint16)
+    log = mlm._forward(p, near, ids // mlm.DIGIT, ids % mlm.DIGIT, mlm._room(2))[-1]
+    assert np.allclose(log, [-np.log(64), -60 - np.log(64)], atol=0.3)
+
+
+def test_lm_codes_and_words_of_batches():
+    texts = ["Known rare\u00dfß  KNOWN\tother\x0bnew", None, "", " \n", "known " * 3 + "日本 rare"]
+    parts, code = mlm._coder([b"known", b"other"]).parts, mlm._coder([b"known", b"other"])
+    for value in pa.array(["cut", *texts], pa.string()).slice(1):
+        words = mlm._words(value.as_py())
+        ids, at, rare = parts(mlm._words_of(value))
+        want = [{b"known": 0, b"other": 1}.get(w, mlm.KNOWN + zlib.crc32(w) % mlm.SHARED) for w in words]
+        assert ids.tolist() == want == code(value.as_py()).tolist() and ids.dtype == np.uint16
+        assert [words[j] for j in at] == rare == [w for w in words if w not in (b"known", b"other")]
+
+
 def test_lm_gradients_lower_the_loss(spark):
     rng = random.Random(1)
     corpus = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 9}" for j in range(60)) if rng.random() < 0.9 else None) for i in range(300)], "doc_id long, text string").coalesce(1)
