@@ -329,6 +329,21 @@ def test_equal_sets_are_compared_once(spark):
     assert "xxhash64(own" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_all_pairs_of_documents_without_words(spark, tmp_path):
+    """Two documents without words are as similar as equal ones: every pair of them, not only those with the first."""
+    import duckdb
+
+    from quarry.plans import catalog
+
+    texts = ["...", "alpha bravo delta gamma", "a b", "", "alpha bravo gamma delta", "?"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(0, 2), (0, 3), (0, 5), (1, 4), (2, 3), (2, 5), (3, 5)]
+    assert sorted((r.a, r.b) for r in catalog.queries()["j07_set_similarity"](spark, str(tmp_path)).collect()) == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(r[:2] for r in con.sql(catalog.oracle_sql()["j07_set_similarity"]).fetchall()) == want
+
+
 def test_a_task_tells_each_block_once(spark):
     """Beginnings of a block come once a task, not once a pair of blocks, and only one row's numbers are held at a time."""
     from quarry.operators import firsts
