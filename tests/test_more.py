@@ -344,6 +344,21 @@ def test_all_pairs_of_documents_without_words(spark, tmp_path):
     assert sorted(r[:2] for r in con.sql(catalog.oracle_sql()["j07_set_similarity"]).fetchall()) == want
 
 
+def test_pairs_of_sets_do_not_carry_them(spark):
+    """A set comes to a cell of its owner's pairs once, also when an owner has cells of few nodes; no pair holds two sets."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.sample(words, 40) for _ in range(3)]
+    sets = [(q, f"{i:03}", rng.sample(b, 40 - rng.randint(0, 3)) + rng.sample(words, rng.randint(0, 2))) for q in (1, 2) for i, b in enumerate(base * 15)]
+    like = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    want = sorted((q, a, b, like(x, y)) for q, a, x in sets for p, b, y in sets if p == q and a < b and like(x, y) >= 0.92)
+    rows = spark.createDataFrame(sets, "query_id long, chunk_id string, tokens array<string>")
+    for block in (1024, 4):
+        found = dedup.set_pairs(rows, 0.92, block=block)
+        assert sorted(map(tuple, found.collect())) == want
+        assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_task_tells_each_block_once(spark):
     """Beginnings of a block come once a task, not once a pair of blocks, and only one row's numbers are held at a time."""
     from quarry.operators import firsts
