@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import terms
 from quarry.operators.ranking import any_required
 
-#: Chunks of each side of a cell, words of a product.
-_BLOCK, _WORDS = 2048, 4096
+#: Chunks of a cell, of a product of matrices, words of one; meetings of a chunk and a word that are counted at once.
+_BLOCK, _STEP, _WORDS, _MEETINGS = 1 << 14, 2048, 4096, 1 << 22
 _PRIMARY = ["government", "filing", "structured_fact", "medical"]
 
 
@@ -90,52 +92,116 @@ def assemble(chunks: DataFrame, budget: int = 4000) -> DataFrame:
     return rows.groupBy("query_id").applyInPandas(choose, "query_id long, chunk_id string, decision string, position int, gain double, reason string")
 
 
-def _most_alike(a: pa.Table, b: pa.Table) -> pa.Table:
-    """Of each chunk of ``a`` the largest overlap coefficient with the chunks of ``b`` that have other ids; sets are not empty."""
-    sides, sizes = [], []
-    for words in (a["own"], b["theirs"]):
-        size = pc.list_value_length(words).to_numpy()
-        sides.append((np.repeat(np.arange(len(size)), size), pc.list_flatten(words).to_numpy()))
-        sizes.append(size)
-    shared = np.zeros((len(a), len(b)), np.float32)
-    both = np.intersect1d(sides[0][1], sides[1][1])
-    for start in range(0, len(both) if shared.size else 0, _WORDS):
-        some, marks = both[start : start + _WORDS], []
-        for n, (row, word) in zip(shared.shape, sides, strict=True):
-            at = np.searchsorted(some, word).clip(max=len(some) - 1)
-            known = some[at] == word
-            marks.append(np.zeros((n, len(some)), np.float32))
-            marks[-1][row[known], at[known]] = 1
-        shared += marks[0] @ marks[1].T
-    if shared.size:
-        like = shared / np.minimum.outer(*sizes).astype(np.float64)
-        names = np.unique(np.array(a["chunk_id"].to_pylist() + b["other"].to_pylist(), object), return_inverse=True)[1]
-        like[names[: len(a), None] == names[len(a) :]] = 0
-        best = like.max(1)
-    else:
-        best = np.zeros(len(a))
-    return pa.table({"query_id": a["query_id"], "chunk_id": a["chunk_id"], "like": pa.array(best)})
+class _Held:
+    """Chunks of a cell, ready to meet selected ones: the words that many of them have as columns of a matrix, the others as the
+    rows that have them."""
+
+    def __init__(self, ids: list, own: pa.ListArray) -> None:
+        self.ids, self.size = ids, pc.list_value_length(own).to_numpy()
+        self.best, self.at = np.zeros(len(ids)), {}
+        for i, name in enumerate(ids):
+            self.at.setdefault(name, []).append(i)
+        self.words, word = np.unique(pc.list_flatten(own).to_numpy(), return_inverse=True)
+        often = np.bincount(word, minlength=len(self.words))
+        common = np.argsort(-often, kind="stable")[: min(_WORDS, int((often > 0.1 * len(ids)).sum()))]
+        self.column = np.full(len(self.words), -1)
+        self.column[common] = np.arange(len(common))
+        ends = np.concatenate([[0], np.cumsum(self.size)])
+        self.blocks = []
+        for start in range(0, len(ids), _STEP):
+            n = min(_STEP, len(ids) - start)
+            row, mine = np.repeat(np.arange(n), self.size[start : start + n]), word[ends[start] : ends[start + n]]
+            columns = self.column[mine]
+            marks = np.zeros((len(common), n), np.uint8)
+            marks[columns[columns >= 0], row[columns >= 0]] = 1
+            row, mine = row[columns < 0], mine[columns < 0]
+            order = np.argsort(mine, kind="stable")
+            begin = np.searchsorted(mine[order], np.arange(len(self.words) + 1)).astype(np.int32)
+            self.blocks.append((start, n, marks, row[order].astype(np.int32), begin))
+
+    def meet(self, ids: list, own: pa.ListArray) -> None:
+        """Raise ``best`` to the largest overlap coefficient with chunks that have other ids."""
+        size, words = pc.list_value_length(own).to_numpy(), pc.list_flatten(own).to_numpy()
+        word, row = np.searchsorted(self.words, words).clip(max=len(self.words) - 1), np.repeat(np.arange(len(ids)), size)
+        known = self.words[word] == words
+        word, row = word[known], row[known]
+        columns = self.column[word]
+        theirs = np.zeros((len(ids), int(self.column.max()) + 1), np.float32)
+        theirs[row[columns >= 0], columns[columns >= 0]] = 1
+        word, row = word[columns < 0], row[columns < 0]
+        own_rows = [(i, j) for i, name in enumerate(ids) for j in self.at.get(name, ())]
+        for start, n, marks, rows, begin in self.blocks:
+            shared = theirs @ marks.astype(np.float32)
+            count = (begin[word + 1] - begin[word]).astype(np.int64)
+            stop = np.cumsum(count)
+            cuts = [*np.searchsorted(stop, np.arange(0, stop[-1] if len(stop) else 0, _MEETINGS), "right"), len(stop)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                met = count[x:y]
+                first = np.cumsum(met) - met
+                there = rows[np.arange(met.sum()) + np.repeat(begin[word[x:y]] - first, met)]
+                shared += np.bincount(np.repeat(row[x:y] * n, met) + there, minlength=shared.size).reshape(shared.shape)
+            like = shared / np.minimum.outer(size, self.size[start : start + n]).astype(np.float64)
+            for i, j in own_rows:
+                if start <= j < start + n:
+                    like[i, j - start] = 0
+            np.maximum(self.best[start : start + n], like.max(0), out=self.best[start : start + n])
+
+
+def _most_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the chunks of each cell the largest overlap coefficient with its selected ones, which follow them and are not kept."""
+    names, cell, parts, held = ["query_id", "chunk_id", "like"], None, [], None
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.Table.from_batches(parts)[c].combine_chunks() for c in names[:2]] + [pa.array(held.best)], names=names)
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("query_id", "i", "side")), strict=True))
+        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if start == end:
+                continue
+            piece, (*at, side) = batch.slice(start, end - start), keys[start]
+            if at != cell:
+                if held:
+                    yield told()
+                cell, parts, held = at, [], None
+            if side == 0:
+                parts.append(piece)
+            elif parts:
+                if held is None:
+                    asked = pa.Table.from_batches(parts)
+                    held = _Held(asked["chunk_id"].to_pylist(), asked["own"].combine_chunks())
+                    parts, asked = asked.select(names[:2]).to_batches(), None
+                for k in range(0, piece.num_rows, _STEP // 4):
+                    step = piece.slice(k, _STEP // 4)
+                    held.meet(step.column("chunk_id").to_pylist(), step.column("own"))
+    if held:
+        yield told()
 
 
 def final_gains(chunks: DataFrame, selection: DataFrame, block: int = _BLOCK) -> DataFrame:
     """Every chunk's gain against the final selection without itself, to 4 digits.
 
-    Chunks and selected ones of a query meet in cells of at most about ``block`` of each, as products of word matrices, so a large
-    query is many tasks and no pair leaves its cell. Words are known by 64-bit hashes.
+    Each cell holds about ``block`` chunks of a query at most, and all selected ones of the query pass by them in steps: chunks move
+    once, selected ones once a cell, and no pair leaves its cell. Small inputs have as many cells as keep all cores busy. Words are
+    known by 64-bit hashes.
     """
     parts = ["relevance", "weight", "type_weight", "penalty"]
     rows = chunks.withColumn("type_weight", query_type_weight()).withColumn("penalty", penalty()).withColumn("own", F.transform(F.array_distinct(terms(F.coalesce("claim", F.lit("")))), lambda t: F.xxhash64(t)))
     rows = rows.select("query_id", "chunk_id", "own", *parts)
-    picked = rows.select("query_id", "chunk_id", "own").join(selection.filter("decision = 'selected'").select("query_id", "chunk_id"), ["query_id", "chunk_id"])
-    blocks = lambda df, name: df.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    number = blocks(rows, "across").join(blocks(picked, "down"), "query_id")
-    place = lambda n: F.pmod(F.xxhash64("chunk_id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = rows.filter("size(own) > 0").join(number, "query_id").select("query_id", "chunk_id", "own", place("across").alias("i"), each("down").alias("j"))
-    y = picked.filter("size(own) > 0").join(number, "query_id").select(F.col("query_id").alias("q"), F.col("chunk_id").alias("other"), F.col("own").alias("theirs"), place("down").alias("j"), each("across").alias("i"))
+    taken = selection.filter("decision = 'selected'").select("query_id", "chunk_id").distinct()
+    picked = rows.select("query_id", "chunk_id").join(taken, ["query_id", "chunk_id"])
+    count = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    busy = 4 * chunks.sparkSession.sparkContext.defaultParallelism
+    spread = F.least(F.ceil(F.col("n") / _STEP), F.ceil(F.col("n") * busy / F.col("all")))
+    number = count.crossJoin(count.agg(F.sum("n").alias("all"))).select("query_id", F.greatest(F.ceil(F.col("n") / block), spread).cast("int").alias("across"))
+    marked = rows.select("query_id", "chunk_id", "own").filter("size(own) > 0").join(taken.withColumn("taken", F.lit(True)), ["query_id", "chunk_id"], "left").join(number, "query_id")
+    place = lambda i, side: F.struct(i.cast("int").alias("i"), F.lit(side).alias("side"))
+    once = F.array(place(F.pmod(F.xxhash64("chunk_id"), F.col("across")), 0))
+    each = F.when(F.col("taken"), F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda i: place(i, 1)))
+    cells = marked.select("query_id", "chunk_id", "own", F.explode(F.concat(once, F.coalesce(each, F.array().cast("array<struct<i:int,side:int>>")))).alias("to")).select("query_id", "to.i", "to.side", "chunk_id", "own")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    cells = x.groupBy("query_id", "i", "j").cogroup(y.groupBy("q", "i", "j"))
-    likes = cells.applyInArrow(_most_alike, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, like double").groupBy("query_id", "chunk_id").agg(F.max("like").alias("like"))
+    likes = cells.repartition("query_id", "i").sortWithinPartitions("query_id", "i", "side").mapInArrow(_most_alike, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, like double").groupBy("query_id", "chunk_id").agg(F.max("like").alias("like"))
     one = rows.groupBy("query_id", "chunk_id").agg(*(F.first(c).alias(c) for c in parts))
     ends = picked.groupBy("query_id").agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high"))
     most = one.join(ends, "query_id", "left").join(likes, ["query_id", "chunk_id"], "left")

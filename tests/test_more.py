@@ -317,6 +317,24 @@ def test_gains_in_cells_equal_those_in_one(spark):
         assert {(r["query_id"], r["chunk_id"]): r["gain"] for r in assembly.final_gains(df, selection, block).collect()} == want
 
 
+def test_chunks_move_once_for_gains(spark):
+    """Selected chunks pass by the chunks of a cell in steps; neither side is dealt to cells of pairs of blocks."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    sets = [rng.sample(range(400), rng.randint(1, 12)) + [1000 + i % 3] for i in range(90)]
+    part = lambda side, some: pa.RecordBatch.from_pydict({"query_id": [1] * len(some), "i": pa.array([0] * len(some), pa.int32()), "side": pa.array([side] * len(some), pa.int32()), "chunk_id": [f"c{i}" for i in some], "own": pa.array([sets[i] for i in some], pa.list_(pa.int64()))})
+    told = pa.Table.from_batches(assembly._most_alike(iter([part(0, range(40)), part(0, range(40, 90)), part(1, range(0, 50, 2)), part(1, range(50, 90, 2))])))
+    like = lambda a, b: len({*a} & {*b}) / min(len({*a}), len({*b}))
+    assert told["chunk_id"].to_pylist() == [f"c{i}" for i in range(90)]
+    assert told["like"].to_pylist() == [max(like(sets[i], sets[j]) for j in range(0, 90, 2) if j != i) for i in range(90)]
+    fixed = ", ".join(f"{v} AS {k}" for k, v in {"relevance": "0.8d", "weight": "0.5d", "freshness": "0.5d", "surprise": "0d", "source_type": "'x'", "stance": "'y'", "query_types": "array('none')", "required_types": "array('code')"}.items())
+    df = spark.createDataFrame([(1, "a", "alpha bravo"), (1, "b", "alpha delta")], "query_id long, chunk_id string, claim string").selectExpr("*", *fixed.split(", "))
+    gains = assembly.final_gains(df, spark.createDataFrame([(1, "a", "selected")], "query_id long, chunk_id string, decision string"), 1)
+    assert "CoGroup" not in gains._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["chunk_id"]: r["gain"] for r in gains.collect()} == {"a": 0.4, "b": 0.2}
+
+
 def test_equal_sets_are_compared_once(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(60)]
